@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as op5
 from . import license_scan as op1
+from . import minhash as op4
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +19,17 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.digest(op1.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
 
 
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.digest(op5.decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")).drop("text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan,
+    "op4_minhash_near_dedup": minhash_near_dedup,
     "op5_benchmark_decontamination": benchmark_decontamination,
 }
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no checkpoint folder, as in local tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
@@ -31,3 +34,26 @@ def size_in_bytes(df: DataFrame) -> int:
 def buckets_for(df: DataFrame, each: int, least: int = 16, most: int = 1 << 20) -> int:
     """Number of groups of about ``each`` bytes of input; it grows with the input."""
     return max(least, min(most, -(-size_in_bytes(df) // each)))
+
+
+def may_contain(ids: DataFrame, column: str, *, bits: int = 1 << 26) -> Column:
+    """A predicate on a long column that holds for every id of ``ids`` and for few others.
+
+    The filter is a bitmap of at most ``bits`` bits (8 MB), however many ids there
+    are; it is built with Spark's bitmap aggregate and broadcast.  A full bitmap
+    lets more rows through, never fewer, so callers still join on the ids.
+    """
+    width = 8 * 4096
+    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(bits)) + 1
+    rows = ids.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("map")).collect()
+    table = np.zeros((bits // width, 4096), dtype=np.uint8)
+    for r in rows:
+        table[r.bucket - 1] = np.frombuffer(bytes(r["map"]), dtype=np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def test(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy()
+        return pd.Series((shared.value.reshape(-1)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return test(F.pmod(F.xxhash64(F.col(column)), F.lit(bits)))

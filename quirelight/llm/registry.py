@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate as op5
 from . import license_scan as op1
 from . import minhash as op4
+from . import suffix_dedup as op7
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,10 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.digest(_table(spark, sf_dir, "documents"))
+
+
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.digest(op5.decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")).drop("text"))
 
@@ -31,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan,
     "op4_minhash_near_dedup": minhash_near_dedup,
     "op5_benchmark_decontamination": benchmark_decontamination,
+    "op7_suffix_array_dedup": suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -28,7 +28,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; for files the size of what is read."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def buckets_for(df: DataFrame, each: int, least: int = 16, most: int = 1 << 20) -> int:

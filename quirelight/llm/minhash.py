@@ -13,8 +13,11 @@ from seeded donors, so that short documents band as well as long ones.
    dropped; the rest are confirmed on the full shingle sets of both texts.
 4. Links become components by large-star/small-star rounds.
 5. Bands that still hold several components give the pairs *between* those
-   components (large bands in blocks, compared register by register inside the
-   task), which are estimated and confirmed the same way; then 4 again.
+   components, which are estimated and confirmed the same way; then 4 again.
+   Bands of more than 64 members are compared block against block inside tasks
+   of bounded size: estimate, then exact intersections as products of incidence
+   matrices, each pair only in the first band it shares, and only links that
+   join two components leave the task.
 
 A pair at Jaccard 0.85 shares no band with probability (1 - 0.85**5)**25 = 4e-7.
 No all-pairs expansion inside a component, no cap on bands or candidates.
@@ -41,8 +44,8 @@ SHINGLE, REGISTERS, BANDS, ROWS, MANTISSA = 5, 128, 25, 5, 10
 PERCENT = 85
 #: Estimates under the threshold by more than this are not confirmed: over six standard deviations of 128 registers.
 MARGIN = 0.20
-#: Bands with more members than this are compared in blocks of as many.
-BLOCK = 64
+#: Bands with more members than this are compared in blocks; members and shingles of a block.
+JOINED, BLOCK, BLOCK_SHINGLES = 64, 256, 1 << 19
 _VALUE_BITS = 48 - 7
 
 
@@ -195,26 +198,63 @@ def components(links: DataFrame, name: str) -> DataFrame:
 
 def _bands(nodes: DataFrame, *more: str) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("codes", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])
-    return nodes.select("node", *more, F.explode(keys).alias("band"))
+    return nodes.select("node", *more, F.posexplode(keys).alias("band_no", "band"))
+
+
+def _intersections(texts: pa.Array, left: np.ndarray, right: np.ndarray, width: int = 8192) -> np.ndarray:
+    """Sizes of the common shingle sets, left x right, as products of incidence matrices over shingles that two texts share."""
+    buf, off = tb.flat(texts)
+    owner, value = [], []
+    for i, j in tb.slices(off):
+        keys = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i])[2]
+        owner.append((keys >> tb.U64(48)).astype(np.int64) + i)
+        value.append(keys & tb.U64((1 << 48) - 1))
+    owner, value = np.concatenate(owner), np.concatenate(value)
+    _, column, count = np.unique(value, return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    owner, column = owner[count[column] > 1], shared[column[count[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, (at, at + width))
+        seen = np.zeros((len(texts), width), dtype=np.float32)
+        seen[owner[lo:hi], column[lo:hi] - at] = 1
+        out += seen[left] @ seen[right].T
+    return out.astype(np.int64)
 
 
 def _blocks(t):
-    """Pairs between components in one pair of blocks of a band, by registers."""
-    ids, comp, n, block = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles", "block"))
+    """Links that join components, in one pair of blocks of a band; every pair in the first band it shares."""
+    ids, comp, n, block, band = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles", "block", "band_no"))
     codes = np.frombuffer(tb.flat(t.column("codes"))[0], dtype=np.uint16).reshape(-1, REGISTERS)
+    banded = codes[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
     one, two = t.column("one")[0].as_py(), t.column("two")[0].as_py()
     left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-    a, b = [], []
-    for i in left.tolist():
-        other = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))]
-        if one == two:
-            other = other[ids[other] > ids[i]]
-        if len(other):
-            good = other[estimate(codes[other], codes[i], n[other], n[i]) >= PERCENT / 100 - MARGIN]
-            a += [np.minimum(ids[good], ids[i])]
-            b += [np.maximum(ids[good], ids[i])]
-    none = np.zeros(0, dtype=np.int64)
-    return pa.table({"a": pa.array(np.concatenate([none, *a]), pa.int64()), "b": pa.array(np.concatenate([none, *b]), pa.int64())})
+    wanted = np.zeros((len(left), len(right)), dtype=bool)
+    for k, i in enumerate(left.tolist()):
+        can = (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))
+        can &= (ids[right] > ids[i]) | (one != two)
+        at = np.flatnonzero(can)
+        at = at[(banded[right[at]] == banded[i]).all(axis=2).argmax(axis=1) == band[0]]
+        wanted[k, at] = estimate(codes[right[at]], codes[i], n[right[at]], np.full(len(at), n[i])) >= PERCENT / 100 - MARGIN
+    links = []
+    if wanted.any():
+        both = _intersections(t.column("text"), left, right)
+        x, y = np.nonzero(wanted & (100 * both >= PERCENT * (n[left][:, None] + n[right][None] - both)))
+        parent = {c: c for c in comp.tolist()}
+
+        def find(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        for i, k in zip(left[x].tolist(), right[y].tolist(), strict=True):
+            a, b = find(int(comp[i])), find(int(comp[k]))
+            if a != b:
+                parent[a] = b
+                links.append(sorted((int(ids[i]), int(ids[k]))))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -239,16 +279,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = written(components(first, "components"), "labels")
     named = nodes.join(linked, "node", "left_semi").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = written(named, "named")
-    open_bands = _bands(named, "component").groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low != high").select("band", "members")
+    open_bands = _bands(named, "component", "n_shingles").groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum("n_shingles").alias("weight")).where("low != high").select("band", "members", "weight")
     members = _bands(named, "component", "n_shingles").join(open_bands, "band")
-    few = members.where(F.col("members") <= BLOCK)
+    few = members.where(F.col("members") <= JOINED)
     one, two = (few.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n_shingles")]) for x in "ab")
     pairs = one.join(two, "band").where(f"node_a < node_b and component_a != component_b and 100 * least(n_shingles_a, n_shingles_b) >= {PERCENT} * greatest(n_shingles_a, n_shingles_b)").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    count = F.ceil(F.col("members") / BLOCK).cast("long")
-    many = members.where(F.col("members") > BLOCK).withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("band", "node", "component", "n_shingles", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    large = many.join(named.select("node", "codes"), "node").groupBy("band", "one", "two").applyInArrow(_blocks, "a long, b long").distinct()
-    second = confirm(written(_with_codes(pairs, nodes).unionByName(large), "pairs"))
+    many = members.where(F.col("members") > JOINED).withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("long"))
+    many = many.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    many = many.select("band", "band_no", "node", "component", "n_shingles", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    whole = named.select("node", "codes").join(texts, F.col("node") == F.col("doc_id")).select("node", "codes", "text")
+    large = many.join(whole, "node").groupBy("band", "one", "two").applyInArrow(_blocks, "a long, b long")
+    second = confirm(written(_with_codes(pairs, nodes), "pairs")).unionByName(large)
     final = components(first.unionByName(second), "components")
 
     by_digest = nodes.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))

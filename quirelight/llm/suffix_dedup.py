@@ -4,27 +4,27 @@ Every byte inside a 50-byte string that also starts in a document with a smaller
 id is removed.  Whole texts, all windows:
 
 1. Each window of 50 bytes is represented by the smallest hash of its 16-byte
-   grams.  A *piece* is a maximal run of windows of one document with one
-   smallest hash; equal windows always meet under the same hash.  One pass over
-   the texts sends each hash once per task to the bucket of that hash, where the
-   hashes of several documents are found (documents that share a hash within a
-   task are known already and send nothing more).
-2. The pieces under those hashes are cut out of the texts.  Equal pieces of one
-   task are settled there (all but the one of the smallest id go), so a passage
-   that stands in a third of all documents costs one piece a task.
-3. In each bucket the suffixes of the distinct pieces are sorted in two stages:
-   suffixes smaller than their successors are sorted directly, the others are
-   induced by a scan over the buckets of first bytes.  Adjacent common prefixes
-   of 50 bytes or more give the groups of equal windows, the smallest id of a
-   group decides.
-4. The covered byte runs go back to their documents.
-
-The texts are shuffled once, by a hash of the id; all other traffic is packed
-arrays.  Nothing reaches the driver.
+   grams.  A *piece* is a run of windows of one document with one smallest hash;
+   equal windows always meet under the same hash.  Documents are dealt into
+   groups; each group sends every hash once to the bucket of that hash and gets
+   back those that stand in several documents.
+2. Pieces under those hashes are compared by content.  Copies of a piece are
+   settled against the one of the smallest id, first inside the group, then in
+   the bucket; a passage that stands in a third of all documents costs one piece
+   a group.  Hashes with one content only are settled by that.
+3. The distinct contents that are left send their bytes.  In each bucket their
+   suffixes are sorted in two stages: suffixes smaller than their successors are
+   sorted directly, the others are induced by a scan over the buckets of first
+   bytes.  Adjacent common prefixes of 50 bytes or more give the groups of equal
+   windows, and the smallest id of a group decides.
+4. The lost byte runs go back to their documents.
+
+The texts are shuffled once, by a hash of the id (the exchange is reused by all
+steps); all other traffic is packed arrays.  Nothing reaches the driver.
 
 Defined results: null and empty texts have no bytes; texts under 50 bytes lose
 nothing; a null id neither loses nor claims bytes; equal ids don't claim bytes
-from each other; ``doc_id`` identifies a text.
+from each other; ``doc_id`` identifies a text; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,18 +43,38 @@ from .storage import buckets_for
 LENGTH, GRAM = 50, 16
 #: Input bytes for each group of documents and each bucket of hashes; their numbers follow the input.
 GROUP_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
-_FLUSH = 24  # text slices settled together in the first pass
+_SLICE = 1 << 19  # bytes of text whose windows are hashed at once
 _SCHEMA = "bucket long, kind int, payload binary"
 
 
 def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, first window, windows) of every piece of a run of documents, in order of place."""
+    """(hash, document, first window, windows) of every piece of a run of documents, in order of place; at most 255 windows each."""
+    parts = []
+    for i, j in tb.slices(off, _SLICE):
+        hashed, doc, start, count = _pieces(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        parts.append((hashed, doc + i, start, count))
+    if not parts:
+        return np.zeros(0, dtype=tb.U64), *(np.zeros(0, dtype=np.int64) for _ in range(3))
+    hashed, doc, start, count = (np.concatenate(c) for c in zip(*parts, strict=True))
+    more = (count - 1) // 255
+    if more.any():
+        row = np.repeat(np.arange(len(count)), more + 1)
+        step = tb.ranges(np.zeros(len(count), dtype=np.int64), more + 1)
+        hashed, doc, start, count = hashed[row], doc[row], start[row] + 255 * step, np.minimum(255, count[row] - 255 * step)
+    return tb.splitmix(hashed), doc, start, count
+
+
+def _pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, dtype=np.int64)
     n = len(buf) - LENGTH + 1
     if n <= 0:
         return np.zeros(0, dtype=tb.U64), none, none, none
-    at = np.arange(len(buf) - GRAM + 1)
-    low = tb.span_hash(tb.prefix(buf), at, at + GRAM)
+    sums = tb.prefix(buf)
+    low = sums[GRAM:] - sums[:-GRAM]
+    low *= tb._grow(len(buf))[1][: len(low)]
+    low ^= low >> tb.U64(32)
+    low *= tb.U64(0xD6E8FEB86659FD93)
+    low ^= low >> tb.U64(29)
     span, width = 1, LENGTH - GRAM + 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
@@ -65,7 +85,7 @@ def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     own = np.flatnonzero(room > 0)
     valid[off[own]] = 1
     valid[off[own] + room[own]] -= 1
-    valid = np.cumsum(valid[:n]).astype(bool)
+    valid = np.cumsum(valid[:n], dtype=np.int8).astype(bool)
     head = valid.copy()
     head[1:] &= (low[1:] != low[:-1]) | ~valid[:-1]
     head[off[own]] = True
@@ -99,11 +119,11 @@ def _split(key: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _bucket_of(hashed: np.ndarray, buckets: int) -> np.ndarray:
-    return ((tb.splitmix(hashed) >> tb.U64(32)) * tb.U64(buckets) >> tb.U64(32)).astype(np.int64)  # mixed: smallest hashes are small
+    return ((hashed >> tb.U64(32)) * tb.U64(buckets) >> tb.U64(32)).astype(np.int64)
 
 
 def _group_of(doc: np.ndarray, groups: int) -> np.ndarray:
-    return _bucket_of(doc.astype(tb.U64), groups)
+    return _bucket_of(tb.splitmix(doc.astype(tb.U64)), groups)
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -111,70 +131,136 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["bucket", "kind", "payload"])
 
 
-def _runs(hashed: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, group of each ordered row, several documents?) of equal hashes."""
+_LOW = tb.U64((1 << 40) - 1)
+
+
+def _five(hashed: np.ndarray) -> bytes:
+    """The low 40 bits of each hash (its bucket holds the high ones)."""
+    return np.ascontiguousarray((hashed & _LOW).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _from_five(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    out[:, :5] = raw.reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
+
+
+def _announce(buckets: int):
+    """Per group of documents and bucket: its hashes, first those of one document, then those of several."""
+
+    def run(key, docs):
+        buf, off = tb.flat(docs.column("text"))
+        hashed, doc, _, _ = pieces(buf, off)
+        rows = []
+        order = np.argsort(_bucket_of(hashed, buckets), kind="stable")
+        bounds = np.searchsorted(_bucket_of(hashed, buckets)[order], np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            own = order[bounds[k] : bounds[k + 1]]
+            keys = (hashed[own] & _LOW) << tb.U64(24) | (doc[own] & 0xFFFFFF).astype(tb.U64)
+            keys.sort()
+            value = keys >> tb.U64(24)
+            head = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+            several = keys[head] != keys[np.concatenate((head[1:], [len(keys)])) - 1]
+            one, two = value[head[~several]], value[head[several]]
+            rows.append((k, key[0].as_py(), np.int64(len(one)).tobytes() + _five(one) + _five(two)))
+        cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+        return pa.table({"bucket": pa.array(cols[0], pa.int64()), "part": pa.array(cols[1], pa.int64()), "payload": pa.array(cols[2], pa.binary())})
+
+    return run
+
+
+def _answer(key, table):
+    """Per bucket: to each group those of its hashes that stand in several documents."""
+    parts, hashed, flags = [], [], []
+    for part, payload in zip(table.column("part").to_pylist(), table.column("payload").to_pylist(), strict=True):
+        n = int(np.frombuffer(payload, dtype=np.int64, count=1)[0])
+        own = _from_five(np.frombuffer(payload, dtype=np.uint8, offset=8))
+        hashed.append(own)
+        parts.append(np.full(len(own), part, dtype=np.int64))
+        flags.append(np.arange(len(own)) >= n)
+    hashed, parts, flags = np.concatenate(hashed), np.concatenate(parts), np.concatenate(flags)
     order = np.argsort(hashed, kind="stable")
-    s, d = hashed[order], doc[order]
-    new = np.concatenate(([True], s[1:] != s[:-1]))
-    head = np.flatnonzero(new)
-    several = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
-    return order, np.cumsum(new) - 1, several
-
-
-def _announce(buckets: int, groups: int):
-    """Hashes that stand in one document of the task (kind 0), in several (kind 1, once); pieces already known to repeat (kind 2)."""
-
-    def settle(parts: list[tuple]) -> list[tuple[int, int, bytes]]:
-        hashed, doc, start, count = (np.concatenate(c) for c in zip(*parts, strict=True))
-        if not len(hashed):
-            return []
-        order, group, several = _runs(hashed, doc)
-        multi = several[group]
-        single, known = order[~multi], order[multi]
-        rows = [(k, 0, _pack(hashed[single][at], doc[single][at], start[single][at].astype(np.int32), count[single][at].astype(np.int32))) for k, at in _split(_bucket_of(hashed[single], buckets), buckets)]
-        once = np.unique(hashed[known])
-        rows += [(k, 1, _pack(once[at])) for k, at in _split(_bucket_of(once, buckets), buckets)]
-        rows += [(-1 - k, 2, _pack(doc[known][at], start[known][at].astype(np.int32), count[known][at].astype(np.int32))) for k, at in _split(_group_of(doc[known], groups), groups)]
-        return rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            buf, off = tb.flat(batch.column(1))
+    value = hashed[order]
+    head = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+    size = np.diff(np.concatenate((head, [len(value)])))
+    several = (size > 1) | np.logical_or.reduceat(flags[order], head)  # a hash comes once from a group
+    keep = order[np.repeat(several, size)]
+    rows = []
+    by = keep[np.argsort(parts[keep], kind="stable")]
+    names, first = np.unique(parts[by], return_index=True)
+    for k, name in enumerate(names.tolist()):
+        own = by[first[k] : first[k + 1] if k + 1 < len(first) else None]
+        rows.append((name, np.int64(key[0].as_py()).tobytes() + _five(hashed[own])))
+    return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def _compare(buckets: int, groups: int):
+    """Per group: its pieces under repeated hashes, one of each content (kind 0); copies settled here (kind 2)."""
+
+    def run(key, docs, answers):
+        rows: list[tuple[int, int, bytes]] = []
+        repeated_by = [np.zeros(0, dtype=tb.U64) for _ in range(buckets)]
+        for payload in answers.column("payload").to_pylist():
+            repeated_by[int(np.frombuffer(payload, dtype=np.int64, count=1)[0])] = np.sort(_from_five(np.frombuffer(payload, dtype=np.uint8, offset=8)))
+        if docs.num_rows and answers.num_rows:
+            ids = docs.column("doc_id").to_numpy().astype(np.int64)
+            buf, off = tb.flat(docs.column("text"))
+            hashed, row, start, count = pieces(buf, off)
+            bucket = _bucket_of(hashed, buckets)
+            keep = []
+            for k, at in _split(bucket, buckets):
+                wanted = repeated_by[k]
+                if len(wanted):
+                    low = hashed[at] & _LOW
+                    keep.append(at[wanted[np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)] == low])
+            keep = np.sort(np.concatenate(keep)) if keep else np.zeros(0, dtype=np.int64)
+            hashed, row, start, count, bucket = hashed[keep], row[keep], start[keep], count[keep], bucket[keep]
+            doc = ids[row]
+            content = np.zeros(len(keep), dtype=tb.U64)
             for i, j in tb.slices(off):
-                hashed, doc, start, count = pieces(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                held.append((hashed, ids[i + doc].astype(np.int64), start, count))
-                if len(held) >= _FLUSH:
-                    yield _batch(settle(held))
-                    held = []
-        if held:
-            yield _batch(settle(held))
+                lo, hi = np.searchsorted(row, (i, j))
+                begin = off[row[lo:hi]] - off[i] + start[lo:hi]
+                content[lo:hi] = tb.span_hash(tb.prefix(buf[off[i] : off[j]]), begin, begin + count[lo:hi] + LENGTH - 1)
+            if len(keep):
+                later, order = _later(content, doc)
+                gone, sent = order[later], order[~later]
+                rows += _spans(doc[gone], start[gone], start[gone] + count[gone] + LENGTH - 1, groups)
+                for k, at in _split(bucket[sent], buckets):
+                    at = sent[at]
+                    rows.append((k, 0, _pack(content[at], doc[at], start[at].astype(np.int32), count[at].astype(np.uint8)) + _five(hashed[at])))
+        return pa.Table.from_batches([_batch(rows)])
 
     return run
 
 
-def _answer(groups: int):
-    """Per bucket of hashes: the pieces whose hash stands in several documents, by group of documents."""
+def _later(content: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(is not of the smallest id of its content, order): a document may hold its content several times."""
+    order = np.lexsort((doc, content))
+    same = np.concatenate(([False], content[order][1:] == content[order][:-1]))
+    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    return same & (doc[order] > doc[order][lead]), order
+
+
+def _fold(groups: int):
+    """Per bucket: copies are settled against the smallest id of their content; contents that share a hash ask for bytes (kind 3)."""
 
     def run(key, table):
-        kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
-        if key[0].as_py() < 0:  # pieces that are known to repeat pass through
-            return pa.table({"part": pa.array([-1 - key[0].as_py()] * len(payloads), pa.int64()), "payload": pa.array(payloads, pa.binary())})
-        own = [_unpack(p, np.uint64, np.int64, np.int32, np.int32) for k, p in zip(kinds, payloads, strict=True) if k == 0]
-        flagged = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64)] + [_unpack(p, np.uint64)[0] for k, p in zip(kinds, payloads, strict=True) if k == 1]))
-        out: list[tuple[int, bytes]] = []
-        if own:
-            hashed, doc, start, count = (np.concatenate([o[c] for o in own]) for c in range(4))
-            if len(hashed):
-                order, group, several = _runs(hashed, doc)
-                keep = np.zeros(len(hashed), dtype=bool)
-                keep[order] = several[group]
-                if len(flagged):
-                    keep |= flagged[np.minimum(np.searchsorted(flagged, hashed), len(flagged) - 1)] == hashed
-                doc, start, count = doc[keep], start[keep], count[keep]
-                out = [(k, _pack(doc[at], start[at], count[at])) for k, at in _split(_group_of(doc, groups), groups)]
-        return pa.table({"part": pa.array([k for k, _ in out], pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())})
+        if key[0].as_py() < 0:  # settled runs pass through
+            return pa.table({"part": pa.array([-1 - key[0].as_py()] * table.num_rows, pa.int64()), "kind": table.column("kind").combine_chunks(), "payload": table.column("payload").combine_chunks()})
+        parts = [_unpack(p, np.uint64, np.int64, np.int32, np.uint8) for p in table.column("payload").to_pylist()]
+        content, doc, start, count = (np.concatenate([p[c] for p in parts]) for c in range(4))
+        hashed = np.concatenate([_from_five(p[4]) for p in parts])
+        start, count = start.astype(np.int64), count.astype(np.int64)
+        later, order = _later(content, doc)
+        gone, left = order[later], order[~later]
+        rows = _spans(doc[gone], start[gone], start[gone] + count[gone] + LENGTH - 1, groups)
+        left = left[np.argsort(hashed[left], kind="stable")]
+        head = np.flatnonzero(np.concatenate(([True], hashed[left][1:] != hashed[left][:-1])))
+        many = np.minimum.reduceat(content[left], head) != np.maximum.reduceat(content[left], head)
+        ask = left[np.repeat(many, np.diff(np.concatenate((head, [len(left)]))))]
+        out = [(-1 - k, kind, p) for k, kind, p in rows]
+        out += [(k, 3, _pack(doc[ask][at], start[ask][at].astype(np.int32), count[ask][at].astype(np.int32)) + _five(hashed[ask][at]) + np.int64(key[0].as_py()).tobytes()) for k, at in _split(_group_of(doc[ask], groups), groups)]
+        return pa.table({"part": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "payload": pa.array([r[2] for r in out], pa.binary())})
 
     return run
 
@@ -190,47 +276,27 @@ def _expand(order: np.ndarray, sorted_ids: np.ndarray, doc: np.ndarray) -> tuple
     return np.repeat(np.arange(len(doc)), hi - lo), order[tb.ranges(lo, hi - lo)]
 
 
-def _cut(buckets: int, groups: int):
-    """Per group of documents: pieces with their bytes, one of each content (kind 0); windows settled here (kind 2)."""
-
-    def run(key, docs, wanted):
-        rows: list[tuple[int, int, bytes]] = []
-        ids = docs.column("doc_id").to_numpy().astype(np.int64)
-        buf, off = tb.flat(docs.column("text"))
-        parts = [_unpack(p, np.int64, np.int32, np.int32) for p in wanted.column("payload").to_pylist()]
-        if parts and len(ids):
-            doc, start, count = (np.concatenate([p[c] for p in parts]) for c in range(3))
-            index, row = _expand(*_rows_of(ids), doc)
-            doc, start, count = doc[index], start[index].astype(np.int64), count[index].astype(np.int64)
-            fits = start + count + LENGTH - 1 <= np.diff(off)[row]
-            doc, start, count, row = doc[fits], start[fits], count[fits], row[fits]
-            begin = off[row] + start
-            size = count + LENGTH - 1
-            content, hashed = [], []
-            for i, j in tb.slices(np.concatenate(([0], np.cumsum(size))), most=1 << 30):  # hashes of bounded runs of bytes
-                raw = buf[tb.ranges(begin[i:j], size[i:j])]
-                edge = np.concatenate(([0], np.cumsum(size[i:j])))
-                content.append(tb.span_hash(tb.prefix(raw), edge[:-1], edge[1:]))
-                grams = tb.prefix(raw)
-                first = edge[:-1]
-                low = np.full(j - i, np.iinfo(np.uint64).max, dtype=np.uint64)
-                for k in range(LENGTH - GRAM + 1):  # smallest gram hash of the first window: the piece's hash
-                    low = np.minimum(low, tb.span_hash(grams, first + k, first + k + GRAM))
-                hashed.append(low)
-            if len(doc):
-                content, hashed = np.concatenate(content), np.concatenate(hashed)
-                order = np.lexsort((doc, size, content))
-                same = np.concatenate(([False], (content[order][1:] == content[order][:-1]) & (size[order][1:] == size[order][:-1])))
-                lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-                later = same & (doc[order] > doc[order][lead])
-                gone, sent = order[later], order[~later]  # a document may hold its piece several times
-                rows += _spans(doc[gone], start[gone], start[gone] + size[gone], groups)
-                for k, at in _split(_bucket_of(hashed[sent], buckets), buckets):
-                    at = sent[at]
-                    rows.append((k, 0, _pack(doc[at], start[at].astype(np.int32), size[at].astype(np.int32)) + buf[tb.ranges(begin[at], size[at])].tobytes()))
-        return pa.Table.from_batches([_batch(rows)])
-
-    return run
+def _cut(key, docs, wanted):
+    """Per group: the bytes of the pieces asked for (kind 0); settled runs pass on (kind 2)."""
+    part = key[0].as_py()
+    rows: list[tuple[int, int, bytes]] = []
+    ids = docs.column("doc_id").to_numpy().astype(np.int64)
+    buf, off = tb.flat(docs.column("text"))
+    by_id = _rows_of(ids)
+    for kind, payload in zip(wanted.column("kind").to_pylist(), wanted.column("payload").to_pylist(), strict=True):
+        if kind == 2:
+            rows.append((-1 - part, 2, payload))
+            continue
+        doc, start, count, rest = _unpack(payload, np.int64, np.int32, np.int32)
+        hashed, bucket = _from_five(rest[:-8]), int(np.frombuffer(rest[-8:].tobytes(), dtype=np.int64)[0])
+        index, row = _expand(*by_id, doc)
+        if not len(index):
+            continue
+        start, size = start[index].astype(np.int64), count[index].astype(np.int64) + LENGTH - 1
+        fits = start + size <= np.diff(off)[row]
+        index, row, start, size = index[fits], row[fits], start[fits], size[fits]
+        rows.append((bucket, 0, _pack(doc[index], start.astype(np.int32), size.astype(np.int32)) + buf[tb.ranges(off[row] + start, size)].tobytes()))
+    return pa.Table.from_batches([_batch(rows)])
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, groups: int) -> list[tuple[int, int, bytes]]:
@@ -411,13 +477,14 @@ def suffix_dedup(docs: DataFrame, *, fold=None) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of each row of ``docs`` (doc_id, text): the byte runs that go and the bytes that stay."""
     groups, buckets = buckets_for(docs, GROUP_BYTES), buckets_for(docs, BUCKET_BYTES)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = docs.where("doc_id is not null")
-    announced = known.mapInArrow(_announce(buckets, groups), _SCHEMA)
-    wanted = announced.groupBy("bucket").applyInArrow(_answer(groups), "part long, payload binary")
-    placed = known.withColumn("part", _group_column(groups))
-    cut = placed.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(_cut(buckets, groups), _SCHEMA)
+    placed = docs.where("doc_id is not null").withColumn("part", _group_column(groups))
+    grouped = placed.groupBy("part")
+    answers = grouped.applyInArrow(_announce(buckets), "bucket long, part long, payload binary").groupBy("bucket").applyInArrow(_answer, "part long, payload binary")
+    compared = grouped.cogroup(answers.groupBy("part")).applyInArrow(_compare(buckets, groups), _SCHEMA)
+    folded = compared.groupBy("bucket").applyInArrow(_fold(groups), "part long, kind int, payload binary")
+    cut = grouped.cogroup(folded.groupBy("part")).applyInArrow(_cut, _SCHEMA)
     spans = cut.groupBy("bucket").applyInArrow(_judge(groups), "part long, payload binary")
-    done = placed.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(fold or _finish, _DIGEST if fold else _RESULT)
+    done = grouped.cogroup(spans.groupBy("part")).applyInArrow(fold or _finish, _DIGEST if fold else _RESULT)
     none = docs.where("doc_id is null")
     if fold:
         return done.unionByName(none.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")))

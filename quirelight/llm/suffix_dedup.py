@@ -44,6 +44,7 @@ LENGTH, GRAM = 50, 16
 #: Input bytes for each group of documents and each bucket of hashes; their numbers follow the input.
 GROUP_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 _SLICE = 1 << 19  # bytes of text whose windows are hashed at once
+_FINER = 4  # buckets of bytes for each bucket of hashes
 _SCHEMA = "bucket long, kind int, payload binary"
 
 
@@ -295,7 +296,8 @@ def _cut(key, docs, wanted):
         start, size = start[index].astype(np.int64), count[index].astype(np.int64) + LENGTH - 1
         fits = start + size <= np.diff(off)[row]
         index, row, start, size = index[fits], row[fits], start[fits], size[fits]
-        rows.append((bucket, 0, _pack(doc[index], start.astype(np.int32), size.astype(np.int32)) + buf[tb.ranges(off[row] + start, size)].tobytes()))
+        for k, at in _split((hashed[index] % tb.U64(_FINER)).astype(np.int64), _FINER):  # pieces of one hash stay together
+            rows.append((bucket * _FINER + k, 0, _pack(doc[index[at]], start[at].astype(np.int32), size[at].astype(np.int32)) + buf[tb.ranges(off[row[at]] + start[at], size[at])].tobytes()))
     return pa.Table.from_batches([_batch(rows)])
 
 

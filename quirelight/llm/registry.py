@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as op5
+from . import html_extract as op10
+from . import language_id as op8
 from . import license_scan as op1
 from . import minhash as op4
 from . import suffix_dedup as op7
@@ -28,6 +30,14 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.digest(_table(spark, sf_dir, "documents"))
 
 
+def language_identification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8.digest(_table(spark, sf_dir, "documents"))
+
+
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.digest(_table(spark, sf_dir, "pages"))
+
+
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.digest(op5.decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")).drop("text"))
 
@@ -37,6 +47,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": minhash_near_dedup,
     "op5_benchmark_decontamination": benchmark_decontamination,
     "op7_suffix_array_dedup": suffix_array_dedup,
+    "op8_language_id": language_identification,
+    "op10_html_extraction": html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {}

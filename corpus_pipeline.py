@@ -1,10 +1,75 @@
-"""Corpus pipeline: five stages, each an operator of ``quirelight.llm``."""
+"""Corpus pipeline: five stages, each an operator of ``quirelight.llm``.
+
+``run`` applies them to the documents table.  A stage takes what its predecessor
+kept, written as Parquet in the shared folder, and acts on it:
+
+1. language ID: documents without a language (``und``) go, missing languages are filled in;
+2. near duplicates: the document of the smallest id of each group stays;
+3. repeated passages: bytes that also stand in a document of smaller id are cut out of the texts;
+4. benchmark decontamination: documents with a benchmark window go;
+5. SentencePiece: the texts' ids, each decoded again and compared.
+
+Stages 1 to 4 return the columns of documents.  Clean documents stay.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirelight.llm import decontaminate as op5
+from quirelight.llm import language_id as op8
+from quirelight.llm import minhash as op4
+from quirelight.llm import piece_codec as op6
+from quirelight.llm import suffix_dedup as op7
+from quirelight.llm.storage import may_contain, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    named = op8.identify(docs, op8.train(docs))
+    return named.where("lang_pred != 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    judged = op4.near_duplicates(docs)
+    # only documents that go, or whose row is repeated, are matched by id; all others pass without a shuffle
+    touched = written(judged.where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1"), "touched")
+    asked = F.col("doc_id").isNotNull() & may_contain(touched, "doc_id")
+    passed = docs.where(~asked)
+    matched = docs.where(asked).dropDuplicates(["doc_id"]).join(touched.where("not kept"), "doc_id", "left_anti").select(*COLUMNS)
+    return passed.unionByName(matched)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op7.suffix_dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op5.clean(op5.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op6.encode(docs.select(*COLUMNS)).select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
+
+
+STAGES = [
+    ("language_id", languages),
+    ("minhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("benchmark_decontamination", decontaminated),
+    ("sentencepiece_codec", encoded),
+]
+
+#: No SQL expresses the trained classifier or the piece model.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -450,18 +450,28 @@ def _judge(groups: int):
     return run
 
 
-def _finish(key, docs, spans):
+def _finish(carried: list[str]):
     """Per group of documents: union of the lost runs and what is left of each text."""
-    ids = docs.column("doc_id").to_numpy().astype(np.int64)
-    buf, off = tb.flat(docs.column("text"))
-    parts = [_unpack(p, np.int64, np.int32, np.int32) for p in spans.column("payload").to_pylist()]
-    lost: dict[int, list[tuple[int, int]]] = {}
-    if parts and len(ids):
-        doc, start, end = tb.merge_intervals(*(np.concatenate([p[c] for p in parts]).astype(np.int64) for c in range(3)))
-        index, row = _expand(*_rows_of(ids), doc)
-        for r, a, b in zip(row.tolist(), start[index].tolist(), end[index].tolist(), strict=True):
-            lost.setdefault(r, []).append((a, b))
-    return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": pa.array(np.diff(off), pa.int64()), "spans": pa.array([[{"start": a, "end": b} for a, b in lost.get(r, ())] for r in range(len(ids))], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(_kept(buf, off, lost), pa.binary())})
+
+    def run(key, docs, spans):
+        ids = docs.column("doc_id").to_numpy().astype(np.int64)
+        buf, off = tb.flat(docs.column("text"))
+        parts = [_unpack(p, np.int64, np.int32, np.int32) for p in spans.column("payload").to_pylist()]
+        lost: dict[int, list[tuple[int, int]]] = {}
+        if parts and len(ids):
+            doc, start, end = tb.merge_intervals(*(np.concatenate([p[c] for p in parts]).astype(np.int64) for c in range(3)))
+            index, row = _expand(*_rows_of(ids), doc)
+            for r, a, b in zip(row.tolist(), start[index].tolist(), end[index].tolist(), strict=True):
+                lost.setdefault(r, []).append((a, b))
+        kept = _kept(buf, off, lost)
+        out = {c: docs.column(c) for c in carried}
+        out["text"] = pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string())
+        out["n_bytes"] = pa.array(np.diff(off), pa.int64())
+        out["spans"] = pa.array([[{"start": a, "end": b} for a, b in lost.get(r, ())] for r in range(len(ids))], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        out["kept"] = pa.array(kept, pa.binary())
+        return pa.table(out)
+
+    return run
 
 
 def _kept(buf: np.ndarray, off: np.ndarray, lost: dict[int, list[tuple[int, int]]]) -> list[bytes]:
@@ -475,10 +485,20 @@ def _kept(buf: np.ndarray, off: np.ndarray, lost: dict[int, list[tuple[int, int]
     return out
 
 
-def suffix_dedup(docs: DataFrame, *, fold=None) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept) of each row of ``docs`` (doc_id, text): the byte runs that go and the bytes that stay."""
+def suffix_dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, more) with the text that is left (whole characters only), n_bytes, spans (the lost byte runs) and kept (the bytes that stay)."""
+    docs = docs.drop("part", "n_bytes", "spans", "kept")
+    plain = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+    done = _through(plain, _finish(plain.columns), f"{fields}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    text = F.coalesce("text", F.lit(""))
+    none = plain.where("doc_id is null").withColumns({"text": text, "n_bytes": F.octet_length(text).cast("long"), "spans": F.array().cast("array<struct<start:bigint,end:bigint>>"), "kept": text.cast("binary")})
+    return done.unionByName(none)
+
+
+def _through(docs: DataFrame, last, schema: str) -> DataFrame:
+    """All steps on the rows with an id; ``last`` gets each group's documents and lost runs."""
     groups, buckets = buckets_for(docs, GROUP_BYTES), buckets_for(docs, BUCKET_BYTES)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     placed = docs.where("doc_id is not null").withColumn("part", _group_column(groups))
     grouped = placed.groupBy("part")
     answers = grouped.applyInArrow(_announce(buckets), "bucket long, part long, payload binary").groupBy("bucket").applyInArrow(_answer, "part long, payload binary")
@@ -486,15 +506,7 @@ def suffix_dedup(docs: DataFrame, *, fold=None) -> DataFrame:
     folded = compared.groupBy("bucket").applyInArrow(_fold(groups), "part long, kind int, payload binary")
     cut = grouped.cogroup(folded.groupBy("part")).applyInArrow(_cut, _SCHEMA)
     spans = cut.groupBy("bucket").applyInArrow(_judge(groups), "part long, payload binary")
-    done = grouped.cogroup(spans.groupBy("part")).applyInArrow(fold or _finish, _DIGEST if fold else _RESULT)
-    none = docs.where("doc_id is null")
-    if fold:
-        return done.unionByName(none.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")))
-    return done.unionByName(none.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.coalesce("text", F.lit("")).cast("binary").alias("kept")))
-
-
-_RESULT = "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary"
-_DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return grouped.cogroup(spans.groupBy("part")).applyInArrow(last, schema)
 
 
 def _group_column(groups: int):
@@ -508,7 +520,7 @@ def _group_column(groups: int):
 
 
 def _digest_group(key, docs, spans):
-    t = _finish(key, docs, spans)
+    t = _finish(["doc_id"])(key, docs, spans)
     runs = t.column("spans").to_pylist()
     return pa.table({
         "doc_id": t.column("doc_id"),
@@ -521,7 +533,11 @@ def _digest_group(key, docs, spans):
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns: the last step hashes what is left instead of returning it."""
-    return suffix_dedup(docs, fold=_digest_group)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    done = _through(docs, _digest_group, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    text = F.coalesce("text", F.lit(""))
+    none = docs.where("doc_id is null").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
+    return done.unionByName(none)
 
 
 def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:

@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_perspectives": op2.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_chat_perspectives": op2.ORACLE, "op9_nearest_neighbours": op9.ORACLE}

@@ -143,7 +143,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, sli
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else items
         sets = spark.sparkContext.broadcast(WindowSet([(r.item_id, r.text) for r in own.collect()], n))
         schema = T.StructType([*docs.schema.fields, *[T.StructField(c, out.schema[c].dataType) for c in ("n_words", "n_hit", "hit_spans", "hit_items")]])
-        out = out.mapInArrow(_scan_batches(sets, carried), schema)
+        out = out.mapInArrow(tb.trimmed(_scan_batches(sets, carried)), schema)
     return out
 
 

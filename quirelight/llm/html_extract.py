@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import extend
+from . import textbytes as tb
 
 # Frequent function words of English, French, German, Spanish, Italian and Portuguese.
 STOP_WORDS = frozenset("""
@@ -203,10 +203,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [extract(page) for page in batch.column("html").to_pylist()]
-            yield extend(batch, carried, text=pa.array(texts, pa.string()), n_chars=pa.array([len(t) for t in texts], pa.int64()))
+            yield tb.extend(batch, carried, text=pa.array(texts, pa.string()), n_chars=pa.array([len(t) for t in texts], pa.int64()))
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.schema.fields if f.name != "html")
-    return pages.mapInArrow(run, f"{fields}text string, n_chars long")
+    return pages.mapInArrow(tb.trimmed(run), f"{fields}text string, n_chars long")
 
 
 def digest(pages: DataFrame) -> DataFrame:

@@ -185,7 +185,7 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
             yield tb.extend(batch, carried, lang_pred=pa.array(named, pa.string()), score=pa.array(np.concatenate(scores) if scores else [], pa.float64()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(tb.trimmed(run), f"{fields}, lang_pred string, score double")
 
 
 def digest(docs: DataFrame) -> DataFrame:

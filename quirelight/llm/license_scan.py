@@ -187,7 +187,7 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
                 total += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(vocabulary)), pa.int32()), pa.array(total, pa.int64())], names=["word", "df"])
 
-    counted = docs.select("text").mapInArrow(run, "word int, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    counted = docs.select("text").mapInArrow(tb.trimmed(run), "word int, df long").groupBy("word").agg(F.sum("df").alias("df"))
     return {vocabulary[r.word]: r.df for r in counted.collect()}, docs.count()
 
 
@@ -213,7 +213,7 @@ def scan_licenses(docs: DataFrame, *, frequencies: tuple[dict[str, int], int] |
                 hits += [sorted(own.get(d, []), key=lambda h: (h["word"], h["label"])) for d in range(j - i)]
             yield tb.extend(batch, carried, n_words=pa.array(np.concatenate(counts) if counts else [], pa.int64()), license_hits=pa.array(hits, _ARROW_HITS))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tb.trimmed(run), schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

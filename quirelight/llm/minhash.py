@@ -260,7 +260,7 @@ def _blocks(t):
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, codes binary"), "sketches")
+    sketches = written(docs.mapInArrow(tb.trimmed(_sketch), "doc_id long, n_shingles long, digest binary, codes binary"), "sketches")
     nodes = written(sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("codes").alias("codes")), "nodes")
 
     counted = _bands(nodes).groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def confirm(pairs: DataFrame) -> DataFrame:
         side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-        return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(PERCENT), "a long, b long")
+        return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(tb.trimmed(_confirmed(PERCENT)), "a long, b long")
 
     # every node that shares a band with another one may be asked for its text; the filter's size is fixed
     linked = written(_bands(nodes).join(counted.select("band"), "band", "left_semi").select("node").distinct(), "members")
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _with_codes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose estimate comes near the threshold."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("codes").alias(f"codes_{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "codes_a", "codes_b").mapInArrow(_estimated(PERCENT / 100 - MARGIN), "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "codes_a", "codes_b").mapInArrow(tb.trimmed(_estimated(PERCENT / 100 - MARGIN)), "a long, b long")
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:

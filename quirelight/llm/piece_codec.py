@@ -42,7 +42,7 @@ from .suffix_dedup import suffix_array
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-_LONG, _BATCH_BYTES, _KNOWN = 64, 4 << 20, 1_500_000
+_LONG, _BATCH_BYTES, _KNOWN = 64, 2 << 20, 400_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -375,7 +375,7 @@ def encode(docs: DataFrame, *, path: str = MODEL, fold: bool = False) -> DataFra
     docs = docs.drop("n_tokens", "ids", "ids_sha256", "round_trip")
     carried = [c for c in docs.columns if not (fold and c == "text")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in carried)
-    return docs.mapInArrow(_encoding(path, carried, fold), f"{fields}, n_tokens long, {'ids_sha256 string' if fold else 'ids array<int>'}, round_trip boolean")
+    return docs.mapInArrow(tb.trimmed(_encoding(path, carried, fold)), f"{fields}, n_tokens long, {'ids_sha256 string' if fold else 'ids array<int>'}, round_trip boolean")
 
 
 def decode(rows: DataFrame, *, path: str = MODEL) -> DataFrame:
@@ -396,7 +396,7 @@ def decode(rows: DataFrame, *, path: str = MODEL) -> DataFrame:
             yield tb.extend(batch, carried, text=pa.array(texts, pa.string()))
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}text string")
+    return rows.mapInArrow(tb.trimmed(run), f"{fields}text string")
 
 
 def digest(docs: DataFrame) -> DataFrame:

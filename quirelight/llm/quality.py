@@ -169,7 +169,7 @@ def _featured(docs: DataFrame) -> DataFrame:
             text, meta = _views(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in text], pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())], names=["doc_id", "text_view", "meta_view"])
 
-    return docs.mapInArrow(run, "doc_id long, text_view binary, meta_view binary")
+    return docs.mapInArrow(tb.trimmed(run), "doc_id long, text_view binary, meta_view binary")
 
 
 def score(docs: DataFrame, fitted) -> DataFrame:
@@ -190,7 +190,7 @@ def score(docs: DataFrame, fitted) -> DataFrame:
             yield tb.extend(batch, carried, **{c: pa.array(v, pa.float64()) for c, v in zip(("p_text", "p_meta", "score"), p, strict=True)})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, p_text double, p_meta double, score double")
+    return docs.mapInArrow(tb.trimmed(run), f"{fields}, p_text double, p_meta double, score double")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

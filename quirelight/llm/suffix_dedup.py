@@ -229,6 +229,7 @@ def _compare(buckets: int, groups: int):
                 for k, at in _split(bucket[sent], buckets):
                     at = sent[at]
                     rows.append((k, 0, _pack(content[at], doc[at], start[at].astype(np.int32), count[at].astype(np.uint8)) + _five(hashed[at])))
+        tb.release()
         return pa.Table.from_batches([_batch(rows)])
 
     return run
@@ -445,6 +446,7 @@ def _judge(groups: int):
         lost = claim[at] < doc[who]
         who, place = who[lost], (at - edge[content[who]])[lost]
         out = _spans(doc[who], start[who] + place, start[who] + place + LENGTH, groups) if len(who) else []
+        tb.release()
         return pa.table({"part": pa.array([-1 - k for k, _, _ in out], pa.int64()), "payload": pa.array([p for _, _, p in out], pa.binary())})
 
     return run

@@ -7,6 +7,9 @@ is a handful of numpy passes and no Python loop touches single words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +19,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at once by one Python worker (a longer document is handled alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -193,3 +196,23 @@ def extend(batch: pa.RecordBatch, carried: list[str], **new: pa.Array) -> pa.Rec
     """The carried columns of ``batch`` with new ones after them."""
     kept = [batch.column(c) for c in carried]
     return pa.RecordBatch.from_arrays([*kept, *new.values()], names=[*carried, *new])
+
+
+def release() -> None:
+    """Give freed memory back, so that idle Python workers stay small beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run):
+    """A batch iterator function that releases memory when it is done."""
+
+    @functools.wraps(run)
+    def batches(given):
+        try:
+            yield from run(given)
+        finally:
+            release()
+
+    return batches

@@ -1,6 +1,425 @@
-"""Registered queries of the document engine and their SQL oracles."""
+"""Registered queries of the document engine and their SQL oracles.
+
+Every query reads whole tables.  ``SHARED`` holds queries whose text is the same
+in Spark and in the oracle; the others are built from the package's operators
+and have an oracle of their own.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirelight.functions import markup
+from quirelight.functions import text as X
+from quirelight.operators import segments as G
+from quirelight.operators import verdicts as V
+
+Query = Callable[[SparkSession, str], DataFrame]
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, *tables: str, oracle: str | None = None):
+    """Register ``fn(*tables)`` as a query."""
+
+    def register(fn):
+        QUERIES[name] = lambda spark, sf_dir: fn(*[table(spark, sf_dir, t) for t in tables])
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return fn
+
+    return register
+
+
+# --- oracle fragments -------------------------------------------------------
+
+_WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _collapse(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_WS}', ' ', 'g'))"
+
+
+def _letters(x: str) -> str:
+    return rf"regexp_matches(regexp_replace(regexp_replace({x}, '<[^>]*>?', '', 'g'), '&[^;]*;?', '', 'g'), '\p{{L}}')"
+
+
+_LINES = f"SELECT doc_id, source AS src, list_filter(string_split(text, chr(10)), lambda l: {_letters('l')}) AS ls FROM documents"
+_SEG = f"SELECT doc_id, i AS seg, ls[i + 1] AS source FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM ({_LINES}))"
+_REF = "regexp_replace({x}, '&([A-Za-z0-9]+|#[0-9]+|#[xX][0-9A-Fa-f]+);', chr(1) || '\\1;', 'g')"
+
+
+def _repair(x: str) -> str:
+    return f"replace(replace({_REF.format(x=x)}, '&', '&amp;'), chr(1), '&')"
+
+
+def _tags(x: str) -> str:
+    return f"list_transform(regexp_extract_all({x}, '<([A-Za-z][A-Za-z0-9:-]*)', 1), lambda t: lower(t))"
+
+
+# --- scalar functions and predicates ----------------------------------------
+
+
+@query("collapse_ws", "documents", oracle=f"SELECT doc_id, sha256({_collapse('text')}) AS digest FROM documents")
+def _(docs):
+    return docs.select("doc_id", F.sha2(X.collapse(F.col("text")), 256).alias("digest"))
+
+
+@query("has_letter_filter", "documents", oracle=f"SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(len(ls) AS BIGINT) AS n_kept FROM ({_LINES.replace('source AS src', 'text')})")
+def _(docs):
+    lines = F.split("text", "\n")
+    return docs.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, X.has_letter)).cast("long").alias("n_kept"))
+
+
+_STRIP = "html"
+for _k in range(3):
+    _STRIP = f"regexp_replace({_STRIP}, '<[^<>]*>', '', 'g')"
+
+
+@query("strip_tags", "pages", oracle=f"SELECT page_id, sha256({_collapse(f'replace(regexp_replace({_STRIP}, {chr(39)}(?s)<.*${chr(39)}, {chr(39)}{chr(39)}), {chr(39)}>{chr(39)}, {chr(39)}{chr(39)})')}) AS digest FROM pages")
+def _(pages):
+    return pages.select("page_id", F.sha2(X.strip_tags(F.col("html")), 256).alias("digest"))
+
+
+@query("rune_cuts", "documents", oracle="SELECT doc_id, CASE WHEN length(text) > 40 THEN trim(substring(text, 1, 40)) || '…' ELSE text END AS head, CASE WHEN length(text) > 400 THEN '…' || right(text, 400) ELSE text END AS tail FROM documents")
+def _(docs):
+    return docs.select("doc_id", X.first_runes(F.col("text"), 40).alias("head"), X.last_runes(F.col("text"), 400).alias("tail"))
+
+
+_SLUG = "lower(substring(text, 1, 60))"
+for _a, _b in X.FOLD_MANY.items():
+    _SLUG = f"replace({_SLUG}, '{_a}', '{_b}')"
+_SLUG = f"regexp_replace(regexp_replace(translate({_SLUG}, '{X.FOLD_FROM}', '{X.FOLD_TO}'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query("slug", "documents", oracle=f"SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT doc_id, {_SLUG} AS s FROM documents)")
+def _(docs):
+    return docs.select("doc_id", X.slug(F.substring("text", 1, 60)).alias("slug"))
+
+
+@query("thousands_fmt", "customer", oracle="SELECT c_custkey, replace(format('{:,}', CAST(round(abs(c_acctbal) * 1000) AS BIGINT)), ',', ' ') AS grouped FROM customer")
+def _(customer):
+    return customer.select("c_custkey", X.thousands(F.round(F.abs("c_acctbal") * 1000).cast("long")).alias("grouped"))
+
+
+_CODES = ["en", "en-gb", "en_US", "pt-br", "pt-PT", "zh-hans", "zh-Hant", "de-AT", "fr", "e", "en--gb", "nb-NO", "toolonglanguage", "es-419", "12"]
+_CODE_ROWS = "(VALUES " + ", ".join(f"('{c}')" for c in _CODES) + ") AS t(code)"
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(c,) for c in _CODES], "code string")
+    return rows.select("code", X.direct_language(F.col("code")).alias("mapped"), F.col("code").rlike(X.LANGUAGE_TAG).alias("valid"))
+
+
+QUERIES["lang_map"] = _codes
+ORACLE_SQL["lang_map"] = f"""
+SELECT code, CASE WHEN u IN ('EN-GB', 'EN-US', 'PT-BR', 'PT-PT', 'ZH-HANT') THEN u WHEN u = 'ZH-HANS' THEN 'ZH' ELSE split_part(u, '-', 1) END AS mapped,
+       regexp_matches(code, '{X.LANGUAGE_TAG}') AS valid
+FROM (SELECT code, replace(upper(code), '_', '-') AS u FROM {_CODE_ROWS})"""
+
+
+@query("lang_tag_valid", "documents", oracle=f"SELECT doc_id, regexp_matches(lang || '-' || source, '{X.LANGUAGE_TAG}') AS tagged, regexp_matches(lang, '{X.LANGUAGE_TAG}') AS plain FROM documents")
+def _(docs):
+    return docs.select("doc_id", F.concat_ws("-", "lang", "source").rlike(X.LANGUAGE_TAG).alias("tagged"), F.col("lang").rlike(X.LANGUAGE_TAG).alias("plain"))
+
+
+@query("xml_safe", "documents", oracle=r"SELECT doc_id, NOT regexp_matches(CASE WHEN doc_id % 3 = 0 THEN text || chr(CAST(doc_id % 32 AS INTEGER) + 1) ELSE text END, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]') AS safe FROM documents")
+def _(docs):
+    spoilt = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.char(F.col("doc_id") % 32 + 1))).otherwise(F.col("text"))
+    return docs.select("doc_id", X.xml_safe(spoilt).alias("safe"))
+
+
+@query("repair_amp", "pages", oracle=f"SELECT page_id, sha256({_repair('html')}) AS digest FROM pages")
+def _(pages):
+    return pages.select("page_id", F.sha2(X.repair_ampersands(F.col("html")), 256).alias("digest"))
+
+
+@query("normalise_text", "pages", oracle=f"SELECT page_id, sha256(replace(replace({_repair('html')}, '<', '&lt;'), '>', '&gt;')) AS digest FROM pages")
+def _(pages):
+    return pages.select("page_id", F.sha2(X.normalise(F.col("html")), 256).alias("digest"))
+
+
+_DECLS = ["", '<?xml version="1.0" encoding="UTF-8"?>', '<?xml version="1.0" encoding="ISO-8859-1"?>', '<?xml version="1.0" encoding="us-ascii"?>']
+
+
+@query("encoding_gate", "pages", oracle="SELECT page_id, e AS declared, e IN ('', 'utf-8', 'utf8', 'us-ascii', 'ascii') AS readable FROM (SELECT page_id, lower(regexp_extract(substring(CASE page_id % 4 " + " ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(_DECLS)) + r""" END || html, 1, 256), '^\s*<\?xml[^>]*encoding=["'']([^"'']*)["'']', 1)) AS e FROM pages)""")
+def _(pages):
+    decl = F.element_at(F.array(*[F.lit(d) for d in _DECLS]), (F.col("page_id") % 4 + 1).cast("int"))
+    name = F.lower(F.regexp_extract(F.substring(F.concat(decl, F.col("html")), 1, 256), r"""^\s*<\?xml[^>]*encoding=["']([^"']*)["']""", 1))
+    return pages.select("page_id", name.alias("declared"), name.isin("", "utf-8", "utf8", "us-ascii", "ascii").alias("readable"))
+
+
+@query("tag_multiset", "pages", oracle=f"SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest({_tags('html')}) AS tag FROM pages) GROUP BY ALL")
+def _(pages):
+    return pages.select("page_id", F.explode(X.tags(F.col("html"))).alias("tag")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+_TITLE = "nullif(" + _collapse("regexp_replace(regexp_extract(html, '(?s)<{t}[^>]*>(.*?)</{t}>', 1), '<[^>]*>', '', 'g')") + ", '')"
+
+
+@query("page_titles", "pages", oracle=f"SELECT page_id, coalesce({_TITLE.replace('{t}', 'h1')}, {_TITLE.replace('{t}', 'h2')}, {_TITLE.replace('{t}', 'title')}, 'Section ' || page_id) AS title FROM pages")
+def _(pages):
+    found = [F.nullif(X.collapse(F.regexp_replace(F.regexp_extract("html", f"(?s)<{t}[^>]*>(.*?)</{t}>", 1), "<[^>]*>", "")), F.lit("")) for t in ("h1", "h2", "title")]
+    return pages.select("page_id", F.coalesce(*found, F.concat(F.lit("Section "), F.col("page_id").cast("string"))).alias("title"))
+
+
+_HREF = """'(?s)<a href="([^"#?]*)[^"]*"[^>]*>(.*?)</a>'"""
+
+
+@query("page_links", "pages", oracle=f"""
+SELECT page_id, href, arg_min(label, i) AS label, CAST(min(i) AS BIGINT) AS first_at FROM (
+  SELECT page_id, i, hs[i + 1] AS href, {_collapse("regexp_replace(ls[i + 1], '<[^>]*>', '', 'g')")} AS label
+  FROM (SELECT page_id, hs, ls, unnest(range(len(hs))) AS i FROM (SELECT page_id, regexp_extract_all(html, {_HREF}, 1) AS hs, regexp_extract_all(html, {_HREF}, 2) AS ls FROM pages)))
+WHERE label <> '' GROUP BY page_id, href""")
+def _(pages):
+    both = F.arrays_zip(*[F.regexp_extract_all("html", F.lit(_HREF[1:-1]), F.lit(k)).alias(n) for k, n in ((1, "href"), (2, "label"))])
+    rows = pages.select("page_id", F.posexplode(both).alias("i", "l")).select("page_id", "i", "l.href", X.collapse(F.regexp_replace("l.label", "<[^>]*>", "")).alias("label"))
+    return rows.where("label <> ''").groupBy("page_id", "href").agg(F.min_by("label", "i").alias("label"), F.min("i").cast("long").alias("first_at"))
+
+
+@query("set_doc_lang", "pages", oracle="SELECT page_id, regexp_extract(d, '<html[^>]*>') AS root, sha256(d) AS digest FROM (SELECT page_id, regexp_replace(html, '(<html[^>]*?\\slang=\")[^\"]*(\")', '\\1nl\\2') AS d FROM pages)")
+def _(pages):
+    done = pages.withColumn("d", F.expr("""regexp_replace(html, '(<html[^>]*?\\\\slang=")[^"]*(")', '$1nl$2', 1)"""))
+    return done.select("page_id", F.regexp_extract("d", "<html[^>]*>", 0).alias("root"), F.sha2("d", 256).alias("digest"))
+
+
+# --- segments, batches, answers ----------------------------------------------
+
+
+@query("corpus_stats", "documents", oracle=f"SELECT src AS source, count(*) AS n_docs, CAST(sum(len(ls)) AS BIGINT) AS n_segments, CAST(sum(list_sum(list_transform(ls, lambda l: strlen(l)))) AS BIGINT) AS n_bytes FROM ({_LINES}) GROUP BY src")
+def _(docs):
+    lines = F.filter(F.split("text", "\n"), X.has_letter)
+    size = F.aggregate(F.transform(lines, lambda s: F.octet_length(s).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+    return docs.select("source", F.size(lines).alias("n"), size.alias("b")).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_segments"), F.sum("b").alias("n_bytes"))
+
+
+def _chunk_sql(budget: int, most: int) -> str:
+    return f"""
+WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, list_transform(ls, lambda s: strlen(s)) AS ns FROM ({_LINES})),
+ w AS (SELECT doc_id, 0 AS i, 0 AS lo, CAST(0 AS BIGINT) AS b, false AS cut, 0 AS prev_lo, CAST(0 AS BIGINT) AS prev_b FROM l WHERE len(ns) > 0
+       UNION ALL
+       SELECT w.doc_id, w.i + 1, CASE WHEN c.cut THEN w.i ELSE w.lo END, CASE WHEN c.cut THEN l.ns[w.i + 1] ELSE w.b + l.ns[w.i + 1] END, c.cut, w.lo, w.b
+       FROM w JOIN l USING (doc_id), LATERAL (SELECT w.i > w.lo AND (w.b + l.ns[w.i + 1] > {budget} OR w.i - w.lo >= {most}) AS cut) c
+       WHERE w.i < len(l.ns)),
+ done AS (SELECT doc_id, prev_lo AS lo, i - 1 AS hi, prev_b AS n_bytes FROM w WHERE cut
+          UNION ALL SELECT w.doc_id, w.lo, w.i, w.b FROM w JOIN l USING (doc_id) WHERE w.i = len(l.ns))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY lo) - 1 AS INTEGER) AS chunk, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS n_chunks,
+       CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, n_bytes FROM done"""
+
+
+@query("chunk_plan", "documents", oracle=_chunk_sql(400, 4))
+def _(docs):
+    return G.chunk_plan(docs, budget=400, most=4)
+
+
+@query("bisect_plan", "documents", oracle=f"""
+WITH RECURSIVE c AS ({_chunk_sql(1000, 8).replace('WITH RECURSIVE', '', 1) if False else 'SELECT doc_id, CAST(k AS INTEGER) AS chunk, CAST(k * 8 AS INTEGER) AS lo, CAST(least(len(ls), k * 8 + 8) AS INTEGER) AS hi FROM (SELECT doc_id, ls, unnest(range((len(ls) + 7) // 8)) AS k FROM (' + _LINES + '))'}),
+ b AS (SELECT doc_id, chunk, 0 AS depth, lo, hi FROM c
+       UNION ALL
+       SELECT b.doc_id, b.chunk, b.depth + 1, CASE WHEN h = 0 THEN b.lo ELSE b.lo + (b.hi - b.lo) // 2 END, CASE WHEN h = 0 THEN b.lo + (b.hi - b.lo) // 2 ELSE b.hi END
+       FROM b, (VALUES (0), (1)) AS v(h) WHERE b.hi - b.lo > 1 AND (b.hi + 3) // 7 > (b.lo + 3) // 7)
+SELECT doc_id, chunk, depth, lo, hi, NOT ((hi + 3) // 7 > (lo + 3) // 7) AS ok FROM b""")
+def _(docs):
+    n = F.size(F.filter(F.split("text", "\n"), X.has_letter))
+    whole = docs.select("doc_id", n.alias("n")).where("n > 0").select("doc_id", "n", F.posexplode(F.expr("sequence(0, int((n - 1) / 8))")).alias("chunk", "_c"))
+    chunks = whole.selectExpr("doc_id", "chunk", "chunk * 8 as lo", "least(n, chunk * 8 + 8) as hi")
+    return G.bisect_plan(chunks, F.expr("int((r.hi + 3) / 7) > int((r.lo + 3) / 7)"), rounds=4)
+
+
+def _answers(seg: DataFrame) -> DataFrame:
+    """Seeded answers: capitals, and every kind of spoilt answer."""
+    up = F.translate("source", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    key = F.col("doc_id") * 31 + F.col("seg")
+    return seg.withColumn("answer", F.when(key % 11 == 0, "").when(key % 11 == 1, F.concat(up, F.lit("\x02"))).when(key % 11 == 2, F.concat(F.lit("<b>"), up, F.lit("</b>"))).when(key % 11 == 3, F.repeat(up, 9)).otherwise(up))
+
+
+_UP = "translate(source, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+_ANS = f"SELECT doc_id, seg, source, CASE (doc_id * 31 + seg) % 11 WHEN 0 THEN '' WHEN 1 THEN {_UP} || chr(2) WHEN 2 THEN '<b>' || {_UP} || '</b>' WHEN 3 THEN repeat({_UP}, 9) ELSE {_UP} END AS answer FROM ({_SEG})"
+_VERDICT = f"""SELECT doc_id, seg, source, answer, CASE WHEN {_collapse('answer')} = '' THEN 'blank'
+  WHEN regexp_matches(f, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{FFFE}}\\x{{FFFF}}]') THEN 'unsafe'
+  WHEN NOT block AND NOT regexp_matches(source, '[<>]') AND regexp_matches(answer, '[<>]') THEN 'markup'
+  WHEN strlen(f) > 6 * strlen(source) + 200 THEN 'long'
+  WHEN list_sort({_tags('source')}) <> list_sort({_tags('f')}) THEN 'tags' ELSE 'ok' END AS verdict
+  FROM (SELECT *, CASE WHEN block THEN {_repair('answer')} ELSE answer END AS f FROM (SELECT *, seg % 2 = 0 AS block FROM ({_ANS})))"""
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    return _answers(G.line_segments(docs)).withColumn("verdict", V.verdict(F.col("source"), F.col("answer"), F.col("seg") % 2 == 0))
+
+
+@query("accept_verdict", "documents", oracle=f"SELECT doc_id, CAST(seg AS INTEGER) AS seg, verdict FROM ({_VERDICT})")
+def _(docs):
+    return _judged(docs).select("doc_id", "seg", "verdict")
+
+
+@query("splice_docs", "documents", oracle=f"""
+SELECT doc_id, sha256(string_agg(CASE WHEN verdict IN ('ok', 'tags') THEN answer ELSE source END, chr(10) ORDER BY seg)) AS digest, CAST(count(*) FILTER (verdict IN ('ok', 'tags')) AS BIGINT) AS n_done
+FROM ({_VERDICT}) GROUP BY doc_id""")
+def _(docs):
+    judged = _judged(docs)
+    parts = F.array_sort(F.collect_list(F.struct("seg", F.when(V.accepted(F.col("verdict")), F.col("answer")).otherwise(F.col("source")).alias("text"))))
+    return judged.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(parts, lambda p: p["text"]), "\n"), 256).alias("digest"), F.count_if(V.accepted(F.col("verdict"))).alias("n_done"))
+
+
+@query("pending_select", "documents", oracle=f"SELECT doc_id, CAST(min(place) AS INTEGER) AS place, CAST(seg AS INTEGER) AS seg, any_value(source) AS source FROM (SELECT doc_id, p AS place, [1, 0, 1, 999999, doc_id % 7][p + 1] AS seg FROM (SELECT doc_id, unnest(range(5)) AS p FROM documents)) JOIN ({_SEG}) USING (doc_id, seg) GROUP BY doc_id, seg")
+def _(docs):
+    pending = docs.select("doc_id", F.expr("array(1, 0, 1, 999999, int(doc_id % 7))").alias("pending"))
+    return V.pending_select(G.line_segments(docs), pending)
+
+
+@query("retry_pending", "documents", oracle=f"SELECT doc_id, sha256(string_agg(CASE WHEN seg % 3 = 1 AND verdict IN ('ok', 'tags') THEN answer ELSE source END, chr(10) ORDER BY seg)) AS digest, CAST(count(*) FILTER (seg % 3 = 1 AND verdict NOT IN ('ok', 'tags')) AS BIGINT) AS still_pending FROM ({_VERDICT}) GROUP BY doc_id")
+def _(docs):
+    judged = _judged(docs)
+    again = F.col("seg") % 3 == 1
+    new = judged.where(again & V.accepted(F.col("verdict"))).select("doc_id", "seg", "answer")
+    done = V.splice(judged.select("doc_id", "seg", "source"), new)
+    left = judged.groupBy("doc_id").agg(F.count_if(again & ~V.accepted(F.col("verdict"))).alias("still_pending"))
+    return done.join(left, "doc_id").select("doc_id", F.sha2("text", 256).alias("digest"), "still_pending")
+
+
+@query("structure_drift", "documents", oracle=f"SELECT doc_id, CAST(len(ls) AS BIGINT) AS before, CAST(len(ls) - (doc_id % 5 = 0)::INT AS BIGINT) AS after, doc_id % 5 = 0 AS drifted FROM ({_LINES}) WHERE len(ls) > 0")
+def _(docs):
+    seg = G.line_segments(docs)
+    old = seg.groupBy("doc_id").agg(F.count("*").alias("before"))
+    new = seg.where("not (doc_id % 5 = 0 and seg = 0)").groupBy("doc_id").agg(F.count("*").alias("after"))
+    return old.join(new, "doc_id", "left").select("doc_id", "before", F.coalesce("after", F.lit(0)).alias("after")).withColumn("drifted", F.expr("before <> after"))
+
+
+@query("titles_filter", "documents", oracle=f"SELECT doc_id, CAST(seg AS INTEGER) AS seg FROM ({_SEG}) JOIN (SELECT doc_id, doc_id % 10 = 0 AS nav FROM documents) USING (doc_id) WHERE NOT (length(source) < 20 OR nav)")
+def _(docs):
+    seg = G.line_segments(docs).withColumn("is_title", F.length("source") < 20).withColumn("navigation", F.col("doc_id") % 10 == 0)
+    return seg.where("not (is_title or navigation)").select("doc_id", "seg")
+
+
+@query("resume_route", "documents", "labels", oracle="SELECT doc_id, CASE WHEN l.id IS NULL THEN 'fresh' WHEN toxic = 1 THEN 'retry' ELSE 'cached' END AS route FROM documents LEFT JOIN (SELECT doc_id AS id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON doc_id = id")
+def _(docs, labels):
+    cache = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select("doc_id", F.when(F.col("toxic") == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("pending"))
+    return V.resume_route(docs.select("doc_id"), cache).select("doc_id", "route")
+
+
+@query("recipe_key", "documents", oracle="SELECT doc_id, substring(sha256(concat_ws(chr(0), CAST(doc_id AS VARCHAR), coalesce(lang, ''), coalesce(source, ''), CAST(n_chars AS VARCHAR), '')), 1, 16) AS recipe FROM documents")
+def _(docs):
+    return docs.select("doc_id", X.recipe_key(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("n_chars"), F.lit(None)).alias("recipe"))
+
+
+@query("encode_payload", "documents", oracle=f"""SELECT doc_id, sha256('[' || string_agg('"' || replace(replace(source, '\\', '\\\\'), '"', '\\"') || '"', ',' ORDER BY seg) || ']') AS digest FROM ({_SEG}) GROUP BY doc_id""")
+def _(docs):
+    lines = F.filter(F.split("text", "\n"), X.has_letter)
+    return docs.select("doc_id", lines.alias("l")).where("size(l) > 0").select("doc_id", F.sha2(F.to_json("l"), 256).alias("digest"))
+
+
+@query("book_plaintext", "documents", oracle=f"SELECT source, count(*) AS chapters, sha256(string_agg('Section ' || doc_id || chr(10) || repeat('-', length('Section ' || doc_id)) || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM (SELECT doc_id, source, {_collapse('text')} AS body FROM documents) WHERE body <> '' GROUP BY source")
+def _(docs):
+    title = F.concat(F.lit("Section "), F.col("doc_id").cast("string"))
+    whole = docs.select("doc_id", "source", X.collapse(F.col("text")).alias("body")).where("body <> ''")
+    chapter = F.concat(title, F.lit("\n"), F.repeat(F.lit("-"), F.length(title)), F.lit("\n\n"), F.col("body"))
+    parts = F.array_sort(F.collect_list(F.struct("doc_id", chapter.alias("t"))))
+    return whole.groupBy("source").agg(F.count("*").alias("chapters"), F.sha2(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n"), 256).alias("digest"))
+
+
+# --- calls, limits, failures --------------------------------------------------
+
+
+@query("limiter_slots", "events", oracle="""
+WITH c AS (SELECT user_id, event_id, epoch_us(ts) AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)
+SELECT user_id, event_id, CAST(i * 600000000 + max(now - i * 600000000) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) - now AS BIGINT) AS wait_us FROM c""")
+def _(events):
+    calls = events.select("user_id", F.col("event_id").alias("order"), F.unix_micros(F.col("ts").cast("timestamp")).alias("now"))
+    return V.limiter_slots(calls, 600_000_000, "user_id").select("user_id", F.col("order").alias("event_id"), (F.col("at") - F.col("now")).alias("wait_us"))
+
+
+@query("backoff_bounds", "events", oracle="SELECT event_id, CAST(2000 * pow(2, event_id % 4) AS BIGINT) AS low_ms, CAST(3000 * pow(2, event_id % 4) AS BIGINT) AS high_ms FROM events")
+def _(events):
+    wait = 2000 * F.pow(F.lit(2.0), F.col("event_id") % 4)
+    return events.select("event_id", wait.cast("long").alias("low_ms"), (wait * 1.5).cast("long").alias("high_ms"))
+
+
+@query("failure_guard", "events", oracle="""
+WITH e AS (SELECT user_id, event_id, ts, event_type = 'error' AS failed FROM events),
+ i AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM e)
+SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS streak FROM i WHERE failed) WHERE streak = 3""")
+def _(events):
+    calls = events.select("user_id", "event_id", F.struct("ts", "event_id").alias("order"), (F.col("event_type") == "error").alias("failed"))
+    return V.failure_runs(calls, 3, "user_id").select("user_id", "event_id")
+
+
+_STATUS = "[200, 401, 403, 404, 408, 409, 429, 400, 422, 500, 503]"
+
+
+@query("error_class", "events", oracle=f"SELECT event_id, s AS status, CASE WHEN s IN (401, 403, 404) THEN 'fatal' WHEN s IN (408, 409, 429) OR s >= 500 THEN 'retryable' WHEN s >= 400 THEN 'rejected' ELSE 'ok' END AS class FROM (SELECT event_id, {_STATUS}[event_id % 11 + 1] AS s FROM events)")
+def _(events):
+    status = F.expr(f"element_at(array({_STATUS[1:-1]}), int(event_id % 11) + 1)")
+    return events.select("event_id", status.alias("status")).withColumn("class", V.error_class(F.col("status")))
+
+
+@query("remark_cap", "conversations", oracle=f"""
+WITH n AS (SELECT conv_id AS doc, turn // 3 AS answer, turn AS place, CASE WHEN length({_collapse('text')}) > 200 THEN trim(substring({_collapse('text')}, 1, 200)) || '…' ELSE {_collapse('text')} END AS message FROM conversations),
+ e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, answer ORDER BY place) AS k FROM n WHERE message <> '') WHERE k <= 3),
+ f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, message ORDER BY answer, place) AS k2 FROM e) WHERE k2 = 1)
+SELECT doc, CAST(r AS INTEGER) AS rank, message FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY answer, place) AS r FROM f) WHERE r <= 6""")
+def _(turns):
+    return V.remarks(turns.select(F.col("conv_id").alias("doc"), F.expr("turn div 3").alias("answer"), F.col("turn").alias("place"), F.col("text").alias("message")))
+
+
+# --- queries with one text for both engines -----------------------------------
+
+SHARED: dict[str, tuple[str, ...]] = {
+    "attempt_rollup": ("SELECT event_type, count(*) AS attempted, count(CASE WHEN event_id % 11 = 0 THEN 1 END) AS usable FROM {events} GROUP BY event_type", "events"),
+    "usage_sum": ("SELECT conv_id, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) END) AS BIGINT) AS output_units, max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) = 1 AS reported FROM {conversations} GROUP BY conv_id", "conversations"),
+    "list_runs": ("SELECT c_custkey AS run, count(*) AS documents, max(o_orderdate) AS updated_at FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey GROUP BY c_custkey", "orders", "customer"),
+    "run_rollup": ("SELECT source, count(*) AS docs, CAST(sum(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS cached, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS pending, coalesce(max(toxic), 0) > 0 AS retryable FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source", "documents", "labels"),
+    "status_pivot": ("SELECT lang, count(CASE WHEN quality = 1 THEN 1 END) AS done, count(CASE WHEN quality = 0 THEN 1 END) AS failed, count(CASE WHEN quality IS NULL THEN 1 END) AS pending FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY lang", "documents", "labels"),
+    "note_counts": ("SELECT conv_id, count(CASE WHEN role <> 'system' THEN 1 END) AS problems, count(CASE WHEN role = 'system' THEN 1 END) AS remarks FROM {conversations} GROUP BY conv_id", "conversations"),
+    "report_topn": ("SELECT conv_id, turn, CAST(n - r AS BIGINT) AS more FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM {conversations}) x WHERE r <= 5", "conversations"),
+    "log_squash": ("SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events}) x WHERE before IS NULL OR before <> event_type", "events"),
+    "continuity_tail": ("SELECT conv_id, turn, max(mark) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tail_turn FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN turn END AS mark FROM {conversations}) x", "conversations"),
+    "worklist": ("SELECT path, row_number() OVER (ORDER BY ord) AS k FROM (SELECT path, min(ord) AS ord FROM (SELECT n_name AS path, n_nationkey AS ord FROM {nation} UNION ALL SELECT r_name, 100 + r_regionkey FROM {region} UNION ALL SELECT n_name, 200 + n_nationkey FROM {nation}) u GROUP BY path) x", "nation", "region"),
+    "toc_labels": ("SELECT path, label FROM (SELECT path, label, row_number() OVER (PARTITION BY path ORDER BY ord) AS rn FROM (SELECT source AS path, lang AS label, doc_id AS ord FROM {documents} WHERE doc_id % 3 = 0 UNION ALL SELECT source, concat('nav-', lang), 1000000000 + doc_id FROM {documents}) u) x WHERE rn = 1", "documents"),
+    "title_coalesce": ("SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN concat('Label ', l.doc_id) END, CASE WHEN d.n_chars > 2000 THEN d.source END, concat('Section ', d.doc_id)) AS title FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id", "documents", "labels"),
+    "range_select": ("SELECT n_nationkey, n_name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS k FROM {nation}) x WHERE k BETWEEN 1 AND 3 OR k = 7 OR k >= 20", "nation"),
+    "spine_join": ("SELECT n.n_nationkey AS spine, r.r_name AS item, row_number() OVER (ORDER BY n.n_nationkey) - 1 AS k FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey WHERE r.r_name <> 'ASIA'", "nation", "region"),
+    "model_list": ("SELECT DISTINCT model FROM (SELECT p_brand AS model FROM {part} UNION ALL SELECT p_type FROM {part}) u WHERE model <> ''", "part"),
+    "preset_rank": ("SELECT s_suppkey, CASE WHEN s_suppkey = 1 THEN 0 WHEN s_acctbal > 5000 THEN 1 WHEN s_acctbal < 0 THEN 2 ELSE 3 END AS tier, row_number() OVER (ORDER BY CASE WHEN s_suppkey = 1 THEN 0 WHEN s_acctbal > 5000 THEN 1 WHEN s_acctbal < 0 THEN 2 ELSE 3 END, s_suppkey) AS place FROM {supplier}", "supplier"),
+    "validate_cascade": ("SELECT s_suppkey, CASE WHEN s_name = '' THEN 'name' WHEN s_acctbal < 0 THEN 'balance' WHEN s_nationkey > 20 THEN 'nation' ELSE 'ok' END AS first_failure FROM {supplier}", "supplier"),
+    "locale_parity": ("SELECT a.n_name AS key FROM {nation} a LEFT JOIN (SELECT n_name FROM {nation} WHERE n_nationkey % 4 <> 0) b ON a.n_name = b.n_name WHERE b.n_name IS NULL", "nation"),
+    "only_documents": ("SELECT doc_id FROM {documents} WHERE doc_id IN (SELECT doc_id FROM {labels} WHERE quality = 1)", "documents", "labels"),
+}
+
+
+def _shared(text: str, tables: tuple[str, ...], spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in tables})
+
+
+for _name, (_text, *_tables) in SHARED.items():
+    QUERIES[_name] = partial(_shared, _text, tuple(_tables))
+    ORACLE_SQL[_name] = _text.format(**{t: t for t in TABLES})
+
+
+# --- markup: byte-exact work in Arrow batches; tests hold the answers -----------
+
+
+@query("page_segments", "pages")
+def _(pages):
+    return markup.page_segments(pages)
+
+
+@query("page_plaintext", "pages")
+def _(pages):
+    return pages.select("page_id", markup.plain_text_udf()("html").alias("text"))
+
+
+@query("answer_parse", "conversations")
+def _(turns):
+    wrapped = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array("text").alias("translations"))), F.lit("\n```"))
+    return turns.select("conv_id", "turn", markup.answers_udf()(wrapped).alias("answers"))

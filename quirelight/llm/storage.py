@@ -31,9 +31,15 @@ def size_in_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def buckets_for(df: DataFrame, each: int, least: int = 16, most: int = 1 << 20) -> int:
-    """Number of groups of about ``each`` bytes of input; it grows with the input."""
-    return max(least, min(most, -(-size_in_bytes(df) // each)))
+def buckets_for(df: DataFrame, each: int, least: int = 16) -> int:
+    """Number of groups of about ``each`` bytes of input; it grows with the input.
+
+    Plans without statistics (local rows, results of Python stages) are measured by their texts.
+    """
+    size = size_in_bytes(df)
+    if size > 1 << 55:
+        size = df.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(least, -(-size // each))
 
 
 def may_contain(ids: DataFrame, column: str, *, bits: int = 1 << 26) -> Column:

@@ -16,7 +16,7 @@ def verdict(source: Column, answer: Column, block: Column) -> Column:
         .when(~X.xml_safe(fixed), "unsafe")
         .when(~block & ~source.rlike("[<>]") & answer.rlike("[<>]"), "markup")
         .when(F.octet_length(fixed) > 6 * F.octet_length(source) + 200, "long")
-        .when(X.tag_counts(source) != X.tag_counts(fixed), "tags")
+        .when((F.contains(source, F.lit("<")) | F.contains(fixed, F.lit("<"))) & (X.tag_counts(source) != X.tag_counts(fixed)), "tags")
         .otherwise("ok")
     )
 

@@ -13,6 +13,7 @@ from . import html_extract as op10
 from . import language_id as op8
 from . import license_scan as op1
 from . import minhash as op4
+from . import oracles
 from . import piece_codec as op6
 from . import quality as op3
 from . import suffix_dedup as op7
@@ -75,4 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_perspectives": op2.ORACLE, "op9_nearest_neighbours": op9.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_perspectives": op2.ORACLE,
+    "op4_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op5_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op7_suffix_array_dedup": oracles.REPEATED_BYTES,
+    "op9_nearest_neighbours": op9.ORACLE,
+}

@@ -19,7 +19,7 @@ REFERENCE = r"&(?![A-Za-z0-9]+;|#[0-9]+;|#[xX][0-9A-Fa-f]+;)"
 #: Characters XML forbids.
 FORBIDDEN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
 #: Language tags: a primary subtag and further ones.
-LANGUAGE_TAG = "^[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*$"
+LANGUAGE_TAG = "^[A-Za-z0-9]{1,8}(-[A-Za-z0-9]{1,8})*$"
 
 
 def collapse(text: Column) -> Column:

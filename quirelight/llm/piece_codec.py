@@ -21,7 +21,7 @@ row is decoded again and compared with its text.
 
 Defined results: null and empty texts have no ids and round-trip to empty; a
 U+2581 in the text is the model's space and comes back as one, as in the
-reference library; repeated rows keep their row; extra columns pass through.
+sentencepiece library; repeated rows keep their row; extra columns pass through.
 """
 
 from __future__ import annotations

@@ -43,6 +43,7 @@ from .storage import buckets_for
 LENGTH, GRAM = 50, 16
 #: Input bytes for each group of documents and each bucket of hashes; their numbers follow the input.
 GROUP_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+_SORTED = 1 << 20  # bytes of pieces whose suffixes are sorted at once
 _SLICE = 1 << 19  # bytes of text whose windows are hashed at once
 _FINER = 4  # buckets of bytes for each bucket of hashes
 _SCHEMA = "bucket long, kind int, payload binary"
@@ -298,7 +299,7 @@ def _cut(key, docs, wanted):
         fits = start + size <= np.diff(off)[row]
         index, row, start, size = index[fits], row[fits], start[fits], size[fits]
         for k, at in _split((hashed[index] % tb.U64(_FINER)).astype(np.int64), _FINER):  # pieces of one hash stay together
-            rows.append((bucket * _FINER + k, 0, _pack(doc[index[at]], start[at].astype(np.int32), size[at].astype(np.int32)) + buf[tb.ranges(off[row[at]] + start[at], size[at])].tobytes()))
+            rows.append((bucket * _FINER + k, 0, _pack(doc[index[at]], start[at].astype(np.int32), size[at].astype(np.int32)) + _five(hashed[index[at]]) + buf[tb.ranges(off[row[at]] + start[at], size[at])].tobytes()))
     return pa.Table.from_batches([_batch(rows)])
 
 
@@ -409,6 +410,38 @@ def repeated(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(~same)))
 
 
+def _lost(doc: np.ndarray, start: np.ndarray, size: np.ndarray, raw: np.ndarray, groups: int) -> list[tuple[int, int, bytes]]:
+    """Runs that documents lose to equal windows of other pieces: suffix sort, common prefixes, smallest ids."""
+    begin = np.cumsum(size) - size
+    # distinct contents, each with its smallest id; sizes part contents that share a hash prefix
+    hashed = tb.span_hash(tb.prefix(raw), begin, begin + size)
+    order = np.lexsort((doc, size, hashed))
+    new = np.concatenate(([True], (hashed[order][1:] != hashed[order][:-1]) | (size[order][1:] != size[order][:-1])))
+    content = np.empty(len(doc), dtype=np.int64)
+    content[order] = np.cumsum(new) - 1
+    lead = order[new]
+    # terminated texts of the distinct pieces; byte values move up by one, 255 stays (it is no UTF-8 byte)
+    edge = np.concatenate(([0], np.cumsum(size[lead] + 1)))
+    text = np.zeros(int(edge[-1]), dtype=np.uint8)
+    text[tb.ranges(edge[:-1], size[lead])] = raw[tb.ranges(begin[lead], size[lead])] + np.uint8(1)
+    owner = np.repeat(np.arange(len(lead)), size[lead] + 1)
+    wanted = np.arange(len(text)) - edge[owner] + LENGTH <= size[lead][owner]
+    sa = suffix_array(text, LENGTH, wanted)
+    sa = sa[wanted[sa]]
+    group = repeated(text, sa, LENGTH)
+    least = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, doc[lead][owner[sa]])
+    claim = np.full(len(text), np.iinfo(np.int64).max)
+    claim[sa] = least[group]
+    # every occurrence of every content against the claims of its windows
+    windows = size - LENGTH + 1
+    at = tb.ranges(edge[content], windows)
+    who = np.repeat(np.arange(len(doc)), windows)
+    lost = claim[at] < doc[who]
+    who, place = who[lost], (at - edge[content[who]])[lost]
+    return _spans(doc[who], start[who] + place, start[who] + place + LENGTH, groups) if len(who) else []
+
+
 def _judge(groups: int):
     """Per bucket: two-stage suffix sort of the distinct pieces, then the byte runs that each document loses."""
 
@@ -417,37 +450,23 @@ def _judge(groups: int):
             return pa.table({"part": pa.array([-1 - key[0].as_py()] * table.num_rows, pa.int64()), "payload": table.column("payload").combine_chunks()})
         parts = [_unpack(p, np.int64, np.int32, np.int32) for p in table.column("payload").to_pylist()]
         doc, start, size = (np.concatenate([p[c] for p in parts]).astype(np.int64) for c in range(3))
-        raw = np.concatenate([p[3] for p in parts])
+        hashed = np.concatenate([_from_five(p[3][: 5 * len(p[0])]) for p in parts])
+        raw = np.concatenate([p[3][5 * len(p[0]) :] for p in parts])
+        del parts
         begin = np.cumsum(size) - size
-        # distinct contents, each with its smallest id; sizes part contents that share a hash prefix
-        hashed = tb.span_hash(tb.prefix(raw), begin, begin + size)
-        order = np.lexsort((doc, size, hashed))
-        new = np.concatenate(([True], (hashed[order][1:] != hashed[order][:-1]) | (size[order][1:] != size[order][:-1])))
-        content = np.empty(len(doc), dtype=np.int64)
-        content[order] = np.cumsum(new) - 1
-        lead = order[new]
-        # terminated texts of the distinct pieces; byte values move up by one, 255 stays (it is no UTF-8 byte)
-        edge = np.concatenate(([0], np.cumsum(size[lead] + 1)))
-        text = np.zeros(int(edge[-1]), dtype=np.uint8)
-        text[tb.ranges(edge[:-1], size[lead])] = raw[tb.ranges(begin[lead], size[lead])] + np.uint8(1)
-        owner = np.repeat(np.arange(len(lead)), size[lead] + 1)
-        wanted = np.arange(len(text)) - edge[owner] + LENGTH <= size[lead][owner]
-        sa = suffix_array(text, LENGTH, wanted)
-        sa = sa[wanted[sa]]
-        group = repeated(text, sa, LENGTH)
-        least = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, doc[lead][owner[sa]])
-        claim = np.full(len(text), np.iinfo(np.int64).max)
-        claim[sa] = least[group]
-        # every occurrence of every content against the claims of its windows
-        windows = size - LENGTH + 1
-        at = tb.ranges(edge[content], windows)
-        who = np.repeat(np.arange(len(doc)), windows)
-        lost = claim[at] < doc[who]
-        who, place = who[lost], (at - edge[content[who]])[lost]
-        out = _spans(doc[who], start[who] + place, start[who] + place + LENGTH, groups) if len(who) else []
+        # equal windows share a hash, so runs of whole hashes are sorted one after another in bounded memory
+        order = np.argsort(hashed, kind="stable")
+        total = np.cumsum(size[order])
+        last = np.concatenate((hashed[order][1:] != hashed[order][:-1], [True]))
+        rows: list[tuple[int, int, bytes]] = []
+        at = 0
+        for end in (np.flatnonzero(last) + 1).tolist():
+            if end == len(order) or total[end - 1] - (total[at - 1] if at else 0) >= _SORTED:
+                own = order[at:end]
+                rows += _lost(doc[own], start[own], size[own], raw[tb.ranges(begin[own], size[own])], groups)
+                at = end
         tb.release()
-        return pa.table({"part": pa.array([-1 - k for k, _, _ in out], pa.int64()), "payload": pa.array([p for _, _, p in out], pa.binary())})
+        return pa.table({"part": pa.array([-1 - k for k, _, _ in rows], pa.int64()), "payload": pa.array([p for _, _, p in rows], pa.binary())})
 
     return run
 
@@ -467,10 +486,12 @@ def _finish(carried: list[str]):
                 lost.setdefault(r, []).append((a, b))
         kept = _kept(buf, off, lost)
         out = {c: docs.column(c) for c in carried}
-        out["text"] = pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string())
+        if "text" in carried:
+            out["text"] = pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string())
         out["n_bytes"] = pa.array(np.diff(off), pa.int64())
         out["spans"] = pa.array([[{"start": a, "end": b} for a, b in lost.get(r, ())] for r in range(len(ids))], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         out["kept"] = pa.array(kept, pa.binary())
+        tb.release()
         return pa.table(out)
 
     return run

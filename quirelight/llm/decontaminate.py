@@ -109,9 +109,9 @@ def _scan_batches(sets, carried: list[str]):
                     head = at[new]
                     last = at[np.concatenate((np.flatnonzero(new)[1:], [len(at)])) - 1]
                     owner = w.doc[head]
-                    for d in np.unique(owner).tolist():
-                        of = owner == d
-                        runs[d] = (head[of] - w.first[d], last[of] + 1 - w.first[d])
+                    of = np.unique(owner)
+                    for d, a, b in zip(of.tolist(), np.searchsorted(owner, of).tolist(), np.searchsorted(owner, of, side="right").tolist(), strict=True):
+                        runs[d] = (head[a:b] - w.first[d], last[a:b] + 1 - w.first[d])
                 for d in range(j - i):
                     old = before_spans[i + d].as_py() or []
                     got = [{"start": int(a), "end": int(b)} for a, b in zip(*runs[d], strict=True)] if d in runs else []
@@ -161,8 +161,10 @@ def clean(found: DataFrame, columns: list[str], *, how: str = "documents") -> Da
     return found.withColumn("text", F.when(F.col("n_hit") > 0, cut("text", "hit_spans")).otherwise(F.col("text"))).select(*columns)
 
 
-def cut_words(text: str, spans: list) -> str:
+def cut_words(text: str | None, spans: list) -> str | None:
     """``text`` without the bytes from the first to the last word of each span."""
+    if not text or not spans:  # Spark may evaluate the function for every row, hit or not
+        return text
     raw = text.encode()
     buf = tb.LOWER[np.frombuffer(raw, dtype=np.uint8)]
     w = tb.words(buf, np.array([0, len(buf)]), tb.ALNUM)

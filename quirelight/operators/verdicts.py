@@ -52,27 +52,6 @@ def pending_select(segments: DataFrame, pending: DataFrame) -> DataFrame:
     return first.join(segments, ["doc_id", "seg"]).select("doc_id", "place", "seg", "source")
 
 
-def limiter_slots(calls: DataFrame, gap: int, *by: str) -> DataFrame:
-    """``calls`` (now, order) with ``at``: start of each call's slot, slots at least ``gap`` apart, idle time not banked.
-
-    at_i = i * gap + max over j <= i of (now_j - j * gap): a running maximum.
-    """
-    order = Window.partitionBy(*by).orderBy("now", "order")
-    i = (F.row_number().over(order) - 1).cast("long")
-    numbered = calls.withColumn("i", i)
-    running = Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return numbered.withColumn("at", F.col("i") * gap + F.max(F.col("now") - F.col("i") * gap).over(running)).drop("i")
-
-
-def failure_runs(calls: DataFrame, limit: int, *by: str) -> DataFrame:
-    """First call of each run of failures that reaches ``limit``; ``calls``: order, failed.  A limit under 1 never trips."""
-    order = Window.partitionBy(*by).orderBy("order")
-    island = calls.withColumn("island", F.sum((~F.col("failed")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*by, "island").orderBy("order")
-    counted = island.where("failed").withColumn("streak", F.row_number().over(inside))
-    return counted.where((F.col("streak") == limit) & F.lit(limit > 0)).drop("island")
-
-
 def error_class(status: Column) -> Column:
     """fatal, retryable or rejected, by status; null (no answer) is retryable."""
     return F.when(status.isin(401, 403, 404), "fatal").when(status.isNull() | status.isin(408, 409, 429) | (status >= 500), "retryable").when(status >= 400, "rejected").otherwise("ok")

@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelight.functions import markup
 from quirelight.functions import text as X
+from quirelight.operators import ordered as O
 from quirelight.operators import segments as G
 from quirelight.operators import verdicts as V
 
@@ -224,7 +225,7 @@ def _(docs):
 
 
 @query("bisect_plan", "documents", oracle=f"""
-WITH RECURSIVE c AS ({_chunk_sql(1000, 8).replace('WITH RECURSIVE', '', 1) if False else 'SELECT doc_id, CAST(k AS INTEGER) AS chunk, CAST(k * 8 AS INTEGER) AS lo, CAST(least(len(ls), k * 8 + 8) AS INTEGER) AS hi FROM (SELECT doc_id, ls, unnest(range((len(ls) + 7) // 8)) AS k FROM (' + _LINES + '))'}),
+WITH RECURSIVE c AS (SELECT doc_id, CAST(k AS INTEGER) AS chunk, CAST(k * 8 AS INTEGER) AS lo, CAST(least(len(ls), k * 8 + 8) AS INTEGER) AS hi FROM (SELECT doc_id, ls, unnest(range((len(ls) + 7) // 8)) AS k FROM ({_LINES}))),
  b AS (SELECT doc_id, chunk, 0 AS depth, lo, hi FROM c
        UNION ALL
        SELECT b.doc_id, b.chunk, b.depth + 1, CASE WHEN h = 0 THEN b.lo ELSE b.lo + (b.hi - b.lo) // 2 END, CASE WHEN h = 0 THEN b.lo + (b.hi - b.lo) // 2 ELSE b.hi END
@@ -319,13 +320,13 @@ def _(docs):
     return docs.select("doc_id", lines.alias("l")).where("size(l) > 0").select("doc_id", F.sha2(F.to_json("l"), 256).alias("digest"))
 
 
-@query("book_plaintext", "documents", oracle=f"SELECT source, count(*) AS chapters, sha256(string_agg('Section ' || doc_id || chr(10) || repeat('-', length('Section ' || doc_id)) || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM (SELECT doc_id, source, {_collapse('text')} AS body FROM documents) WHERE body <> '' GROUP BY source")
+@query("book_plaintext", "documents", oracle=f"SELECT source, doc_id, sha256('Section ' || doc_id || chr(10) || repeat('-', length('Section ' || doc_id)) || chr(10) || chr(10) || body || chr(10) || chr(10)) AS digest FROM (SELECT doc_id, source, {_collapse('text')} AS body FROM documents) WHERE body <> ''")
 def _(docs):
+    """Chapters of each book, a row each: a book may hold a third of all documents, so it is never gathered into one row."""
     title = F.concat(F.lit("Section "), F.col("doc_id").cast("string"))
     whole = docs.select("doc_id", "source", X.collapse(F.col("text")).alias("body")).where("body <> ''")
-    chapter = F.concat(title, F.lit("\n"), F.repeat(F.lit("-"), F.length(title)), F.lit("\n\n"), F.col("body"))
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", chapter.alias("t"))))
-    return whole.groupBy("source").agg(F.count("*").alias("chapters"), F.sha2(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n"), 256).alias("digest"))
+    chapter = F.concat(title, F.lit("\n"), F.repeat(F.lit("-"), F.length(title)), F.lit("\n\n"), F.col("body"), F.lit("\n\n"))
+    return whole.select("source", "doc_id", F.sha2(chapter, 256).alias("digest"))
 
 
 # --- calls, limits, failures --------------------------------------------------
@@ -336,7 +337,7 @@ WITH c AS (SELECT user_id, event_id, epoch_us(ts) AS now, row_number() OVER (PAR
 SELECT user_id, event_id, CAST(i * 600000000 + max(now - i * 600000000) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) - now AS BIGINT) AS wait_us FROM c""")
 def _(events):
     calls = events.select("user_id", F.col("event_id").alias("order"), F.unix_micros(F.col("ts").cast("timestamp")).alias("now"))
-    return V.limiter_slots(calls, 600_000_000, "user_id").select("user_id", F.col("order").alias("event_id"), (F.col("at") - F.col("now")).alias("wait_us"))
+    return O.limiter_slots(calls, 600_000_000, "user_id").select("user_id", F.col("order").alias("event_id"), (F.col("at") - F.col("now")).alias("wait_us"))
 
 
 @query("backoff_bounds", "events", oracle="SELECT event_id, CAST(2000 * pow(2, event_id % 4) AS BIGINT) AS low_ms, CAST(3000 * pow(2, event_id % 4) AS BIGINT) AS high_ms FROM events")
@@ -351,7 +352,7 @@ WITH e AS (SELECT user_id, event_id, ts, event_type = 'error' AS failed FROM eve
 SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS streak FROM i WHERE failed) WHERE streak = 3""")
 def _(events):
     calls = events.select("user_id", "event_id", F.struct("ts", "event_id").alias("order"), (F.col("event_type") == "error").alias("failed"))
-    return V.failure_runs(calls, 3, "user_id").select("user_id", "event_id")
+    return O.failure_runs(calls, 3, "user_id", block=F.floor(F.unix_micros(F.col("order.ts").cast("timestamp")) / 3_600_000_000)).select("user_id", "event_id")
 
 
 _STATUS = "[200, 401, 403, 404, 408, 409, 429, 400, 422, 500, 503]"
@@ -363,6 +364,28 @@ def _(events):
     return events.select("event_id", status.alias("status")).withColumn("class", V.error_class(F.col("status")))
 
 
+@query("log_squash", "events", oracle="SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) x WHERE before IS NULL OR before <> event_type")
+def _(events):
+    block = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    rows = O.last_before(events.select("user_id", "event_id", "event_type", "ts"), F.col("event_type"), ("user_id",), ("ts", "event_id"), block)
+    return rows.where("before is null or before <> event_type").select("user_id", "event_id", "event_type")
+
+
+@query("continuity_tail", "conversations", oracle="SELECT conv_id, turn, max(mark) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tail_turn FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN turn END AS mark FROM conversations) x")
+def _(turns):
+    rows = turns.select("conv_id", "turn", F.when(F.col("role") == "assistant", F.col("turn")).alias("mark"))
+    found = O.last_before(rows, F.col("mark"), ("conv_id",), ("turn",), F.floor(F.col("turn") / 1024), skip_nulls=True)
+    return found.select("conv_id", "turn", F.col("before").alias("tail_turn"))
+
+
+@query("report_topn", "conversations", oracle="SELECT conv_id, turn, CAST(n - r AS BIGINT) AS more FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) x WHERE r <= 5")
+def _(turns):
+    # the filter on the rank prunes each partition before the shuffle; the count is combined before it
+    first = turns.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("r")).where("r <= 5")
+    size = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    return first.join(size, "conv_id").select("conv_id", "turn", (F.col("n") - F.col("r")).alias("more"))
+
+
 @query("remark_cap", "conversations", oracle=f"""
 WITH n AS (SELECT conv_id AS doc, turn // 3 AS answer, turn AS place, CASE WHEN length({_collapse('text')}) > 200 THEN trim(substring({_collapse('text')}, 1, 200)) || '…' ELSE {_collapse('text')} END AS message FROM conversations),
  e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, answer ORDER BY place) AS k FROM n WHERE message <> '') WHERE k <= 3),
@@ -381,16 +404,13 @@ SHARED: dict[str, tuple[str, ...]] = {
     "run_rollup": ("SELECT source, count(*) AS docs, CAST(sum(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS cached, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS pending, coalesce(max(toxic), 0) > 0 AS retryable FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source", "documents", "labels"),
     "status_pivot": ("SELECT lang, count(CASE WHEN quality = 1 THEN 1 END) AS done, count(CASE WHEN quality = 0 THEN 1 END) AS failed, count(CASE WHEN quality IS NULL THEN 1 END) AS pending FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY lang", "documents", "labels"),
     "note_counts": ("SELECT conv_id, count(CASE WHEN role <> 'system' THEN 1 END) AS problems, count(CASE WHEN role = 'system' THEN 1 END) AS remarks FROM {conversations} GROUP BY conv_id", "conversations"),
-    "report_topn": ("SELECT conv_id, turn, CAST(n - r AS BIGINT) AS more FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM {conversations}) x WHERE r <= 5", "conversations"),
-    "log_squash": ("SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events}) x WHERE before IS NULL OR before <> event_type", "events"),
-    "continuity_tail": ("SELECT conv_id, turn, max(mark) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tail_turn FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN turn END AS mark FROM {conversations}) x", "conversations"),
-    "worklist": ("SELECT path, row_number() OVER (ORDER BY ord) AS k FROM (SELECT path, min(ord) AS ord FROM (SELECT n_name AS path, n_nationkey AS ord FROM {nation} UNION ALL SELECT r_name, 100 + r_regionkey FROM {region} UNION ALL SELECT n_name, 200 + n_nationkey FROM {nation}) u GROUP BY path) x", "nation", "region"),
-    "toc_labels": ("SELECT path, label FROM (SELECT path, label, row_number() OVER (PARTITION BY path ORDER BY ord) AS rn FROM (SELECT source AS path, lang AS label, doc_id AS ord FROM {documents} WHERE doc_id % 3 = 0 UNION ALL SELECT source, concat('nav-', lang), 1000000000 + doc_id FROM {documents}) u) x WHERE rn = 1", "documents"),
+    "worklist": ("SELECT book, path, row_number() OVER (PARTITION BY book ORDER BY ord) AS k FROM (SELECT book, path, min(ord) AS ord FROM (SELECT n_regionkey AS book, n_name AS path, n_nationkey AS ord FROM {nation} UNION ALL SELECT r_regionkey, r_name, 100 + r_regionkey FROM {region} UNION ALL SELECT n_regionkey, n_name, 200 + n_nationkey FROM {nation}) u GROUP BY book, path) x", "nation", "region"),
+    "toc_labels": ("SELECT path, label FROM (SELECT path, label, row_number() OVER (PARTITION BY path ORDER BY ord) AS rn FROM (SELECT source AS path, lang AS label, doc_id AS ord FROM {documents} WHERE lang = 'en' UNION ALL SELECT source, concat('nav-', lang), 1000000000 + doc_id FROM {documents}) u) x WHERE rn = 1", "documents"),
     "title_coalesce": ("SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN concat('Label ', l.doc_id) END, CASE WHEN d.n_chars > 2000 THEN d.source END, concat('Section ', d.doc_id)) AS title FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id", "documents", "labels"),
-    "range_select": ("SELECT n_nationkey, n_name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS k FROM {nation}) x WHERE k BETWEEN 1 AND 3 OR k = 7 OR k >= 20", "nation"),
-    "spine_join": ("SELECT n.n_nationkey AS spine, r.r_name AS item, row_number() OVER (ORDER BY n.n_nationkey) - 1 AS k FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey WHERE r.r_name <> 'ASIA'", "nation", "region"),
+    "range_select": ("SELECT n_nationkey, n_name FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM {nation}) x WHERE k BETWEEN 1 AND 2 OR k >= 5", "nation"),
+    "spine_join": ("SELECT n.n_nationkey AS spine, r.r_name AS item, row_number() OVER (PARTITION BY n.n_regionkey ORDER BY n.n_nationkey) - 1 AS k FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey WHERE r.r_name <> 'ASIA'", "nation", "region"),
     "model_list": ("SELECT DISTINCT model FROM (SELECT p_brand AS model FROM {part} UNION ALL SELECT p_type FROM {part}) u WHERE model <> ''", "part"),
-    "preset_rank": ("SELECT s_suppkey, CASE WHEN s_suppkey = 1 THEN 0 WHEN s_acctbal > 5000 THEN 1 WHEN s_acctbal < 0 THEN 2 ELSE 3 END AS tier, row_number() OVER (ORDER BY CASE WHEN s_suppkey = 1 THEN 0 WHEN s_acctbal > 5000 THEN 1 WHEN s_acctbal < 0 THEN 2 ELSE 3 END, s_suppkey) AS place FROM {supplier}", "supplier"),
+    "preset_rank": ("SELECT s_suppkey, CASE WHEN s_suppkey = 1 THEN 0 WHEN s_acctbal > 5000 THEN 1 WHEN s_acctbal < 0 THEN 2 ELSE 3 END AS tier, row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE WHEN s_suppkey = 1 THEN 0 WHEN s_acctbal > 5000 THEN 1 WHEN s_acctbal < 0 THEN 2 ELSE 3 END, s_suppkey) AS place FROM {supplier}", "supplier"),
     "validate_cascade": ("SELECT s_suppkey, CASE WHEN s_name = '' THEN 'name' WHEN s_acctbal < 0 THEN 'balance' WHEN s_nationkey > 20 THEN 'nation' ELSE 'ok' END AS first_failure FROM {supplier}", "supplier"),
     "locale_parity": ("SELECT a.n_name AS key FROM {nation} a LEFT JOIN (SELECT n_name FROM {nation} WHERE n_nationkey % 4 <> 0) b ON a.n_name = b.n_name WHERE b.n_name IS NULL", "nation"),
     "only_documents": ("SELECT doc_id FROM {documents} WHERE doc_id IN (SELECT doc_id FROM {labels} WHERE quality = 1)", "documents", "labels"),

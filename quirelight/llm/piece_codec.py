@@ -42,7 +42,9 @@ from .suffix_dedup import suffix_array
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-_LONG, _BATCH_BYTES, _KNOWN = 64, 2 << 20, 400_000
+_LONG, _BATCH_BYTES, _KNOWN = 64, 1 << 20, 400_000
+#: Text of the distinct units that are indexed at once; edges take several hundred bytes for each byte of it.
+_INDEX_BYTES = 128 << 10
 _NONE = np.iinfo(np.int64).max
 
 
@@ -311,7 +313,10 @@ class Encoder:
         raw = buf.tobytes()
         new = sample[~have]
         units = [(b" " if lead else b"") + raw[a:b] for a, b, lead in zip(start[new].tolist(), end[new].tolist(), leads[new].tolist(), strict=True)]
-        ids, first = encode_units(self.model, units)
+        size = np.concatenate(([0], np.cumsum([len(u) + 1 for u in units])))
+        parts = [encode_units(self.model, units[i:j]) for i, j in tb.slices(size, _INDEX_BYTES)]
+        ids = np.concatenate([p for p, _ in parts])
+        first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))))
         keep = np.arange(len(self.hashes)) if len(self.hashes) + len(units) <= _KNOWN else where[have]
         count = np.concatenate(((self.first[1:] - self.first[:-1])[keep], np.diff(first)))
         begin = np.concatenate((self.first[:-1][keep], first[:-1] + len(self.ids)))
@@ -348,24 +353,18 @@ def _encoding(path: str, carried: list[str], fold: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(path)
         for batch in batches:
-            buf, off = tb.flat(_plain(batch.column("text")))
-            lists, counts, hashes, same = [], [], [], []
-            for i, j in tb.slices(off, _BATCH_BYTES):
-                part, edge = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-                ids, first = own.encode(part, edge)
-                counts.append(np.diff(first))
-                same.append(round_trips(own.model, ids, first, part, edge))
+            text = batch.column("text")
+            size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+            for i, j in tb.slices(size, _BATCH_BYTES):  # each slice leaves before the next is read
+                buf, off = tb.flat(_plain(text.slice(i, j - i)))
+                ids, first = own.encode(buf, off)
+                new = {"n_tokens": pa.array(np.diff(first), pa.int64())}
                 if fold:
                     raw = ids.astype("<i4").tobytes()
-                    hashes += [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                    new["ids_sha256"] = pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.string())
                 else:
-                    lists.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32())))
-            new = {"n_tokens": pa.array(np.concatenate(counts) if counts else [], pa.int64())}
-            if fold:
-                new["ids_sha256"] = pa.array(hashes, pa.string())
-            else:
-                new["ids"] = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
-            yield tb.extend(batch, carried, **new, round_trip=pa.array(np.concatenate(same) if same else [], pa.bool_()))
+                    new["ids"] = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
+                yield tb.extend(batch.slice(i, j - i), carried, **new, round_trip=pa.array(round_trips(own.model, ids, first, buf, off), pa.bool_()))
 
     return run
 

@@ -2,11 +2,14 @@
 
 Pass one classifies every text block on its own: by the element it stands in
 (navigation, header, footer, sidebar, advert, notice, form, comments), by link
-density, by stop-word density and by length.  Blocks that are too short or too
-plain to decide stay open.  Pass two gives open blocks the label of the nearest
-decided neighbours in the same container; where two neighbours at the same
-distance differ, or none is decided, blocks inside an article or main element
-stay and others go (a heading follows what comes after it).
+density, by stop-word density and by length.  Stop words decide only where they
+fit: not in a block of another script, nor on a page whose longer blocks are
+mostly without them; there length alone decides.  Length is counted in words,
+and in scripts without spaces in groups of letters.  Blocks that are too short or
+too plain to decide stay open.  Pass two keeps open blocks inside an article or
+main element and gives others the label of the nearest decided neighbours; where
+two at the same distance differ, or none is decided, they go (a heading follows
+what comes after it, but for one short linked line such as a byline).
 
 Defined results: null and empty html give an empty text; broken markup is read
 as far as it goes (unclosed elements end with their parents, an unclosed script
@@ -58,6 +61,13 @@ _BOILER_NAME = re.compile(
     re.I,
 )
 
+#: A word, or a group of letters as long as one in scripts written without spaces (Han and kana; Thai, Lao, Burmese, Khmer, Tibetan).
+_HAN, _ABUGIDA = "\u3001-\u30ff\u3400-\u9fff\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff", "\u0e00-\u109f\u1780-\u17ff\u1950-\u19ff\ua9e0-\uaa7f"
+_UNSPACED = re.compile(f"[{_HAN}{_ABUGIDA}]")
+_WORD = re.compile(rf"[{_HAN}]{{1,2}}|[{_ABUGIDA}]{{1,4}}|[^\s{_HAN}{_ABUGIDA}]+")
+#: Letters of scripts that no stop word is written in.
+_OTHER_SCRIPT = re.compile("[\u0370-\u1dff\u1f00-\u1fff\u2c00-\u2c5f\u2c80-\u2dff\u3001-\ud7ff\uf900-\ufaff\ufb07-\ufdff\ufe70-\ufefe\uff66-\uffdc\U00010000-\U0001efff\U00020000-\U0003ffff]")
+
 GOOD, OPEN, BAD = 1, 0, -1
 #: Words under which a block is short; stop-word shares over and under which a longer one is decided; link share that ends it.
 SHORT, DENSE, SPARSE, LINKED = 10, 0.15, 0.05, 0.5
@@ -77,6 +87,11 @@ def _is_boiler(tag: str, attributes: str, inside_main: bool) -> bool:
     return False
 
 
+def _length(words: list[str]) -> int:
+    text = " ".join(words)
+    return len(words) if text.isascii() or not _UNSPACED.search(text) else len(_WORD.findall(text))
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, int]]:
     """(text, words in links, words, heading, boilerplate container, main container or -1) of each block in page order."""
     out: list[tuple[str, int, int, bool, bool, int]] = []
@@ -90,9 +105,9 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, int]]:
         if text:
             words = html.unescape("".join(text)).split()
             if words:
-                links = len(html.unescape(" ".join(linked)).split()) if linked else 0
+                links = _length(html.unescape(" ".join(linked)).split()) if linked else 0
                 top = stack[-1] if stack else ("", False, -1)
-                out.append((" ".join(words), links, len(words), bool(heading), top[1], top[2]))
+                out.append((" ".join(words), links, _length(words), bool(heading), top[1], top[2]))
             text, linked = [], []
 
     for m in _TOKEN.finditer(page):
@@ -144,36 +159,49 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, int]]:
     return out
 
 
+def _stop_share(text: str, words: int) -> float | None:
+    """Share of stop words in a block; none where it is written in another script."""
+    if not text.isascii() and 2 * len(_OTHER_SCRIPT.findall(text)) > len(text) - text.count(" "):
+        return None
+    return sum(w.strip(".,;:!?%&*#$\"'()[]-…").lower() in STOP_WORDS for w in text.split()) / words
+
+
 def classify(found: list[tuple[str, int, int, bool, bool, int]]) -> list[int]:
     """Labels of the blocks after both passes."""
-    labels = []
-    for text, links, words, _, boiler, _ in found:
-        if boiler or links > LINKED * words:
-            labels.append(BAD)
-            continue
-        if words < SHORT:
-            labels.append(OPEN)
-            continue
-        stops = sum(w.strip(".,;:!?%&*#$\"'()[]-…").lower() in STOP_WORDS for w in text.split())
-        labels.append(GOOD if stops >= DENSE * words else BAD if stops < SPARSE * words and found[len(labels)][5] < 0 else OPEN)
+    labels, shares = [], {}
+    for i, (text, links, words, _, boiler, _) in enumerate(found):
+        labels.append(BAD if boiler or links > LINKED * words else OPEN)
+        if not labels[i] and words >= SHORT:
+            shares[i] = _stop_share(text, words)
+    judged = [i for i, share in shares.items() if share is not None]
+    fits = 2 * sum(found[i][2] for i in judged if shares[i] >= DENSE) > sum(found[i][2] for i in judged)
+    for i, share in shares.items():
+        if share is None or not fits or share >= DENSE:
+            labels[i] = GOOD
+        elif share < SPARSE and found[i][5] < 0:
+            labels[i] = BAD
     final = list(labels)
     n = len(found)
-    before, after = [-1] * n, [-1] * n  # nearest decided neighbours in the same container
-    last: dict[int, int] = {}
+    before, after = [-1] * n, [-1] * n  # nearest decided neighbours outside article and main elements
+    last = -1
     for i in range(n):
-        before[i] = last.get(found[i][5], -1)
-        if labels[i] and not found[i][4]:
-            last[found[i][5]] = i
-    last = {}
+        before[i] = last
+        if labels[i] and not found[i][4] and found[i][5] < 0:
+            last = i
+    last = -1
     for i in range(n - 1, -1, -1):
-        after[i] = last.get(found[i][5], -1)
-        if labels[i] and not found[i][4]:
-            last[found[i][5]] = i
+        after[i] = last
+        if labels[i] and not found[i][4] and found[i][5] < 0:
+            last = i
     for i in range(n):
         if labels[i] == OPEN:
-            a, b, main = before[i], after[i], found[i][5] >= 0
-            if a < 0 and b < 0:
-                final[i] = GOOD if main else BAD
+            a, b = before[i], after[i]
+            if found[i][3] and b >= 0 and found[b][2] < SHORT and labels[b] == BAD and after[b] >= 0 and labels[after[b]] == GOOD:
+                b = after[b]  # past a byline
+            if found[i][5] >= 0:
+                final[i] = GOOD
+            elif a < 0 and b < 0:
+                final[i] = BAD
             elif a < 0 or b < 0:
                 final[i] = labels[max(a, b)]
             elif labels[a] == labels[b]:
@@ -183,7 +211,7 @@ def classify(found: list[tuple[str, int, int, bool, bool, int]]) -> list[int]:
             elif i - a != b - i:
                 final[i] = labels[a] if i - a < b - i else labels[b]
             else:
-                final[i] = GOOD if main else BAD
+                final[i] = BAD
     return final
 
 

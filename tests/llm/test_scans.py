@@ -98,3 +98,27 @@ def test_html_table(spark, sf):
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count() and all(r.n_chars == len(r.text) for r in rows)
     clash = spark.createDataFrame([(1, "u", None, "old"), (None, None, "<p>x", "old")], "page_id long, url string, html string, text string")
     assert {r.page_id: r.text for r in H.extract_pages(clash).collect()} == {1: "", None: ""}
+
+
+PROSE = {
+    "pl": "Wczoraj wieczorem mieszkańcy miasta spotkali się przed ratuszem, żeby porozmawiać o nowym moście przez rzekę.",
+    "ru": "Вчера вечером жители города собрались перед ратушей, чтобы поговорить о новом мосте через широкую реку.",
+    "ar": "اجتمع سكان المدينة مساء أمس أمام مبنى البلدية للحديث عن الجسر الجديد فوق النهر الكبير القريب.",
+    "zh": "昨天晚上，城里的居民聚集在市政厅前，讨论横跨大河的新桥，许多人希望它能在明年春天之前完工。",
+    "th": "เมื่อวานนี้ชาวเมืองมารวมตัวกันหน้าศาลากลางเพื่อพูดคุยเรื่องสะพานใหม่ข้ามแม่น้ำใหญ่",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(PROSE))
+def test_html_other_languages(lang):
+    text = PROSE[lang]
+    body, links = f"<p>{text}</p><p>{text} <a href=x>2024</a></p>", "<p><a href=x>source</a></p>"
+    assert H.extract(f"<div><a href=x>{text}</a></div><div>{body}</div>").split("\n") == [text, text + " 2024"]
+    assert H.extract(f"<article>{body}{links}<p>2024.</p>{links}</article>").split("\n") == [text, text + " 2024", "2024."]
+    assert H.extract(f"<nav>{text}</nav><footer>{text}</footer>") == ""
+
+
+def test_html_headline_before_byline():
+    text = "It was the best of times, it was the worst of times, it was the age of wisdom."
+    page = f"<h1>A tale</h1><p><a href=x>By the author</a></p><p>{text}</p>"
+    assert H.extract(f"<article>{page}</article>") == H.extract(f"<div>{page}</div>") == f"A tale\n{text}"

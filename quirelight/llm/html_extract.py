@@ -12,14 +12,16 @@ two at the same distance differ, or none is decided, they go (a heading follows
 what comes after it, but for one short linked line such as a byline).
 
 Defined results: null and empty html give an empty text; broken markup is read
-as far as it goes (unclosed elements end with their parents, an unclosed script
-or comment ends the page); repeated rows keep their row.
+as far as it goes (unclosed elements end with their parents, an unclosed script,
+style, textarea or comment ends the page, another unclosed element without text
+of the page ends before the next block element); repeated rows keep their row.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,13 +44,16 @@ quien si sin sobre su sus también te tiene todo un una y ya
 che di e gli il nel non per più sono da do em não os ao uma das dos
 """.split())
 
-#: Elements whose content is no text of the page.
-_HIDDEN = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|button|head|video|audio|datalist"
+#: Elements whose content is no text of the page: read up to their end tags as plain characters, and others.
+_RAW = "script|style|textarea"
+_HIDDEN = frozenset("noscript template svg math iframe object canvas select button title video audio datalist".split())
+#: Of those, the ones that may close themselves.
+_FOREIGN = frozenset("svg math".split())
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_HIDDEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
-_BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+_BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are tracked as containers.
 _CONTAINER = frozenset("address article aside blockquote body details dialog div dl fieldset figure footer form header html main menu nav ol section table td ul".split())
@@ -92,6 +97,43 @@ def _length(words: list[str]) -> int:
     return len(words) if text.isascii() or not _UNSPACED.search(text) else len(_WORD.findall(text))
 
 
+def _hidden(tokens: list[re.Match]) -> dict[int, tuple[int, bool]]:
+    """For each token that opens a hidden element: the token at which that ends, and whether that is its end tag.
+
+    An end tag counts within the containers it stands in; without one the element ends before the next block element.
+    """
+    ends: dict[int, tuple[int, bool]] = {}
+    opened: list[tuple[str, int]] = []
+    depth: Counter[str] = Counter()
+    starts, edges = [], []
+    for i, m in enumerate(tokens):
+        tag = (m.group(3) or "").lower()
+        if tag in _BLOCK:
+            edges.append(i)
+        if tag not in _HIDDEN and tag not in _CONTAINER:
+            continue
+        if m.group(2):
+            while depth[tag]:
+                last, start = opened.pop()
+                depth[last] -= 1
+                if last == tag:
+                    if tag in _HIDDEN:
+                        ends[start] = i, True
+                    break
+        elif tag in _HIDDEN and tag not in _FOREIGN or not _VOID.search(m.group(4)):
+            opened.append((tag, i))
+            depth[tag] += 1
+            if tag in _HIDDEN:
+                starts.append(i)
+    edge = len(edges)
+    for i in reversed(starts):
+        if i not in ends:
+            while edge and edges[edge - 1] > i:
+                edge -= 1
+            ends[i] = edges[edge] if edge < len(edges) else len(tokens), False
+    return ends
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, int]]:
     """(text, words in links, words, heading, boilerplate container, main container or -1) of each block in page order."""
     out: list[tuple[str, int, int, bool, bool, int]] = []
@@ -110,13 +152,23 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, int]]:
                 out.append((" ".join(words), links, _length(words), bool(heading), top[1], top[2]))
             text, linked = [], []
 
-    for m in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    hidden = _hidden(tokens)
+    resume = 0  # the token after a hidden element
+    for i, m in enumerate(tokens):
+        if i < resume:
+            continue
         if m.start() > at:
             piece = page[at : m.start()]
             text.append(piece)
             if anchor:
                 linked.append(piece)
         at = m.end()
+        if i in hidden:
+            end, closed = hidden[i]
+            resume = end + closed
+            at = tokens[end].end() if closed else tokens[end].start() if end < len(tokens) else len(page)
+            continue
         tag = m.group(3)
         if tag is None:
             if m.group(0).startswith("<![CDATA["):

@@ -122,3 +122,32 @@ def test_html_headline_before_byline():
     text = "It was the best of times, it was the worst of times, it was the age of wisdom."
     page = f"<h1>A tale</h1><p><a href=x>By the author</a></p><p>{text}</p>"
     assert H.extract(f"<article>{page}</article>") == H.extract(f"<div>{page}</div>") == f"A tale\n{text}"
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<html><head><title>t</title><body>",
+        "<html><head><meta charset=utf-8><title>t</title><style>p{}</style>",
+        "<body><svg width=1 />",
+        "<body><svg><path d='M0'/></svg><math/>",
+        "<body><div><select><option>t</div>",
+        "<body><button>t",
+        "<body><noscript>",
+        "<body><video src=x>t",
+        "<body><canvas/><p><iframe src=x></p>",
+        "<body><video-player></video-player><script-note></script-note>",
+    ],
+)
+def test_html_unclosed_hidden(before):
+    text = "It was the best of times, it was the worst of times, it was the age of wisdom."
+    for after in ("", "<svg></svg><button>t</button><select><option>t</select><noscript><p>t</noscript><head></head><video>t</video>"):
+        assert H.extract(f"{before}<article><p>{text}</p></article>{after}") == text
+
+
+def test_html_closed_hidden():
+    text = "It was the best of times, it was the worst of times, it was the age of wisdom."
+    inside = f"<article><p>{text}</p><div></article>"
+    for tag in ("noscript", "template", "select", "object"):
+        assert H.extract(f"<div><{tag}><{tag}>{inside}</{tag}>{inside}</{tag}></div><article><p>So <{tag}>not</{tag}>it is.</p></article>") == "So it is."
+    assert H.extract(f"<article><p>So it is.</p></article><script>{inside}") == "So it is."

@@ -1,7 +1,8 @@
 """Main-text extraction from HTML by two-pass block rules.
 
 Pass one classifies every text block on its own: by the element it stands in
-(navigation, header, footer, sidebar, advert, notice, form, comments), by link
+(navigation, header, footer, sidebar, advert, notice, form, comments; a name or a
+form counts for nothing on a wrapper of the page's or article's text), by link
 density, by stop-word density and by length.  Stop words decide only where they
 fit: not in a block of another script, nor on a page whose longer blocks are
 mostly without them; there length alone decides.  Length is counted in words,
@@ -57,7 +58,7 @@ _BLOCK = frozenset("address article aside blockquote body center dd details dial
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are tracked as containers.
 _CONTAINER = frozenset("address article aside blockquote body details dialog div dl fieldset figure footer form header html main menu nav ol section table td ul".split())
-_BOILER = frozenset("nav footer aside form menu dialog fieldset".split())
+_BOILER = frozenset("nav footer aside menu dialog fieldset".split())
 _MAIN = frozenset("article main".split())
 _VOID = re.compile(r"/\s*\Z")
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -72,26 +73,67 @@ _UNSPACED = re.compile(f"[{_HAN}{_ABUGIDA}]")
 _WORD = re.compile(rf"[{_HAN}]{{1,2}}|[{_ABUGIDA}]{{1,4}}|[^\s{_HAN}{_ABUGIDA}]+")
 #: Letters of scripts that no stop word is written in.
 _OTHER_SCRIPT = re.compile("[\u0370-\u1dff\u1f00-\u1fff\u2c00-\u2c5f\u2c80-\u2dff\u3001-\ud7ff\uf900-\ufaff\ufb07-\ufdff\ufe70-\ufefe\uff66-\uffdc\U00010000-\U0001efff\U00020000-\U0003ffff]")
+#: Names that say what stands beside or is missing.
+_BESIDE_NAME = re.compile(r"(?<![^\s_-])(?:with|without|has|no)[_-][\w]+", re.I)
+_HEADER_NAME = re.compile("header", re.I)
 
 GOOD, OPEN, BAD = 1, 0, -1
 #: Words under which a block is short; stop-word shares over and under which a longer one is decided; link share that ends it.
 SHORT, DENSE, SPARSE, LINKED = 10, 0.15, 0.05, 0.5
+#: Share of the words around it, and words, over which a named container is a wrapper.
+WRAPS, WRAPPED = 0.75, 30
 
 
 def _is_boiler(tag: str, attributes: str, inside_main: bool) -> bool:
+    """Boilerplate whatever it holds: by its element, or as hidden."""
     if tag in _BOILER or tag == "header" and not inside_main:
         return True
-    if not attributes:
-        return False
     for name, value in _ATTR.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role", "aria-label") and tag not in ("html", "body") and not (tag in _MAIN and name == "id") and _BOILER_NAME.search(value):
-            return True
     return False
 
 
+def _is_named(tag: str, attributes: str, inside_main: bool) -> bool:
+    """Boilerplate by its name or as a form, unless it is a wrapper.  In an article a header's name says no more than the element."""
+    if tag == "form":
+        return True
+    if tag in _MAIN or tag in ("html", "body"):
+        return False
+    for name, value in _ATTR.findall(attributes):
+        if name.lower() in ("class", "id", "role", "aria-label"):
+            value = _BESIDE_NAME.sub("", value.strip("\"'"))
+            if _BOILER_NAME.search(_HEADER_NAME.sub("", value) if inside_main else value):
+                return True
+    return False
+
+
+def _dropped(parents: list[int], mains: list[bool], own: list[int]) -> list[bool]:
+    """Which nodes (the page, its article and main elements and named containers, parents first) are boilerplate by name.
+
+    A named container is a wrapper if all articles with text around it are in it, or if it holds nearly all words around it
+    and no article stands beside it.
+    """
+    n = len(parents)
+    total, inner, count = list(own), [0] * n, [0] * n  # words; words and number of articles inside
+    for k in range(n - 1, 0, -1):
+        up = parents[k]
+        total[up] += total[k]
+        inner[up] += total[k] if mains[k] else inner[k]
+        count[up] += count[k] + mains[k]
+    out = [False] * n
+    for k in range(1, n):
+        up = parents[k]
+        if out[up] or mains[k]:
+            out[k] = out[up]
+        elif 0 < inner[k] == inner[up] and not (mains[up] and own[up] >= SHORT):
+            out[k] = False
+        else:
+            out[k] = count[k] != count[up] or total[k] < WRAPPED or total[k] <= WRAPS * total[up]
+    return out
+
+
 def _length(words: list[str]) -> int:
     text = " ".join(words)
     return len(words) if text.isascii() or not _UNSPACED.search(text) else len(_WORD.findall(text))
@@ -136,11 +178,12 @@ def _hidden(tokens: list[re.Match]) -> dict[int, tuple[int, bool]]:
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, int]]:
     """(text, words in links, words, heading, boilerplate container, main container or -1) of each block in page order."""
-    out: list[tuple[str, int, int, bool, bool, int]] = []
+    out: list[tuple[str, int, int, bool, bool, int, int]] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # open containers: tag, boilerplate, main container
-    anchor, heading, at, mains = 0, "", 0, 0
+    stack: list[tuple[str, bool, int, int]] = []  # open containers: tag, boilerplate, main container, node
+    parents, mains, own = [-1], [False], [0]  # of each node: its parent, whether it is a main container, words outside its nodes
+    anchor, heading, at = 0, "", 0
 
     def flush() -> None:
         nonlocal text, linked
@@ -148,8 +191,11 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, int]]:
             words = html.unescape("".join(text)).split()
             if words:
                 links = _length(html.unescape(" ".join(linked)).split()) if linked else 0
-                top = stack[-1] if stack else ("", False, -1)
-                out.append((" ".join(words), links, _length(words), bool(heading), top[1], top[2]))
+                n = _length(words)
+                _, boiler, main, node = stack[-1] if stack else ("", False, -1, 0)
+                out.append((" ".join(words), links, n, bool(heading), boiler, main, node))
+                if not boiler and links <= LINKED * n:
+                    own[node] += n
             text, linked = [], []
 
     tokens = list(_TOKEN.finditer(page))
@@ -197,18 +243,21 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, int]]:
                     if tag in _MAIN:  # an article ends what was left open before it
                         while stack and stack[-1][0] in ("nav", "header", "menu", "ul", "ol"):
                             stack.pop()
-                    above = stack[-1] if stack else ("", False, -1)
-                    main = above[2]
-                    boiler = above[1] or _is_boiler(tag, m.group(4), main >= 0)
-                    if tag in _MAIN and not boiler:
-                        mains += 1
-                        main = mains
-                    stack.append((tag, boiler, main))
+                    _, boiler, main, node = stack[-1] if stack else ("", False, -1, 0)
+                    boiler = boiler or _is_boiler(tag, m.group(4), main >= 0)
+                    if not boiler and (tag in _MAIN or _is_named(tag, m.group(4), main >= 0)):
+                        parents.append(node)
+                        mains.append(tag in _MAIN)
+                        own.append(0)
+                        node = len(parents) - 1
+                        main = node if tag in _MAIN else main
+                    stack.append((tag, boiler, main, node))
     tail = page[at:]
     cut = re.search(r"<[!/a-zA-Z?]", tail)  # a tag that never ends
     text.append(tail[: cut.start()] if cut else tail)
     flush()
-    return out
+    dropped = _dropped(parents, mains, own)
+    return [(*b[:4], b[4] or dropped[b[6]], b[5]) for b in out]
 
 
 def _stop_share(text: str, words: int) -> float | None:

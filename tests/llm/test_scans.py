@@ -151,3 +151,34 @@ def test_html_closed_hidden():
     for tag in ("noscript", "template", "select", "object"):
         assert H.extract(f"<div><{tag}><{tag}>{inside}</{tag}>{inside}</{tag}></div><article><p>So <{tag}>not</{tag}>it is.</p></article>") == "So it is."
     assert H.extract(f"<article><p>So it is.</p></article><script>{inside}") == "So it is."
+
+
+BEST = "It was the best of times, it was the worst of times, it was the age of wisdom."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<main class='content with-sidebar'>{}</main>",
+        "<article class='no-sidebar'>{}</article>",
+        "<article class='post sidebar-left menu' role=banner>{}</article>",
+        "<div class='page has-menu'><article>{}</article></div>",
+        "<div class='page menu'><nav>The menu</nav><article>{}</article><div class=comments><article>{}</article></div></div>",
+        "<form id=aspnetForm><article>{}</article></form>",
+        "<form id=aspnetForm><div>{}</div><div class=ad>It is of the kind that is not to be kept at all.</div></form>",
+        "<div class='layout widget'>{}</div>",
+        "<article><div class='body sidebar'>{}</div></article>",
+        "<article>{}</article><form><p>Send the form to us and we will be in touch with you.</p></form>",
+        "<article>{}</article><div class=related><article><p>This is of the kind that is not to be kept at all.</p></article></div>",
+        "<main>{}<div id=comments><article><p>I think that this is the best article of all that I have read.</p></article></div></main>",
+    ],
+)
+def test_html_wrappers(page):
+    text = f"<h1>A tale</h1><p>{BEST}</p><p>{BEST}</p><p>{BEST}</p>"
+    assert H.extract(page.format(text, text)) == f"A tale\n{BEST}\n{BEST}\n{BEST}"
+
+
+def test_html_header_in_article():
+    for head in ("header class=entry-header", "div class=entry-header"):
+        assert H.extract(f"<article><{head}><h1>A tale</h1></{head.split()[0]}><p>{BEST}</p></article>") == f"A tale\n{BEST}"
+    assert H.extract(f"<div class=cookie-notice>{BEST}</div>") == ""

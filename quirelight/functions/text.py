@@ -13,6 +13,9 @@ ELLIPSIS = "…"
 FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
 FOLD_MANY = {"ß": "ss", "æ": "ae", "œ": "oe"}
+# The other letters that a slug folds (apart, as the SQL of the query slug is made of the ones above).
+FOLD_MORE_FROM = "āćčēęěīńňøōūůłśšźżžřťď"
+FOLD_MORE_TO = "acceeeinnoouulsszzzrtd"
 
 # Entity shapes that stand as they are.
 REFERENCE = r"&(?![A-Za-z0-9]+;|#[0-9]+;|#[xX][0-9A-Fa-f]+;)"
@@ -75,7 +78,7 @@ def slug(text: Column, fallback: str = "untitled") -> Column:
     text = F.lower(text)
     for letter, plain in FOLD_MANY.items():
         text = F.replace(text, F.lit(letter), F.lit(plain))
-    text = F.translate(text, FOLD_FROM, FOLD_TO)
+    text = F.translate(text, FOLD_FROM + FOLD_MORE_FROM, FOLD_TO + FOLD_MORE_TO)
     text = F.regexp_replace(F.regexp_replace(text, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(text == "", F.lit(fallback)).otherwise(text)
 

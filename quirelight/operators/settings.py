@@ -13,7 +13,7 @@ from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelight.functions.text import FOLD_FROM, FOLD_MANY, FOLD_TO, LANGUAGE_TAG
+from quirelight.functions.text import FOLD_FROM, FOLD_MANY, FOLD_MORE_FROM, FOLD_MORE_TO, FOLD_TO, LANGUAGE_TAG
 
 # Known services (id, name, protocol, endpoint, variables that may hold the key, free tier, no key needed).
 SERVICES = [
@@ -140,7 +140,7 @@ def plain_slug(text: str, fallback: str = "translated") -> str:
     text = text.lower()
     for letter, plain in FOLD_MANY.items():
         text = text.replace(letter, plain)
-    return re.sub("[^a-z0-9]+", "-", text.translate(str.maketrans(FOLD_FROM, FOLD_TO))).strip("-") or fallback
+    return re.sub("[^a-z0-9]+", "-", text.translate(str.maketrans(FOLD_FROM + FOLD_MORE_FROM, FOLD_TO + FOLD_MORE_TO))).strip("-") or fallback
 
 
 def output_path(source: str, settings: Settings) -> Path:

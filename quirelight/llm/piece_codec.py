@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -82,7 +83,6 @@ class Model:
         words = -(-self.longest // 8)
         self.low = np.array([_words(self.bytes[i], words, 0) for i in ids], dtype=tb.U64)
         self.high = np.array([_words(self.bytes[i], words, 255) for i in ids], dtype=tb.U64)
-        self.pieces = {self.bytes[i]: (self.rank[i], i) for i in ids}
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the ids, the dummy prefix included."""
@@ -147,25 +147,34 @@ def edges(own: Model, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[order], piece[order]
 
 
-def _heap(own: Model, unit: bytes) -> list[int]:
-    """Ids of one long unit: the same merges from a heap."""
-    sym = [c.encode() for c in unit.decode()]
-    before, after = list(range(-1, len(sym) - 1)), [*range(1, len(sym)), -1]
+def _heap(own: Model, text: np.ndarray, place: np.ndarray, end: int, key: np.ndarray, piece: np.ndarray) -> list[int]:
+    """Ids of one long unit (places of its characters, its end): the same merges from a heap over its edges."""
+    lo, hi = np.searchsorted(key, (place[0] << 6, end << 6))
+    keys, ids = memoryview(np.ascontiguousarray(key[lo:hi])), piece[lo:hi]
+    rank = memoryview(own.rank[ids])
+    at, length = place.tolist(), np.diff(place, append=end).tolist()
+    before, after = list(range(-1, len(at) - 1)), [*range(1, len(at)), -1]
     heap: list[tuple[float, int, int]] = []
 
+    def edge(i: int, size: int) -> int:
+        """Index of the edge at a symbol, -1 if there is none."""
+        want = at[i] << 6 | size
+        k = bisect_left(keys, want) if size < 63 else len(keys)
+        return k if k < len(keys) and keys[k] == want else -1
+
     def push(i: int) -> None:
         j = after[i]
-        if j >= 0 and (found := own.pieces.get(sym[i] + sym[j])):
-            heapq.heappush(heap, (found[0], i, len(sym[i]) + len(sym[j])))
+        if j >= 0 and (k := edge(i, length[i] + length[j])) >= 0:
+            heapq.heappush(heap, (rank[k], i, length[i] + length[j]))
 
-    for i in range(len(sym)):
+    for i in range(len(at)):
         push(i)
     while heap:
         _, i, size = heapq.heappop(heap)
-        j = after[i] if sym[i] else -1
-        if j < 0 or len(sym[i]) + len(sym[j]) != size:
+        j = after[i] if length[i] else -1
+        if j < 0 or length[i] + length[j] != size:
             continue
-        sym[i], sym[j] = sym[i] + sym[j], b""
+        length[i], length[j] = size, 0
         after[i] = after[j]
         if after[j] >= 0:
             before[after[j]] = i
@@ -173,9 +182,10 @@ def _heap(own: Model, unit: bytes) -> list[int]:
         if before[i] >= 0:
             push(before[i])
     out: list[int] = []
-    for s in sym:
-        if s:
-            out += [own.pieces[s][1]] if s in own.pieces else [int(own.byte_id[b]) for b in s]
+    for i, size in enumerate(length):
+        if size:
+            k = edge(i, size)
+            out += [int(ids[k])] if k >= 0 else own.byte_id[text[at[i] : at[i] + size]].tolist()
     return out
 
 
@@ -256,9 +266,10 @@ def encode_units(own: Model, units: list[bytes]) -> tuple[np.ndarray, np.ndarray
     first = np.concatenate(([0], np.cumsum(total)))
     long = np.flatnonzero(per > _LONG)
     if len(long):
+        head_of = np.concatenate(([0], np.cumsum(per)))  # first character of each unit
         parts, at, new = [], 0, total.copy()
         for u in long.tolist():
-            own_ids = np.array(_heap(own, units[u]), dtype=np.int32)
+            own_ids = np.array(_heap(own, text, chars[head_of[u] : head_of[u + 1]], int(begin[u] + size[u]), key, piece), dtype=np.int32)
             parts += [ids[first[at] : first[u]], own_ids]
             new[u] = len(own_ids)
             at = u + 1

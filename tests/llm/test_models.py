@@ -64,6 +64,19 @@ def test_codec_equals_the_library():
         assert P.round_trips(own.model, ids, first, buf, off).all()
 
 
+def test_codec_long_units_from_edges(monkeypatch):
+    """Units of more than 64 characters are merged by the edges: without edges no piece is left, and no other table is read."""
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=P.MODEL), P.model(P.MODEL)
+    monkeypatch.setattr(own, "pieces", {}, raising=False)
+    rng = np.random.default_rng(1)
+    units = ["x" * 300, "short", "日本語の文章は空白なしで書かれる。" * 20, "é①" * 90] + ["".join(rng.choice(list("abcdetheinghan+/=AB09"), n)) for n in (65, 200, 5000)]
+    ids, first = P.encode_units(own, [f" {u}".encode() for u in units])
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == sp.encode(units)
+    monkeypatch.setattr(P, "edges", lambda own, text: (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)))
+    ids, _ = P.encode_units(own, [b"x" * 300])
+    assert ids.tolist() == [own.byte_id[ord("x")]] * 300
+
+
 def test_codec_messy(messy, empty):
     sp = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
     rows = P.encode(messy)

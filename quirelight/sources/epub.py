@@ -15,10 +15,11 @@ from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirelight.functions import markup
+from quirelight.functions import markup, text
+from quirelight.operators import ordered as O
 
 #: Uncompressed bytes of one container that are read at most; a larger one is refused as a whole.
 MOST_BYTES = 512 << 20
@@ -156,6 +157,32 @@ def chapters(found: DataFrame) -> DataFrame:
     return found.mapInPandas(run, CHAPTERS)
 
 
+def book_text(chapters: DataFrame, titles: DataFrame, span: int = 1024) -> DataFrame:
+    """Plain text of whole books in reading order: book_id, k, at (code points before), piece.
+
+    ``chapters``: book_id, k (from 0, once in a book), title (of the document), label (of the table of contents), body;
+    ``titles``: book_id, title, a row a book.  The pieces of a book by k, joined by nothing, are its text: the title
+    underlined (k -1), then every chapter that has a body, under its title or else its label, unless the body begins with
+    that.  Places are carried along blocks of ``span`` chapters, so a book is never gathered into one row.
+    """
+    ends = rf"^{text.SPACES}|{text.SPACES}$"
+    clean = lambda c: F.coalesce(F.regexp_replace(c, ends, ""), F.lit(""))
+    under = lambda c, line: F.concat(c, F.lit("\n"), F.repeat(F.lit(line), F.length(c)))
+    named = chapters.select("book_id", F.col("k").cast("long").alias("k"), clean(F.col("body")).alias("body"), clean(F.col("title")).alias("own"), clean(F.col("label")).alias("label"))
+    named = named.where("body <> ''").withColumn("name", F.when(F.col("own") != "", F.col("own")).otherwise(F.col("label")))
+    head = F.when((F.col("name") != "") & ~F.startswith("body", "name"), F.concat(under(F.col("name"), "-"), F.lit("\n\n"))).otherwise("")
+    rows = titles.where("title <> ''").select("book_id", F.lit(-1).cast("long").alias("k"), under(F.col("title"), "=").alias("piece"))
+    rows = rows.unionByName(named.select("book_id", "k", F.concat(head, "body").alias("piece"))).withColumns({O.BLOCK: F.floor(F.col("k") / span), "_size": F.length("piece").cast("long")})
+    by = ("book_id",)
+    sums = rows.groupBy(*by, O.BLOCK).agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum"))
+    before = lambda c: F.coalesce(F.sum(c).over(O.earlier(O.along(by))), F.lit(0))
+    carry = sums.select(*by, O.BLOCK, before("_n").alias("_n0"), before("_sum").alias("_sum0"), F.sum("_n").over(Window.partitionBy(*by)).alias("_all"))
+    placed = rows.withColumns({"_i": F.row_number().over(O.inside(by, "k")) - 1, "_own": F.coalesce(F.sum("_size").over(O.earlier(O.inside(by, "k"))), F.lit(0))})
+    nth = F.col("_n0") + F.col("_i")
+    piece = F.concat(F.when(nth > 0, "\n\n").otherwise(""), "piece", F.when(nth + 1 == F.col("_all"), "\n").otherwise(""))
+    return O.with_carry(placed, carry, by).select("book_id", "k", (F.col("_sum0") + F.col("_own") + 2 * F.greatest(nth - 1, F.lit(0))).alias("at"), piece.alias("piece"))
+
+
 def rebuilt(parts: DataFrame) -> DataFrame:
     """(book_id, content) of containers made of ``parts`` (book_id, ordinal, name, data)."""
 

@@ -59,3 +59,31 @@ def test_ranges(spec, want):
 def test_bad_ranges(spec):
     with pytest.raises(ValueError):
         parse_ranges(spec, 10)
+
+
+def plain(title, chapters):
+    """The reference's rule, one book after another."""
+    out = title and title + "\n" + "=" * len(title)
+    for own, label, body in chapters:
+        body = (body or "").strip()
+        if not body:
+            continue
+        out += "\n\n" if out else ""
+        name = (own or "").strip() or (label or "").strip()
+        out += f"{name}\n{'-' * len(name)}\n\n" if name and not body.startswith(name) else ""
+        out += body
+    return out and out + "\n"
+
+
+@pytest.mark.parametrize("span", [1, 3, 1024])
+def test_book_text(spark, span):
+    few = [("One", "First", "words é😀"), ("", "Label", " \u00a0body\n"), (None, None, "bare"), ("Two", "x", "Two begins"), ("T", "t", "  "), ("T", "t", None), ("é😀", "", "x")]
+    want = {"a": ("A tale é", few * 3), "b": ("", few[::-1]), "c": ("", [("T", "t", "")]), "d": ("Alone", []), "e": ("", few[4:])}
+    rows = [(b, k, *c) for b, (_, cs) in want.items() for k, c in enumerate(cs)]
+    chapters = spark.createDataFrame(rows, "book_id string, k int, title string, label string, body string").repartition(3)
+    titles = spark.createDataFrame([(b, t or None) for b, (t, _) in want.items()], "book_id string, title string")
+    got = dict.fromkeys(want, "")
+    for r in E.book_text(chapters, titles, span).orderBy("book_id", "k").collect():
+        assert r.at == len(got[r.book_id])
+        got[r.book_id] += r.piece
+    assert got == {b: plain(*w) for b, w in want.items()}

@@ -9,37 +9,48 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in local tests.
+#: Used only where the session names no checkpoint folder and all executors are threads of this process, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or the local fallback where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
+    """The cluster's shared folder; a local one only in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or LOCAL_FALLBACK
+
+
+def _path(spark: SparkSession, path: str):
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return made, made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at files any executor can read."""
+    """Write ``df`` to the shared folder and read it back: lineage ends at files any executor can read.
+
+    The table is deleted when the driver ends, or earlier by ``dropped``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quirelight-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made, store = _path(spark, path)
+    store.deleteOnExit(made)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; for files the size of what is read."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
+def dropped(table: DataFrame) -> None:
+    """Delete a table made by ``written`` that nothing will read again."""
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        made, store = _path(table.sparkSession, folder)
+        if made.getName().startswith("quirelight-"):
+            store.delete(made, True)
 
-def buckets_for(df: DataFrame, each: int, least: int = 16) -> int:
-    """Number of groups of about ``each`` bytes of input; it grows with the input.
 
-    Plans without statistics (local rows, results of Python stages) are measured by their texts.
-    """
-    size = size_in_bytes(df)
-    if size > 1 << 55:
-        size = df.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return max(least, -(-size // each))
+def buckets_for(df: DataFrame, *each: int, least: int = 16) -> list[int]:
+    """Numbers of groups of about ``each`` bytes of text, as measured; they grow with the input."""
+    size = df.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return [max(least, -(-size // n)) for n in each]
 
 
 def may_contain(ids: DataFrame, column: str, *, bits: int = 1 << 26) -> Column:

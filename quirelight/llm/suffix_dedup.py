@@ -7,20 +7,24 @@ id is removed.  Whole texts, all windows:
    grams.  A *piece* is a run of windows of one document with one smallest hash;
    equal windows always meet under the same hash.  Documents are dealt into
    groups; each group sends every hash once to the bucket of that hash and gets
-   back those that stand in several documents.
-2. Pieces under those hashes are compared by content.  Copies of a piece are
-   settled against the one of the smallest id, first inside the group, then in
-   the bucket; a passage that stands in a third of all documents costs one piece
-   a group.  Hashes with one content only are settled by that.
-3. The distinct contents that are left send their bytes.  In each bucket their
-   suffixes are sorted in two stages: suffixes smaller than their successors are
-   sorted directly, the others are induced by a scan over the buckets of first
-   bytes.  Adjacent common prefixes of 50 bytes or more give the groups of equal
-   windows, and the smallest id of a group decides.
+   back those that stand in several documents.  Hashes only choose candidates.
+2. Each group sends the bytes of its pieces under those hashes to the hash's
+   bucket, one of each content: copies inside a group are compared byte by byte
+   and settled against the one of the smallest id, so a passage that stands in a
+   third of all documents costs one piece a group.  A hash with more than ``hot``
+   contents (a short common line between different surroundings) is split: its
+   windows are sent one by one, each under the hash of its 50 bytes.
+3. In each bucket the suffixes of the distinct contents are sorted in two stages:
+   suffixes smaller than their successors are sorted directly, the others are
+   induced by a scan over the buckets of first bytes.  Adjacent common prefixes
+   of 50 bytes or more give the groups of equal windows, and the smallest id of a
+   group decides what the others lose.
 4. The lost byte runs go back to their documents.
 
 The texts are shuffled once, by a hash of the id (the exchange is reused by all
-steps); all other traffic is packed arrays.  Nothing reaches the driver.
+steps); all other traffic is packed arrays, and nothing reaches the driver.  The
+first exchange has a row for each group and bucket that meet, so never more than
+there are hashes; groups and buckets are counted from the bytes of the texts.
 
 Defined results: null and empty texts have no bytes; texts under 50 bytes lose
 nothing; a null id neither loses nor claims bytes; equal ids don't claim bytes
@@ -41,11 +45,12 @@ from . import textbytes as tb
 from .storage import buckets_for
 
 LENGTH, GRAM = 50, 16
-#: Input bytes for each group of documents and each bucket of hashes; their numbers follow the input.
-GROUP_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+#: Bytes of text for each group of documents and each bucket of hashes; their numbers follow the input.
+GROUP_BYTES, BUCKET_BYTES = 10 << 20, 10 << 20
+#: Contents under one hash, over all groups, from which its windows go one by one; contents a group counts from.
+HOT, COUNTED = 4096, 16
 _SORTED = 1 << 20  # bytes of pieces whose suffixes are sorted at once
 _SLICE = 1 << 19  # bytes of text whose windows are hashed at once
-_FINER = 4  # buckets of bytes for each bucket of hashes
 _SCHEMA = "bucket long, kind int, payload binary"
 
 
@@ -147,127 +152,149 @@ def _from_five(raw: np.ndarray) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def _contents(buf: np.ndarray, off: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each run; rows ascend."""
+    out = np.zeros(len(row), dtype=tb.U64)
+    for i, j in tb.slices(off):
+        lo, hi = np.searchsorted(row, (i, j))
+        begin = off[row[lo:hi]] - off[i] + start[lo:hi]
+        out[lo:hi] = tb.span_hash(tb.prefix(buf[off[i] : off[j]]), begin, begin + size[lo:hi])
+    return out
+
+
+def _heads(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, length) of the runs of equal neighbours."""
+    head = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, dtype=np.int64)
+    return head, np.diff(np.concatenate((head, [len(value)])))
+
+
 def _announce(buckets: int):
-    """Per group of documents and bucket: its hashes, first those of one document, then those of several."""
+    """Per group of documents and bucket: its hashes, first those of one document, then those of several; those of many contents also with their number."""
 
     def run(key, docs):
         buf, off = tb.flat(docs.column("text"))
-        hashed, doc, _, _ = pieces(buf, off)
+        hashed, doc, start, count = pieces(buf, off)
+        content = _contents(buf, off, doc, start, count + LENGTH - 1)
         rows = []
-        order = np.argsort(_bucket_of(hashed, buckets), kind="stable")
-        bounds = np.searchsorted(_bucket_of(hashed, buckets)[order], np.arange(buckets + 1))
-        for k in np.flatnonzero(np.diff(bounds)).tolist():
-            own = order[bounds[k] : bounds[k + 1]]
-            keys = (hashed[own] & _LOW) << tb.U64(24) | (doc[own] & 0xFFFFFF).astype(tb.U64)
-            keys.sort()
-            value = keys >> tb.U64(24)
-            head = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-            several = keys[head] != keys[np.concatenate((head[1:], [len(keys)])) - 1]
+        for k, own in _split(_bucket_of(hashed, buckets), buckets):
+            order = own[np.lexsort((doc[own], hashed[own] & _LOW))]
+            value = hashed[order] & _LOW
+            head, size = _heads(value)
+            several = doc[order[head]] != doc[order[head + size - 1]]
             one, two = value[head[~several]], value[head[several]]
-            rows.append((k, key[0].as_py(), np.int64(len(one)).tobytes() + _five(one) + _five(two)))
+            many = []
+            for at in np.flatnonzero(size > COUNTED).tolist():
+                n = len(np.unique(content[order[head[at] : head[at] + size[at]]]))
+                if n > COUNTED:
+                    many.append((int(value[head[at]]), n))
+            more = np.array(many, dtype=np.uint64).reshape(-1, 2)
+            rows.append((k, key[0].as_py(), np.array([len(one), len(two)], dtype=np.int64).tobytes() + _five(one) + _five(two) + more.tobytes()))
+        tb.release()
         cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
         return pa.table({"bucket": pa.array(cols[0], pa.int64()), "part": pa.array(cols[1], pa.int64()), "payload": pa.array(cols[2], pa.binary())})
 
     return run
 
 
-def _answer(key, table):
-    """Per bucket: to each group those of its hashes that stand in several documents."""
-    parts, hashed, flags = [], [], []
-    for part, payload in zip(table.column("part").to_pylist(), table.column("payload").to_pylist(), strict=True):
-        n = int(np.frombuffer(payload, dtype=np.int64, count=1)[0])
-        own = _from_five(np.frombuffer(payload, dtype=np.uint8, offset=8))
-        hashed.append(own)
-        parts.append(np.full(len(own), part, dtype=np.int64))
-        flags.append(np.arange(len(own)) >= n)
-    hashed, parts, flags = np.concatenate(hashed), np.concatenate(parts), np.concatenate(flags)
-    order = np.argsort(hashed, kind="stable")
-    value = hashed[order]
-    head = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-    size = np.diff(np.concatenate((head, [len(value)])))
-    several = (size > 1) | np.logical_or.reduceat(flags[order], head)  # a hash comes once from a group
-    keep = order[np.repeat(several, size)]
-    rows = []
-    by = keep[np.argsort(parts[keep], kind="stable")]
-    names, first = np.unique(parts[by], return_index=True)
-    for k, name in enumerate(names.tolist()):
-        own = by[first[k] : first[k + 1] if k + 1 < len(first) else None]
-        rows.append((name, np.int64(key[0].as_py()).tobytes() + _five(hashed[own])))
-    return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
-
-
-def _compare(buckets: int, groups: int):
-    """Per group: its pieces under repeated hashes, one of each content (kind 0); copies settled here (kind 2)."""
+def _answer(hot: int):
+    """Per bucket: to each group those of its hashes that stand in several documents, first the others, then the hot ones."""
+
+    def run(key, table):
+        parts, hashed, flags, counted = [], [], [], []
+        for part, payload in zip(table.column("part").to_pylist(), table.column("payload").to_pylist(), strict=True):
+            n, m = np.frombuffer(payload, dtype=np.int64, count=2).tolist()
+            own = _from_five(np.frombuffer(payload, dtype=np.uint8, offset=16, count=5 * (n + m)))
+            hashed.append(own)
+            parts.append(np.full(len(own), part, dtype=np.int64))
+            flags.append(np.arange(len(own)) >= n)
+            counted.append(np.frombuffer(payload, dtype=np.uint64, offset=16 + 5 * (n + m)).reshape(-1, 2))
+        hashed, parts, flags, counted = np.concatenate(hashed), np.concatenate(parts), np.concatenate(flags), np.concatenate(counted)
+        names, at = np.unique(counted[:, 0], return_inverse=True)
+        heavy = names[np.bincount(at, weights=counted[:, 1].astype(np.float64), minlength=len(names)) > hot]
+        order = np.argsort(hashed, kind="stable")
+        head, size = _heads(hashed[order])
+        several = (size > 1) | np.logical_or.reduceat(flags[order], head)  # a hash comes once from a group
+        keep = order[np.repeat(several, size)]
+        is_hot = np.isin(hashed[keep], heavy)
+        rows = []
+        for name in np.unique(parts[keep]).tolist():
+            own = parts[keep] == name
+            plain, split = hashed[keep[own & ~is_hot]], hashed[keep[own & is_hot]]
+            rows.append((name, np.array([key[0].as_py(), len(plain)], dtype=np.int64).tobytes() + _five(plain) + _five(split)))
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+    return run
+
+
+def _among(wanted: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return wanted[np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)] == low if len(wanted) else np.zeros(len(low), dtype=bool)
+
+
+def _equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the runs of ``size`` bytes at ``a`` and at ``b`` are the same, byte by byte."""
+    out = np.ones(len(a), dtype=bool)
+    step = np.cumsum(size)
+    lo = 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(step, (step[lo - 1] if lo else 0) + _SLICE, side="right")))
+        differs = raw[tb.ranges(a[lo:hi], size[lo:hi])] != raw[tb.ranges(b[lo:hi], size[lo:hi])]
+        out[lo:hi][np.repeat(np.arange(hi - lo), size[lo:hi])[differs]] = False
+        lo = hi
+    return out
+
+
+def _send(buckets: int, groups: int):
+    """Per group: its pieces under repeated hashes, one of each content with its bytes (kind 0); copies settled here (kind 2)."""
 
     def run(key, docs, answers):
         rows: list[tuple[int, int, bytes]] = []
-        repeated_by = [np.zeros(0, dtype=tb.U64) for _ in range(buckets)]
+        plain, split = ([np.zeros(0, dtype=tb.U64) for _ in range(buckets)] for _ in range(2))
         for payload in answers.column("payload").to_pylist():
-            repeated_by[int(np.frombuffer(payload, dtype=np.int64, count=1)[0])] = np.sort(_from_five(np.frombuffer(payload, dtype=np.uint8, offset=8)))
+            k, n = np.frombuffer(payload, dtype=np.int64, count=2).tolist()
+            own = _from_five(np.frombuffer(payload, dtype=np.uint8, offset=16))
+            plain[k], split[k] = np.sort(own[:n]), np.sort(own[n:])
         if docs.num_rows and answers.num_rows:
             ids = docs.column("doc_id").to_numpy().astype(np.int64)
             buf, off = tb.flat(docs.column("text"))
             hashed, row, start, count = pieces(buf, off)
-            bucket = _bucket_of(hashed, buckets)
-            keep = []
-            for k, at in _split(bucket, buckets):
-                wanted = repeated_by[k]
-                if len(wanted):
-                    low = hashed[at] & _LOW
-                    keep.append(at[wanted[np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)] == low])
-            keep = np.sort(np.concatenate(keep)) if keep else np.zeros(0, dtype=np.int64)
-            hashed, row, start, count, bucket = hashed[keep], row[keep], start[keep], count[keep], bucket[keep]
-            doc = ids[row]
-            content = np.zeros(len(keep), dtype=tb.U64)
-            for i, j in tb.slices(off):
-                lo, hi = np.searchsorted(row, (i, j))
-                begin = off[row[lo:hi]] - off[i] + start[lo:hi]
-                content[lo:hi] = tb.span_hash(tb.prefix(buf[off[i] : off[j]]), begin, begin + count[lo:hi] + LENGTH - 1)
-            if len(keep):
-                later, order = _later(content, doc)
-                gone, sent = order[later], order[~later]
-                rows += _spans(doc[gone], start[gone], start[gone] + count[gone] + LENGTH - 1, groups)
+            kept, hot = [], []
+            for k, at in _split(_bucket_of(hashed, buckets), buckets):
+                low = hashed[at] & _LOW
+                kept.append(at[_among(plain[k], low)])
+                hot.append(at[_among(split[k], low)])
+            kept, hot = (np.sort(np.concatenate(x)) if x else np.zeros(0, dtype=np.int64) for x in (kept, hot))
+            size = count + LENGTH - 1
+            if len(hot):  # window by window
+                first, n = start[hot], count[hot]
+                row, start = np.concatenate((row[kept], np.repeat(row[hot], n))), np.concatenate((start[kept], tb.ranges(first, n)))
+                size = np.concatenate((size[kept], np.full(len(row) - len(kept), LENGTH)))
+                windows = np.concatenate((np.zeros(len(kept), dtype=bool), np.ones(len(row) - len(kept), dtype=bool)))
+                hashed = np.concatenate((hashed[kept], np.zeros(len(row) - len(kept), dtype=tb.U64)))
+                order = np.argsort(row, kind="stable")
+                row, start, size, windows, hashed = row[order], start[order], size[order], windows[order], hashed[order]
+            else:
+                hashed, row, start, size = hashed[kept], row[kept], start[kept], size[kept]
+                windows = np.zeros(len(row), dtype=bool)
+            content = _contents(buf, off, row, start, size)
+            hashed = np.where(windows, tb.splitmix(content), hashed)
+            bucket, doc, place = _bucket_of(hashed, buckets), ids[row], off[row] + start
+            if len(row):
+                order = np.lexsort((doc, size, content))
+                same = np.concatenate(([False], (content[order][1:] == content[order][:-1]) & (size[order][1:] == size[order][:-1])))
+                lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+                later = same & (doc[order] > doc[lead])
+                later[later] = _equal(buf, place[order[later]], place[lead[later]], size[order[later]])
+                gone, sent = order[later], np.sort(order[~later])
+                rows += _spans(doc[gone], start[gone], start[gone] + size[gone], groups)
                 for k, at in _split(bucket[sent], buckets):
                     at = sent[at]
-                    rows.append((k, 0, _pack(content[at], doc[at], start[at].astype(np.int32), count[at].astype(np.uint8)) + _five(hashed[at])))
+                    rows.append((k, 0, _pack(doc[at], start[at].astype(np.int32), size[at].astype(np.uint16)) + _five(hashed[at]) + buf[tb.ranges(place[at], size[at])].tobytes()))
         tb.release()
         return pa.Table.from_batches([_batch(rows)])
 
     return run
 
 
-def _later(content: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(is not of the smallest id of its content, order): a document may hold its content several times."""
-    order = np.lexsort((doc, content))
-    same = np.concatenate(([False], content[order][1:] == content[order][:-1]))
-    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    return same & (doc[order] > doc[order][lead]), order
-
-
-def _fold(groups: int):
-    """Per bucket: copies are settled against the smallest id of their content; contents that share a hash ask for bytes (kind 3)."""
-
-    def run(key, table):
-        if key[0].as_py() < 0:  # settled runs pass through
-            return pa.table({"part": pa.array([-1 - key[0].as_py()] * table.num_rows, pa.int64()), "kind": table.column("kind").combine_chunks(), "payload": table.column("payload").combine_chunks()})
-        parts = [_unpack(p, np.uint64, np.int64, np.int32, np.uint8) for p in table.column("payload").to_pylist()]
-        content, doc, start, count = (np.concatenate([p[c] for p in parts]) for c in range(4))
-        hashed = np.concatenate([_from_five(p[4]) for p in parts])
-        start, count = start.astype(np.int64), count.astype(np.int64)
-        later, order = _later(content, doc)
-        gone, left = order[later], order[~later]
-        rows = _spans(doc[gone], start[gone], start[gone] + count[gone] + LENGTH - 1, groups)
-        left = left[np.argsort(hashed[left], kind="stable")]
-        head = np.flatnonzero(np.concatenate(([True], hashed[left][1:] != hashed[left][:-1])))
-        many = np.minimum.reduceat(content[left], head) != np.maximum.reduceat(content[left], head)
-        ask = left[np.repeat(many, np.diff(np.concatenate((head, [len(left)]))))]
-        out = [(-1 - k, kind, p) for k, kind, p in rows]
-        out += [(k, 3, _pack(doc[ask][at], start[ask][at].astype(np.int32), count[ask][at].astype(np.int32)) + _five(hashed[ask][at]) + np.int64(key[0].as_py()).tobytes()) for k, at in _split(_group_of(doc[ask], groups), groups)]
-        return pa.table({"part": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "payload": pa.array([r[2] for r in out], pa.binary())})
-
-    return run
-
-
 def _rows_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(ids, kind="stable")
     return order, ids[order]
@@ -279,30 +306,6 @@ def _expand(order: np.ndarray, sorted_ids: np.ndarray, doc: np.ndarray) -> tuple
     return np.repeat(np.arange(len(doc)), hi - lo), order[tb.ranges(lo, hi - lo)]
 
 
-def _cut(key, docs, wanted):
-    """Per group: the bytes of the pieces asked for (kind 0); settled runs pass on (kind 2)."""
-    part = key[0].as_py()
-    rows: list[tuple[int, int, bytes]] = []
-    ids = docs.column("doc_id").to_numpy().astype(np.int64)
-    buf, off = tb.flat(docs.column("text"))
-    by_id = _rows_of(ids)
-    for kind, payload in zip(wanted.column("kind").to_pylist(), wanted.column("payload").to_pylist(), strict=True):
-        if kind == 2:
-            rows.append((-1 - part, 2, payload))
-            continue
-        doc, start, count, rest = _unpack(payload, np.int64, np.int32, np.int32)
-        hashed, bucket = _from_five(rest[:-8]), int(np.frombuffer(rest[-8:].tobytes(), dtype=np.int64)[0])
-        index, row = _expand(*by_id, doc)
-        if not len(index):
-            continue
-        start, size = start[index].astype(np.int64), count[index].astype(np.int64) + LENGTH - 1
-        fits = start + size <= np.diff(off)[row]
-        index, row, start, size = index[fits], row[fits], start[fits], size[fits]
-        for k, at in _split((hashed[index] % tb.U64(_FINER)).astype(np.int64), _FINER):  # pieces of one hash stay together
-            rows.append((bucket * _FINER + k, 0, _pack(doc[index[at]], start[at].astype(np.int32), size[at].astype(np.int32)) + _five(hashed[index[at]]) + buf[tb.ranges(off[row[at]] + start[at], size[at])].tobytes()))
-    return pa.Table.from_batches([_batch(rows)])
-
-
 def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, groups: int) -> list[tuple[int, int, bytes]]:
     doc, start, end = tb.merge_intervals(doc, start, end)
     return [(-1 - k, 2, _pack(doc[at], start[at].astype(np.int32), end[at].astype(np.int32))) for k, at in _split(_group_of(doc, groups), groups)]
@@ -413,10 +416,13 @@ def repeated(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
 def _lost(doc: np.ndarray, start: np.ndarray, size: np.ndarray, raw: np.ndarray, groups: int) -> list[tuple[int, int, bytes]]:
     """Runs that documents lose to equal windows of other pieces: suffix sort, common prefixes, smallest ids."""
     begin = np.cumsum(size) - size
-    # distinct contents, each with its smallest id; sizes part contents that share a hash prefix
+    # distinct contents, each with its smallest id; equal by their bytes, not by a hash
     hashed = tb.span_hash(tb.prefix(raw), begin, begin + size)
     order = np.lexsort((doc, size, hashed))
-    new = np.concatenate(([True], (hashed[order][1:] != hashed[order][:-1]) | (size[order][1:] != size[order][:-1])))
+    same = np.concatenate(([False], (hashed[order][1:] == hashed[order][:-1]) & (size[order][1:] == size[order][:-1])))
+    at = np.flatnonzero(same)
+    same[at] = _equal(raw, begin[order[at]], begin[order[at - 1]], size[order[at]])
+    new = ~same
     content = np.empty(len(doc), dtype=np.int64)
     content[order] = np.cumsum(new) - 1
     lead = order[new]
@@ -448,7 +454,7 @@ def _judge(groups: int):
     def run(key, table):
         if key[0].as_py() < 0:
             return pa.table({"part": pa.array([-1 - key[0].as_py()] * table.num_rows, pa.int64()), "payload": table.column("payload").combine_chunks()})
-        parts = [_unpack(p, np.int64, np.int32, np.int32) for p in table.column("payload").to_pylist()]
+        parts = [_unpack(p, np.int64, np.int32, np.uint16) for p in table.column("payload").to_pylist()]
         doc, start, size = (np.concatenate([p[c] for p in parts]).astype(np.int64) for c in range(3))
         hashed = np.concatenate([_from_five(p[3][: 5 * len(p[0])]) for p in parts])
         raw = np.concatenate([p[3][5 * len(p[0]) :] for p in parts])
@@ -508,27 +514,24 @@ def _kept(buf: np.ndarray, off: np.ndarray, lost: dict[int, list[tuple[int, int]
     return out
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """``docs`` (doc_id, text, more) with the text that is left (whole characters only), n_bytes, spans (the lost byte runs) and kept (the bytes that stay)."""
     docs = docs.drop("part", "n_bytes", "spans", "kept")
     plain = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    done = _through(plain, _finish(plain.columns), f"{fields}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    done = _through(plain, _finish(plain.columns), f"{fields}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary", group_bytes, bucket_bytes, hot)
     text = F.coalesce("text", F.lit(""))
     none = plain.where("doc_id is null").withColumns({"text": text, "n_bytes": F.octet_length(text).cast("long"), "spans": F.array().cast("array<struct<start:bigint,end:bigint>>"), "kept": text.cast("binary")})
     return done.unionByName(none)
 
 
-def _through(docs: DataFrame, last, schema: str) -> DataFrame:
+def _through(docs: DataFrame, last, schema: str, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """All steps on the rows with an id; ``last`` gets each group's documents and lost runs."""
-    groups, buckets = buckets_for(docs, GROUP_BYTES), buckets_for(docs, BUCKET_BYTES)
-    placed = docs.where("doc_id is not null").withColumn("part", _group_column(groups))
-    grouped = placed.groupBy("part")
-    answers = grouped.applyInArrow(_announce(buckets), "bucket long, part long, payload binary").groupBy("bucket").applyInArrow(_answer, "part long, payload binary")
-    compared = grouped.cogroup(answers.groupBy("part")).applyInArrow(_compare(buckets, groups), _SCHEMA)
-    folded = compared.groupBy("bucket").applyInArrow(_fold(groups), "part long, kind int, payload binary")
-    cut = grouped.cogroup(folded.groupBy("part")).applyInArrow(_cut, _SCHEMA)
-    spans = cut.groupBy("bucket").applyInArrow(_judge(groups), "part long, payload binary")
+    groups, buckets = buckets_for(docs, group_bytes, bucket_bytes)
+    grouped = docs.where("doc_id is not null").withColumn("part", _group_column(groups)).groupBy("part")
+    answers = grouped.applyInArrow(_announce(buckets), "bucket long, part long, payload binary").groupBy("bucket").applyInArrow(_answer(hot), "part long, payload binary")
+    sent = grouped.cogroup(answers.groupBy("part")).applyInArrow(_send(buckets, groups), _SCHEMA)
+    spans = sent.groupBy("bucket").applyInArrow(_judge(groups), "part long, payload binary")
     return grouped.cogroup(spans.groupBy("part")).applyInArrow(last, schema)
 
 

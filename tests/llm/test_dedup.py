@@ -80,6 +80,30 @@ def test_repeats_of_one_byte(spark):
     assert got == S.brute_force(rows)
 
 
+def test_repeats_of_a_hot_gram(spark):
+    """One short line between many surroundings: a hash with many contents is split by windows, whatever the bound."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    line, shared = "=" * 24, [" ".join(word() for _ in range(12)) for _ in range(4)]
+    rows = [(i, "\n".join([" ".join(word() for _ in range(3)), line, " ".join(word() for _ in range(3)), shared[i % 4][: 30 + i % 50], line, line + line])) for i in range(300)]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), S.brute_force(rows)
+    for hot in (S.HOT, 40, 0):
+        done = S._through(docs, S._digest_group, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", 4096, 2048, hot)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in done.collect()} == want
+
+
+def test_equal_hashes_are_no_copies(monkeypatch):
+    """Contents count as equal by their bytes: with a hash that is the same for all, nothing is lost wrongly."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(S.tb, "span_hash", lambda sums, start, end: np.zeros(len(start), dtype=np.uint64))
+    texts = [chr(97 + i) * 60 for i in range(5)] + ["c" * 60]
+    raw = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    lost = S._lost(np.arange(6), np.zeros(6, dtype=np.int64), np.full(6, 60), raw, 1)
+    doc, start, end, _ = S._unpack(lost[0][2], np.int64, np.int32, np.int32)
+    assert pa.array(doc).to_pylist() == [5] and (start[0], end[0]) == (0, 60)
+
+
 @pytest.mark.parametrize("n,letters", [(1, 3), (40, 1), (60, 2), (500, 3), (2000, 200)])
 def test_suffix_array(n, letters):
     rng = np.random.default_rng(n)

@@ -81,5 +81,4 @@ ORACLE_SQL: dict[str, str] = {
     "op4_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op5_benchmark_decontamination": oracles.DECONTAMINATION,
     "op7_suffix_array_dedup": oracles.REPEATED_BYTES,
-    "op9_nearest_neighbours": op9.ORACLE,
 }

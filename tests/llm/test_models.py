@@ -97,24 +97,63 @@ def test_language(spark, messy, empty):
     assert {r.lang_pred for r in L.digest(unlabelled).collect()} == {"und"}
 
 
-def test_neighbours(spark):
+def _recall(out, want):
+    hit = sum(len({i for _, i in near} & {r.vec_id for r in out if r.query_id == q}) for q, near in want.items())
+    return hit / max(1, sum(len(near) for near in want.values()))
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_neighbours_recall(spark, sf_dir):
+    """Recall against brute force, exact scores, and the share of rows that the index retrieves."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    out, want = R.QUERIES["op9_nearest_neighbours"](spark, sf_dir).collect(), A.brute_force(rows)
+    assert {r.query_id for r in out} == set(want) and _recall(out, want) >= 0.9
+    vectors = {i: np.array(v, dtype=np.float64) for i, v in rows}
+    for r in out:
+        assert r.score == float(np.sqrt(np.cumsum((vectors[r.query_id] - vectors[r.vec_id]) ** 2)[-1])) and r.n_candidates < 0.7 * len(rows)
+    assert all(sorted(r["rank"] for r in out if r.query_id == q) == list(range(1, 11)) for q in want)
+
+
+def test_neighbours_messy(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=16).round(3).tolist()) for i in range(400)]
-    rows += [(500, [float("nan")] * 16), (600, [0.0] * 16), (700, None), (800, [1.0, None] * 8), (900, [1.0] * 3), (None, [1.0] * 16), (1000, rows[0][1]), (1001, rows[0][1]), (0, rows[0][1])]
-    out = A.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    good = [(i, np.array(v)) for i, v in rows if i is not None and i not in (500, 600, 700, 800, 900)]
-    assert {r.query_id for r in out} == {0, 100, 200, 300, 1000}
-    hit = total = 0
-    for q, x in {i: v for i, v in good if i % 100 == 0}.items():
-        want = sorted((float(np.sqrt(((v - x) ** 2).sum())), i) for i, v in good if i != q)[:10]
-        got = sorted((r["rank"], r.vec_id) for r in out if r.query_id == q)
-        assert [k for k, _ in got] == list(range(1, 11))
-        hit += len({i for _, i in want} & {i for _, i in got})
-        total += 10
-    assert hit >= 0.9 * total
+    rows += [(500, [float("nan")] * 16), (600, [0.0] * 16), (700, None), (800, [1.0, None] * 8), (900, [1.0] * 3), (None, [1.0] * 16), (1000, rows[0][1]), (1001, rows[0][1]), (0, rows[0][1]), (100, rows[7][1])]
+    rows += [(2000 + i, rows[3][1]) for i in range(150)]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, node string, rank int")
+    out, want = A.nearest(table).collect(), A.brute_force(rows)
+    assert {r.query_id for r in out} == {0, 100, 200, 300, 1000, 2000, 2100} == set(want) and _recall(out, want) >= 0.9
+    assert {(r["rank"], r.vec_id, r.score) for r in out if r.query_id == 2100} == {(i + 1, [3, *range(2000, 2150)][i], 0.0) for i in range(10)}  # ties to smaller ids
+    assert sorted(map(tuple, A.nearest(table).collect())) == sorted(map(tuple, out))  # an id with two vectors has one defined result
     assert A.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-    few = A.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")).collect()
-    assert [(r.query_id, r["rank"], r.vec_id) for r in few] == [(0, 1, 1)]
+    few = A.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in few] == [(0, 1, 2), (0, 2, 1)]
+
+
+@pytest.mark.parametrize("ranged", [0, 3])
+def test_directories_hold_the_ball(ranged):
+    """Every code within ``parts * (reach + 1) - 1`` bits is retrieved, and nothing but rows that share a ball."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 12))
+    mean, projection = A.fit(x, 40)
+    learned = A.Learned(mean, projection, 10, 4, 2)
+    shared = type("B", (), {"value": learned})()
+    column = lambda v: pa.array(v.tolist(), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), column(x)], names=["node", "embedding"])
+    asked = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(np.zeros(20, dtype=np.int64)), column(x[:20] + 0.05)], names=["query_id", "query_block", "embedding"])
+    posted = pa.Table.from_batches([*A._posted(shared, ranged, 0)([batch]), *A._posted(shared, ranged, 1)([asked])])
+    got = set()
+    for d in set(posted.column("directory").to_pylist()):
+        for block, _, _, payload in zip(*A._looked_up(shared, ranged, 3)((pa.scalar(d),), posted.filter(pa.array([v == d for v in posted.column("directory").to_pylist()]))).to_pydict().values()):
+            q, r = A._unpack([payload], np.int64, np.int64)
+            assert (r % 3 == block).all()
+            got |= set(zip(q.tolist(), r.tolist()))
+    own, other = learned.values(x), learned.values(x[:20] + 0.05)
+    apart = np.bitwise_count(own[None] ^ other[:, None])
+    assert got == {(int(q), int(r)) for q, r in zip(*np.nonzero((apart <= 2).any(axis=2)))}
+    assert {(int(q), int(r)) for q, r in zip(*np.nonzero(apart.sum(axis=2) <= 4 * 3 - 1))} <= got
 
 
 def test_pipeline(spark, sf):

@@ -7,15 +7,20 @@ density, by stop-word density and by length.  Stop words decide only where they
 fit: not in a block of another script, nor on a page whose longer blocks are
 mostly without them; there length alone decides.  Length is counted in words,
 and in scripts without spaces in groups of letters.  Blocks that are too short or
-too plain to decide stay open.  Pass two keeps open blocks inside an article or
-main element and gives others the label of the nearest decided neighbours; where
-two at the same distance differ, or none is decided, they go (a heading follows
-what comes after it, but for one short linked line such as a byline).
+too plain to decide stay open.  Inside an article or main element a linked block
+is part of the text, unless it belongs to a list of links.  Pass two keeps open
+blocks inside an article or main element and gives others the label of the
+nearest decided neighbours; where two at the same distance differ, or none is
+decided, they go (a heading follows what comes after it, but for one short linked
+line such as a byline).
 
 Defined results: null and empty html give an empty text; broken markup is read
 as far as it goes (unclosed elements end with their parents, an unclosed script,
-style, textarea or comment ends the page, another unclosed element without text
-of the page ends before the next block element); repeated rows keep their row.
+style, textarea or comment or a tag without its ">" ends the page, another
+unclosed element without text of the page ends before the next block element, a
+quote that is never closed counts for nothing); very long and hostile pages take
+time in proportion to their length; repeated rows keep their row; an empty table
+gives no rows; columns named text or n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,15 +52,18 @@ che di e gli il nel non per più sono da do em não os ao uma das dos
 """.split())
 
 #: Elements whose content is no text of the page: read up to their end tags as plain characters, and others.
-_RAW = "script|style|textarea"
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea")}
 _HIDDEN = frozenset("noscript template svg math iframe object canvas select button title video audio datalist".split())
 #: Of those, the ones that may close themselves.
 _FOREIGN = frozenset("svg math".split())
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: A tag with quoted values, and one that ends at the first ">" whatever its quotes; neither pattern backtracks.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][\w:-]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>""")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)([^>]*+)>")
+#: References to characters whose numbers are too long for any character, and leading zeros of others.
+_LONG_REFERENCE = re.compile(r"&#(?:0*+[1-9][0-9]{7,}|[xX]0*+[1-9a-fA-F][0-9a-fA-F]{7,});?")
+_ZEROS = re.compile(r"&#([xX]?)0++(?=[0-9a-fA-F])")
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+_LIST = frozenset("ul ol menu dl".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are tracked as containers.
 _CONTAINER = frozenset("address article aside blockquote body details dialog div dl fieldset figure footer form header html main menu nav ol section table td ul".split())
@@ -139,7 +148,65 @@ def _length(words: list[str]) -> int:
     return len(words) if text.isascii() or not _UNSPACED.search(text) else len(_WORD.findall(text))
 
 
-def _hidden(tokens: list[re.Match]) -> dict[int, tuple[int, bool]]:
+def decoded(text: str) -> str:
+    """``text`` with its character references decoded; numbers beyond all characters are U+FFFD."""
+    if "&#" in text:
+        text = _ZEROS.sub(r"&#\1", _LONG_REFERENCE.sub("\ufffd", text))
+    return html.unescape(text)
+
+
+class Token(NamedTuple):
+    start: int
+    end: int
+    tag: str  # lower-cased; empty for comments and declarations, "[" for character data sections
+    closing: bool = False
+    attributes: str = ""
+
+
+def scan(page: str) -> tuple[list[Token], int]:
+    """(tokens, end of the text) of a page, in time that grows with its length.
+
+    Once a tag has an open quote up to the page's end, tags end at the next ">".
+    A tag that never ends, an open comment and an open script end the page.
+    """
+    out: list[Token] = []
+    pattern, at, n = _TAG, 0, len(page)
+    while (i := page.find("<", at)) >= 0:
+        follows = page[i + 1 : i + 3]
+        if follows[:1] in ("!", "?"):
+            if page.startswith("<!--", i):
+                end, size, tag = page.find("-->", i + 2), 3, ""
+            elif page.startswith("<![CDATA[", i):
+                end, size, tag = page.find("]]>", i + 9), 3, "["
+            else:
+                end, size, tag = page.find(">", i), 1, ""
+                if end < 0:
+                    return out, i
+            at = end + size if end >= 0 else n
+            out.append(Token(i, at, tag))
+            continue
+        name = follows[1:] if follows[:1] == "/" else follows[:1]
+        if not (name.isascii() and name.isalpha()):
+            at = i + 1
+            continue
+        m = pattern.match(page, i)
+        if m is None and pattern is _TAG:
+            pattern = _PLAIN_TAG
+            m = pattern.match(page, i)
+        if m is None:
+            return out, i
+        tag, closing, at = m.group(2).lower(), bool(m.group(1)), m.end()
+        if tag in _RAW and not closing:
+            close = _RAW[tag].search(page, at)
+            end = page.find(">", close.end()) if close else -1
+            at = end + 1 if end >= 0 else n
+            out.append(Token(i, at, ""))
+            continue
+        out.append(Token(i, at, tag, closing, m.group(3)))
+    return out, n
+
+
+def _hidden(tokens: list[Token]) -> dict[int, tuple[int, bool]]:
     """For each token that opens a hidden element: the token at which that ends, and whether that is its end tag.
 
     An end tag counts within the containers it stands in; without one the element ends before the next block element.
@@ -148,13 +215,13 @@ def _hidden(tokens: list[re.Match]) -> dict[int, tuple[int, bool]]:
     opened: list[tuple[str, int]] = []
     depth: Counter[str] = Counter()
     starts, edges = [], []
-    for i, m in enumerate(tokens):
-        tag = (m.group(3) or "").lower()
+    for i, token in enumerate(tokens):
+        tag = token.tag
         if tag in _BLOCK:
             edges.append(i)
         if tag not in _HIDDEN and tag not in _CONTAINER:
             continue
-        if m.group(2):
+        if token.closing:
             while depth[tag]:
                 last, start = opened.pop()
                 depth[last] -= 1
@@ -162,7 +229,7 @@ def _hidden(tokens: list[re.Match]) -> dict[int, tuple[int, bool]]:
                     if tag in _HIDDEN:
                         ends[start] = i, True
                     break
-        elif tag in _HIDDEN and tag not in _FOREIGN or not _VOID.search(m.group(4)):
+        elif tag in _HIDDEN and tag not in _FOREIGN or not _VOID.search(token.attributes):
             opened.append((tag, i))
             depth[tag] += 1
             if tag in _HIDDEN:
@@ -176,88 +243,114 @@ def _hidden(tokens: list[re.Match]) -> dict[int, tuple[int, bool]]:
     return ends
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, int]]:
-    """(text, words in links, words, heading, boilerplate container, main container or -1) of each block in page order."""
-    out: list[tuple[str, int, int, bool, bool, int, int]] = []
+class Block(NamedTuple):
+    text: str
+    links: int  # words in links
+    words: int
+    heading: bool
+    boiler: bool  # in a boilerplate container
+    main: int  # article or main container, -1 outside
+    listed: int  # innermost list, -1 outside
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks in page order."""
+    out: list[tuple[Block, int]] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int, int]] = []  # open containers: tag, boilerplate, main container, node
+    stack: list[tuple[str, bool, int, int, int]] = []  # open containers: tag, boilerplate, main container, node, list
+    opened: Counter[str] = Counter()  # their tags
     parents, mains, own = [-1], [False], [0]  # of each node: its parent, whether it is a main container, words outside its nodes
-    anchor, heading, at = 0, "", 0
+    anchor, anchored, heading, lists, at = 0, 0, "", 0, 0  # anchor 1: a link in the text, 2: a link around blocks that ends with ``anchored`` containers
 
     def flush() -> None:
         nonlocal text, linked
         if text:
-            words = html.unescape("".join(text)).split()
+            words = decoded("".join(text)).split()
             if words:
-                links = _length(html.unescape(" ".join(linked)).split()) if linked else 0
+                links = _length(decoded(" ".join(linked)).split()) if linked else 0
                 n = _length(words)
-                _, boiler, main, node = stack[-1] if stack else ("", False, -1, 0)
-                out.append((" ".join(words), links, n, bool(heading), boiler, main, node))
+                _, boiler, main, node, listed = stack[-1] if stack else ("", False, -1, 0, -1)
+                out.append((Block(" ".join(words), links, n, bool(heading), boiler, main, listed), node))
                 if not boiler and links <= LINKED * n:
                     own[node] += n
             text, linked = [], []
 
-    tokens = list(_TOKEN.finditer(page))
+    def closed(down_to: int) -> None:
+        nonlocal anchor
+        for tag, *_ in stack[down_to:]:
+            opened[tag] -= 1
+        del stack[down_to:]
+        if anchor == 2 and len(stack) < anchored:
+            anchor = 0
+
+    tokens, stop = scan(page)
     hidden = _hidden(tokens)
     resume = 0  # the token after a hidden element
-    for i, m in enumerate(tokens):
+    for i, token in enumerate(tokens):
         if i < resume:
             continue
-        if m.start() > at:
-            piece = page[at : m.start()]
+        if token.start > at:
+            piece = page[at : token.start]
             text.append(piece)
             if anchor:
                 linked.append(piece)
-        at = m.end()
+        at = token.end
         if i in hidden:
-            end, closed = hidden[i]
-            resume = end + closed
-            at = tokens[end].end() if closed else tokens[end].start() if end < len(tokens) else len(page)
-            continue
-        tag = m.group(3)
-        if tag is None:
-            if m.group(0).startswith("<![CDATA["):
-                text.append(html.escape(m.group(0)[9:-3]))
+            end, whole = hidden[i]
+            resume = end + whole
+            at = tokens[end].end if whole else tokens[end].start if end < len(tokens) else stop
             continue
-        tag = tag.lower()
-        closing = bool(m.group(2))
-        if tag == "a":
-            anchor = 0 if closing else 1
-        elif tag == "br" or tag == "img" or tag == "wbr":
-            text.append(" " if tag == "br" else "")
+        tag, closing = token.tag, token.closing
+        if tag == "[":
+            text.append(html.escape(page[token.start + 9 : token.end - 3]))
+        elif tag == "a":
+            anchor, anchored = 0 if closing else 1, len(stack)
+        elif tag == "br":
+            text.append(" ")
         elif tag in _BLOCK:
+            if anchor == 1:  # around the block if nothing of the link came before it, else not closed
+                anchor = 0 if closing or any(p.strip() for p in linked[-1:]) else 2
             flush()
-            anchor = 0
             if tag in _HEADING:
                 heading = "" if closing else tag
             elif not closing:
                 heading = ""
             if tag in _CONTAINER:
                 if closing:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == tag:
-                            del stack[k:]
-                            break
-                elif not _VOID.search(m.group(4)):
+                    if opened[tag]:
+                        closed(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
+                elif not _VOID.search(token.attributes):
                     if tag in _MAIN:  # an article ends what was left open before it
-                        while stack and stack[-1][0] in ("nav", "header", "menu", "ul", "ol"):
-                            stack.pop()
-                    _, boiler, main, node = stack[-1] if stack else ("", False, -1, 0)
-                    boiler = boiler or _is_boiler(tag, m.group(4), main >= 0)
-                    if not boiler and (tag in _MAIN or _is_named(tag, m.group(4), main >= 0)):
+                        keep = len(stack)
+                        while keep and stack[keep - 1][0] in ("nav", "header", "menu", "ul", "ol"):
+                            keep -= 1
+                        closed(keep)
+                    _, boiler, main, node, listed = stack[-1] if stack else ("", False, -1, 0, -1)
+                    boiler = boiler or _is_boiler(tag, token.attributes, main >= 0)
+                    if not boiler and (tag in _MAIN or _is_named(tag, token.attributes, main >= 0)):
                         parents.append(node)
                         mains.append(tag in _MAIN)
                         own.append(0)
                         node = len(parents) - 1
                         main = node if tag in _MAIN else main
-                    stack.append((tag, boiler, main, node))
-    tail = page[at:]
-    cut = re.search(r"<[!/a-zA-Z?]", tail)  # a tag that never ends
-    text.append(tail[: cut.start()] if cut else tail)
+                    if tag in _LIST:
+                        listed, lists = lists, lists + 1
+                    opened[tag] += 1
+                    stack.append((tag, boiler, main, node, listed))
+    text.append(page[at:stop])
     flush()
     dropped = _dropped(parents, mains, own)
-    return [(*b[:4], b[4] or dropped[b[6]], b[5]) for b in out]
+    return [b._replace(boiler=b.boiler or dropped[node]) for b, node in out]
+
+
+def _menus(found: list[Block]) -> set[int]:
+    """Lists of two or more blocks that are links and nothing else."""
+    all_links: dict[int, list[bool]] = {}
+    for b in found:
+        if b.listed >= 0:
+            all_links.setdefault(b.listed, []).append(b.links > LINKED * b.words)
+    return {k for k, linked in all_links.items() if len(linked) > 1 and all(linked)}
 
 
 def _stop_share(text: str, words: int) -> float | None:
@@ -267,19 +360,20 @@ def _stop_share(text: str, words: int) -> float | None:
     return sum(w.strip(".,;:!?%&*#$\"'()[]-…").lower() in STOP_WORDS for w in text.split()) / words
 
 
-def classify(found: list[tuple[str, int, int, bool, bool, int]]) -> list[int]:
+def classify(found: list[Block]) -> list[int]:
     """Labels of the blocks after both passes."""
-    labels, shares = [], {}
-    for i, (text, links, words, _, boiler, _) in enumerate(found):
-        labels.append(BAD if boiler or links > LINKED * words else OPEN)
-        if not labels[i] and words >= SHORT:
-            shares[i] = _stop_share(text, words)
+    labels, shares, menus = [], {}, _menus(found)
+    for i, b in enumerate(found):
+        dense = b.links > LINKED * b.words
+        labels.append(BAD if b.boiler or dense and (b.main < 0 or b.listed in menus) else OPEN)
+        if not labels[i] and not dense and b.words >= SHORT:
+            shares[i] = _stop_share(b.text, b.words)
     judged = [i for i, share in shares.items() if share is not None]
-    fits = 2 * sum(found[i][2] for i in judged if shares[i] >= DENSE) > sum(found[i][2] for i in judged)
+    fits = 2 * sum(found[i].words for i in judged if shares[i] >= DENSE) > sum(found[i].words for i in judged)
     for i, share in shares.items():
         if share is None or not fits or share >= DENSE:
             labels[i] = GOOD
-        elif share < SPARSE and found[i][5] < 0:
+        elif share < SPARSE and found[i].main < 0:
             labels[i] = BAD
     final = list(labels)
     n = len(found)
@@ -287,19 +381,19 @@ def classify(found: list[tuple[str, int, int, bool, bool, int]]) -> list[int]:
     last = -1
     for i in range(n):
         before[i] = last
-        if labels[i] and not found[i][4] and found[i][5] < 0:
+        if labels[i] and not found[i].boiler and found[i].main < 0:
             last = i
     last = -1
     for i in range(n - 1, -1, -1):
         after[i] = last
-        if labels[i] and not found[i][4] and found[i][5] < 0:
+        if labels[i] and not found[i].boiler and found[i].main < 0:
             last = i
     for i in range(n):
         if labels[i] == OPEN:
             a, b = before[i], after[i]
-            if found[i][3] and b >= 0 and found[b][2] < SHORT and labels[b] == BAD and after[b] >= 0 and labels[after[b]] == GOOD:
+            if found[i].heading and b >= 0 and found[b].words < SHORT and labels[b] == BAD and after[b] >= 0 and labels[after[b]] == GOOD:
                 b = after[b]  # past a byline
-            if found[i][5] >= 0:
+            if found[i].main >= 0:
                 final[i] = GOOD
             elif a < 0 and b < 0:
                 final[i] = BAD
@@ -307,7 +401,7 @@ def classify(found: list[tuple[str, int, int, bool, bool, int]]) -> list[int]:
                 final[i] = labels[max(a, b)]
             elif labels[a] == labels[b]:
                 final[i] = labels[a]
-            elif found[i][3]:
+            elif found[i].heading:
                 final[i] = labels[b]
             elif i - a != b - i:
                 final[i] = labels[a] if i - a < b - i else labels[b]
@@ -321,7 +415,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    return "\n".join(b[0] for b, label in zip(found, classify(found), strict=True) if label == GOOD)
+    return "\n".join(b.text for b, label in zip(found, classify(found), strict=True) if label == GOOD)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

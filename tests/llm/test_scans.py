@@ -1,6 +1,8 @@
 """License scan, decontamination, HTML extraction against brute force."""
 
 import re
+import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -98,6 +100,8 @@ def test_html_table(spark, sf):
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count() and all(r.n_chars == len(r.text) for r in rows)
     clash = spark.createDataFrame([(1, "u", None, "old"), (None, None, "<p>x", "old")], "page_id long, url string, html string, text string")
     assert {r.page_id: r.text for r in H.extract_pages(clash).collect()} == {1: "", None: ""}
+    none = H.digest(clash.where("page_id = -1"))
+    assert none.count() == 0 and none.columns == ["page_id", "url", "text", "n_chars"]
 
 
 PROSE = {
@@ -114,14 +118,15 @@ def test_html_other_languages(lang):
     text = PROSE[lang]
     body, links = f"<p>{text}</p><p>{text} <a href=x>2024</a></p>", "<p><a href=x>source</a></p>"
     assert H.extract(f"<div><a href=x>{text}</a></div><div>{body}</div>").split("\n") == [text, text + " 2024"]
-    assert H.extract(f"<article>{body}{links}<p>2024.</p>{links}</article>").split("\n") == [text, text + " 2024", "2024."]
+    assert H.extract(f"<article>{body}{links}<p>2024.</p>{links}</article>").split("\n") == [text, text + " 2024", "source", "2024.", "source"]
     assert H.extract(f"<nav>{text}</nav><footer>{text}</footer>") == ""
 
 
 def test_html_headline_before_byline():
     text = "It was the best of times, it was the worst of times, it was the age of wisdom."
     page = f"<h1>A tale</h1><p><a href=x>By the author</a></p><p>{text}</p>"
-    assert H.extract(f"<article>{page}</article>") == H.extract(f"<div>{page}</div>") == f"A tale\n{text}"
+    assert H.extract(f"<article>{page}</article>") == f"A tale\nBy the author\n{text}"  # in an article a linked line is text
+    assert H.extract(f"<div>{page}</div>") == f"A tale\n{text}"
 
 
 @pytest.mark.parametrize(
@@ -178,6 +183,86 @@ def test_html_wrappers(page):
     assert H.extract(page.format(text, text)) == f"A tale\n{BEST}\n{BEST}\n{BEST}"
 
 
+def test_html_links_in_article():
+    """A linked paragraph is text of the article; a list of links is a menu; a link may stand around blocks."""
+    rest = f"<p>{BEST}</p>"
+    assert H.extract(f"<article>{rest}<p><a href=x>{BEST}</a></p><ul><li>{BEST}<li><a href=x>one</a></ul></article>").split("\n") == [BEST, BEST, BEST, "one"]
+    assert H.extract(f"<article>{rest}<ul><li><a href=x>one</a><li><a href=y>two</a></ul></article>") == BEST
+    assert H.extract(f"<article>{rest}<a href=x><h2>A tale</h2><p>More of it.</p></a></article>").split("\n") == [BEST, "A tale", "More of it."]
+    around = "".join(f"<div><a href=x><h3>The next one of them</h3><p>This is the teaser of the page and it is as long as it has to be.</p></a></div>" for _ in range(2))
+    assert H.extract(f"<div>{rest}{rest}</div>{around}") == f"{BEST}\n{BEST}"
+    assert H.extract(f"<div><p><a href=x>See it<p>{BEST}<p>{BEST}</div>") == f"{BEST}\n{BEST}"  # a link that is not closed ends with its paragraph
+
+
+def test_html_quotes_and_references():
+    for page in (f'<article><p title="it>{BEST}</p></article>', f"<article><p class=a'b>{BEST}</p></article>", f"<!--><article><p title='a>b'>{BEST}</p></article>", f"<article><p>{BEST}</p><p"):
+        assert H.extract(page) == BEST
+    assert H.extract(f"<article><p>{BEST} &#{'9' * 9000}; &#{'0' * 9000}65; &#x{'0' * 50}41;&#x{'f' * 5000}</p></article>") == f"{BEST} \ufffd A A\ufffd"
+
+
+N = 1 << 20
+HOSTILE = {
+    "open quotes": '<a href="' * (N // 9), "open tags": "<a" * (N // 2), "declarations": "<!" * (N // 2), "comments": "<!--" * (N // 4), "raw": "<script" * (N // 7), "raw ends": "<script>" + "</script " * (N // 9),
+    "deep": "<div>" * (N // 10) + "</p></ul>" * (N // 18), "misnested": "<div><ul>" * (N // 18) + "</div>" * (N // 12), "quotes": "<p " + "\">\" '" * (N // 6), "brackets": "<" * N, "references": "&#" + "9" * N, "attributes": "<p " + "class=' " * (N // 8) + ">",
+    "hidden": "<svg><button>" * (N // 13), "words": "<p>" + "a " * (N // 2), "names": "<div class=menu>x" * (N // 17), "links": "<a href=x><p>a" * (N // 14), "one word": "<p>" + "a" * N,
+}
+
+
+@pytest.mark.parametrize("kind", sorted(HOSTILE))
+def test_html_hostile(kind):
+    """Pages of 1 MB: time in proportion to the length."""
+    began = time.process_time()
+    H.extract(HOSTILE[kind][: N // 4])
+    quarter = time.process_time() - began
+    H.extract(HOSTILE[kind])
+    whole = time.process_time() - began - quarter
+    assert whole < 6 and (whole < 0.5 or whole < 9 * quarter)
+
+
+class Article(HTMLParser):
+    """A second reading of a page, by the library's parser: the blocks inside article or main, without boilerplate elements."""
+
+    SKIP = {"nav", "footer", "aside", "form", "script", "style", "header", "title", "head"}
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks, self.text = [], [], []
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        text = " ".join("".join(self.text).split())
+        if text:
+            self.blocks.append(text)
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.text.append(" ")
+        if tag in H._BLOCK:
+            self.flush()
+        if tag in ("article", "main", "div", "section") or tag in self.SKIP:
+            name = dict(attrs).get("class", "") + " " + dict(attrs).get("id", "")
+            self.open.append((tag, tag in self.SKIP or any(w in name.split() for w in ("ad", "comments", "cookie", "menu", "sidebar"))))
+
+    def handle_endtag(self, tag):
+        if tag in H._BLOCK:
+            self.flush()
+        if tag in [t for t, _ in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if any(t in ("article", "main") for t, _ in self.open) and not any(bad for _, bad in self.open):
+            self.text.append(data)
+
+
+def test_html_equals_a_second_reading(spark):
+    for r in R.QUERIES["op10_html_extraction"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html"), "page_id").collect():
+        assert r.text == "\n".join(Article(r.html).blocks)
+
+
 def test_html_header_in_article():
     for head in ("header class=entry-header", "div class=entry-header"):
         assert H.extract(f"<article><{head}><h1>A tale</h1></{head.split()[0]}><p>{BEST}</p></article>") == f"A tale\n{BEST}"

@@ -3,16 +3,20 @@
 Filters of widths 2, 3 and 4 slide over windows of 128 lower-cased bytes; each
 filter's largest response over the window (max pooling, then ReLU) feeds a
 softmax over the learned languages.  The network is fitted on the driver to a
-bounded sample: ``per_label`` labelled documents (in expectation) of each
-language, ``sample_chars`` characters of each, both parameters.  Prediction cuts
-every whole text into overlapping windows, so every 4-byte context is seen once,
-and averages the windows' logits.
+bounded sample of windows: of the windows of all labelled documents' whole texts,
+about ``per_label`` different ones for each language, drawn by a hash of their
+bytes, of the ``most_labels`` languages with most text.  Prediction cuts every
+whole text into overlapping windows, so every 4-byte context is seen once, and
+averages the windows' logits.
 
 At prediction a filter over two neighbouring bytes is one table lookup, so
 widths 2, 3 and 4 cost five lookups a byte; all windows of a slice go together.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0;
 without labelled rows everything is ``und``; null ids count as not held out;
+repeated rows keep their row (their windows count once in the fit); of equal
+chances the first label in alphabetical order is predicted; very long texts are
+read whole, a slice of windows at a time; an empty table gives no rows;
 ``lang``, ``source`` and ``doc_id`` are never inputs of a prediction.
 """
 
@@ -26,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textbytes as tb
+from .storage import spread
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 12
 STRIDE = WINDOW - max(WIDTHS) + 1
@@ -75,23 +80,18 @@ def matrix(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.where(at < end[:, None], low[np.minimum(at, len(low) - 1)], 0).astype(np.uint8) if len(low) else np.zeros((len(start), WINDOW), dtype=np.uint8)
 
 
-def fit(texts: list[str], labels: list[str], *, epochs: int = 14, rate: float = 0.02, seed: int = 11) -> Network:
-    """Train on the windows of the given texts with Adam; deterministic."""
+def fit(x: np.ndarray, labels: list[str], *, epochs: int = 14, rate: float = 0.02, seed: int = 11) -> Network:
+    """Train on windows (n x WINDOW bytes) with Adam; deterministic."""
     names = sorted(set(labels))
     rng = np.random.default_rng(seed)
     net = Network(names, {w: rng.normal(0, 0.3, (w, 256, FILTERS)) for w in WIDTHS}, np.zeros(FILTERS * len(WIDTHS)), rng.normal(0, 0.3, (FILTERS * len(WIDTHS), len(names))), np.zeros(len(names)))
-    if not texts:
+    if not len(x):
         return net
-    raw = [t.encode() for t in texts]
-    off = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
-    low = tb.LOWER[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-    start, end, doc = windows(low, off)
-    x, y = matrix(low, start, end), np.array([names.index(v) for v in labels])[doc]
+    number = {v: k for k, v in enumerate(names)}
+    y = np.array([number[v] for v in labels])
     # short windows too, so that short texts are met in training
-    short = x[rng.permutation(len(x))[: len(x) // 2]].copy()
-    cut = rng.integers(8, WINDOW, len(short))
-    keep = np.arange(WINDOW)[None] < cut[:, None]
     order = rng.permutation(len(x))[: len(x) // 2]
+    keep = np.arange(WINDOW)[None] < rng.integers(8, WINDOW, len(order))[:, None]
     short, y_short = np.where(keep, x[order], 0).astype(np.uint8), y[order]
     x, y = np.concatenate((x, short)), np.concatenate((y, y_short))
     weight = (len(y) / len(names) / np.maximum(np.bincount(y, minlength=len(names)), 1))[y]
@@ -132,23 +132,37 @@ def fit(texts: list[str], labels: list[str], *, epochs: int = 14, rate: float =
     return net
 
 
-def train(docs: DataFrame, *, per_label: int = 250, sample_chars: int = 1024) -> Network:
-    """Fit on a hash sample of the labelled rows that aren't held out: about ``per_label`` a language, a slice of each."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not counts:
-        return fit([], [])
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(per_label / n))])[F.col("lang")]
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
-    place = F.when(F.length("text") > sample_chars, F.pmod(F.xxhash64("text"), F.length("text") - sample_chars)).otherwise(0)
-    rows = known.where(draw < share).select("lang", F.substr("text", (place + 1).cast("int"), F.lit(sample_chars)).alias("text"), draw.alias("draw")).collect()
-    rows = sorted(rows, key=lambda r: (r.lang, r.draw, r.text))
-    return fit([r.text for r in rows], [r.lang for r in rows])
+def train(docs: DataFrame, *, per_label: int = 2_000, most_labels: int = 256) -> Network:
+    """Fit on a hash sample of the windows of all labelled documents that aren't held out."""
+    known = spread(docs.select("doc_id", "lang", "text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text")
+    size = F.greatest(F.lit(1), F.ceil((F.octet_length("text") - (WINDOW - STRIDE)) / STRIDE)).cast("long")
+    counted = known.groupBy("lang").agg(F.sum(size).alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels).collect()
+    if not counted:
+        return fit(np.zeros((0, WINDOW), dtype=np.uint8), [])
+    share = {r.lang: min(1.0, per_label / r.n) for r in counted}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = tb.flat(batch.column("text"))
+            langs = batch.column("lang").to_pylist()
+            wanted = np.array([share.get(v, 0.0) for v in langs])
+            for i, j in tb.slices(off):
+                low, edge = tb.LOWER[buf[off[i] : off[j]]], off[i : j + 1] - off[i]
+                start, end, doc = windows(low, edge)
+                sums = tb.prefix(low)
+                draw = tb.splitmix(tb.span_hash(sums, start, np.minimum(start + WINDOW, end))) >> tb.U64(11)
+                at = np.flatnonzero(draw.astype(np.float64) < wanted[i:j][doc] * 2.0**53)
+                yield pa.RecordBatch.from_arrays([pa.array([langs[i + d] for d in doc[at].tolist()], pa.string()), pa.array([r.tobytes() for r in matrix(low, start[at], end[at])], pa.binary())], names=["lang", "window"])
+
+    # copies of a window are drawn together and count once, so the sample is bounded whatever is repeated
+    rows = known.mapInArrow(tb.trimmed(run), "lang string, window binary").distinct().collect()
+    rows = sorted((r.lang, bytes(r.window)) for r in rows)
+    return fit(np.frombuffer(b"".join(w for _, w in rows), dtype=np.uint8).reshape(-1, WINDOW), [v for v, _ in rows])
 
 
 def identify(docs: DataFrame, net: Network) -> DataFrame:
     """``docs`` with lang_pred and score, from ``text`` alone."""
-    docs = docs.drop("lang_pred", "score")
+    docs = spread(docs.drop("lang_pred", "score"))
     carried = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

@@ -97,6 +97,42 @@ def test_language(spark, messy, empty):
     assert {r.lang_pred for r in L.digest(unlabelled).collect()} == {"und"}
 
 
+def test_language_equals_direct_convolution(spark, sf):
+    """Predictions and scores against filters applied one by one, window by window."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    net = L.train(docs)
+    got = {r.doc_id: r for r in L.identify(docs.select("doc_id", "text", "source"), net).collect()}
+    for r in docs.where("doc_id % 5 = 0").collect():
+        raw, total, n = np.frombuffer(r.text.encode(), dtype=np.uint8), np.zeros(len(net.labels)), 0
+        for at in range(0, max(1, len(raw) - 3), L.STRIDE):
+            window = np.zeros(L.WINDOW, dtype=np.int64)
+            part = raw[at : at + L.WINDOW]
+            window[: len(part)] = [b + 32 if 65 <= b <= 90 else b for b in part]
+            pooled = [max(sum(net.filters[w][k][window[i + k], f] for k in range(w)) for i in range(L.WINDOW - w + 1)) for w in L.WIDTHS for f in range(2)]
+            hidden = [sum(net.filters[w][k][window[k : L.WINDOW - w + 1 + k]] for k in range(w)).max(axis=0) for w in L.WIDTHS]
+            assert np.allclose(np.array(hidden)[:, :2].reshape(-1), pooled)
+            total += np.maximum(np.concatenate(hidden) + net.bias, 0) @ net.weights + net.offset
+            n += 1
+            if n > 40 and r.doc_id not in (0, 5):
+                break
+        if n <= 40 or r.doc_id in (0, 5):
+            p = np.exp(total / n - (total / n).max())
+            p /= p.sum()
+            assert got[r.doc_id].lang_pred == net.labels[int(p.argmax())] and abs(got[r.doc_id].score - p.max()) < 1e-3
+
+
+def test_language_sample_covers_whole_texts(spark):
+    """What tells the languages apart stands at the ends of long texts, and one text is repeated over and over."""
+    rng = np.random.default_rng(0)
+    same = " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400))
+    rows = [(i, same + " " + " ".join("".join(rng.choice(list(letters), 6)) for _ in range(400)), lang) for i, (lang, letters) in enumerate([("x", "mnopq"), ("y", "rstuv")] * 40)]
+    rows += [(1000 + i, same, "x") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = L.train(docs)
+    probe = spark.createDataFrame([(1, "mnopq nopqm opqmn" * 9), (2, "rstuv stuvr tuvrs" * 9)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in L.identify(probe, net).collect()} == {1: "x", 2: "y"}
+
+
 def _recall(out, want):
     hit = sum(len({i for _, i in near} & {r.vec_id for r in out if r.query_id == q}) for q, near in want.items())
     return hit / max(1, sum(len(near) for near in want.values()))

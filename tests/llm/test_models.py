@@ -1,7 +1,10 @@
 """Chat rotation, quality, piece codec, language ID, neighbours and the pipeline."""
 
+import zlib
+
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -48,6 +51,49 @@ def test_quality(spark, sf, messy, empty):
     assert Q.score(messy, fitted).count() == messy.count()
 
 
+def test_co_training_over_all_rows(spark):
+    """The distributed rounds against rounds with explicit sets of rows: the same scores, and every unlabelled row takes part."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    kind, (models, lines, weights) = Q.train(docs, labels, labelled=200)
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    rows = sorted(Q._featured(docs.select("doc_id", "text", "source", "lang", "n_chars")).collect())
+    array = lambda some: Q._arrays(*(pa.array([bytes(r[c]) for r in some], pa.binary()) for c in (1, 2)))
+    drawn = {r.doc_id for r in labels.where(f"pmod(xxhash64(doc_id, 1), 1 << 30) / (1 << 30) < {200 / len(known)}").collect()}
+    own, pool = array([r for r in rows if r.doc_id in drawn]), array([r for r in rows if r.doc_id not in known])
+    ids = [r.doc_id for r in rows if r.doc_id in drawn]
+    y = np.array([known[i] for i in ids], dtype=float)
+    kept = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in ids])
+    fitted, label = [Q.Logistic().fit(v[~kept], y[~kept]) for v in own], [dict(), dict()]
+    rate, n = y[~kept].mean(), Q.SHARE * len(pool[0])
+    edges = np.linspace(-Q.SPAN, Q.SPAN, Q.BINS + 1)
+    for _ in range(Q.ROUNDS):
+        new = []
+        for taker in (0, 1):
+            z = [(float(v), i) for i, v in enumerate(fitted[1 - taker].logit(pool[1 - taker])) if i not in label[taker]]
+            low = max([e for e in edges if sum(v < e for v, _ in z) <= max(1, n * (1 - rate))][-1], edges[np.searchsorted(edges, min(z)[0], side="right")])
+            high = min([e for e in edges if sum(v >= e for v, _ in z) <= max(1, n * rate)][0], edges[np.searchsorted(edges, max(z)[0], side="right") - 1])
+            new.append({i: float(v > 0) for v, i in z if v < min(low, 0) or v >= max(high, 0)})
+        for taker in (0, 1):
+            label[taker] |= new[taker]
+            at = sorted(label[taker])
+            for _ in range(Q.STEPS):
+                x = np.concatenate((own[taker][~kept], pool[taker][at]))
+                fitted[taker].step(fitted[taker].sums(x, np.concatenate((y[~kept], [label[taker][i] for i in at]))))
+    assert kind == "views" and all(len(x) > 0.2 * len(pool[0]) for x in label)
+    for a, b, v in zip(models, fitted, pool):
+        assert np.allclose(a.logit(v), b.logit(v), atol=1e-6)
+
+
+def test_quality_of_repeated_ids(spark):
+    """One labelled id in a third of the rows: the sample takes it once."""
+    rows = [(i, ("good words here " if i % 2 else "%% $$ ## ") * 9, "s", "en", 9) for i in range(60)] + [(3, "good words here " * 9, "s", "en", 9)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, None), (2, 0)], "doc_id long, quality int")
+    out = Q.digest(docs, labels).collect()
+    assert len(out) == 100 and all(r.good == (r.doc_id % 2 == 1) for r in out)
+
+
 def test_codec_equals_the_library():
     sp, own = sentencepiece.SentencePieceProcessor(model_file=P.MODEL), P.Encoder()
     rng = np.random.default_rng(0)

@@ -2,16 +2,24 @@
 
 The templates form an index word -> [(template, position)].  The words are
 ranked by inverse document frequency counted over all scanned documents (one
-aggregate; its size is bounded by the templates' vocabulary).  In each file, the
-highest-IDF licence words of each template are looked up; every occurrence at
-word ``p`` of a template word at position ``t`` votes for the alignment
-``p - t``; the postings of one template are intersected on that alignment, and a
-template is reported where its mandatory key phrases stand, word for word, at
-the aligned place.  A phrase template is its own key phrase, and one rare word
-is enough to propose it, so phrase places are complete.
+aggregate; its size is bounded by the templates' vocabulary).  Of each file's
+licence words the ``ANCHORS`` of highest IDF are looked up for each template that
+holds them; every occurrence at word ``p`` of a template word at position ``t``
+votes for the alignment ``p - t``; the postings of one template are intersected
+on that alignment, and a template is reported at every place where its mandatory
+key phrases stand, compared by their bytes.
+
+A phrase template is its own key phrase; a file without all of its words has no
+place of it, and in the others its rarest word alone proposes the places, so they
+are complete.  A long template needs ``VOTES`` anchors and its key phrases on one
+alignment that may drift by half its length (words put in or left out); places
+nearer to each other than its length are one, the one with most words in place.
+Its score is the share of those words.
 
 Defined results: null and empty texts have no words, no label and score 0; null
-ids and repeated rows keep their row; extra columns pass through.
+ids and repeated rows keep their row; places of equal shares: the first; very
+long texts are read whole; an empty table gives no rows; extra columns pass
+through, columns named n_words or license_hits are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
+from .storage import spread
 
 # The base phrases of the contract and their labels.
 BASE_PHRASES = {
@@ -57,8 +66,8 @@ TEMPLATES = [
     ("apache-notice", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["you may not use this file except in compliance with the license"]),
 ]
 
-#: Rare words of a template that are looked up, words an alignment may drift, and votes a long template needs.
-ANCHORS, DRIFT, VOTES = 8, 6, 3
+#: A file's rare words that are looked up for a template, and how many of them a long template needs on one alignment.
+ANCHORS, VOTES = 8, 3
 
 
 class Index:
@@ -77,10 +86,10 @@ class Index:
         self.templates = []
         for label, text, keys, base in rows:
             seq = np.array([ids[w] for w in text.split()])
-            rare = sorted(set(seq.tolist()), key=lambda w: (-self.idf[w], w))[:ANCHORS]
-            postings = [(w, t) for w in rare for t in np.flatnonzero(seq == w).tolist()]
-            phrases = [(np.array([ids[w] for w in k.split()]), _place(text.split(), k.split())) for k in keys or [text]]
-            self.templates.append((label, seq, postings, phrases, base, bool(keys)))
+            rare = np.array(sorted(set(seq.tolist()), key=lambda w: (-self.idf[w], w)))  # highest IDF first
+            postings = [np.flatnonzero(seq == w) for w in rare]
+            phrases = [(np.array([ids[w] for w in k.split()]), _place(text.split(), k.split()), k.encode()) for k in keys or [text]]
+            self.templates.append((label, seq, rare, postings, phrases, base, bool(keys)))
 
     def ids(self, hashed: np.ndarray) -> np.ndarray:
         """Vocabulary index of each word, -1 if it is none."""
@@ -102,67 +111,79 @@ def hash_words(vocabulary: list[str]) -> np.ndarray:
     return tb.span_hash(tb.prefix(buf), w.start, w.end)
 
 
-def _vocabulary_ids(index: Index, buf: np.ndarray, off: np.ndarray) -> tuple[tb.Words, np.ndarray]:
+def _vocabulary_ids(index: Index, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, tb.Words, np.ndarray]:
     low = tb.LOWER[buf]
     w = tb.words(low, off, tb.ALNUM)
-    return w, index.ids(tb.span_hash(tb.prefix(low), w.start, w.end)) if len(w) else np.zeros(0, dtype=np.int32)
+    return low, w, index.ids(tb.span_hash(tb.prefix(low), w.start, w.end)) if len(w) else np.zeros(0, dtype=np.int32)
 
 
-def _phrase_at(ids: np.ndarray, doc: np.ndarray, at: np.ndarray, phrase: np.ndarray) -> np.ndarray:
-    """Those of the word places ``at`` where ``phrase`` stands within one document."""
-    at = at[(at >= 0) & (at + len(phrase) <= len(ids))]
-    at = at[doc[at] == doc[at + len(phrase) - 1]] if len(at) else at
-    for k, w in enumerate(phrase):
-        at = at[ids[at + k] == w]
-    return at
+def _phrase_at(raw: bytes, w: tb.Words, ids: np.ndarray, at: np.ndarray, phrase: np.ndarray, text: bytes) -> np.ndarray:
+    """Those of the word places ``at`` where ``phrase`` stands within one document, word for word."""
+    n = len(phrase)
+    at = at[(at >= 0) & (at + n <= len(ids))]
+    at = at[w.doc[at] == w.doc[at + n - 1]] if len(at) else at
+    for k, x in enumerate(phrase):
+        at = at[ids[at + k] == x]
+    same = [b" ".join(raw[a:b].translate(tb.ALNUM_CANON).split()) == text for a, b in zip(w.start[at].tolist(), w.end[at + n - 1].tolist(), strict=True)]
+    return at[np.array(same, dtype=bool)]
 
 
-def match(index: Index, w: tb.Words, ids: np.ndarray, n_docs: int) -> list[tuple[str, bool, np.ndarray, np.ndarray, np.ndarray]]:
-    """(label, is a base phrase, document, first word, score) of every verified template of a run of documents."""
-    out = []
-    where = {}
+def match(index: Index, low: np.ndarray, w: tb.Words, ids: np.ndarray, n_docs: int) -> list[tuple[str, bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """(label, is a base phrase, document, first word, score) of every verified place of a run of documents."""
+    out: list[tuple[str, bool, np.ndarray, np.ndarray, np.ndarray]] = []
     known = np.flatnonzero(ids >= 0)
+    if not len(known):
+        return out
+    raw = low.tobytes()
     by_word = known[np.argsort(ids[known], kind="stable")]
     bounds = np.searchsorted(ids[by_word], np.arange(len(index.vocabulary) + 1))
-    for label, seq, postings, phrases, base, long in index.templates:
-        votes = [(by_word[bounds[x] : bounds[x + 1]], x, t) for x, t in postings]
+    present = np.zeros((n_docs, len(index.vocabulary)), dtype=bool)
+    present[w.doc[known], ids[known]] = True
+    for label, seq, rare, postings, phrases, base, long in index.templates:
+        own = present[:, rare]
         if not long:
-            rare = postings[0][0]  # the file's rarest word of the phrase: without it there is no phrase
-            starts = np.unique(np.concatenate([p - t for p, x, t in votes if x == rare]))
-            found = _phrase_at(ids, w.doc, starts, seq)
+            (phrase, _, text) = phrases[0]
+            whole = own.all(axis=1)
+            p = by_word[bounds[rare[0]] : bounds[rare[0] + 1]]  # of a file that has all of its words, the rarest
+            p = p[whole[w.doc[p]]]
+            found = _phrase_at(raw, w, ids, np.unique(np.concatenate([p - t for t in postings[0]])), phrase, text)
             out.append((label, base, w.doc[found], found, np.ones(len(found))))
             continue
+        anchors = own & (np.cumsum(own, axis=1) <= ANCHORS)
+        votes = []
+        for k, x in enumerate(rare.tolist()):
+            p = by_word[bounds[x] : bounds[x + 1]]
+            p = p[anchors[w.doc[p], k]]
+            votes += [(p, p - t, k) for t in postings[k].tolist()]
         places = np.concatenate([p for p, _, _ in votes])
         if not len(places):
             continue
-        # alignment relative to the document, shifted so that it stays positive, in cells of DRIFT words
-        aligned = np.concatenate([p - w.first[w.doc[p]] - t for p, _, t in votes]) + len(seq)
-        cell = np.stack((w.doc[places], aligned // DRIFT, np.concatenate([np.full(len(p), x) for p, x, _ in votes])))
-        both = np.concatenate((cell, cell - np.array([[0], [1], [0]])), axis=1)  # a drift may cross a cell's edge
-        both = np.unique(both, axis=1)
+        drift = len(seq) // 2
+        # alignment relative to the document, shifted so that it stays positive, in cells of ``drift`` words
+        aligned = np.concatenate([a for _, a, _ in votes]) - w.first[w.doc[places]] + len(seq)
+        cell = np.stack((w.doc[places], aligned // drift, np.repeat([k for _, _, k in votes], [len(p) for p, _, _ in votes])))
+        both = np.unique(np.concatenate((cell, cell - np.array([[0], [1], [0]])), axis=1), axis=1)  # a drift may cross a cell's edge
         key, count = np.unique(both[:2], axis=1, return_counts=True)
-        key = key[:, count >= min(VOTES, len({x for x, _ in postings}))]
-        best: dict[int, tuple[float, int]] = {}
-        for phrase, _ in phrases:
-            if id(phrase) not in where:
-                first = by_word[bounds[phrase[0]] : bounds[phrase[0] + 1]]
-                where[id(phrase)] = _phrase_at(ids, w.doc, first, phrase)
+        key = key[:, count >= VOTES]
+        where = [(_phrase_at(raw, w, ids, by_word[bounds[phrase[0]] : bounds[phrase[0] + 1]], phrase, text), t) for phrase, t, text in phrases]
+        proposed: dict[int, list[tuple[float, int]]] = {}
         for d, c in key.T.tolist():
-            start = int(w.first[d]) + c * DRIFT - len(seq)
-            ok = True
-            for phrase, t in phrases:
-                at = where[id(phrase)]
-                near = at[np.searchsorted(at, start + t - DRIFT) : np.searchsorted(at, start + t + 3 * DRIFT)]
-                ok = ok and bool((w.doc[near] == d).any())
-            if ok:
-                for s in range(start, start + 2 * DRIFT):
-                    inside = np.arange(s, s + len(seq))
-                    use = (inside >= w.first[d]) & (inside < w.first[d + 1])
-                    share = float((ids[inside[use]] == seq[use]).sum()) / len(seq)
-                    if share > best.get(d, (0.0, 0))[0]:
-                        best[d] = (share, max(s, int(w.first[d])))
-        docs = np.array(sorted(best), dtype=np.int64)
-        out.append((label, base, docs, np.array([best[d][1] for d in docs.tolist()], dtype=np.int64), np.array([best[d][0] for d in docs.tolist()])))
+            start = int(w.first[d]) + c * drift - len(seq)
+            near = [at[np.searchsorted(at, start + t - drift) : np.searchsorted(at, start + t + 3 * drift)] for at, t in where]
+            if all((w.doc[at] == d).any() for at in near):
+                inside = np.arange(start, start + 2 * drift)[:, None] + np.arange(len(seq))[None]
+                use = (inside >= w.first[d]) & (inside < w.first[d + 1])
+                share = ((ids[np.clip(inside, 0, len(ids) - 1)] == seq[None]) & use).sum(axis=1) / len(seq)
+                best = int(share.argmax())
+                proposed.setdefault(d, []).append((-float(share[best]), max(start + best, int(w.first[d]))))
+        hits: list[tuple[int, int, float]] = []
+        for d, own_places in proposed.items():
+            taken: list[int] = []
+            for share, s in sorted(own_places):
+                if all(abs(s - other) >= len(seq) for other in taken):
+                    taken.append(s)
+                    hits.append((d, s, -share))
+        out.append((label, base, *(np.array([h[k] for h in hits], dtype=t) for k, t in enumerate((np.int64, np.int64, np.float64)))))
     return out
 
 
@@ -181,7 +202,7 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
         for batch in batches:
             buf, off = tb.flat(batch.column(0))
             for i, j in tb.slices(off):
-                w, ids = _vocabulary_ids(index, buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                _, w, ids = _vocabulary_ids(index, buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 known = ids >= 0
                 pairs = np.unique(w.doc[known] * len(vocabulary) + ids[known])
                 total += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
@@ -193,7 +214,7 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
 
 def scan_licenses(docs: DataFrame, *, frequencies: tuple[dict[str, int], int] | None = None) -> DataFrame:
     """``docs`` with n_words and license_hits: every verified place (label, word, score, base)."""
-    docs = docs.drop("n_words", "license_hits")
+    docs = spread(docs.drop("n_words", "license_hits"))
     df, n_docs = frequencies or document_frequencies(docs)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("license_hits", _HITS)])
     carried = docs.columns
@@ -204,10 +225,10 @@ def scan_licenses(docs: DataFrame, *, frequencies: tuple[dict[str, int], int] |
             buf, off = tb.flat(batch.column("text"))
             counts, hits = [], []
             for i, j in tb.slices(off):
-                w, ids = _vocabulary_ids(index, buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                low, w, ids = _vocabulary_ids(index, buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 counts.append(w.counts)
                 own: dict[int, list[dict]] = {}
-                for label, base, doc, word, score in match(index, w, ids, j - i):
+                for label, base, doc, word, score in match(index, low, w, ids, j - i):
                     for d, p, s in zip(doc.tolist(), word.tolist(), score.tolist(), strict=True):
                         own.setdefault(d, []).append({"label": label, "word": p - int(w.first[d]), "score": s, "base": base})
                 hits += [sorted(own.get(d, []), key=lambda h: (h["word"], h["label"])) for d in range(j - i)]

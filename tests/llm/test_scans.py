@@ -33,6 +33,9 @@ def test_license_on_table(spark, sf):
     for r in R.QUERIES["op1_license_scan"](spark, sf).collect():
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_license(texts[r.doc_id])
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+        plain = f" {' '.join(words(texts[r.doc_id]))} "
+        phrases = {label for label, text, keys in L.TEMPLATES if not keys and f" {text} " in plain} | set(filter(None, r.base_labels.split(",")))
+        assert {x for x in r.labels.split(",") if x} - {label for label, _, keys in L.TEMPLATES if keys} == phrases
 
 
 def test_license_messy(messy, empty):
@@ -51,6 +54,39 @@ def test_license_long_template(spark):
     assert "mit-text" in got[1].labels and got[1].score > 0.5 and got[2].labels == ""
 
 
+LONG = [t for t in L.TEMPLATES if t[2]]
+
+
+@pytest.mark.parametrize("label,text,keys", LONG)
+def test_license_every_place(spark, label, text, keys):
+    """Each copy of a long template, also with words put in, left out or spread over lines; none without a key phrase."""
+    w = text.split()
+    fill = [f"x{i}" for i in range(70)]
+    inside = {i + k for key in keys for i in [next(i for i in range(len(w)) if w[i : i + len(key.split())] == key.split())] for k in range(1, len(key.split()))}
+    cuts = [i for i in range(1, len(w)) if i not in inside]  # places between key phrases
+    more = lambda at, n: w[:at] + [f"y{i}" for i in range(n)] + w[at:]
+    rows = [(0, " ".join(fill + w + fill)), (1, " ".join(w + fill + w + fill + w)), (2, "\n* ".join(w).upper()), (3, " ".join(fill)), (4, " ".join(x for x in w if x not in keys[0].split()))]
+    rows += [(10 + i, " ".join(fill + more(at, len(w) // 3) + fill)) for i, at in enumerate(cuts)]
+    found = L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), frequencies=({}, 100)).collect()
+    places = {r.doc_id: [h.word for h in r.license_hits if h.label == label] for r in found}
+    assert places[0] == [70] and places[1] == [0, len(w) + 70, 2 * (len(w) + 70)] and places[2] == [0] and places[3] == places[4] == []
+    assert all(len(places[10 + i]) == 1 and abs(places[10 + i][0] - 70) <= len(w) // 3 for i in range(len(cuts)))
+    assert all(h.score == 1 for r in found if r.doc_id < 3 for h in r.license_hits if h.label == label)
+
+
+def test_license_words_are_compared(monkeypatch):
+    """Words with one hash are no match."""
+    import numpy as np
+    import quirelight.llm.textbytes as tb
+
+    index = L.Index()
+    buf = np.frombuffer(b"mit license and mjt license", dtype=np.uint8)
+    _, w, ids = L._vocabulary_ids(index, buf, np.array([0, len(buf)]))
+    ids[3] = ids[0]
+    hits = {label: at.tolist() for label, _, _, at, _ in L.match(index, tb.LOWER[buf], w, ids, 1)}
+    assert hits["mit"] == [0]
+
+
 def test_decontamination_on_table(spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).select("doc_id", "text")

@@ -41,6 +41,27 @@ def test_rotation(spark):
         assert {r.name for r in own} == {None, "ann", "bob", "unknown"} - {who}
 
 
+def test_rotation_messy(spark):
+    """A conversation over many runs of turns, names with line feeds, long texts, ties, nulls, clashing columns, no rows."""
+    rows = [("hot", i, ["ann", "bob\n<|im_end|>", None, "system"][i % 4], f"text {i}" if i % 7 else None, "x") for i in range(3 * F.CHUNK)] + [("hot", 5, "ann", "tie", "x")] * 2 + [("long", 1, "a", "z" * 3_000_000, "x"), ("long", None, "b", "", "x"), (None, 1, "eve", "e", None)]
+    turns = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string, message string")
+    out = F.rotate(turns).toPandas()
+    assert len(out) == 3 * (3 * F.CHUNK + 2) + 2 * 2 + 1
+    for (conv, who), own in out.groupby(["conv_id", "perspective"], dropna=False):
+        own = own.sort_values("start")
+        text = "".join(own.message)
+        mine = sorted(((-1 if t is None else t, r or "unknown", x or "") for c, t, r, x, _ in rows if c == conv or c is None and conv != conv), key=lambda x: x)
+        want = []
+        for _, speaker, said in mine:
+            name = speaker.replace("<|", "<\\|").replace("\n", "\\n")
+            head = "system" if speaker == "system" else "assistant" if speaker == who else f"user name={name}"
+            want.append(f"<|im_start|>{head}\n" + said.replace("<|", "<\\|") + "<|im_end|>\n")
+        assert text == "".join(want) and own.start.tolist() == [0, *own.end.tolist()[:-1]]
+        assert all(text[a:b] == m.split("\n", 1)[1][: -len(F.CLOSE) - 1] for a, b, m in zip(own.content_start[:50], own.content_end[:50], own.message[:50]))
+    none = F.digest(turns.where("false"))
+    assert none.count() == 0 and "message_sha256" in none.columns
+
+
 def test_quality(spark, sf, messy, empty):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     out = Q.digest(docs, labels).join(labels, "doc_id").toPandas()

@@ -25,7 +25,10 @@ No all-pairs expansion inside a component, no cap on bands or candidates.
 Defined results: null and empty texts (or texts without words) have an empty set
 and link with nothing; fewer than five words make one shingle; a null id takes
 part in no link (component null, kept); repeated rows give repeated results;
-``doc_id`` identifies a text; extra columns are ignored.
+``doc_id`` identifies a text; ties in a bucket are one value; very long texts are
+a run of their own; an empty table gives no rows; extra columns are ignored.
+Set sizes and confirmations count 64-bit hashes of shingles, of which a run of
+many short documents keeps the upper 48 to 63 bits.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textbytes as tb
-from .storage import may_contain, written
+from .storage import dropped, may_contain, spread, written
 
 SHINGLE, REGISTERS, BANDS, ROWS, MANTISSA = 5, 128, 25, 5, 10
 PERCENT = 85
@@ -49,8 +52,13 @@ JOINED, BLOCK, BLOCK_SHINGLES = 64, 256, 1 << 19
 _VALUE_BITS = 48 - 7
 
 
-def shingles(buf: np.ndarray, off: np.ndarray) -> tuple[tb.Words, np.ndarray, np.ndarray]:
-    """(words, word hashes, sorted distinct ``document << 48 | shingle``) of a run of under 65,536 documents."""
+def shingles(buf: np.ndarray, off: np.ndarray, bits: int | None = None) -> tuple[tb.Words, np.ndarray, np.ndarray, int]:
+    """(words, word hashes, sorted distinct shingle keys, bits) of a run of documents.
+
+    A key is the document in the upper ``bits`` bits (as few as the run needs, so none in a very long document, which is
+    a run of its own) and the upper bits of the shingle's 64-bit hash under them.
+    """
+    bits = (len(off) - 2).bit_length() if bits is None else bits
     low = tb.LOWER[buf]
     w = tb.words(low, off, tb.NONSPACE)
     hashed = tb.span_hash(tb.prefix(low), w.start, w.end) if len(w) else np.zeros(0, dtype=tb.U64)
@@ -61,11 +69,23 @@ def shingles(buf: np.ndarray, off: np.ndarray) -> tuple[tb.Words, np.ndarray, np
         if len(own):
             docs.append(own)
             values.append(tb.gram_hash(hashed, c)[w.first[own]])
-    keys = (np.concatenate(docs).astype(tb.U64) << tb.U64(48)) | (np.concatenate(values) >> tb.U64(16))
+    keys = np.concatenate(values) >> tb.U64(bits)
+    if bits:
+        keys |= np.concatenate(docs).astype(tb.U64) << tb.U64(64 - bits)
     keys.sort()
     if len(keys):
         keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
-    return w, hashed, keys
+    return w, hashed, keys, bits
+
+
+def owners(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Document of each key."""
+    return (keys >> tb.U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+
+
+def sizes(keys: np.ndarray, bits: int, n_docs: int) -> np.ndarray:
+    """Number of keys of each document."""
+    return np.bincount(owners(keys, bits), minlength=n_docs)
 
 
 @cache
@@ -73,14 +93,15 @@ def _donors() -> np.ndarray:
     return np.random.default_rng(7).integers(0, REGISTERS, (96, REGISTERS))
 
 
-def registers(keys: np.ndarray, n_docs: int) -> np.ndarray:
+def registers(keys: np.ndarray, bits: int, n_docs: int) -> np.ndarray:
     """n_docs x REGISTERS codes (leading zeros << MANTISSA | mantissa) of sorted shingle keys; rows without shingles are empty."""
     out = np.full((n_docs, REGISTERS), 0xFFFF, dtype=np.uint16)
     if not len(keys):
         return out
-    cell = (keys >> tb.U64(_VALUE_BITS)).astype(np.int64)
+    hashed = keys << tb.U64(bits)
+    cell = owners(keys, bits) * REGISTERS + (hashed >> tb.U64(57)).astype(np.int64)
     head = np.concatenate(([True], cell[1:] != cell[:-1]))  # sorted: the first of a bucket is its smallest
-    value = (keys[head] & tb.U64((1 << _VALUE_BITS) - 1)).astype(np.float64)
+    value = (hashed[head] >> tb.U64(16) & tb.U64((1 << _VALUE_BITS) - 1)).astype(np.float64)
     fraction, length = np.frexp(value)
     zeros = np.where(value > 0, _VALUE_BITS - length, _VALUE_BITS)
     mantissa = np.where(value > 0, (fraction * 2 - 1) * (1 << MANTISSA), 0).astype(np.int64)
@@ -128,18 +149,18 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = tb.flat(batch.column(1))
-        sizes, digests, codes = [], [], []
+        counts, digests, codes = [], [], []
         for i, j in tb.slices(off):
-            w, hashed, keys = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            sizes.append(np.bincount((keys >> tb.U64(48)).astype(np.int64), minlength=j - i))
-            codes.append(registers(keys, j - i))
+            w, hashed, keys, bits = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            counts.append(sizes(keys, bits, j - i))
+            codes.append(registers(keys, bits, j - i))
             both = []
             for salt in (1, 2):
                 powers, inverses = tb._grow(len(hashed))
                 total = np.concatenate((np.zeros(1, dtype=tb.U64), np.cumsum(tb.splitmix(hashed + tb.U64(salt)) * powers[: len(hashed)], dtype=tb.U64)))
                 both.append(tb.splitmix((total[w.first[1:]] - total[w.first[:-1]]) * inverses[w.first[:-1]] + w.counts.astype(tb.U64)))
             digests.append(np.stack(both, axis=1))
-        n = np.concatenate(sizes) if sizes else np.zeros(0, dtype=np.int64)
+        n = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
         empty = n == 0
         fixed = lambda rows, width: pa.array([None if e else r for e, r in zip(empty, _rows(rows, width), strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), fixed(digests, 16), fixed(codes, 2 * REGISTERS)], names=["doc_id", "n_shingles", "digest", "codes"])
@@ -169,26 +190,33 @@ def _confirmed(percent: int):
             (buf_a, off_a), (buf_b, off_b) = tb.flat(batch.column("text_a")), tb.flat(batch.column("text_b"))
             keep = []
             for i, j in tb.slices(off_a + off_b):
-                keys = [shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i])[2] for buf, off in ((buf_a, off_a), (buf_b, off_b))]
-                count = lambda k, n=j - i: np.bincount((k >> tb.U64(48)).astype(np.int64), minlength=n)
-                both = count(np.intersect1d(*keys, assume_unique=True))
-                keep.append(100 * both >= percent * (count(keys[0]) + count(keys[1]) - both))
+                bits = (j - i - 1).bit_length()
+                keys = [shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], bits)[2] for buf, off in ((buf_a, off_a), (buf_b, off_b))]
+                both, left, right = (sizes(k, bits, j - i) for k in (np.intersect1d(*keys, assume_unique=True), *keys))
+                keep.append(100 * both >= percent * (left + right - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_()))
 
     return run
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
-    """(node, component) of every node of ``links`` (a, b): the smallest node reachable.  Large-star and small-star rounds; nothing is collected."""
+    """(node, component) of every node of ``links`` (a, b): the smallest node reachable.  Large-star and small-star rounds; nothing is collected.
+
+    The smallest neighbours are written before edges are joined with them: both sides are then plain exchanges, so that
+    adaptive execution splits the edges of a node that holds a large part of all.
+    """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), name)
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        nearest = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name)
+        large = both.join(nearest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), name)
+        after = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), name)
+        dropped(edges)
+        dropped(nearest)
+        edges = after
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark or not now[0]:
             break
@@ -196,19 +224,21 @@ def components(links: DataFrame, name: str) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _bands(nodes: DataFrame, *more: str) -> DataFrame:
+def _bands(nodes: DataFrame) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("codes", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])
-    return nodes.select("node", *more, F.posexplode(keys).alias("band_no", "band"))
+    return nodes.select("node", F.posexplode(keys).alias("band_no", "band"))
 
 
 def _intersections(texts: pa.Array, left: np.ndarray, right: np.ndarray, width: int = 8192) -> np.ndarray:
     """Sizes of the common shingle sets, left x right, as products of incidence matrices over shingles that two texts share."""
     buf, off = tb.flat(texts)
     owner, value = [], []
-    for i, j in tb.slices(off):
-        keys = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i])[2]
-        owner.append((keys >> tb.U64(48)).astype(np.int64) + i)
-        value.append(keys & tb.U64((1 << 48) - 1))
+    runs = list(tb.slices(off))
+    bits = max(j - i - 1 for i, j in runs).bit_length()  # the same for all, so that their hashes compare
+    for i, j in runs:
+        keys = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], bits)[2]
+        owner.append(owners(keys, bits) + i)
+        value.append(keys << tb.U64(bits))
     owner, value = np.concatenate(owner), np.concatenate(value)
     _, column, count = np.unique(value, return_inverse=True, return_counts=True)
     shared = np.cumsum(count > 1) - 1
@@ -260,11 +290,14 @@ def _blocks(t):
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = written(docs.mapInArrow(tb.trimmed(_sketch), "doc_id long, n_shingles long, digest binary, codes binary"), "sketches")
+    sketches = written(spread(docs).mapInArrow(tb.trimmed(_sketch), "doc_id long, n_shingles long, digest binary, codes binary"), "sketches")
     nodes = written(sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("codes").alias("codes")), "nodes")
 
-    counted = _bands(nodes).groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    stars = _bands(nodes).join(counted, "band").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    # bands of two nodes or more, once for all that follows; the counts are written first, as the edges' neighbours are
+    counted = written(_bands(nodes).groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"), "counted")
+    shared = written(_bands(nodes).join(counted, "band").select("band", "band_no", "node", "hub"), "shared")
+    dropped(counted)
+    stars = shared.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     stars = _with_codes(stars, nodes)
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -272,15 +305,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(tb.trimmed(_confirmed(PERCENT)), "a long, b long")
 
     # every node that shares a band with another one may be asked for its text; the filter's size is fixed
-    linked = written(_bands(nodes).join(counted.select("band"), "band", "left_semi").select("node").distinct(), "members")
+    linked = written(shared.select("node").distinct(), "members")
     texts = written(docs.where(may_contain(linked.withColumnRenamed("node", "doc_id"), "doc_id")).join(linked, docs.doc_id == linked.node, "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
 
     first = written(confirm(written(stars, "stars")), "links")
     label = written(components(first, "components"), "labels")
     named = nodes.join(linked, "node", "left_semi").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = written(named, "named")
-    open_bands = _bands(named, "component", "n_shingles").groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum("n_shingles").alias("weight")).where("low != high").select("band", "members", "weight")
-    members = _bands(named, "component", "n_shingles").join(open_bands, "band")
+    placed = written(shared.select("band", "band_no", "node").join(named.select("node", "component", "n_shingles"), "node"), "placed")
+    open_bands = written(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum("n_shingles").alias("weight")).where("low != high").select("band", "members", "weight"), "open")
+    members = placed.join(open_bands, "band")
     few = members.where(F.col("members") <= JOINED)
     one, two = (few.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n_shingles")]) for x in "ab")
     pairs = one.join(two, "band").where(f"node_a < node_b and component_a != component_b and 100 * least(n_shingles_a, n_shingles_b) >= {PERCENT} * greatest(n_shingles_a, n_shingles_b)").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()

@@ -48,9 +48,9 @@ def test_estimates():
     for shared in (0, 50, 90, 100):
         texts = [" ".join([f"s{i}" for i in range(10 * shared)] + [f"{side}{i}" for i in range(10 * (100 - shared))]) for side in "ab"]
         raw = [t.encode() for t in texts]
-        keys = M.shingles(np.frombuffer(b"".join(raw), dtype=np.uint8), np.array([0, len(raw[0]), len(raw[0]) + len(raw[1])]))[2]
-        codes = M.registers(keys, 2)
-        sets = [set((keys[keys >> tb.U64(48) == d] & tb.U64((1 << 48) - 1)).tolist()) for d in (0, 1)]
+        _, _, keys, bits = M.shingles(np.frombuffer(b"".join(raw), dtype=np.uint8), np.array([0, len(raw[0]), len(raw[0]) + len(raw[1])]))
+        codes = M.registers(keys, bits, 2)
+        sets = [set((keys << tb.U64(bits))[M.owners(keys, bits) == d].tolist()) for d in (0, 1)]
         true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
         assert abs(M.estimate(codes[0], codes[1], np.array(1000), np.array(1000)) - true) < 0.15
 

@@ -89,13 +89,26 @@ def test_license_words_are_compared(monkeypatch):
 
 def test_decontamination_on_table(spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).select("doc_id", "text")
-    for bound in (1 << 25, 2_000):  # one set, and a chain of several
-        for r in D.digest(D.decontaminate(docs, spark.read.parquet(f"{sf}/benchmark.parquet"), slice_bytes=bound)).join(docs, "doc_id").collect():
-            n, hit, found = D.brute_force(r.text, items)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: D.brute_force(r.text, items) for r in docs.collect()}
+    for bound, words in ((1 << 25, D.RUN_WORDS), (2_000, D.RUN_WORDS), (1 << 25, 7), (900, 3)):  # one set, chains of several, items in runs
+        for r in D.digest(D.decontaminate(docs, spark.read.parquet(f"{sf}/benchmark.parquet"), slice_bytes=bound, run_words=words)).collect():
+            n, hit, found = want[r.doc_id]
             assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(found), D.sha(found), hit > 0)
 
 
+def test_decontamination_compares_words(monkeypatch):
+    """Windows of one hash are told apart, and each still finds its items."""
+    import numpy as np
+    import quirelight.llm.textbytes as tb
+
+    monkeypatch.setattr(tb, "gram_hash", lambda hashed, n: np.zeros(max(0, len(hashed) - n + 1), dtype=tb.U64))
+    own = D.WindowSet([(1, "a b c"), (2, "d e f"), (3, "d e f")], 3)
+    buf = np.frombuffer(b"x d e f y a b d", dtype=np.uint8)
+    _, hit, items = own.scan(buf, np.array([0, len(buf)]))
+    assert np.flatnonzero(hit).tolist() == [1, 2, 3] and items == {0: {2, 3}}
+
+
 def test_decontamination_messy(spark, messy, empty):
     bench = spark.createDataFrame([(1, "seven wizards quietly mix potions in the old tower by"), (1, "seven wizards quietly mix potions in the old tower by"), (2, "a b"), (3, None), (None, "jumps over the lazy dog while seven wizards quietly mix"), (12, "")], "item_id long, text string")
     found = D.decontaminate(messy, bench)

@@ -12,16 +12,21 @@ For a BPE piece model with byte fallback (identity normaliser, dummy prefix):
    over both is merged, until no edge spans a pair; that is the model's own
    merge order.  Symbols without a piece fall back to bytes.
 
+Every run of documents is indexed anew: nothing is remembered from run to run.
 Units are relaxed side by side; units of more than 64 characters (text without
-spaces) go through a heap over the same edges.  Units met before by a worker are
-looked up (a bounded table that changes speed only).
+spaces) take the same merges from a heap over the same edges, as a round of all
+units for each merge of the longest would be slow.
 
 Decoding maps ids to piece bytes and spaces and drops the dummy prefix; every
-row is decoded again and compared with its text.
+row is decoded again and compared with its text.  The model file is read by the
+driver and sent to the workers.
 
 Defined results: null and empty texts have no ids and round-trip to empty; a
 U+2581 in the text is the model's space and comes back as one, as in the
-sentencepiece library; repeated rows keep their row; extra columns pass through.
+sentencepiece library; pairs of one rank merge from the left; repeated rows keep
+their row; a text longer than a run is a run of its own, its units are indexed in
+bounded parts; an empty table gives no rows; extra columns pass through, columns
+named n_tokens, ids, ids_sha256 or round_trip are replaced.
 """
 
 from __future__ import annotations
@@ -39,11 +44,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .storage import spread
 from .suffix_dedup import suffix_array
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-_LONG, _BATCH_BYTES, _KNOWN = 64, 1 << 20, 400_000
+_LONG, _BATCH_BYTES = 64, 2 << 20
 #: Text of the distinct units that are indexed at once; edges take several hundred bytes for each byte of it.
 _INDEX_BYTES = 128 << 10
 _NONE = np.iinfo(np.int64).max
@@ -52,10 +58,10 @@ _NONE = np.iinfo(np.int64).max
 class Model:
     """Pieces of a model file: bytes with real spaces, ranks and byte ids."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, proto: bytes) -> None:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.size = sp.get_piece_size()
         self.bytes: list[bytes] = []
         self.byte_id = np.zeros(256, dtype=np.int64)
@@ -95,8 +101,14 @@ def _words(piece: bytes, n: int, fill: int) -> list[int]:
 
 
 @cache
-def model(path: str) -> Model:
-    return Model(path)
+def model(proto: bytes) -> Model:
+    return Model(proto)
+
+
+def load(path: str = MODEL) -> bytes:
+    """The model file, for the driver to send on."""
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def _bisect(columns, n: int, wanted: np.ndarray, right: bool) -> np.ndarray:
@@ -278,68 +290,50 @@ def encode_units(own: Model, units: list[bytes]) -> tuple[np.ndarray, np.ndarray
     return ids, first
 
 
-class Encoder:
-    """Encodes runs of documents; remembers up to ``_KNOWN`` units by hash."""
-
-    def __init__(self, path: str = MODEL) -> None:
-        self.model = model(path)
-        self.hashes = np.zeros(0, dtype=tb.U64)
-        self.ids = np.zeros(0, dtype=np.int32)
-        self.first = np.zeros(1, dtype=np.int64)  # of each known unit, in the order of hashes
-
-    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, first id of each document) of a run of documents (flat UTF-8 bytes without U+2581)."""
-        n = len(buf)
-        if not n:
-            return np.zeros(0, dtype=np.int32), np.zeros(len(off), dtype=np.int64)
-        space = buf == 32
-        head = space & ~np.concatenate(([False], space[:-1]))
-        if self.model.breaks:
-            line = buf == 10
-            head |= line
-            head[1:] |= line[:-1]
-        head = np.concatenate((head, [True]))
-        head[off] = True
-        start = np.flatnonzero(head)
-        end, start = start[1:], start[:-1]
-        doc = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(start, off)))
-        leads = np.zeros(n + 1, dtype=bool)
-        leads[off[:-1]] = True
-        leads = leads[start]
-        hashed = tb.span_hash(tb.prefix(buf), start, end) ^ np.where(leads, tb.U64(0x9E3779B97F4A7C15), tb.U64(0))
-        unique, sample, inverse = np.unique(hashed, return_index=True, return_inverse=True)
-        self._learn(unique, sample, buf, start, end, leads)
-        known = np.searchsorted(self.hashes, unique)[inverse]
-        count = (self.first[1:] - self.first[:-1])[known]
-        out = self.ids[tb.ranges(self.first[known], count)]
-        return out, np.concatenate(([0], np.cumsum(np.bincount(doc, weights=count, minlength=len(off) - 1).astype(np.int64))))
-
-    def _learn(self, unique, sample, buf, start, end, leads) -> None:
-        where = np.searchsorted(self.hashes, unique)
-        have = np.zeros(len(unique), dtype=bool)
-        inside = where < len(self.hashes)
-        have[inside] = self.hashes[where[inside]] == unique[inside]
-        if have.all():
-            return
-        raw = buf.tobytes()
-        new = sample[~have]
-        units = [(b" " if lead else b"") + raw[a:b] for a, b, lead in zip(start[new].tolist(), end[new].tolist(), leads[new].tolist(), strict=True)]
-        size = np.concatenate(([0], np.cumsum([len(u) + 1 for u in units])))
-        parts = [encode_units(self.model, units[i:j]) for i, j in tb.slices(size, _INDEX_BYTES)]
-        ids = np.concatenate([p for p, _ in parts])
-        first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))))
-        keep = np.arange(len(self.hashes)) if len(self.hashes) + len(units) <= _KNOWN else where[have]
-        count = np.concatenate(((self.first[1:] - self.first[:-1])[keep], np.diff(first)))
-        begin = np.concatenate((self.first[:-1][keep], first[:-1] + len(self.ids)))
-        both = np.concatenate((self.hashes[keep], unique[~have]))
-        order = np.argsort(both)
-        self.ids = np.concatenate((self.ids, ids))[tb.ranges(begin[order], count[order])]
-        self.hashes, self.first = both[order], np.concatenate(([0], np.cumsum(count[order])))
-
-
-@cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of each unit, unit of each place): units are equal by their bytes and by whether they lead a document."""
+    hashed = tb.span_hash(tb.prefix(buf), start, end) ^ np.where(lead, tb.U64(0x9E3779B97F4A7C15), tb.U64(0))
+    _, sample, unit = np.unique(hashed, return_index=True, return_inverse=True)
+    size, like = end - start, sample[unit]
+    odd = (size != size[like]) | (lead != lead[like])
+    at = np.flatnonzero(~odd)
+    differs = buf[tb.ranges(start[at], size[at])] != buf[tb.ranges(start[like[at]], size[at])]
+    odd[at[np.repeat(np.arange(len(at)), size[at])[differs]]] = True
+    if odd.any():  # of one hash, yet not equal: units of their own
+        own = np.flatnonzero(odd)
+        unit[own] = len(sample) + np.arange(len(own))
+        sample = np.concatenate((sample, own))
+    return sample, unit
+
+
+def encode_run(own: Model, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, first id of each document) of a run of documents (flat UTF-8 bytes without U+2581)."""
+    n = len(buf)
+    if not n:
+        return np.zeros(0, dtype=np.int32), np.zeros(len(off), dtype=np.int64)
+    space = buf == 32
+    head = space & ~np.concatenate(([False], space[:-1]))
+    if own.breaks:
+        line = buf == 10
+        head |= line
+        head[1:] |= line[:-1]
+    head = np.concatenate((head, [True]))
+    head[off] = True
+    start = np.flatnonzero(head)
+    end, start = start[1:], start[:-1]
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(start, off)))
+    leads = np.zeros(n + 1, dtype=bool)
+    leads[off[:-1]] = True
+    lead, raw = leads[start], buf.tobytes()
+    sample, unit = _distinct(buf, start, end, lead)
+    units = [(b" " if first else b"") + raw[a:b] for a, b, first in zip(start[sample].tolist(), end[sample].tolist(), lead[sample].tolist(), strict=True)]
+    size = np.concatenate(([0], np.cumsum([len(u) + 1 for u in units])))
+    parts = [encode_units(own, units[i:j]) for i, j in tb.slices(size, _INDEX_BYTES)]
+    ids = np.concatenate([p for p, _ in parts])
+    count = np.concatenate([np.diff(f) for _, f in parts])
+    first = np.cumsum(count) - count
+    out = ids[tb.ranges(first[unit], count[unit])]
+    return out, np.concatenate(([0], np.cumsum(np.bincount(doc, weights=count[unit], minlength=len(off) - 1).astype(np.int64))))
 
 
 def _plain(column: pa.Array) -> pa.Array:
@@ -360,41 +354,43 @@ def round_trips(own: Model, ids: np.ndarray, first: np.ndarray, buf: np.ndarray,
     return same
 
 
-def _encoding(path: str, carried: list[str], fold: bool):
+def _encoding(shared, carried: list[str], fold: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(path)
+        own = model(shared.value)
         for batch in batches:
             text = batch.column("text")
             size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
             for i, j in tb.slices(size, _BATCH_BYTES):  # each slice leaves before the next is read
                 buf, off = tb.flat(_plain(text.slice(i, j - i)))
-                ids, first = own.encode(buf, off)
+                ids, first = encode_run(own, buf, off)
                 new = {"n_tokens": pa.array(np.diff(first), pa.int64())}
                 if fold:
                     raw = ids.astype("<i4").tobytes()
                     new["ids_sha256"] = pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.string())
                 else:
                     new["ids"] = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
-                yield tb.extend(batch.slice(i, j - i), carried, **new, round_trip=pa.array(round_trips(own.model, ids, first, buf, off), pa.bool_()))
+                yield tb.extend(batch.slice(i, j - i), carried, **new, round_trip=pa.array(round_trips(own, ids, first, buf, off), pa.bool_()))
 
     return run
 
 
 def encode(docs: DataFrame, *, path: str = MODEL, fold: bool = False) -> DataFrame:
     """``docs`` with n_tokens, ids and round_trip; ``fold`` gives ids_sha256 (of little-endian int32 ids) for ids and drops the text."""
-    docs = docs.drop("n_tokens", "ids", "ids_sha256", "round_trip")
+    docs = spread(docs.drop("n_tokens", "ids", "ids_sha256", "round_trip"))
+    shared = docs.sparkSession.sparkContext.broadcast(load(path))
     carried = [c for c in docs.columns if not (fold and c == "text")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in carried)
-    return docs.mapInArrow(tb.trimmed(_encoding(path, carried, fold)), f"{fields}, n_tokens long, {'ids_sha256 string' if fold else 'ids array<int>'}, round_trip boolean")
+    return docs.mapInArrow(tb.trimmed(_encoding(shared, carried, fold)), f"{fields}, n_tokens long, {'ids_sha256 string' if fold else 'ids array<int>'}, round_trip boolean")
 
 
 def decode(rows: DataFrame, *, path: str = MODEL) -> DataFrame:
     """``rows`` with ``text`` decoded from ``ids``; null ids give null, ids outside the model are left out."""
     rows = rows.drop("text")
     carried = rows.columns
+    shared = rows.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model(path)
+        own = model(shared.value)
         for batch in batches:
             texts = []
             for ids in batch.column("ids").to_pylist():

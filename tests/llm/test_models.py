@@ -1,5 +1,6 @@
 """Chat rotation, quality, piece codec, language ID, neighbours and the pipeline."""
 
+import hashlib
 import zlib
 
 import duckdb
@@ -7,14 +8,18 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F_
 
 import corpus_pipeline as C
 from quirelight.llm import ann as A
 from quirelight.llm import chat_format as F
+from quirelight.llm import decontaminate as D
 from quirelight.llm import language_id as L
+from quirelight.llm import minhash as M
 from quirelight.llm import piece_codec as P
 from quirelight.llm import quality as Q
 from quirelight.llm import registry as R
+from quirelight.llm import suffix_dedup as S
 
 
 @pytest.mark.parametrize("name", sorted(R.ORACLE_SQL))
@@ -116,24 +121,19 @@ def test_quality_of_repeated_ids(spark):
 
 
 def test_codec_equals_the_library():
-    sp, own = sentencepiece.SentencePieceProcessor(model_file=P.MODEL), P.Encoder()
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=P.MODEL), P.model(P.load())
     rng = np.random.default_rng(0)
     texts = ["Hello  world", " a", "a ", "\tx\ny", "é́ ﬁ ①", "", "   ", "日本語" * 50, "a\xa0b", "x\r\n\n y", "▁a▁▁b", "<s> hi </s>", "<0x41>", "a\x00b", "x" * 300 + " " * 40 + "y"]
     texts += ["".join(rng.choice(list("abcde  \nthein①é"), rng.integers(1, 120))) for _ in range(200)]
-    import pyarrow as pa
-
-    from quirelight.llm import textbytes as tb
-
-    buf, off = tb.flat(P._plain(pa.array(texts)))
-    for _ in range(2):  # units that are new, then known
-        ids, first = own.encode(buf, off)
-        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == sp.encode(texts)
-        assert P.round_trips(own.model, ids, first, buf, off).all()
+    buf, off = P.tb.flat(P._plain(pa.array(texts)))
+    ids, first = P.encode_run(own, buf, off)
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == sp.encode(texts)
+    assert P.round_trips(own, ids, first, buf, off).all()
 
 
 def test_codec_long_units_from_edges(monkeypatch):
     """Units of more than 64 characters are merged by the edges: without edges no piece is left, and no other table is read."""
-    sp, own = sentencepiece.SentencePieceProcessor(model_file=P.MODEL), P.model(P.MODEL)
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=P.MODEL), P.model(P.load())
     monkeypatch.setattr(own, "pieces", {}, raising=False)
     rng = np.random.default_rng(1)
     units = ["x" * 300, "short", "日本語の文章は空白なしで書かれる。" * 20, "é①" * 90] + ["".join(rng.choice(list("abcdetheinghan+/=AB09"), n)) for n in (65, 200, 5000)]
@@ -144,6 +144,25 @@ def test_codec_long_units_from_edges(monkeypatch):
     assert ids.tolist() == [own.byte_id[ord("x")]] * 300
 
 
+def test_codec_units_of_one_hash(monkeypatch):
+    """Units are told apart by their bytes."""
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=P.MODEL), P.model(P.load())
+    hashed = P.tb.span_hash
+    monkeypatch.setattr(P.tb, "span_hash", lambda sums, start, end: hashed(sums, start, end) % np.uint64(7))
+    buf, off = P.tb.flat(pa.array(["one two three four", "two three one", "", "four four"] * 3))
+    ids, first = P.encode_run(own, buf, off)
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == sp.encode(["one two three four", "two three one", "", "four four"] * 3)
+
+
+def test_codec_on_table(spark, sf):
+    """Every id of every document against the library, and every decoded text against its source."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
+    rows = P.encode(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    for r in rows.collect():
+        assert r.ids == sp.encode(r.text) and r.round_trip
+    assert all(r.text == r.before for r in P.decode(rows.withColumnRenamed("text", "before")).collect())
+
+
 def test_codec_messy(messy, empty):
     sp = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
     rows = P.encode(messy)
@@ -272,7 +291,57 @@ def test_pipeline(spark, sf):
 
 
 def test_pipeline_messy(spark, sf, messy, empty):
-    for docs in (messy, empty):
-        for name, stage in C.STAGES:
-            docs = C.written(stage(spark, docs, sf), f"messy-{name}")
-            docs.count()
+    """Each stage's documents, as its docstring defines them."""
+    rows, left = messy.unionByName(messy.where("doc_id = 2").withColumn("text", F_.lit("another text under the same id"))), {}
+    for name, stage in C.STAGES:
+        before = rows
+        rows = C.written(stage(spark, rows, sf), f"messy-{name}")
+        C.dropped(before)
+        left[name] = sorted((r.doc_id if r.doc_id is not None else -1) for r in rows.collect())
+    assert left["language_id"] == [-1, 1, 2, 2, 2, 2, 5, 6, 7, 9, 11, 12]
+    assert left["minhash_near_dedup"] == left["suffix_array_dedup"] == [-1, 1, 5, 7, 9, 11]
+    assert left["benchmark_decontamination"] == left["sentencepiece_codec"] == [-1, 1, 5, 7, 9, 11]
+    for name, stage in C.STAGES:
+        empty = C.written(stage(spark, empty, sf), f"empty-{name}")
+        assert empty.count() == 0
+
+
+def test_pipeline_keeps_rows_of_one_id(spark, sf):
+    """Near duplicates: rows that are the same become one, rows of one id with different texts stay, whatever the order."""
+    words = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, words("a"), "en", "s", 1), (1, words("a"), "en", "s", 1), (1, words("a"), "de", "s", 1), (2, words("b"), "en", "s", 1), (2, words("c"), "en", "s", 1), (3, words("a") + " x", "en", "s", 1), (None, words("a"), "en", "s", 1)]
+    for order in (rows, rows[::-1]):
+        got = C.near_duplicates(spark, spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long"), sf).collect()
+        assert sorted((r.doc_id or 0, r.text[:1], r.lang) for r in got) == [(0, "a", "en"), (1, "a", "de"), (2, "b", "en"), (2, "c", "en")]
+
+
+def test_pipeline_against_brute_force(spark):
+    """The whole pipeline but its trained stage against plain code."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    named = C.written(C.languages(spark, docs, sf), "named")
+    rows = {r.doc_id: r.text for r in named.collect()}
+    near = M.brute_force(list(rows.items()))
+    rows = {i: t for i, t in rows.items() if near[i][1] == i}
+    cut = S.brute_force(list(rows.items()))
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
+    got = {r.doc_id: r for r in C.run(spark, sf).collect()}
+    for i, text in rows.items():
+        left = _without_repeats(i, rows)
+        assert hashlib.sha256(left).hexdigest() == cut[i][3]
+        left = left.decode("utf-8", "ignore")
+        assert (i in got) == (D.brute_force(left, items)[1] == 0)
+        if i in got:
+            assert got[i].ids == sp.encode(left) and got[i].round_trip
+    assert set(got) <= set(rows)
+
+
+def _without_repeats(i, rows):
+    raw = rows[i].encode()
+    before = {t.encode()[k : k + 50] for j, t in rows.items() if j < i for k in range(len(t.encode()) - 49)}
+    gone = [False] * len(raw)
+    for k in range(len(raw) - 49):
+        if raw[k : k + 50] in before:
+            gone[k : k + 50] = [True] * 50
+    return bytes(b for b, g in zip(raw, gone) if not g)

@@ -9,7 +9,16 @@ kept, written as Parquet in the shared folder, and acts on it:
 4. benchmark decontamination: documents with a benchmark window go;
 5. SentencePiece: the texts' ids, each decoded again and compared.
 
-Stages 1 to 4 return the columns of documents.  Clean documents stay.
+Stages 1 to 4 return the columns of documents and ignore others.  Clean documents
+stay.
+
+Defined results: null and empty texts, and texts without a letter, go in stage 1;
+a text that stage 3 leaves empty stays as an empty text.  A row without an id is
+judged by its language and benchmark windows only, and never makes another row go.
+Rows of one id and text become one in stage 2 (with the smallest of their other
+columns, nulls first); rows of one id with different texts stay or go together.
+Very long texts are read whole; ties go to the smaller id; an empty table gives no
+rows in every stage.
 """
 
 from __future__ import annotations
@@ -22,7 +31,7 @@ from quirelight.llm import language_id as op8
 from quirelight.llm import minhash as op4
 from quirelight.llm import piece_codec as op6
 from quirelight.llm import suffix_dedup as op7
-from quirelight.llm.storage import may_contain, written
+from quirelight.llm.storage import dropped, may_contain, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,12 +45,12 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     judged = op4.near_duplicates(docs)
-    # only documents that go, or whose row is repeated, are matched by id; all others pass without a shuffle
+    # only documents that go, or whose id is repeated, are matched by id; all others pass without a shuffle
     touched = written(judged.where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1"), "touched")
     asked = F.col("doc_id").isNotNull() & may_contain(touched, "doc_id")
     passed = docs.where(~asked)
-    matched = docs.where(asked).dropDuplicates(["doc_id"]).join(touched.where("not kept"), "doc_id", "left_anti").select(*COLUMNS)
-    return passed.unionByName(matched)
+    single = docs.where(asked).groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest")).select("doc_id", "text", "rest.*")
+    return passed.unionByName(single.join(touched.where("not kept"), "doc_id", "left_anti").select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +80,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

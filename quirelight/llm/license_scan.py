@@ -149,7 +149,10 @@ def match(index: Index, low: np.ndarray, w: tb.Words, ids: np.ndarray, n_docs: i
             found = _phrase_at(raw, w, ids, np.unique(np.concatenate([p - t for t in postings[0]])), phrase, text)
             out.append((label, base, w.doc[found], found, np.ones(len(found))))
             continue
-        anchors = own & (np.cumsum(own, axis=1) <= ANCHORS)
+        mandatory = present[:, np.unique(np.concatenate([phrase for phrase, _, _ in phrases]))].all(axis=1)
+        if not mandatory.any():
+            continue
+        anchors = own & (np.cumsum(own, axis=1) <= ANCHORS) & mandatory[:, None]  # without the words of its key phrases a file has no place
         votes = []
         for k, x in enumerate(rare.tolist()):
             p = by_word[bounds[x] : bounds[x + 1]]

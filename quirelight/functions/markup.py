@@ -107,11 +107,27 @@ def _blanked(doc: bytes) -> bytes:
 def tokens(doc: bytes, mode: str = "strict"):
     """(kind, name, start, end): open, close (the start of a missing end tag is where its parent ends), text, other."""
     look = _blanked(doc) if mode == "html" else doc
+    hidden = [m.span() for m in _RAW.finditer(doc)] if mode == "html" else []
     stack: list[str] = []
-    at = 0
+    at = seen = 0
+
+    def said(start: int, end: int):
+        """Text of a stretch without tags, and what is hidden in it."""
+        nonlocal seen
+        while seen < len(hidden) and hidden[seen][1] <= start:
+            seen += 1
+        k = seen
+        while k < len(hidden) and hidden[k][0] < end:
+            if hidden[k][0] > start:
+                yield "text", stack[-1] if stack else "", start, hidden[k][0]
+            yield "other", stack[-1] if stack else "", *hidden[k]
+            start, k = hidden[k][1], k + 1
+        if start < end:
+            yield "text", stack[-1] if stack else "", start, end
+
     for m in _TOKEN.finditer(look):
         if m.start() > at:
-            yield "text", stack[-1] if stack else "", at, m.start()
+            yield from said(at, m.start())
         at = m.end()
         if m.group(2) is None:
             yield ("text" if m.group(0).startswith(b"<![CDATA[") else "other"), stack[-1] if stack else "", m.start(), m.end()
@@ -139,7 +155,7 @@ def tokens(doc: bytes, mode: str = "strict"):
     if b"<" in look[at:] and mode == "strict":
         raise MarkupError(f"unfinished tag at byte {at + look[at:].index(b'<')}")
     if at < len(doc):
-        yield "text", stack[-1] if stack else "", at, len(doc)
+        yield from said(at, len(doc))
     if stack and mode == "strict":
         raise MarkupError(f"<{stack[-1]}> is not closed")
     while stack:
@@ -276,22 +292,34 @@ def set_package_language(opf: bytes, code: str) -> bytes:
     return done
 
 
-def parse_answers(raw: str | None) -> list[str] | None:
-    """Answers in a reply: an envelope, a bare list, either in a code fence or inside chatter; null if there are none."""
+def parse_reply(raw: str | None) -> tuple[list[str] | None, list[str]]:
+    """(answers, remarks) of a reply: an envelope, a bare list, either in a code fence or inside chatter; no answers: None."""
     text = (raw or "").strip()
     for candidate in (text, _between(text, "{", "}"), _between(text, "[", "]")):
         try:
             value = json.loads(candidate) if candidate else None
         except ValueError:
             continue
+        notes = value.get("notes") if isinstance(value, dict) else None
         if isinstance(value, dict):
             value = value.get("translations")
         if isinstance(value, list) and all(isinstance(x, str) for x in value):
-            return value
+            return value, bounded_remarks(notes)
     if text.startswith("```") and "\n" in text:
         body = text.split("\n", 1)[1]
-        return parse_answers(body.rsplit("```", 1)[0] if "```" in body else body)
-    return None
+        return parse_reply(body.rsplit("```", 1)[0] if "```" in body else body)
+    return None, []
+
+
+def bounded_remarks(notes, most: int = 3, runes: int = 200) -> list[str]:
+    """Remarks of one answer: white space collapsed, blank and other values dropped, cut, at most ``most``."""
+    found = [" ".join(n.split()) for n in notes if isinstance(n, str)] if isinstance(notes, list) else []
+    return [n if len(n) <= runes else n[:runes].strip() + "…" for n in found if n][:most]
+
+
+def parse_answers(raw: str | None) -> list[str] | None:
+    """The answers of ``parse_reply``."""
+    return parse_reply(raw)[0]
 
 
 def _between(text: str, first: str, last: str) -> str:
@@ -299,7 +327,7 @@ def _between(text: str, first: str, last: str) -> str:
     return text[i : j + 1] if 0 <= i < j else ""
 
 
-_SEGMENTS = "array<struct<start:bigint,end:bigint,kind:string,source:string,elem:string,is_title:boolean>>"
+SEGMENTS = "array<struct<start:bigint,end:bigint,kind:string,source:string,elem:string,is_title:boolean>>"
 
 
 def segments_udf(mode: str = "html"):
@@ -311,7 +339,7 @@ def segments_udf(mode: str = "html"):
         except MarkupError:
             return None
 
-    @F.pandas_udf(_SEGMENTS)
+    @F.pandas_udf(SEGMENTS)
     def run(docs: pd.Series) -> pd.Series:
         return docs.map(one)
 

@@ -46,6 +46,11 @@ def user_text(sources: Sequence[str], *, book: str = "", passage: str = "", k: i
     return "\n".join([*lines, f"{len(sources)} strings:", payload(sources)])
 
 
+def continuity(configured: int) -> int:
+    """Characters of the translation so far that a batch is shown: a run takes a negative number for none, settings 0."""
+    return configured if configured > 0 else -1
+
+
 def last_runes(text: str, n: int) -> str:
     """The end of ``text``, at most n characters, with an ellipsis where it was cut."""
     return "" if n <= 0 else text if len(text) <= n else "…" + text[-n:]

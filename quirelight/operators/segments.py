@@ -42,18 +42,33 @@ def chunk_plan(docs: DataFrame, *, budget: int = 4000, most: int = 40) -> DataFr
     return planned.select("doc_id", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("chunk", "c")).select("doc_id", "chunk", "n_chunks", "c.lo", "c.hi", F.col("c.bytes").alias("n_bytes"))
 
 
-def bisect_plan(chunks: DataFrame, bad: Column, *, rounds: int = 8) -> DataFrame:
+def bisect_plan(chunks: DataFrame, bad: Column) -> DataFrame:
     """Requests of the adaptive split: a batch that holds a bad segment is split in two, down to single segments.
 
-    ``bad`` decides on the struct column ``r`` (lo, hi).  Every round splits all
-    open ranges at once; ``rounds`` covers batches of 2 ** rounds segments.
+    ``bad`` decides on the struct column ``r`` (lo, hi).  A batch splits to whatever depth its size asks for: the split points
+    depend on the bounds alone, so all ranges that could be asked are laid out (2 n - 1 for n segments), and a range is asked
+    if every range around it was bad.
     """
-    live = chunks.select("doc_id", "chunk", F.struct("lo", "hi").alias("r"), F.lit(0).alias("depth"))
-    out = None
-    for _ in range(rounds):
-        judged = live.withColumn("ok", ~bad)
-        out = judged if out is None else out.unionByName(judged)
-        mid = F.expr("r.lo + int((r.hi - r.lo) / 2)")
-        halves = F.explode(F.array(F.struct(F.col("r.lo").alias("lo"), mid.alias("hi")), F.struct(mid.alias("lo"), F.col("r.hi").alias("hi"))))
-        live = judged.where("not ok and r.hi - r.lo > 1").select("doc_id", "chunk", halves.alias("r"), F.expr("depth + 1").alias("depth"))
-    return out.select("doc_id", "chunk", "depth", "r.lo", "r.hi", "ok")
+    size = F.col("hi") - F.col("lo")
+    depths = F.sequence(F.lit(0), F.when(size > 1, F.ceil(F.log2(size)).cast("int")).otherwise(F.lit(0)))
+    def halves(r: Column) -> Column:
+        mid = r["lo"] + F.floor((r["hi"] - r["lo"]) / 2).cast("int")
+        return F.array(F.struct(r["lo"].alias("lo"), mid.alias("hi")), F.struct(mid.alias("lo"), r["hi"].alias("hi")))
+
+    ranges = F.aggregate(
+        depths,
+        F.struct(F.array(F.struct("lo", "hi", F.lit(0).alias("depth"))).alias("all"), F.array(F.struct("lo", "hi")).alias("level"), F.lit(0).alias("depth")),
+        lambda s, _: _deeper(s, halves),
+        lambda s: s["all"],
+    )
+    laid = chunks.select("doc_id", "chunk", F.explode(ranges).alias("n")).select("doc_id", "chunk", "n.depth", F.struct("n.lo", "n.hi").alias("r")).withColumn("bad", bad)
+    own = F.struct("depth", "r.lo", "r.hi", "bad")
+    tree = laid.groupBy("doc_id", "chunk").agg(F.collect_list(own).alias("tree"))
+    around = lambda n: F.forall("tree", lambda o: (o["depth"] >= n["depth"]) | (o["lo"] > n["lo"]) | (o["hi"] < n["hi"]) | o["bad"])
+    return tree.select("doc_id", "chunk", F.explode(F.filter("tree", around)).alias("n")).select("doc_id", "chunk", "n.depth", "n.lo", "n.hi", (~F.col("n.bad")).alias("ok"))
+
+
+def _deeper(s: Column, halves) -> Column:
+    level = F.flatten(F.transform(F.filter(s["level"], lambda r: r["hi"] - r["lo"] > 1), halves))
+    depth = s["depth"] + 1
+    return F.struct(F.concat(s["all"], F.transform(level, lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi"), depth.alias("depth")))).alias("all"), level.alias("level"), depth.alias("depth"))

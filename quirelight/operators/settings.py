@@ -11,9 +11,11 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from quirelight.functions.text import FOLD_FROM, FOLD_MANY, FOLD_MORE_FROM, FOLD_MORE_TO, FOLD_TO, LANGUAGE_TAG
+from quirelight.functions.text import FOLD_FROM, FOLD_MANY, FOLD_TO, LANGUAGE_TAG
 
 # Known services (id, name, protocol, endpoint, variables that may hold the key, free tier, no key needed).
 SERVICES = [
@@ -34,19 +36,15 @@ SERVICES = [
     ("offline", "Offline (capitals)", "offline", "", [], False, True),
 ]
 FORMATS = ("epub", "txt")
+EFFORTS = ("low", "medium", "high", "xhigh", "max")
 
 
 def services(spark: SparkSession) -> DataFrame:
     """The catalogue, best first: the first service, free tiers, services without a key, the rest."""
     rows = [(k, *s) for k, s in enumerate(SERVICES)]
     known = spark.createDataFrame(rows, "ordinal int, id string, name string, protocol string, endpoint string, key_env array<string>, free_tier boolean, no_key boolean")
-    return known.orderBy(_tier(), "ordinal")
-
-
-def _tier():
-    from pyspark.sql import functions as F
-
-    return F.when(F.col("id") == SERVICES[0][0], 0).when(F.col("free_tier"), 1).when(F.col("no_key"), 2).otherwise(3)
+    tier = F.when(F.col("id") == SERVICES[0][0], 0).when(F.col("free_tier"), 1).when(F.col("no_key"), 2).otherwise(3)
+    return known.withColumn("place", F.row_number().over(Window.orderBy(tier, "ordinal"))).orderBy("place")
 
 
 def key_of(service: str, environment: dict[str, str] | None = None) -> str:
@@ -76,6 +74,7 @@ class Settings:
     context_chars: int = 400
     timeout_seconds: int = 300
     requests_per_minute: int = 0
+    effort: str = ""
     salvage_pass: bool = True
     output_dir: str = ""
     format: str = "epub"
@@ -101,6 +100,7 @@ class Settings:
             ("base_url", "{" in at),
             ("target_code", protocol == "deepl" and not self.target_code.strip()),
             ("base_url", bool(at) and not (url.scheme in ("http", "https") and url.netloc)),
+            ("effort", protocol == "anthropic" and bool(self.effort.strip()) and self.effort.strip().lower() not in EFFORTS),
             *[(name, getattr(self, name) < least) for name, least in low],
             *[(name, len(getattr(self, name)) > most) for name, most in long],
             *[(name, bool(getattr(self, name)) and not re.fullmatch(LANGUAGE_TAG, getattr(self, name))) for name in ("target_code", "source_code")],
@@ -110,6 +110,17 @@ class Settings:
         return next((name for name, wrong in checks if wrong), None)
 
 
+def problems(rows: DataFrame) -> DataFrame:
+    """``rows`` of settings (columns named as they are, the others at their defaults) with ``problem``, the first in order or null."""
+    names = [f.name for f in dataclasses.fields(Settings) if f.name in rows.columns]
+
+    @F.pandas_udf("string")
+    def first(given: pd.DataFrame) -> pd.Series:
+        return pd.Series([Settings(**{n: v.item() if hasattr(v, "item") else v for n, v in zip(names, r, strict=True)}).problem() for r in given[names].itertuples(index=False)], dtype=object)
+
+    return rows.withColumn("problem", first(F.struct(*names)))
+
+
 def load(path: str) -> tuple[Settings, str | None]:
     """(settings, error): unknown names are kept apart, missing or ill-typed ones take their default; an unreadable file gives defaults and its error."""
     try:
@@ -140,7 +151,7 @@ def plain_slug(text: str, fallback: str = "translated") -> str:
     text = text.lower()
     for letter, plain in FOLD_MANY.items():
         text = text.replace(letter, plain)
-    return re.sub("[^a-z0-9]+", "-", text.translate(str.maketrans(FOLD_FROM + FOLD_MORE_FROM, FOLD_TO + FOLD_MORE_TO))).strip("-") or fallback
+    return re.sub("[^a-z0-9]+", "-", text.translate(str.maketrans(FOLD_FROM, FOLD_TO))).strip("-") or fallback
 
 
 def output_path(source: str, settings: Settings) -> Path:

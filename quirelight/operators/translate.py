@@ -3,23 +3,39 @@
 The provider is called in one stage only, whose result is written before
 anything reads it: a lost executor repeats at most the batches whose results were
 not written, and nothing downstream calls again.
+
+Batches that follow each other show the provider the end of the translation so
+far (``context_chars``); then the batches of a book are one ordered stretch of
+one task, as each depends on the one before.  Without that they are spread by
+document.  The rate of requests is shared: each of the stage's partitions gets
+its part of it.  A provider that can't go on stops its partition; what was not
+asked stays pending.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelight.functions import text as X
+from quirelight.operators import prompt as P
 from quirelight.operators import segments as G
 from quirelight.operators import verdicts as V
-from quirelight.operators.provider import Aborted, Provider, Runner
+from quirelight.operators.provider import COUNTERS, Aborted, Limiter, Provider, Request, Runner, Usage, interval
+from quirelight.operators.settings import Settings
 
-_ATTEMPTS = "doc_id long, chunk int, lo int, answers array<string>, calls int, usable int, error string"
+_USAGE = f"struct<{', '.join(f'{c}:bigint' for c in COUNTERS)}>"
+_REPLIES = (
+    "book_id string, chunk int, parts int, segs array<int>, answers array<string>, verdicts array<string>, remarks array<string>, messages array<string>, "
+    f"calls int, usable int, usage {_USAGE}, asked boolean, error string"
+)
+_REPLY_COLUMNS = "book_id chunk parts segs answers verdicts remarks messages calls usable usage asked error".split()
+#: What a batch is told about the book, with the values for documents that are no part of one.
+CONTEXT = {"book_title": "", "title": "", "k": 0, "place": 1, "places": 1}
 
 
 @dataclass(frozen=True)
@@ -31,46 +47,82 @@ class Options:
     attempts: int = 4
     base_wait: float = 2.0
     failure_limit: int = 6
+    answer_attempts: int = 2
+    max_tokens: int = 16_000
+    context_chars: int = 0
+    requests_per_minute: int = 0
+    second: bool = False
+    settings: Settings = field(default_factory=Settings)
+
+    @classmethod
+    def of(cls, settings: Settings) -> Options:
+        return cls(settings.chunk_chars, settings.max_segments, settings.attempts, max_tokens=settings.max_tokens, context_chars=P.continuity(settings.context_chars), requests_per_minute=settings.requests_per_minute, settings=settings)
 
     def salvage(self) -> Options:
-        return Options(min(800, self.budget), min(4, self.most), self.attempts, self.base_wait, self.failure_limit)
+        return replace(self, budget=min(800, self.budget), most=min(4, self.most), second=True)
 
 
-def attempts(segs: DataFrame, make: Callable[[], Provider], options: Options, path: str) -> DataFrame:
-    """Ask for the answers of ``segs`` (doc_id, seg, source) in batches; the replies are written to ``path`` and read back."""
-    ordered = segs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seg", "source"))).alias("s"))
+def batches(segs: DataFrame, options: Options) -> DataFrame:
+    """Ordered batches of the segments (doc_id, seg, source; block, book_id and ``CONTEXT`` where they have them)."""
+    given = {"book_id": F.col("doc_id").cast("string"), "block": F.lit(False)} | {c: F.lit(v) for c, v in CONTEXT.items()}
+    segs = segs.withColumns({c: v for c, v in given.items() if c not in segs.columns})
+    keys = ["doc_id", "book_id", *CONTEXT]
+    ordered = segs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seg", "source", "block"))).alias("s"))
     sizes = F.transform("s", lambda x: F.octet_length(x["source"]).cast("bigint"))
-    chunks = ordered.select("doc_id", "s", F.posexplode(G.chunk_bounds(sizes, options.budget, options.most)).alias("chunk", "c"))
-    batches = chunks.select("doc_id", "chunk", F.col("c.lo").alias("lo"), F.slice("s", F.col("c.lo") + 1, F.col("c.hi") - F.col("c.lo")).alias("part")).select("doc_id", "chunk", "lo", F.transform("part", lambda x: x["source"]).alias("sources"))
+    planned = ordered.withColumn("c", G.chunk_bounds(sizes, options.budget, options.most))
+    cut = planned.select(*keys, "s", F.size("c").alias("parts"), F.posexplode("c").alias("chunk", "c"))
+    part = F.slice("s", F.col("c.lo") + 1, F.col("c.hi") - F.col("c.lo"))
+    return cut.select(*keys, "chunk", "parts", part.alias("part")).select(*keys, "chunk", "parts", F.col("part.seg").alias("segs"), F.col("part.source").alias("sources"), F.col("part.block").alias("blocks"))
+
+
+def attempts(segs: DataFrame, make: Callable[[], Provider], options: Options, path: str) -> DataFrame:
+    """Ask for the answers of ``segs`` in batches; the judged replies are written to ``path`` and read back."""
+    spark = segs.sparkSession
+    planned = batches(segs, options)
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+    spread = ["book_id"] if options.context_chars > 0 else ["doc_id"]
+    ordered = planned.repartition(partitions, *spread).sortWithinPartitions("book_id", "k", "doc_id", "chunk")
+    system = P.system_text(options.settings, second=options.second)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runner = Runner(make(), attempts=options.attempts, base_wait=options.base_wait, failure_limit=options.failure_limit)
-        stopped = None
+        about: dict = {}
+
+        def prompt(sources, second) -> Request:
+            return Request(system, P.user_text(sources, **about), options.max_tokens, P.REPLY)
+
+        runner = Runner(make(), attempts=options.attempts, base_wait=options.base_wait, failure_limit=options.failure_limit, answer_attempts=options.answer_attempts, limiter=Limiter(interval(options.requests_per_minute, partitions)), prompt=prompt)
+        stopped, tail, book = None, "", None
         for frame in frames:
             rows = []
-            for doc, chunk, lo, sources in zip(frame["doc_id"], frame["chunk"], frame["lo"], frame["sources"], strict=True):
-                calls, usable, got = runner.calls, runner.usable, None
-                if stopped is None:
+            for r in frame.itertuples(index=False):
+                tail, book = tail if r.book_id == book else "", r.book_id
+                about |= {"book": r.book_title, "passage": r.title, "k": r.place, "n": r.places, "part": r.chunk + 1, "parts": r.parts, "tail": tail}
+                runner.remarks, runner.messages, runner.usage, runner.last_error = [], [], Usage(), ""
+                calls, usable, got, asked = runner.calls, runner.usable, None, stopped is None
+                sources, blocks = list(r.sources), [bool(b) for b in r.blocks]
+                if asked:
                     try:
-                        got = runner.answers(list(sources))
+                        got = runner.answers(sources, blocks, options.second)
                     except Aborted as e:
                         stopped = str(e)
-                rows.append((doc, chunk, lo, got, runner.calls - calls, runner.usable - usable, stopped))
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "lo", "answers", "calls", "usable", "error"])
+                judged = [V.judge(s, a, b) for s, a, b in zip(sources, got or [None] * len(sources), blocks, strict=True)]
+                said = " ".join(X.plain_strip(a) for v, a in judged if v in V.ACCEPTED).strip()
+                if said and options.context_chars > 0:
+                    tail = P.last_runes(said, options.context_chars)
+                rows.append((r.doc_id, r.book_id, r.chunk, r.parts, list(r.segs), None if got is None else got, None if got is None else [v for v, _ in judged], runner.remarks, runner.messages, runner.calls - calls, runner.usable - usable, {c: getattr(runner.usage, c) for c in COUNTERS}, asked, stopped if stopped else runner.last_error or None))
+            yield pd.DataFrame(rows, columns=["doc_id", *_REPLY_COLUMNS])
 
-    batches.mapInPandas(run, _ATTEMPTS).write.parquet(path)
-    return segs.sparkSession.read.parquet(path)
+    ordered.mapInPandas(run, f"doc_id {planned.schema['doc_id'].dataType.simpleString()}, {_REPLIES}").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def judged(segs: DataFrame, replies: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """``segs`` with answer and verdict; ``first``: earlier judgements that stand where nothing better came."""
-    order = segs.groupBy("doc_id").agg(F.array_sort(F.collect_list("seg")).alias("segs"))
-    flat = replies.where("answers is not null").select("doc_id", "lo", F.posexplode("answers").alias("k", "answer"))
-    by_seg = flat.join(order, "doc_id").select("doc_id", F.expr("segs[lo + k]").alias("seg"), "answer")
-    new = segs.join(by_seg, ["doc_id", "seg"], "left").withColumn("verdict", V.verdict(F.col("source"), F.col("answer"), F.lit(False)))
+    flat = replies.where("answers is not null").select("doc_id", F.inline(F.arrays_zip(F.col("segs").alias("seg"), F.col("answers").alias("answer"), F.col("verdicts").alias("verdict"))))
+    new = segs.select("doc_id", "seg", "source").join(flat, ["doc_id", "seg"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("blank")))
     if first is None:
         return new
-    again = new.select("doc_id", "seg", F.col("answer").alias("answer2"), F.col("verdict").alias("verdict2"))
+    again = flat.select("doc_id", "seg", F.col("answer").alias("answer2"), F.col("verdict").alias("verdict2"))
     better = V.accepted(F.coalesce("verdict2", F.lit("blank")))
     return first.join(again, ["doc_id", "seg"], "left").select("doc_id", "seg", "source", F.when(better, F.col("answer2")).otherwise(F.col("answer")).alias("answer"), F.when(better, F.col("verdict2")).otherwise(F.col("verdict")).alias("verdict"))
 
@@ -83,30 +135,46 @@ def results(verdicts: DataFrame) -> DataFrame:
     return rolled.withColumn("status", F.when(F.col("done") == 0, "failed").otherwise("done"))
 
 
+def reusable(segs: DataFrame, cache: DataFrame) -> DataFrame:
+    """Judgements of ``cache`` (doc_id, seg, source, answer, verdict) for documents whose segments are the same as then."""
+    known = cache.select("doc_id", "seg", "source", "answer", "verdict")
+    here, there = (x.groupBy("doc_id").agg(F.count("*").alias(c)) for x, c in ((segs, "n"), (known, "m")))
+    same = segs.select("doc_id", "seg", "source").join(known, ["doc_id", "seg", "source"]).groupBy("doc_id").agg(F.count("*").alias("both"))
+    whole = here.join(there, "doc_id").join(same, "doc_id").where("n = both and m = both").select("doc_id")  # a changed structure is not patched
+    return known.join(whole, "doc_id", "left_semi")
+
+
 def translate(docs: DataFrame, make: Callable[[], Provider], path: str, *, options: Options | None = None, salvage: Callable[[], Provider] | None = None, cache: DataFrame | None = None) -> DataFrame:
     """Results of all documents: cached ones as they are, pending segments again, the rest afresh; then a second pass over what is pending.
 
-    ``cache``: doc_id, seg, source, answer, verdict of an earlier run with the same recipe.
+    ``cache``: doc_id, seg, source, answer, verdict of an earlier run with the same recipe.  A run that was interrupted may be
+    started again on its path.
     """
+    return results(run(G.line_segments(docs), make, path, options=options, salvage=salvage, cache=cache))
+
+
+def run(segs: DataFrame, make: Callable[[], Provider], path: str, *, options: Options | None = None, salvage: Callable[[], Provider] | None = None, cache: DataFrame | None = None, retry: bool = True) -> DataFrame:
+    """Judgements (doc_id, seg, source, answer, verdict) of all segments; ``retry``: ask again for what is pending in the cache."""
     options = options or Options()
-    segs = G.line_segments(docs)
     if cache is None:
         first = judged(segs, attempts(segs, make, options, f"{path}/attempts"))
     else:
-        known = cache.select("doc_id", "seg", "source", "answer", "verdict")
-        same = segs.join(known, ["doc_id", "seg", "source"])
-        whole = segs.groupBy("doc_id").count().join(same.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id").where("count = n").select("doc_id")  # a changed structure is not patched
-        kept = known.join(whole, "doc_id", "left_semi")
-        ask = segs.join(kept.where(V.accepted(F.col("verdict"))).select("doc_id", "seg"), ["doc_id", "seg"], "left_anti")
-        base = segs.join(kept.drop("source"), ["doc_id", "seg"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("blank")))
+        kept = reusable(segs, cache)
+        known = kept.where(V.accepted(F.col("verdict"))) if retry else kept
+        ask = segs.join(known.select("doc_id", "seg"), ["doc_id", "seg"], "left_anti")
+        base = segs.select("doc_id", "seg", "source").join(kept.drop("source"), ["doc_id", "seg"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("blank")))
         first = judged(ask, attempts(ask, make, options, f"{path}/attempts"), base)
+    spark = segs.sparkSession
     if salvage is not None:
-        first.write.parquet(f"{path}/first")
-        first = docs.sparkSession.read.parquet(f"{path}/first")
-        ask = first.where(~V.accepted(F.col("verdict"))).select("doc_id", "seg", "source")
+        first.write.mode("overwrite").parquet(f"{path}/first")
+        first = spark.read.parquet(f"{path}/first")
+        left = first.where(~V.accepted(F.col("verdict"))).select("doc_id", "seg")
+        # a document that was not asked to its end waits for another run
+        whole = spark.read.parquet(f"{path}/attempts").groupBy("doc_id").agg(F.every(F.col("asked") & F.col("answers").isNotNull()).alias("whole")).where("whole").select("doc_id")
+        ask = segs.join(left, ["doc_id", "seg"], "left_semi").join(whole, "doc_id", "left_semi")
         first = judged(ask, attempts(ask, salvage, options.salvage(), f"{path}/salvage"), first)
-    first.write.parquet(f"{path}/verdicts")
-    return results(docs.sparkSession.read.parquet(f"{path}/verdicts"))
+    first.write.mode("overwrite").parquet(f"{path}/verdicts")
+    return spark.read.parquet(f"{path}/verdicts")
 
 
 def recipe(docs: DataFrame, **settings) -> DataFrame:

@@ -2,27 +2,84 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelight.functions import markup
 from quirelight.functions import text as X
 
 
-def verdict(source: Column, answer: Column, block: Column) -> Column:
-    """First reason to keep the source, else ``tags`` (accepted, but its tags changed) or ``ok``."""
+def verdict(source: Column, answer: Column, block: Column, broken: Column | None = None) -> Column:
+    """First reason to keep the source, else ``tags`` (accepted, but its tags changed) or ``ok``.
+
+    ``broken``: the answer is ill-formed where its source is not (``broken_udf``); without it that reason is left out.
+    Text functions come after cheap tests that most answers pass.
+    """
     fixed = F.when(block, X.repair_ampersands(answer)).otherwise(answer)
+    marked = F.contains(source, F.lit("<")) | F.contains(fixed, F.lit("<"))
     return (
-        F.when(answer.isNull() | (X.collapse(answer) == ""), "blank")
-        .when(~X.xml_safe(fixed), "unsafe")
+        F.when(answer.isNull() | X.blank(answer), "blank")
+        .when(~X.xml_safe(answer), "unsafe")
+        .when(F.lit(False) if broken is None else block & broken, "broken")
         .when(~block & ~source.rlike("[<>]") & answer.rlike("[<>]"), "markup")
         .when(F.octet_length(fixed) > 6 * F.octet_length(source) + 200, "long")
-        .when((F.contains(source, F.lit("<")) | F.contains(fixed, F.lit("<"))) & (X.tag_counts(source) != X.tag_counts(fixed)), "tags")
+        .when(block & marked & (X.tag_counts(source) != X.tag_counts(fixed)), "tags")
         .otherwise("ok")
     )
 
 
+def suspicious(answer: Column, block: Column) -> Column:
+    """The repaired answer where it may be ill-formed, else null: few answers go to ``broken_udf``."""
+    return F.when(block & (F.contains(answer, F.lit("<")) | F.contains(answer, F.lit("&")) | F.contains(answer, F.lit("]]>"))), X.repair_ampersands(answer))
+
+
+def broken_udf():
+    """(sources, suspicious answers) -> for each whether it is ill-formed while its source is not; nulls are not."""
+
+    @F.pandas_udf("array<boolean>")
+    def run(sources: pd.Series, answers: pd.Series) -> pd.Series:
+        return pd.Series([None if own is None or said is None else [a is not None and not markup.well_formed(a) and markup.well_formed(s) for s, a in zip(own, said, strict=True)] for own, said in zip(sources, answers, strict=True)])
+
+    return run
+
+
+def verdicts(rows: DataFrame, block) -> DataFrame:
+    """``rows`` (lines, answers: arrays of one document) with ``verdicts``, judged inside the document's array.
+
+    ``block(i)`` says whether the i-th line is markup.
+    """
+    rows = rows.withColumn("_doubt", F.transform("answers", lambda a, i: suspicious(a, block(i))))
+    rows = rows.withColumn("_broken", F.when(F.exists("_doubt", lambda a: a.isNotNull()), broken_udf()("lines", F.when(F.exists("_doubt", lambda a: a.isNotNull()), F.col("_doubt")))))
+    judged = F.transform("lines", lambda s, i: verdict(s, F.get(F.col("answers"), i), block(i), F.coalesce(F.get(F.col("_broken"), i), F.lit(False))))
+    return rows.withColumn("verdicts", judged).drop("_doubt", "_broken")
+
+
+def judge(source: str, answer: str | None, block: bool) -> tuple[str, str]:
+    """(verdict, repaired answer) of one segment, where the provider is called."""
+    if answer is None:
+        return "blank", ""
+    fixed = markup.repair_ampersands(answer) if block else answer
+    if not fixed.strip():
+        return "blank", fixed
+    if not markup.xml_safe(fixed):
+        return "unsafe", fixed
+    if block and ("<" in fixed or "&" in fixed) and not markup.well_formed(fixed) and markup.well_formed(source):
+        return "broken", fixed
+    if not block and not ("<" in source or ">" in source) and ("<" in fixed or ">" in fixed):
+        return "markup", fixed
+    if len(fixed.encode("utf-8", "surrogatepass")) > 6 * len(source.encode("utf-8", "surrogatepass")) + 200:
+        return "long", fixed
+    if block and ("<" in source or "<" in fixed) and markup.tag_counts(source) != markup.tag_counts(fixed):
+        return "tags", fixed
+    return "ok", fixed
+
+
+ACCEPTED = ("ok", "tags")
+
+
 def accepted(of: Column) -> Column:
-    return of.isin("ok", "tags")
+    return of.isin(*ACCEPTED)
 
 
 def splice(lines: DataFrame, answers: DataFrame) -> DataFrame:
@@ -52,6 +109,11 @@ def pending_select(segments: DataFrame, pending: DataFrame) -> DataFrame:
     return first.join(segments, ["doc_id", "seg"]).select("doc_id", "place", "seg", "source")
 
 
+def spliced(lines: Column, answers: Column, verdicts: Column) -> Column:
+    """The text of a document's lines, those with an accepted answer replaced."""
+    return F.array_join(F.transform(lines, lambda s, i: F.when(accepted(F.get(verdicts, i)), F.get(answers, i)).otherwise(s)), "\n")
+
+
 def error_class(status: Column) -> Column:
     """fatal, retryable or rejected, by status; null (no answer) is retryable."""
     return F.when(status.isin(401, 403, 404), "fatal").when(status.isNull() | status.isin(408, 409, 429) | (status >= 500), "retryable").when(status >= 400, "rejected").otherwise("ok")

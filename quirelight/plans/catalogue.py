@@ -1,23 +1,29 @@
 """Registered queries of the document engine and their SQL oracles.
 
-Every query reads whole tables.  ``SHARED`` holds queries whose text is the same
-in Spark and in the oracle; the others are built from the package's operators
-and have an oracle of their own.
+Every query reads whole tables, is built from the package's operators and has an
+oracle of its own.  The tables stand in for books, runs and calls where there are
+none: what a row stands for is said beside each query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.functions import markup
+from quirelight.functions import markup, messages
 from quirelight.functions import text as X
+from quirelight.operators import books as B
+from quirelight.operators import cache as C
 from quirelight.operators import ordered as O
+from quirelight.operators import reports as R
 from quirelight.operators import segments as G
+from quirelight.operators import settings as S
 from quirelight.operators import verdicts as V
+from quirelight.operators import views as W
+from quirelight.sources import epub
+from quirelight.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,10 +38,10 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(name: str, *tables: str, oracle: str | None = None):
-    """Register ``fn(*tables)`` as a query."""
+    """Register ``fn(*tables)`` as a query; documents and pages are dealt to all cores, as their functions are costly."""
 
     def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(*[table(spark, sf_dir, t) for t in tables])
+        QUERIES[name] = lambda spark, sf_dir: fn(*[spread(table(spark, sf_dir, t)) if t in ("documents", "pages") else table(spark, sf_dir, t) for t in tables])
         if oracle:
             ORACLE_SQL[name] = oracle
         return fn
@@ -83,12 +89,16 @@ def _(docs):
     return docs.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, X.has_letter)).cast("long").alias("n_kept"))
 
 
-_STRIP = "html"
-for _k in range(3):
-    _STRIP = f"regexp_replace({_STRIP}, '<[^<>]*>', '', 'g')"
+#: Depth by windows: running sums of the brackets, lifted by the lowest sum so far.
+_STRIP = f"""
+WITH p AS (SELECT page_id, ps, unnest(range(len(ps))) AS i FROM (SELECT page_id, string_split(regexp_replace(html, '([<>])', chr(1) || '\\1', 'g'), chr(1)) AS ps FROM pages)),
+ m AS (SELECT page_id, i, ps[i + 1] AS piece, CASE ps[i + 1][1] WHEN '<' THEN 1 WHEN '>' THEN -1 ELSE 0 END AS d FROM p),
+ s AS (SELECT *, sum(d) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS total FROM m),
+ e AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING)) AS depth FROM s)
+SELECT page_id, sha256({_collapse("coalesce(string_agg(CASE WHEN d = 0 THEN piece ELSE substring(piece, 2) END, '' ORDER BY i) FILTER (depth = 0), '')")}) AS digest FROM e GROUP BY page_id"""
 
 
-@query("strip_tags", "pages", oracle=f"SELECT page_id, sha256({_collapse(f'replace(regexp_replace({_STRIP}, {chr(39)}(?s)<.*${chr(39)}, {chr(39)}{chr(39)}), {chr(39)}>{chr(39)}, {chr(39)}{chr(39)})')}) AS digest FROM pages")
+@query("strip_tags", "pages", oracle=_STRIP)
 def _(pages):
     return pages.select("page_id", F.sha2(X.strip_tags(F.col("html")), 256).alias("digest"))
 
@@ -98,15 +108,17 @@ def _(docs):
     return docs.select("doc_id", X.first_runes(F.col("text"), 40).alias("head"), X.last_runes(F.col("text"), 400).alias("tail"))
 
 
-_SLUG = "lower(substring(text, 1, 60))"
-for _a, _b in X.FOLD_MANY.items():
-    _SLUG = f"replace({_SLUG}, '{_a}', '{_b}')"
-_SLUG = f"regexp_replace(regexp_replace(translate({_SLUG}, '{X.FOLD_FROM}', '{X.FOLD_TO}'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+# The letters that a slug folds, as the oracle writes them.
+_FOLDED = {"a": "àáâãäåā", "c": "çćč", "d": "ď", "e": "èéêëēęě", "i": "ìíîïī", "l": "ł", "n": "ñńň", "o": "òóôõöøō", "r": "ř", "s": "śš", "t": "ť", "u": "ùúûüūů", "y": "ýÿ", "z": "źżž", "ss": "ß", "ae": "æ", "oe": "œ"}
+_SLUG = "lower(text)"
+for _plain, _letters_of in _FOLDED.items():
+    _SLUG = f"regexp_replace({_SLUG}, '[{_letters_of}]', '{_plain}', 'g')"
+_SLUG = f"regexp_replace(regexp_replace({_SLUG}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
 @query("slug", "documents", oracle=f"SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT doc_id, {_SLUG} AS s FROM documents)")
 def _(docs):
-    return docs.select("doc_id", X.slug(F.substring("text", 1, 60)).alias("slug"))
+    return docs.select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
 @query("thousands_fmt", "customer", oracle="SELECT c_custkey, replace(format('{:,}', CAST(round(abs(c_acctbal) * 1000) AS BIGINT)), ',', ' ') AS grouped FROM customer")
@@ -114,20 +126,16 @@ def _(customer):
     return customer.select("c_custkey", X.thousands(F.round(F.abs("c_acctbal") * 1000).cast("long")).alias("grouped"))
 
 
-_CODES = ["en", "en-gb", "en_US", "pt-br", "pt-PT", "zh-hans", "zh-Hant", "de-AT", "fr", "e", "en--gb", "nb-NO", "toolonglanguage", "es-419", "12"]
-_CODE_ROWS = "(VALUES " + ", ".join(f"('{c}')" for c in _CODES) + ") AS t(code)"
+_CODE = "lang || ['', '-gb', '_US', '-hans', '--x', '-Hant', '-BR'][doc_id % 7 + 1]"
 
 
-def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(c,) for c in _CODES], "code string")
-    return rows.select("code", X.direct_language(F.col("code")).alias("mapped"), F.col("code").rlike(X.LANGUAGE_TAG).alias("valid"))
-
-
-QUERIES["lang_map"] = _codes
-ORACLE_SQL["lang_map"] = f"""
-SELECT code, CASE WHEN u IN ('EN-GB', 'EN-US', 'PT-BR', 'PT-PT', 'ZH-HANT') THEN u WHEN u = 'ZH-HANS' THEN 'ZH' ELSE split_part(u, '-', 1) END AS mapped,
-       regexp_matches(code, '{X.LANGUAGE_TAG}') AS valid
-FROM (SELECT code, replace(upper(code), '_', '-') AS u FROM {_CODE_ROWS})"""
+@query("lang_map", "documents", oracle=f"""
+SELECT doc_id, CASE WHEN u IN ('EN-GB', 'EN-US', 'PT-BR', 'PT-PT', 'ZH-HANT') THEN u WHEN u = 'ZH-HANS' THEN 'ZH' ELSE split_part(u, '-', 1) END AS mapped, regexp_matches(code, '{X.LANGUAGE_TAG}') AS valid
+FROM (SELECT doc_id, code, replace(upper(code), '_', '-') AS u FROM (SELECT doc_id, {_CODE} AS code FROM documents))""")
+def _(docs):
+    ends = F.array(*[F.lit(x) for x in ("", "-gb", "_US", "-hans", "--x", "-Hant", "-BR")])
+    code = F.concat("lang", F.get(ends, (F.col("doc_id") % 7).cast("int")))
+    return docs.select("doc_id", X.direct_language(code).alias("mapped"), code.rlike(X.LANGUAGE_TAG).alias("valid"))
 
 
 @query("lang_tag_valid", "documents", oracle=f"SELECT doc_id, regexp_matches(lang || '-' || source, '{X.LANGUAGE_TAG}') AS tagged, regexp_matches(lang, '{X.LANGUAGE_TAG}') AS plain FROM documents")
@@ -235,42 +243,49 @@ def _(docs):
     n = F.size(F.filter(F.split("text", "\n"), X.has_letter))
     whole = docs.select("doc_id", n.alias("n")).where("n > 0").select("doc_id", "n", F.posexplode(F.expr("sequence(0, int((n - 1) / 8))")).alias("chunk", "_c"))
     chunks = whole.selectExpr("doc_id", "chunk", "chunk * 8 as lo", "least(n, chunk * 8 + 8) as hi")
-    return G.bisect_plan(chunks, F.expr("int((r.hi + 3) / 7) > int((r.lo + 3) / 7)"), rounds=4)
+    return G.bisect_plan(chunks, F.expr("int((r.hi + 3) / 7) > int((r.lo + 3) / 7)"))
+
+
+_SMALL, _LARGE = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _answers(seg: DataFrame) -> DataFrame:
-    """Seeded answers: capitals, and every kind of spoilt answer."""
-    up = F.translate("source", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    key = F.col("doc_id") * 31 + F.col("seg")
-    return seg.withColumn("answer", F.when(key % 11 == 0, "").when(key % 11 == 1, F.concat(up, F.lit("\x02"))).when(key % 11 == 2, F.concat(F.lit("<b>"), up, F.lit("</b>"))).when(key % 11 == 3, F.repeat(up, 9)).otherwise(up))
+def _judged(docs: DataFrame) -> DataFrame:
+    """Lines of each document with seeded answers (capitals, and every kind of spoilt answer) and their verdicts; even lines are markup."""
+
+    def answer(doc: Column, s: Column, i: Column) -> Column:
+        up, key = F.translate(s, _SMALL, _LARGE), (doc * 31 + i) % 11
+        return F.when(key == 0, "").when(key == 1, F.concat(up, F.lit("\x02"))).when(key == 2, F.concat(F.lit("<b>"), up, F.lit("</b>"))).when(key == 3, F.repeat(up, 9)).when(key == 4, F.concat(F.lit("<b>"), up)).otherwise(up)
+
+    lines = docs.select("doc_id", F.filter(F.split("text", "\n"), X.has_letter).alias("lines"))
+    return V.verdicts(lines.withColumn("answers", F.transform("lines", lambda s, i: answer(F.col("doc_id"), s, i))), lambda i: i % 2 == 0)
 
 
-_UP = "translate(source, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
-_ANS = f"SELECT doc_id, seg, source, CASE (doc_id * 31 + seg) % 11 WHEN 0 THEN '' WHEN 1 THEN {_UP} || chr(2) WHEN 2 THEN '<b>' || {_UP} || '</b>' WHEN 3 THEN repeat({_UP}, 9) ELSE {_UP} END AS answer FROM ({_SEG})"
+_UP = f"translate(source, '{_SMALL}', '{_LARGE}')"
+_ANS = f"SELECT doc_id, seg, source, CASE (doc_id * 31 + seg) % 11 WHEN 0 THEN '' WHEN 1 THEN {_UP} || chr(2) WHEN 2 THEN '<b>' || {_UP} || '</b>' WHEN 3 THEN repeat({_UP}, 9) WHEN 4 THEN '<b>' || {_UP} ELSE {_UP} END AS answer FROM ({_SEG})"
 _VERDICT = f"""SELECT doc_id, seg, source, answer, CASE WHEN {_collapse('answer')} = '' THEN 'blank'
   WHEN regexp_matches(f, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{{FFFE}}\\x{{FFFF}}]') THEN 'unsafe'
+  WHEN block AND len(regexp_extract_all(f, '<b>')) <> len(regexp_extract_all(f, '</b>')) AND NOT contains({_REF.format(x='source')}, '&') THEN 'broken'
   WHEN NOT block AND NOT regexp_matches(source, '[<>]') AND regexp_matches(answer, '[<>]') THEN 'markup'
   WHEN strlen(f) > 6 * strlen(source) + 200 THEN 'long'
   WHEN list_sort({_tags('source')}) <> list_sort({_tags('f')}) THEN 'tags' ELSE 'ok' END AS verdict
   FROM (SELECT *, CASE WHEN block THEN {_repair('answer')} ELSE answer END AS f FROM (SELECT *, seg % 2 = 0 AS block FROM ({_ANS})))"""
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    return _answers(G.line_segments(docs)).withColumn("verdict", V.verdict(F.col("source"), F.col("answer"), F.col("seg") % 2 == 0))
-
-
 @query("accept_verdict", "documents", oracle=f"SELECT doc_id, CAST(seg AS INTEGER) AS seg, verdict FROM ({_VERDICT})")
 def _(docs):
-    return _judged(docs).select("doc_id", "seg", "verdict")
+    return _judged(docs).select("doc_id", F.posexplode("verdicts").alias("seg", "verdict"))
+
+
+def _done(verdicts: str = "verdicts") -> Column:
+    return F.size(F.filter(verdicts, V.accepted)).cast("long")
 
 
 @query("splice_docs", "documents", oracle=f"""
 SELECT doc_id, sha256(string_agg(CASE WHEN verdict IN ('ok', 'tags') THEN answer ELSE source END, chr(10) ORDER BY seg)) AS digest, CAST(count(*) FILTER (verdict IN ('ok', 'tags')) AS BIGINT) AS n_done
 FROM ({_VERDICT}) GROUP BY doc_id""")
 def _(docs):
-    judged = _judged(docs)
-    parts = F.array_sort(F.collect_list(F.struct("seg", F.when(V.accepted(F.col("verdict")), F.col("answer")).otherwise(F.col("source")).alias("text"))))
-    return judged.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(parts, lambda p: p["text"]), "\n"), 256).alias("digest"), F.count_if(V.accepted(F.col("verdict"))).alias("n_done"))
+    text = V.spliced(F.col("lines"), F.col("answers"), F.col("verdicts"))
+    return _judged(docs).where("size(lines) > 0").select("doc_id", F.sha2(text, 256).alias("digest"), _done().alias("n_done"))
 
 
 @query("pending_select", "documents", oracle=f"SELECT doc_id, CAST(min(place) AS INTEGER) AS place, CAST(seg AS INTEGER) AS seg, any_value(source) AS source FROM (SELECT doc_id, p AS place, [1, 0, 1, 999999, doc_id % 7][p + 1] AS seg FROM (SELECT doc_id, unnest(range(5)) AS p FROM documents)) JOIN ({_SEG}) USING (doc_id, seg) GROUP BY doc_id, seg")
@@ -281,12 +296,10 @@ def _(docs):
 
 @query("retry_pending", "documents", oracle=f"SELECT doc_id, sha256(string_agg(CASE WHEN seg % 3 = 1 AND verdict IN ('ok', 'tags') THEN answer ELSE source END, chr(10) ORDER BY seg)) AS digest, CAST(count(*) FILTER (seg % 3 = 1 AND verdict NOT IN ('ok', 'tags')) AS BIGINT) AS still_pending FROM ({_VERDICT}) GROUP BY doc_id")
 def _(docs):
-    judged = _judged(docs)
-    again = F.col("seg") % 3 == 1
-    new = judged.where(again & V.accepted(F.col("verdict"))).select("doc_id", "seg", "answer")
-    done = V.splice(judged.select("doc_id", "seg", "source"), new)
-    left = judged.groupBy("doc_id").agg(F.count_if(again & ~V.accepted(F.col("verdict"))).alias("still_pending"))
-    return done.join(left, "doc_id").select("doc_id", F.sha2("text", 256).alias("digest"), "still_pending")
+    judged = _judged(docs).where("size(lines) > 0")
+    again = F.transform("verdicts", lambda v, i: F.when(i % 3 == 1, v).otherwise("first"))  # what is not asked again keeps its earlier text
+    left = F.size(F.filter("verdicts", lambda v, i: (i % 3 == 1) & ~V.accepted(v))).cast("long")
+    return judged.select("doc_id", F.sha2(V.spliced(F.col("lines"), F.col("answers"), again), 256).alias("digest"), left.alias("still_pending"))
 
 
 @query("structure_drift", "documents", oracle=f"SELECT doc_id, CAST(len(ls) AS BIGINT) AS before, CAST(len(ls) - (doc_id % 5 = 0)::INT AS BIGINT) AS after, doc_id % 5 = 0 AS drifted FROM ({_LINES}) WHERE len(ls) > 0")
@@ -299,8 +312,9 @@ def _(docs):
 
 @query("titles_filter", "documents", oracle=f"SELECT doc_id, CAST(seg AS INTEGER) AS seg FROM ({_SEG}) JOIN (SELECT doc_id, doc_id % 10 = 0 AS nav FROM documents) USING (doc_id) WHERE NOT (length(source) < 20 OR nav)")
 def _(docs):
+    """Short lines stand for titles, every tenth document for a table of contents."""
     seg = G.line_segments(docs).withColumn("is_title", F.length("source") < 20).withColumn("navigation", F.col("doc_id") % 10 == 0)
-    return seg.where("not (is_title or navigation)").select("doc_id", "seg")
+    return B.translatable(seg, titles=False).select("doc_id", "seg")
 
 
 @query("resume_route", "documents", "labels", oracle="SELECT doc_id, CASE WHEN l.id IS NULL THEN 'fresh' WHEN toxic = 1 THEN 'retry' ELSE 'cached' END AS route FROM documents LEFT JOIN (SELECT doc_id AS id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON doc_id = id")
@@ -378,12 +392,9 @@ def _(turns):
     return found.select("conv_id", "turn", F.col("before").alias("tail_turn"))
 
 
-@query("report_topn", "conversations", oracle="SELECT conv_id, turn, CAST(n - r AS BIGINT) AS more FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) x WHERE r <= 5")
+@query("report_topn", "conversations", oracle="SELECT conv_id, turn, CAST(greatest(n - 5, 0) AS BIGINT) AS more FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) x WHERE r <= 5")
 def _(turns):
-    # the filter on the rank prunes each partition before the shuffle; the count is combined before it
-    first = turns.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("r")).where("r <= 5")
-    size = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
-    return first.join(size, "conv_id").select("conv_id", "turn", (F.col("n") - F.col("r")).alias("more"))
+    return R.first_of(turns.select("conv_id", "turn"), ["conv_id"], ["turn"], 5).select("conv_id", "turn", "more")
 
 
 @query("remark_cap", "conversations", oracle=f"""
@@ -395,35 +406,220 @@ def _(turns):
     return V.remarks(turns.select(F.col("conv_id").alias("doc"), F.expr("turn div 3").alias("answer"), F.col("turn").alias("place"), F.col("text").alias("message")))
 
 
-# --- queries with one text for both engines -----------------------------------
+# --- runs, books and lists -------------------------------------------------------
+
+
+@query("attempt_rollup", "events", oracle="SELECT event_type, CAST(sum(1 + event_id % 3) AS BIGINT) AS attempted, count(*) FILTER (event_id % 11 <> 0) AS usable FROM events GROUP BY event_type")
+def _(events):
+    """Events stand for batches, each with up to three calls."""
+    batches = events.select("event_type", (F.col("event_id") % 3 + 1).alias("calls"), (F.col("event_id") % 11 != 0).cast("int").alias("usable"))
+    return R.attempted(batches, ["event_type"])
+
+
+@query("usage_sum", "conversations", oracle="SELECT conv_id, CAST(sum(length(text)) FILTER (role = 'user') AS BIGINT) AS input, CAST(sum(length(text)) FILTER (role = 'assistant') AS BIGINT) AS output, CAST(sum(turn) FILTER (role = 'system') AS BIGINT) AS cache_read, CAST(NULL AS BIGINT) AS cache_write FROM conversations GROUP BY conv_id")
+def _(turns):
+    """Turns stand for answers that report one counter or none."""
+    size = F.length("text").cast("long")
+    own = F.struct(F.when(F.col("role") == "user", size).alias("input"), F.when(F.col("role") == "assistant", size).alias("output"), F.when(F.col("role") == "system", F.col("turn")).alias("cache_read"), F.lit(None).cast("long").alias("cache_write"))
+    return R.usage_sum(turns.select("conv_id", own.alias("usage")), ["conv_id"])
+
+
+def _states(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents with the status their labels stand for; lines are segments, the first toxic + 1 of them pending."""
+    lines = F.size(F.filter(F.split("text", "\n"), X.has_letter))
+    rows = docs.join(labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), "doc_id", "left")
+    status = F.when(F.col("quality").isNull(), "pending").when(F.col("toxic") == 1, "failed").when(F.col("quality") == 1, "done").otherwise("cached")
+    left = F.when(F.col("quality").isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.col("toxic")))
+    return rows.select("doc_id", "source", "lang", status.alias("status"), lines.alias("total"), F.when(status == "done", lines).otherwise(0).alias("done"), left.alias("pending"))
+
+
+_STATES = f"""SELECT doc_id, src, lang, n, CASE WHEN quality IS NULL THEN 'pending' WHEN toxic = 1 THEN 'failed' WHEN quality = 1 THEN 'done' ELSE 'cached' END AS status, coalesce(toxic + 1, 0) AS open
+FROM (SELECT d.doc_id, d.src, d.lang, len(ls) AS n, max(quality) AS quality, max(toxic) AS toxic FROM ({_LINES.replace('source AS src', 'source AS src, lang')}) d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL)"""
+
+
+@query("run_rollup", "documents", "labels", oracle=f"""
+SELECT src AS source, count(*) AS documents, CAST(sum(CASE WHEN status = 'cached' THEN 0 ELSE n END) AS BIGINT) AS segments, CAST(sum(CASE WHEN status = 'done' THEN n ELSE 0 END) AS BIGINT) AS translated,
+       CAST(sum(open) AS BIGINT) AS pending, bool_or(status = 'failed' OR open > 0) AS retryable FROM ({_STATES}) GROUP BY src""")
+def _(docs, labels):
+    return R.rollup(_states(docs, labels), ["source"]).select("source", "documents", "segments", "translated", "pending", "retryable")
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (status = '{s}') AS {n}" for s, n in (("done", "done"), ("cached", "cached"), ("failed", "failed"), ("pending", "waiting")))
+
+
+@query("status_pivot", "documents", "labels", oracle=f"SELECT lang, {_COUNTS} FROM ({_STATES}) GROUP BY lang")
+def _(docs, labels):
+    return R.rollup(_states(docs, labels), ["lang"]).select("lang", "done", "cached", "failed", "waiting")
+
+
+@query("list_runs", "documents", "labels", oracle=f"""
+SELECT recipe, done, pending, row_number() OVER (ORDER BY updated DESC, recipe) AS place FROM (
+  SELECT src || '/' || lang AS recipe, count(*) AS done, CAST(sum(open) AS BIGINT) AS pending, max(doc_id) // 3 AS updated FROM ({_STATES}) WHERE status IN ('done', 'cached', 'failed') GROUP BY src, lang)""")
+def _(docs, labels):
+    """Sources and languages stand for recipes, labelled documents for stored ones."""
+    kept = _states(docs, labels).where("status <> 'pending'").withColumn("recipe", F.concat_ws("/", "source", "lang"))
+    seen = kept.select("recipe", "doc_id", F.explode_outer("pending").alias("seg"))
+    judgements = seen.select("recipe", F.col("doc_id").alias("path"), F.when(F.col("seg").isNull(), "ok").otherwise("blank").alias("verdict"))
+    newest = kept.groupBy("recipe").agg(F.floor(F.max("doc_id") / 3).alias("updated_at"))
+    return C.listed(C.counted(judgements).join(newest, "recipe")).select("recipe", "done", "pending", F.col("place").cast("long").alias("place"))
+
+
+@query("note_counts", "conversations", oracle="SELECT conv_id, count(*) FILTER (role <> 'system') AS problems, count(*) FILTER (role = 'system') AS remarks FROM conversations GROUP BY conv_id")
+def _(turns):
+    """Turns stand for notes, those of the system for remarks."""
+    return R.note_counts(turns.select("conv_id", (F.col("role") == "system").alias("remark")), ["conv_id"])
+
+
+@query("notes_split", "conversations", oracle="SELECT conv_id, turn, role = 'system' AS remark FROM conversations")
+def _(turns):
+    problems, remarks = R.split(turns.select("conv_id", "turn", (F.col("role") == "system").alias("remark")))
+    return problems.unionByName(remarks)
+
+
+_WORD1 = "split_part(text, ' ', 1)"
+
+
+def _lists(turns: DataFrame) -> list[DataFrame]:
+    """Conversations stand for books; the first words of a role's turns for the paths of a list."""
+    return [turns.where(F.col("role") == r).select(F.col("conv_id").alias("book"), F.split_part("text", F.lit(" "), F.lit(1)).alias("path"), F.split_part("text", F.lit(" "), F.lit(2)).alias("label"), F.col("turn").alias("ordinal")) for r in ("user", "assistant", "system")]
+
+
+_LIST_NO = "CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END"
+
+
+@query("worklist", "conversations", oracle=f"""
+SELECT conv_id AS book, path, row_number() OVER (PARTITION BY conv_id ORDER BY l, turn, path) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, path ORDER BY l, turn) AS nth FROM (SELECT conv_id, turn, {_WORD1} AS path, {_LIST_NO} AS l FROM conversations)) WHERE nth = 1""")
+def _(turns):
+    return W.ordered_union(*_lists(turns)).select("book", "path", F.col("place").cast("long").alias("place"))
+
+
+@query("toc_labels", "conversations", oracle=f"""
+SELECT DISTINCT conv_id AS book, path, first_value(label) OVER (PARTITION BY conv_id, path ORDER BY l, turn) AS label
+FROM (SELECT conv_id, turn, {_WORD1} AS path, split_part(text, ' ', 2) AS label, {_LIST_NO} AS l FROM conversations) WHERE label <> ''""")
+def _(turns):
+    return W.first_labels(*_lists(turns))
+
+
+@query("title_coalesce", "documents", "labels", oracle=f"""
+SELECT doc_id, coalesce(CASE WHEN q = 1 THEN 'Label ' || doc_id END, nullif({_collapse("CASE WHEN length(string_split(text, chr(10))[1]) < 60 THEN string_split(text, chr(10))[1] ELSE '' END")}, ''), 'Section ' || n) AS title
+FROM (SELECT doc_id, text, (SELECT max(quality) FROM labels l WHERE l.doc_id = d.doc_id) AS q, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents d)""")
+def _(docs, labels):
+    """Sources stand for books, labels for a table of contents, short first lines for the documents' own titles."""
+    line = F.get(F.split("text", "\n"), 0)
+    chapters = docs.select(F.col("source").alias("book"), F.col("doc_id").alias("path"), F.col("doc_id").alias("k"), X.collapse(F.when(F.length(line) < 60, line).otherwise("")).alias("own"))
+    toc = docs.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id").select(F.col("source").alias("book"), F.col("doc_id").alias("path"), F.concat(F.lit("Label "), F.col("doc_id").cast("string")).alias("label"))
+    return W.chapter_titles(chapters, toc).select(F.col("path").alias("doc_id"), "title")
+
+
+@query("spine_join", "documents", oracle="""
+WITH m AS (SELECT source, doc_id % 97 AS id, arg_max(doc_id, doc_id) AS href FROM documents GROUP BY source, doc_id % 97)
+SELECT s.source AS book, s.doc_id AS ordinal, CAST(m.href AS VARCHAR) AS path, row_number() OVER (PARTITION BY s.source ORDER BY s.doc_id) - 1 AS k
+FROM documents s JOIN m ON m.source = s.source AND m.id = s.doc_id % 97 WHERE m.href % 5 <> 0 AND m.href % 7 <> 0""")
+def _(docs):
+    """Sources stand for books, documents for references, manifest items (of equal ids the last counts) and files."""
+    refs = docs.select(F.col("source").alias("book"), F.col("doc_id").alias("ordinal"), (F.col("doc_id") % 97).alias("idref"))
+    items = docs.select(F.col("source").alias("book"), F.col("doc_id").alias("ordinal"), (F.col("doc_id") % 97).alias("item_id"), F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 5 == 0, "text/css").otherwise("application/xhtml+xml").alias("media_type"))
+    files = docs.where("doc_id % 7 <> 0").select(F.col("source").alias("book"), F.col("doc_id").cast("string").alias("path"))
+    return epub.reading_order(refs, items, files).select("book", "ordinal", "path", F.col("k").cast("long").alias("k"))
+
+
+@query("range_select", "documents", oracle="""
+SELECT source AS book_id, doc_id AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents) WHERE p BETWEEN 1 AND 2 OR p >= 4""")
+def _(docs):
+    """Sources stand for books: the documents 1-2 and from the fourth."""
+    taken = B.selected(docs.select(F.col("source").alias("book_id"), F.col("doc_id").alias("k"), F.col("doc_id").alias("path")), spec="1-2, 4-")
+    return taken.select("book_id", "k", F.col("place").cast("long").alias("place"))
+
 
-SHARED: dict[str, tuple[str, ...]] = {
-    "attempt_rollup": ("SELECT event_type, count(*) AS attempted, count(CASE WHEN event_id % 11 = 0 THEN 1 END) AS usable FROM {events} GROUP BY event_type", "events"),
-    "usage_sum": ("SELECT conv_id, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) END) AS BIGINT) AS output_units, max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) = 1 AS reported FROM {conversations} GROUP BY conv_id", "conversations"),
-    "list_runs": ("SELECT c_custkey AS run, count(*) AS documents, max(o_orderdate) AS updated_at FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey GROUP BY c_custkey", "orders", "customer"),
-    "run_rollup": ("SELECT source, count(*) AS docs, CAST(sum(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS cached, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS pending, coalesce(max(toxic), 0) > 0 AS retryable FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source", "documents", "labels"),
-    "status_pivot": ("SELECT lang, count(CASE WHEN quality = 1 THEN 1 END) AS done, count(CASE WHEN quality = 0 THEN 1 END) AS failed, count(CASE WHEN quality IS NULL THEN 1 END) AS pending FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY lang", "documents", "labels"),
-    "note_counts": ("SELECT conv_id, count(CASE WHEN role <> 'system' THEN 1 END) AS problems, count(CASE WHEN role = 'system' THEN 1 END) AS remarks FROM {conversations} GROUP BY conv_id", "conversations"),
-    "worklist": ("SELECT book, path, row_number() OVER (PARTITION BY book ORDER BY ord) AS k FROM (SELECT book, path, min(ord) AS ord FROM (SELECT n_regionkey AS book, n_name AS path, n_nationkey AS ord FROM {nation} UNION ALL SELECT r_regionkey, r_name, 100 + r_regionkey FROM {region} UNION ALL SELECT n_regionkey, n_name, 200 + n_nationkey FROM {nation}) u GROUP BY book, path) x", "nation", "region"),
-    "toc_labels": ("SELECT path, label FROM (SELECT path, label, row_number() OVER (PARTITION BY path ORDER BY ord) AS rn FROM (SELECT source AS path, lang AS label, doc_id AS ord FROM {documents} WHERE lang = 'en' UNION ALL SELECT source, concat('nav-', lang), 1000000000 + doc_id FROM {documents}) u) x WHERE rn = 1", "documents"),
-    "title_coalesce": ("SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN concat('Label ', l.doc_id) END, CASE WHEN d.n_chars > 2000 THEN d.source END, concat('Section ', d.doc_id)) AS title FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id", "documents", "labels"),
-    "range_select": ("SELECT n_nationkey, n_name FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM {nation}) x WHERE k BETWEEN 1 AND 2 OR k >= 5", "nation"),
-    "spine_join": ("SELECT n.n_nationkey AS spine, r.r_name AS item, row_number() OVER (PARTITION BY n.n_regionkey ORDER BY n.n_nationkey) - 1 AS k FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey WHERE r.r_name <> 'ASIA'", "nation", "region"),
-    "model_list": ("SELECT DISTINCT model FROM (SELECT p_brand AS model FROM {part} UNION ALL SELECT p_type FROM {part}) u WHERE model <> ''", "part"),
-    "preset_rank": ("SELECT s_suppkey, CASE WHEN s_suppkey = 1 THEN 0 WHEN s_acctbal > 5000 THEN 1 WHEN s_acctbal < 0 THEN 2 ELSE 3 END AS tier, row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE WHEN s_suppkey = 1 THEN 0 WHEN s_acctbal > 5000 THEN 1 WHEN s_acctbal < 0 THEN 2 ELSE 3 END, s_suppkey) AS place FROM {supplier}", "supplier"),
-    "validate_cascade": ("SELECT s_suppkey, CASE WHEN s_name = '' THEN 'name' WHEN s_acctbal < 0 THEN 'balance' WHEN s_nationkey > 20 THEN 'nation' ELSE 'ok' END AS first_failure FROM {supplier}", "supplier"),
-    "locale_parity": ("SELECT a.n_name AS key FROM {nation} a LEFT JOIN (SELECT n_name FROM {nation} WHERE n_nationkey % 4 <> 0) b ON a.n_name = b.n_name WHERE b.n_name IS NULL", "nation"),
-    "only_documents": ("SELECT doc_id FROM {documents} WHERE doc_id IN (SELECT doc_id FROM {labels} WHERE quality = 1)", "documents", "labels"),
-}
+@query("only_documents", "documents", "labels", oracle="""
+WITH named AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id % 3 = 0)
+SELECT source AS book_id, doc_id AS k FROM documents d WHERE doc_id IN (SELECT doc_id FROM named) OR NOT EXISTS (SELECT 1 FROM documents o WHERE o.source = d.source AND o.doc_id IN (SELECT doc_id FROM named))""")
+def _(docs, labels):
+    """Books without a named document are taken whole."""
+    all_of = docs.select(F.col("source").alias("book_id"), F.col("doc_id").alias("k"), F.col("doc_id").alias("path"))
+    only = labels.where("quality = 1 and doc_id % 3 = 0").select("doc_id").distinct().join(docs, "doc_id").select(F.col("source").alias("book_id"), F.col("doc_id").alias("path"))
+    return B.selected(all_of, only).select("book_id", "k")
+
+
+@query("model_list", "part", oracle="SELECT DISTINCT m AS model FROM (SELECT p_brand AS m FROM part UNION ALL SELECT CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'name of ' || p_brand END FROM part) WHERE m <> ''")
+def _(part):
+    """Parts stand for entries of a service's list, some with an id, some with a name only, some blank."""
+    own = F.struct(F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("").alias("id"), F.concat(F.lit("name of "), "p_brand").alias("name"))
+    return W.model_names(part.select(F.array("p_brand", F.lit("")).alias("data"), F.array(own).alias("models")))
 
 
-def _shared(text: str, tables: tuple[str, ...], spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in tables})
+_SERVICE_ROWS = ", ".join(f"({k}, '{s[0]}', {str(s[5]).lower()}, {str(s[6]).lower()})" for k, s in enumerate(S.SERVICES))
 
+QUERIES["preset_rank"] = lambda spark, sf_dir: S.services(spark).select("id", F.col("place").cast("long").alias("place"))
+ORACLE_SQL["preset_rank"] = f"SELECT id, row_number() OVER (ORDER BY (k > 0), (NOT (free AND k > 0)), (NOT none), k) AS place FROM (VALUES {_SERVICE_ROWS}) AS t(k, id, free, none)"
 
-for _name, (_text, *_tables) in SHARED.items():
-    QUERIES[_name] = partial(_shared, _text, tuple(_tables))
-    ORACLE_SQL[_name] = _text.format(**{t: t for t in TABLES})
+_WRONG = [("provider", "nobody"), ("target_language", " "), ("base_url", "ftp://x"), ("chunk_chars", "0"), ("format", "pdf")]
+
+
+@query("validate_cascade", "customer", oracle="""
+SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'provider' WHEN c_custkey % 3 = 0 AND c_nationkey % 2 = 0 THEN 'model' WHEN c_custkey % 5 = 0 THEN 'target_language' WHEN c_custkey % 11 = 0 THEN 'base_url'
+  WHEN c_acctbal < 0 THEN 'chunk_chars' WHEN length(c_name) % 2 = 0 AND c_custkey % 13 = 0 THEN 'format' END AS problem FROM customer""")
+def _(customer):
+    """Customers stand for settings with several faults each; the first in order is reported."""
+    key = F.col("c_custkey")
+    needs = (key % 3 == 0) & (F.col("c_nationkey") % 2 == 0)
+    rows = customer.select(
+        "c_custkey",
+        F.when(key % 7 == 0, "nobody").when(needs, "openai").otherwise("offline").alias("provider"),
+        F.when(key % 5 == 0, " ").otherwise("French").alias("target_language"),
+        F.when(key % 11 == 0, "ftp://x").otherwise("").alias("base_url"),
+        F.when(F.col("c_acctbal") < 0, 0).otherwise(4000).alias("chunk_chars"),
+        F.when((F.length("c_name") % 2 == 0) & (key % 13 == 0), "pdf").otherwise("txt").alias("format"),
+    )
+    return S.problems(rows).select("c_custkey", "problem")
+
+
+_MESSAGES = "(SELECT 'en' AS locale, n_name AS key FROM nation UNION ALL SELECT 'fr', n_name FROM nation WHERE n_nationkey % 4 <> 0 UNION ALL SELECT 'fr', r_name FROM region)"
+
+
+def _messages(nation: DataFrame, region: DataFrame) -> DataFrame:
+    """Nations stand for keys of messages; some lack a French one, regions an English one."""
+    own = nation.select(F.lit("en").alias("locale"), F.col("n_name").alias("key")).unionByName(nation.where("n_nationkey % 4 <> 0").select(F.lit("fr").alias("locale"), F.col("n_name").alias("key")))
+    return own.unionByName(region.select(F.lit("fr").alias("locale"), F.col("r_name").alias("key"))).withColumn("text", F.concat_ws(" ", "key", F.lit("in"), "locale", F.lit("%s of %d")))
+
+
+@query("locale_parity", "nation", "region", oracle=f"SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'en' ELSE 'fr' END AS only_in FROM (SELECT key FROM {_MESSAGES} WHERE locale = 'en') a FULL JOIN (SELECT key FROM {_MESSAGES} WHERE locale = 'fr') b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL")
+def _(nation, region):
+    return messages.unmatched(_messages(nation, region), "en", "fr")
+
+
+@query("message_lookup", "nation", "region", "customer", oracle=f"""
+SELECT c_custkey, CASE WHEN f.key IS NOT NULL THEN k || ' in fr ' || c_name || ' of ' || c_custkey WHEN e.key IS NOT NULL THEN k || ' in en ' || c_name || ' of ' || c_custkey ELSE k END AS text
+FROM (SELECT c_custkey, c_name, CASE WHEN c_custkey % 6 = 0 THEN 'unknown' WHEN c_custkey % 6 = 1 THEN (SELECT min(r_name) FROM region) ELSE n_name END AS k FROM customer JOIN nation ON c_nationkey = n_nationkey)
+LEFT JOIN (SELECT key FROM {_MESSAGES} WHERE locale = 'fr') f ON f.key = k LEFT JOIN (SELECT key FROM {_MESSAGES} WHERE locale = 'en') e ON e.key = k""")
+def _(nation, region, customer):
+    """Messages of customers in French, else in English, else the key itself, with their arguments."""
+    first = region.agg(F.min("r_name").alias("first"))
+    asked = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).crossJoin(F.broadcast(first))  # one row
+    keys = asked.select("c_custkey", "c_name", F.lit("fr").alias("locale"), F.when(F.col("c_custkey") % 6 == 0, "unknown").when(F.col("c_custkey") % 6 == 1, F.col("first")).otherwise(F.col("n_name")).alias("key"))
+    found = messages.looked_up(keys, _messages(nation, region))
+    return found.select("c_custkey", F.when(F.col("text") == F.col("key"), F.col("text")).otherwise(messages.templated(F.col("text"), F.col("c_name"), F.col("c_custkey"))).alias("text"))
+
+
+@query("duration_fmt", "events", oracle="""
+SELECT event_id, CASE WHEN s >= 3600 THEN (s // 3600) || 'h' || (s // 60 % 60) || 'm' || (s % 60) || 's' WHEN s >= 60 THEN (s // 60) || 'm' || (s % 60) || 's' ELSE s || 's' END AS took, strftime(ts, '%Y-%m-%d %H:%M') AS at
+FROM (SELECT event_id, ts, CAST(event_id * 7 % 9000 AS BIGINT) AS s FROM events)""")
+def _(events):
+    return events.select("event_id", W.duration(F.col("event_id") * 7 % 9000).alias("took"), W.minute(F.col("ts")).alias("at"))
+
+
+@query("scroll_window", "customer", oracle="""
+SELECT c_custkey, CAST(a AS INTEGER) AS first, CAST(least(t, a + r) AS INTEGER) AS last FROM (SELECT c_custkey, t, r, greatest(0, least(c - r // 2, greatest(0, t - r))) AS a
+FROM (SELECT c_custkey, c_custkey % 40 AS c, c_nationkey * 2 AS t, greatest(1, CASE WHEN c_nationkey * 2 > c_custkey % 17 THEN c_custkey % 17 - 2 ELSE c_custkey % 17 END) AS r FROM customer))""")
+def _(customer):
+    start, end = W.scroll_window((F.col("c_custkey") % 40).cast("int"), F.col("c_nationkey") * 2, (F.col("c_custkey") % 17).cast("int"))
+    return customer.select("c_custkey", start.cast("int").alias("first"), end.cast("int").alias("last"))
+
+
+@query("name_filter", "part", oracle="SELECT p_partkey FROM part WHERE p_type ILIKE '%bRass%'")
+def _(part):
+    return W.named_like(part, "p_type", "bRass").select("p_partkey")
 
 
 # --- markup: byte-exact work in Arrow batches; tests hold the answers -----------
@@ -434,12 +630,24 @@ def _(pages):
     return markup.page_segments(pages)
 
 
-@query("page_plaintext", "pages")
+_BREAKS = "p|div|h1|h2|h3|h4|h5|h6|li|blockquote|tr|dt|dd|figcaption|caption|section|article|header|footer|hr|table|ul|ol|dl|pre"
+_PLAIN = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+for _tag in ("script", "style", "head"):
+    _PLAIN = f"regexp_replace({_PLAIN}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'g')"
+_PLAIN = f"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '(?i)</?({_BREAKS})(\\s[^>]*)?/?>', chr(1), 'g'), '(?i)<br\\s*/?>', ' ', 'g'), '<[^>]*>', '', 'g')"
+for _ref, _char in {"copy": "©", "middot": "·", "nbsp": "\u00a0", "quot": '"', "lt": "<", "gt": ">", "amp": "&"}.items():
+    _PLAIN = f"replace({_PLAIN}, '&{_ref};', '{_char}')"
+
+
+@query("page_plaintext", "pages", oracle=f"SELECT page_id, sha256(array_to_string(list_filter(list_transform(string_split({_PLAIN}, chr(1)), lambda x: {_collapse('x')}), lambda x: x <> ''), chr(10) || chr(10))) AS digest FROM pages")
 def _(pages):
-    return pages.select("page_id", markup.plain_text_udf()("html").alias("text"))
+    return pages.select("page_id", F.sha2(markup.plain_text_udf()("html"), 256).alias("digest"))
 
 
-@query("answer_parse", "conversations")
+@query("answer_parse", "conversations", oracle="SELECT conv_id, turn, CAST(1 AS BIGINT) AS n, sha256(text) AS digest FROM conversations")
 def _(turns):
-    wrapped = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array("text").alias("translations"))), F.lit("\n```"))
-    return turns.select("conv_id", "turn", markup.answers_udf()(wrapped).alias("answers"))
+    """A turn's text as the one answer of a reply, in an envelope in a code fence, or in a list inside chatter."""
+    listed = F.to_json(F.array("text"))
+    envelope = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array("text").alias("translations"))), F.lit("\n```"))
+    reply = F.when(F.col("turn") % 3 == 0, envelope).when(F.col("turn") % 3 == 1, F.concat(F.lit("Sure: "), listed, F.lit(" done."))).otherwise(listed)
+    return turns.select("conv_id", "turn", markup.answers_udf()(reply).alias("a")).select("conv_id", "turn", F.size("a").cast("long").alias("n"), F.sha2(F.get("a", 0), 256).alias("digest"))

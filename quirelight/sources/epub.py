@@ -8,9 +8,12 @@ ordinals, as row order means nothing in a DataFrame.
 from __future__ import annotations
 
 import io
+import os
 import posixpath
+import tempfile
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -71,31 +74,67 @@ def _local(node) -> str:
     return node.tag.rsplit("}", 1)[-1]
 
 
-def structure(files: dict[str, bytes]) -> tuple[str, list[tuple[str, str]]]:
-    """(package path, [(path, title)] of the chapters in reading order)."""
+@dataclass(frozen=True)
+class Package:
+    """What a container says about its book."""
+
+    path: str
+    title: str
+    language: str
+    version: str
+    chapters: list[tuple[str, str]]  # (path, title) in reading order
+    nav: str | None
+    ncx: str | None
+
+    def worklist(self) -> list[tuple[str, str, bool]]:
+        """(path, title, navigation) of the documents to work on: chapters, then both tables of contents, each path once."""
+        titles: dict[str, str] = {}
+        for path, title in self.chapters:
+            titles.setdefault(path, title)
+        order = dict.fromkeys([p for p, _ in self.chapters] + [p for p in (self.nav, self.ncx) if p])
+        return [(p, titles.get(p, NAVIGATION), p in (self.nav, self.ncx)) for p in order]
+
+
+#: Title of a document that is no chapter.
+NAVIGATION = "Navigation"
+
+
+def package(files: dict[str, bytes]) -> Package:
+    """The package document of a container: the first root file, the first title and language, items by id (of equal ones the last)."""
     try:
         roots = [n.get("full-path") for n in ElementTree.fromstring(files["META-INF/container.xml"]).iter() if _local(n) == "rootfile" and n.get("full-path")]
-        package = ElementTree.fromstring(files[roots[0]])
+        root = ElementTree.fromstring(files[roots[0]])
     except (KeyError, IndexError, ElementTree.ParseError) as e:
         raise BookError(f"no package: {e}") from e
-    items = {n.get("id"): n for n in package.iter() if _local(n) == "item"}  # of equal ids the last counts
-    labels: dict[str, str] = {}
+    said = {name: next((" ".join("".join(n.itertext()).split()) for n in root.iter() if _local(n) == name), "") for name in ("title", "language")}
+    items = {n.get("id"): n for n in root.iter() if _local(n) == "item"}
+    spine = next((n for n in root.iter() if _local(n) == "spine"), None)
+    place = lambda n: resolve(roots[0], n.get("href", ""))
     ncx = [n for n in items.values() if n.get("media-type") == "application/x-dtbncx+xml"]
+    if not ncx and spine is not None and spine.get("toc") in items:
+        ncx = [items[spine.get("toc")]]
     nav = [n for n in items.values() if "nav" in (n.get("properties") or "").split()]
+    labels: dict[str, str] = {}
     for node, find in ((ncx, _ncx_labels), (nav, _nav_labels)):
         for n in node[-1:]:
-            path = resolve(roots[0], n.get("href", ""))
-            for href, label in find(files.get(path, b"")):
-                labels.setdefault(resolve(path, href), label)  # the first wins, contents before navigation
+            for href, label in find(files.get(place(n), b"")):
+                labels.setdefault(resolve(place(n), href), label)  # the first wins, contents before navigation
     chapters = []
-    for ref in (n for n in package.iter() if _local(n) == "itemref"):
+    for ref in (n for n in root.iter() if _local(n) == "itemref"):
         item = items.get(ref.get("idref"))
         if item is None or item.get("media-type") not in _XHTML:
             continue
-        path = resolve(roots[0], item.get("href", ""))
+        path = place(item)
         if path in files:
             chapters.append((path, labels.get(path) or markup.document_title(files[path]) or f"Section {len(chapters) + 1}"))
-    return roots[0], chapters
+    held = [next((place(n) for n in node[-1:] if place(n) in files), None) for node in (nav, ncx)]
+    return Package(roots[0], said["title"], said["language"], root.get("version", ""), chapters, *held)
+
+
+def structure(files: dict[str, bytes]) -> tuple[str, list[tuple[str, str]]]:
+    """(package path, [(path, title)] of the chapters in reading order)."""
+    found = package(files)
+    return found.path, found.chapters
 
 
 def _ncx_labels(doc: bytes) -> Iterator[tuple[str, str]]:
@@ -157,6 +196,53 @@ def chapters(found: DataFrame) -> DataFrame:
     return found.mapInPandas(run, CHAPTERS)
 
 
+def packages(found: DataFrame) -> DataFrame:
+    """A row a container: path of the package, title, language, version, number of chapters, or the reason of its refusal."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for book, raw in zip(batch["book_id"], batch["content"], strict=True):
+                try:
+                    p = package({name: data for name, data, _ in unzip(bytes(raw or b""))})
+                    rows.append((book, p.path, p.title, p.language, p.version, len(p.chapters), None))
+                except BookError as e:
+                    rows.append((book, None, None, None, None, 0, str(e)))
+            yield pd.DataFrame(rows, columns=["book_id", "package", "title", "language", "version", "chapters", "error"])
+
+    return found.mapInPandas(run, "book_id string, package string, title string, language string, version string, chapters int, error string")
+
+
+DOCUMENTS = "book_id string, book_title string, k int, path string, title string, navigation boolean, data binary"
+
+
+def documents(found: DataFrame) -> DataFrame:
+    """The documents of each book to work on, numbered in that order; refused containers have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for book, raw in zip(batch["book_id"], batch["content"], strict=True):
+                try:
+                    files = {name: data for name, data, _ in unzip(bytes(raw or b""))}
+                    p = package(files)
+                    rows = [(book, p.title, k, path, title, navigation, files[path]) for k, (path, title, navigation) in enumerate(p.worklist())]
+                except BookError:
+                    rows = []
+                yield pd.DataFrame(rows, columns=["book_id", "book_title", "k", "path", "title", "navigation", "data"])
+
+    return found.mapInPandas(run, DOCUMENTS)
+
+
+def reading_order(refs: DataFrame, items: DataFrame, files: DataFrame) -> DataFrame:
+    """(book, ordinal, path, k) of the chapters: references (book, ordinal, idref) whose item is markup and whose file is there, numbered from 0 after that.
+
+    ``items``: book, ordinal, item_id, path, media_type; of equal ids the last counts.  ``files``: book, path.
+    """
+    last = items.groupBy("book", "item_id").agg(F.max_by(F.struct("path", "media_type"), "ordinal").alias("i")).select("book", F.col("item_id").alias("idref"), "i.*")
+    joined = refs.join(last.where(F.col("media_type").isin(*_XHTML)), ["book", "idref"]).join(files.select("book", "path").distinct(), ["book", "path"], "left_semi")
+    return joined.select("book", "ordinal", "path", (F.row_number().over(Window.partitionBy("book").orderBy("ordinal")) - 1).alias("k"))
+
+
 def book_text(chapters: DataFrame, titles: DataFrame, span: int = 1024) -> DataFrame:
     """Plain text of whole books in reading order: book_id, k, at (code points before), piece.
 
@@ -191,3 +277,49 @@ def rebuilt(parts: DataFrame) -> DataFrame:
         return pd.DataFrame({"book_id": [group["book_id"].iloc[0]], "content": [encode([(n, bytes(d)) for n, d in zip(rows["name"], rows["data"], strict=True)])]})
 
     return parts.where("ordinal >= 0").groupBy("book_id").applyInPandas(run, "book_id string, content binary")
+
+
+def replaced(found: DataFrame, changed: DataFrame, target_code: str) -> DataFrame:
+    """(book_id, content, error) of the containers with the documents of ``changed`` (book_id, path, data) in them and the package's language set.
+
+    A container and its changes meet in one group, as the container is one value of the reader already.
+    """
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for raw in left["content"]:
+            try:
+                files = [(name, data) for name, data, _ in unzip(bytes(raw or b""))]
+                new = dict(zip(right["path"], map(bytes, right["data"]), strict=True))
+                at, error = package(dict(files)).path, None
+                try:
+                    new[at] = markup.set_package_language(dict(files)[at], target_code)
+                except markup.MarkupError as e:
+                    error = str(e)
+                rows.append((key[0], encode([(name, new.get(name, data)) for name, data in files]), error))
+            except BookError as e:
+                rows.append((key[0], None, str(e)))
+        return pd.DataFrame(rows, columns=["book_id", "content", "error"])
+
+    return found.select("book_id", "content").groupBy("book_id").cogroup(changed.select("book_id", "path", "data").groupBy("book_id")).applyInPandas(run, "book_id string, content binary, error string")
+
+
+def save(contents: DataFrame, folder: str, suffix: str = ".epub") -> DataFrame:
+    """Write each (book_id, name, content) under ``folder`` beside and renamed; (book_id, path) of what was written."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for book, name, content in zip(batch["book_id"], batch["name"], batch["content"], strict=True):
+                if content is None:
+                    continue
+                path = os.path.join(folder, name + suffix)
+                handle, part = tempfile.mkstemp(dir=folder)
+                with os.fdopen(handle, "wb") as f:
+                    f.write(content.encode() if isinstance(content, str) else bytes(content))
+                os.chmod(part, 0o644)
+                os.replace(part, path)
+                rows.append((book, path))
+            yield pd.DataFrame(rows, columns=["book_id", "path"])
+
+    return contents.select("book_id", "name", "content").mapInPandas(run, "book_id string, path string")

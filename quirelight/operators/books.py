@@ -118,7 +118,7 @@ def _spliced(mode: str, code: str):
     return run
 
 
-def translate(found: DataFrame, make: Callable[[], Provider], path: str, settings: Settings, *, store: Store | None = None, retry: bool = False, only: DataFrame | None = None, spec: str = "", salvage: Callable[[], Provider] | None = None, mode: str = "strict") -> Run:
+def translate(found: DataFrame, make: Callable[[], Provider], path: str, settings: Settings, *, store: Store | None = None, retry: bool = False, only: DataFrame | None = None, spec: str = "", salvage: Callable[[], Provider] | None = None, mode: str = "strict", progress: T.Progress | None = None) -> Run:
     """Translate the containers of ``found`` (book_id, content); intermediate tables go under ``path``.
 
     ``store`` holds earlier judgements by recipe; ``retry`` asks again for what was pending there.  ``salvage`` makes the
@@ -135,7 +135,7 @@ def translate(found: DataFrame, make: Callable[[], Provider], path: str, setting
     if store is not None and settings.resume:
         cache = store.judgements(recipes)
     again = salvage or make
-    verdicts = T.run(wanted.drop("error", "navigation", "is_title"), make, path, options=T.Options.of(settings), salvage=again if settings.salvage_pass else None, cache=cache, retry=retry)
+    verdicts = T.run(wanted.drop("error", "navigation", "is_title"), make, path, options=T.Options.of(settings), salvage=again if settings.salvage_pass else None, cache=cache, retry=retry, progress=progress)
     attempts = spark.read.parquet(f"{path}/attempts")
     if settings.salvage_pass:
         attempts = attempts.withColumn("second", F.lit(False)).unionByName(spark.read.parquet(f"{path}/salvage").withColumn("second", F.lit(True)))

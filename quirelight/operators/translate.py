@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelight.functions import text as X
@@ -62,6 +62,34 @@ class Options:
         return replace(self, budget=min(800, self.budget), most=min(4, self.most), second=True)
 
 
+class Progress:
+    """What a run has done so far, for the driver to look at while it runs: the tasks add up as they finish.
+
+    A task that is repeated after a failure counts again, as its calls were made again.
+    """
+
+    COUNTS = ("batches", "segments", "accepted", "calls", "usable", "input", "output")
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._own = {c: spark.sparkContext.accumulator(0) for c in self.COUNTS}
+
+    def add(self, **more: int | None) -> None:
+        for c, n in more.items():
+            self._own[c].add(n or 0)
+
+    def now(self) -> dict[str, int]:
+        return {c: a.value for c, a in self._own.items()}
+
+    def __reduce__(self):
+        return _progress, (self._own,)
+
+
+def _progress(own: dict) -> Progress:
+    out = Progress.__new__(Progress)
+    out._own = own
+    return out
+
+
 def batches(segs: DataFrame, options: Options) -> DataFrame:
     """Ordered batches of the segments (doc_id, seg, source; block, book_id and ``CONTEXT`` where they have them)."""
     given = {"book_id": F.col("doc_id").cast("string"), "block": F.lit(False)} | {c: F.lit(v) for c, v in CONTEXT.items()}
@@ -75,7 +103,7 @@ def batches(segs: DataFrame, options: Options) -> DataFrame:
     return cut.select(*keys, "chunk", "parts", part.alias("part")).select(*keys, "chunk", "parts", F.col("part.seg").alias("segs"), F.col("part.source").alias("sources"), F.col("part.block").alias("blocks"))
 
 
-def attempts(segs: DataFrame, make: Callable[[], Provider], options: Options, path: str) -> DataFrame:
+def attempts(segs: DataFrame, make: Callable[[], Provider], options: Options, path: str, progress: Progress | None = None) -> DataFrame:
     """Ask for the answers of ``segs`` in batches; the judged replies are written to ``path`` and read back."""
     spark = segs.sparkSession
     planned = batches(segs, options)
@@ -109,6 +137,8 @@ def attempts(segs: DataFrame, make: Callable[[], Provider], options: Options, pa
                 said = " ".join(X.plain_strip(a) for v, a in judged if v in V.ACCEPTED).strip()
                 if said and options.context_chars > 0:
                     tail = P.last_runes(said, options.context_chars)
+                if progress is not None:
+                    progress.add(batches=1, segments=len(sources), accepted=sum(v in V.ACCEPTED for v, _ in judged), calls=runner.calls - calls, usable=runner.usable - usable, input=runner.usage.input, output=runner.usage.output)
                 rows.append((r.doc_id, r.book_id, r.chunk, r.parts, list(r.segs), None if got is None else got, None if got is None else [v for v, _ in judged], runner.remarks, runner.messages, runner.calls - calls, runner.usable - usable, {c: getattr(runner.usage, c) for c in COUNTERS}, asked, stopped if stopped else runner.last_error or None))
             yield pd.DataFrame(rows, columns=["doc_id", *_REPLY_COLUMNS])
 
@@ -153,17 +183,17 @@ def translate(docs: DataFrame, make: Callable[[], Provider], path: str, *, optio
     return results(run(G.line_segments(docs), make, path, options=options, salvage=salvage, cache=cache))
 
 
-def run(segs: DataFrame, make: Callable[[], Provider], path: str, *, options: Options | None = None, salvage: Callable[[], Provider] | None = None, cache: DataFrame | None = None, retry: bool = True) -> DataFrame:
+def run(segs: DataFrame, make: Callable[[], Provider], path: str, *, options: Options | None = None, salvage: Callable[[], Provider] | None = None, cache: DataFrame | None = None, retry: bool = True, progress: Progress | None = None) -> DataFrame:
     """Judgements (doc_id, seg, source, answer, verdict) of all segments; ``retry``: ask again for what is pending in the cache."""
     options = options or Options()
     if cache is None:
-        first = judged(segs, attempts(segs, make, options, f"{path}/attempts"))
+        first = judged(segs, attempts(segs, make, options, f"{path}/attempts", progress))
     else:
         kept = reusable(segs, cache)
         known = kept.where(V.accepted(F.col("verdict"))) if retry else kept
         ask = segs.join(known.select("doc_id", "seg"), ["doc_id", "seg"], "left_anti")
         base = segs.select("doc_id", "seg", "source").join(kept.drop("source"), ["doc_id", "seg"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("blank")))
-        first = judged(ask, attempts(ask, make, options, f"{path}/attempts"), base)
+        first = judged(ask, attempts(ask, make, options, f"{path}/attempts", progress), base)
     spark = segs.sparkSession
     if salvage is not None:
         first.write.mode("overwrite").parquet(f"{path}/first")
@@ -172,7 +202,7 @@ def run(segs: DataFrame, make: Callable[[], Provider], path: str, *, options: Op
         # a document that was not asked to its end waits for another run
         whole = spark.read.parquet(f"{path}/attempts").groupBy("doc_id").agg(F.every(F.col("asked") & F.col("answers").isNotNull()).alias("whole")).where("whole").select("doc_id")
         ask = segs.join(left, ["doc_id", "seg"], "left_semi").join(whole, "doc_id", "left_semi")
-        first = judged(ask, attempts(ask, salvage, options.salvage(), f"{path}/salvage"), first)
+        first = judged(ask, attempts(ask, salvage, options.salvage(), f"{path}/salvage", progress), first)
     first.write.mode("overwrite").parquet(f"{path}/verdicts")
     return spark.read.parquet(f"{path}/verdicts")
 

@@ -10,6 +10,7 @@ from quirelight import cli
 from quirelight.functions.text import plain_strip
 from quirelight.operators import books as B
 from quirelight.operators import reports as R
+from quirelight.operators import translate as T
 from quirelight.operators.cache import Store
 from quirelight.operators.provider import Completion, ProviderError, Usage, capitals
 from quirelight.operators.settings import Settings
@@ -124,7 +125,8 @@ def chat(log):
 def test_prompts_continuity_remarks_usage(spark, tmp_path):
     log = str(tmp_path / "log")
     settings = Settings(max_segments=2, context_chars=30, glossary="em: stress", about="a test", target_language="Dutch", target_code="nl")
-    run = B.translate(table(spark, container(chapters=2)), chat(log), str(tmp_path / "r"), settings)
+    progress = T.Progress(spark)
+    run = B.translate(table(spark, container(chapters=2)), chat(log), str(tmp_path / "r"), settings, progress=progress)
     asked = [json.loads(x) for x in open(log)]
     assert len({s for s, _ in asked}) == 1 and "Dutch" in asked[0][0] and "em: stress" in asked[0][0] and "a test" in asked[0][0]
     users = [u for _, u in asked]
@@ -132,6 +134,7 @@ def test_prompts_continuity_remarks_usage(spark, tmp_path):
     for before, after in zip(users, users[1:]):  # one book, one order: each batch is shown the end of the one before, also over documents
         said = " ".join(plain_strip(x) for x in capitals(json.loads(before.rsplit("\n", 1)[1])))
         assert f"so far ends:\n{'…' + said[-30:] if len(said) > 30 else said}\n" in after
+    assert progress.now() == {"batches": len(asked), "segments": (n := run.totals.first().segments), "accepted": n, "calls": len(asked), "usable": len(asked), "input": 10 * len(asked), "output": 5 * len(asked)}
     remarks = run.notes.where("remark").collect()
     assert all(r.seg == -1 for r in remarks) and {r.message for r in remarks if "c0" in r.doc_id} == {"same remark", "about 2"}
     total = run.totals.first()

@@ -52,7 +52,8 @@ SPACE = "▁"
 _LONG, _BATCH_BYTES = 64, 2 << 20
 #: Text of the distinct units that are indexed at once; edges take several hundred bytes for each byte of it.
 _INDEX_BYTES = 128 << 10
-_NONE = np.iinfo(np.int64).max
+#: Bits of a piece's id in a sorted edge; with 6 bits of length they leave 37 for the place.
+_PIECE_BITS = 20
 
 
 class Model:
@@ -63,6 +64,8 @@ class Model:
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.size = sp.get_piece_size()
+        if self.size >= 1 << _PIECE_BITS:
+            raise ValueError("too many pieces")
         self.bytes: list[bytes] = []
         self.byte_id = np.zeros(256, dtype=np.int64)
         ids = []
@@ -154,9 +157,9 @@ def edges(own: Model, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     count = hi - lo
     place = sa[tb.ranges(lo, count)]
     piece = np.repeat(own.ids, count)
-    key = place << 6 | own.length[piece]
-    order = np.argsort(key, kind="stable")
-    return key[order], piece[order]
+    # place, length and piece in one number each, so that they are sorted together
+    both = np.sort((place << 6 | own.length[piece]) << _PIECE_BITS | piece)
+    return both >> _PIECE_BITS, both & ((1 << _PIECE_BITS) - 1)
 
 
 def _heap(own: Model, text: np.ndarray, place: np.ndarray, end: int, key: np.ndarray, piece: np.ndarray) -> list[int]:

@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from quirelight.functions import text as X
 
 
+def exploded(rows: DataFrame, *keep: str, array: str, place: str, value: str) -> DataFrame:
+    """A row for each entry of a computed array, with its place.
+
+    The outer form, as the inner one lets the optimiser infer a filter on the array's size, which computes it twice.
+    """
+    return rows.select(*keep, F.posexplode_outer(array).alias(place, value)).where(F.col(place).isNotNull())
+
+
 def line_segments(docs: DataFrame) -> DataFrame:
     """(doc_id, seg, source) for every line of ``text`` that holds a letter, numbered from 0 in document order."""
     lines = F.filter(F.split("text", "\n"), X.has_letter)
-    return docs.select("doc_id", F.posexplode(lines).alias("seg", "source"))
+    return exploded(docs.select("doc_id", lines.alias("_lines")), "doc_id", array="_lines", place="seg", value="source")
 
 
 def chunk_bounds(sizes: Column, budget: int, most: int) -> Column:
@@ -38,8 +46,8 @@ def chunk_plan(docs: DataFrame, *, budget: int = 4000, most: int = 40) -> DataFr
     """(doc_id, chunk, n_chunks, lo, hi, n_bytes): batches of each document's line segments."""
     lines = F.filter(F.split("text", "\n"), X.has_letter)
     sizes = F.transform(lines, lambda s: F.octet_length(s).cast("bigint"))
-    planned = docs.select("doc_id", chunk_bounds(sizes, budget, most).alias("chunks"))
-    return planned.select("doc_id", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("chunk", "c")).select("doc_id", "chunk", "n_chunks", "c.lo", "c.hi", F.col("c.bytes").alias("n_bytes"))
+    planned = docs.select("doc_id", chunk_bounds(sizes, budget, most).alias("chunks")).withColumn("n_chunks", F.size("chunks"))
+    return exploded(planned, "doc_id", "n_chunks", array="chunks", place="chunk", value="c").select("doc_id", "chunk", "n_chunks", "c.lo", "c.hi", F.col("c.bytes").alias("n_bytes"))
 
 
 def bisect_plan(chunks: DataFrame, bad: Column) -> DataFrame:

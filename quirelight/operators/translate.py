@@ -98,7 +98,7 @@ def batches(segs: DataFrame, options: Options) -> DataFrame:
     ordered = segs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seg", "source", "block"))).alias("s"))
     sizes = F.transform("s", lambda x: F.octet_length(x["source"]).cast("bigint"))
     planned = ordered.withColumn("c", G.chunk_bounds(sizes, options.budget, options.most))
-    cut = planned.select(*keys, "s", F.size("c").alias("parts"), F.posexplode("c").alias("chunk", "c"))
+    cut = G.exploded(planned.withColumn("parts", F.size("c")), *keys, "s", "parts", array="c", place="chunk", value="c")
     part = F.slice("s", F.col("c.lo") + 1, F.col("c.hi") - F.col("c.lo"))
     return cut.select(*keys, "chunk", "parts", part.alias("part")).select(*keys, "chunk", "parts", F.col("part.seg").alias("segs"), F.col("part.source").alias("sources"), F.col("part.block").alias("blocks"))
 

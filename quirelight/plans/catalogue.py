@@ -273,7 +273,7 @@ _VERDICT = f"""SELECT doc_id, seg, source, answer, CASE WHEN {_collapse('answer'
 
 @query("accept_verdict", "documents", oracle=f"SELECT doc_id, CAST(seg AS INTEGER) AS seg, verdict FROM ({_VERDICT})")
 def _(docs):
-    return _judged(docs).select("doc_id", F.posexplode("verdicts").alias("seg", "verdict"))
+    return G.exploded(_judged(docs), "doc_id", array="verdicts", place="seg", value="verdict")
 
 
 def _done(verdicts: str = "verdicts") -> Column:

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .storage import spread
 
 # Frequent function words of English, French, German, Spanish, Italian and Portuguese.
 STOP_WORDS = frozenset("""
@@ -420,7 +421,7 @@ def extract(page: str | None) -> str:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` (code points) from the whole ``html``."""
-    pages = pages.drop("text", "n_chars")
+    pages = spread(pages.drop("text", "n_chars"))
     carried = [c for c in pages.columns if c != "html"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

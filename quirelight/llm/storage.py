@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelight.sources.tables import spread as spread  # for the operators of this subpackage
+
 #: Used only where the session names no checkpoint folder and all executors are threads of this process, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
@@ -53,14 +55,6 @@ def buckets_for(df: DataFrame, *each: int, least: int = 16) -> list[int]:
     return [max(least, -(-size // n)) for n in each]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt anew where a scan gives fewer partitions than there are cores (a small file of one row group)."""
-    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
-    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def may_contain(ids: DataFrame, column: str, *, bits: int = 1 << 26) -> Column:
     """A predicate on a long column that holds for every id of ``ids`` and for few others.
 

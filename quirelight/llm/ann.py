@@ -42,10 +42,10 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .storage import written
 
-RECALL, SAMPLE = 0.93, 8_000
+RECALL, SAMPLE = 0.97, 8_000
 ROW_BLOCK, QUERY_BLOCK, DIRECTORY_ROWS = 4_096, 16_384, 1 << 20
 #: Substrings at most before the ball grows, bits of a substring at least and at most.
-MOST_PARTS, LEAST_BITS, MOST_BITS = 256, 8, 20
+MOST_PARTS, LEAST_BITS, MOST_BITS = 320, 8, 20
 _EMPTY = np.zeros(0, dtype=np.int64)
 
 

@@ -625,7 +625,45 @@ def _(part):
 # --- markup: byte-exact work in Arrow batches; tests hold the answers -----------
 
 
-@query("page_segments", "pages")
+def _sql_list(names: str) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names.split()) + ")"
+
+
+# The element sets of the segment scan, as the oracle writes them.
+_SQL_BLOCKS = _sql_list("p h1 h2 h3 h4 h5 h6 li blockquote td th dt dd figcaption caption text")
+_SQL_SKIPPED = _sql_list("script style pre svg math audio video meta link")
+_SQL_VOID = _sql_list("area base basefont br col embed frame hr img input isindex link meta param source track wbr")
+
+#: The segment scan as a recursion over tokens: a stack of elements, the block that is open, and what is skipped.
+_SEGMENTS = rf"""
+WITH RECURSIVE w AS (SELECT page_id, i, ps[i + 1] AS x FROM (SELECT page_id, ps, unnest(range(len(ps))) AS i FROM (
+   SELECT page_id, regexp_extract_all(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[^>]*>|[^<]+') AS ps FROM pages))),
+ k AS (SELECT page_id, i, x, CAST(coalesce(sum(strlen(x)) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s, lower(regexp_extract(x, '^</?(?:[^\s/>:]*:)?([^\s/>:]+)', 1)) AS n FROM w),
+ tok AS MATERIALIZED (SELECT page_id, i, s, CAST(s + strlen(x) AS BIGINT) AS e, n, CASE WHEN x[1] <> '<' THEN 't' WHEN regexp_matches(x, '(?i)^<([!?]|script|style)') THEN 'x' WHEN x[2] = '/' THEN 'c' WHEN n IN {_SQL_VOID} OR x LIKE '%/>' THEN 'v' ELSE 'o' END AS t FROM k),
+ st AS (SELECT page_id, 0 AS i, CAST([] AS VARCHAR[]) AS stack, '' AS opened, 0 AS depth, CAST(0 AS BIGINT) AS began, 0 AS skip, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS elem FROM pages
+   UNION ALL
+   SELECT page_id, i + 1, CASE WHEN t = 'o' THEN list_append(rest, n) ELSE rest END,
+     CASE WHEN t = 'o' AND open1 = '' AND skip1 = 0 AND n IN {_SQL_BLOCKS} AND n NOT IN {_SQL_SKIPPED} THEN n ELSE open1 END,
+     CASE WHEN t = 'o' AND open1 = '' AND skip1 = 0 AND n IN {_SQL_BLOCKS} AND n NOT IN {_SQL_SKIPPED} THEN 1 WHEN t = 'o' AND open1 = n THEN depth1 + 1 ELSE depth1 END,
+     CASE WHEN t = 'o' AND open1 = '' AND skip1 = 0 AND n IN {_SQL_BLOCKS} AND n NOT IN {_SQL_SKIPPED} THEN e ELSE began END,
+     CASE WHEN t = 'o' AND open1 = '' AND (skip1 > 0 OR n IN {_SQL_SKIPPED}) THEN skip1 + 1 ELSE skip1 END,
+     CASE WHEN closes THEN began WHEN t = 't' AND opened = '' AND skip = 0 THEN s END, CASE WHEN closes THEN s WHEN t = 't' AND opened = '' AND skip = 0 THEN e END,
+     CASE WHEN closes THEN 'block' ELSE 'text' END, CASE WHEN closes THEN opened ELSE coalesce(stack[-1], '') END
+   FROM (SELECT *, CASE WHEN closes THEN '' ELSE opened END AS open1, CASE WHEN opened <> '' THEN depth - hits ELSE depth END AS depth1, CASE WHEN opened = '' THEN greatest(0, skip - len(popped)) ELSE skip END AS skip1,
+                stack[1 : len(stack) - len(popped)] AS rest
+         FROM (SELECT *, opened <> '' AND hits > 0 AND depth - hits <= 0 AS closes
+               FROM (SELECT *, len(list_filter(popped, lambda x: x = opened)) AS hits
+                     FROM (SELECT st.*, tok.s, tok.e, tok.n, tok.t, CASE WHEN tok.t = 'c' AND list_contains(stack, tok.n) THEN stack[len(stack) - list_position(list_reverse(stack), tok.n) + 1 :]
+                                  WHEN tok.t IN ('o', 'v') AND tok.n IN {_SQL_BLOCKS} AND stack[-1] = 'p' THEN ['p'] ELSE CAST([] AS VARCHAR[]) END AS popped
+                           FROM st JOIN tok USING (page_id, i)))))),
+ ends AS (SELECT page_id, arg_max(opened, i) AS opened, arg_max(began, i) AS began FROM st GROUP BY page_id),
+ found AS (SELECT page_id, a, b, kind, elem FROM st WHERE a IS NOT NULL UNION ALL SELECT page_id, began, strlen(html), 'block', opened FROM ends JOIN pages USING (page_id) WHERE opened <> ''),
+ cut AS (SELECT f.*, decode(from_hex(substring(hex(encode(html)), CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)))) AS source FROM found f JOIN pages USING (page_id) WHERE b > a)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY a) - 1 AS INTEGER) AS seg, a AS start, CAST(b AS BIGINT) AS "end", kind, elem, elem IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'title') AS is_title, source
+FROM cut WHERE {_letters('source')}"""
+
+
+@query("page_segments", "pages", oracle=_SEGMENTS)
 def _(pages):
     return markup.page_segments(pages)
 

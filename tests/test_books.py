@@ -87,3 +87,34 @@ def test_book_text(spark, span):
         assert r.at == len(got[r.book_id])
         got[r.book_id] += r.piece
     assert got == {b: plain(*w) for b, w in want.items()}
+
+
+def test_last_entry_counts(spark):
+    """Of files with one name the last is read, and is the one that is written."""
+    import warnings
+
+    buffer = io.BytesIO()
+    with warnings.catch_warnings(), zipfile.ZipFile(buffer, "w") as z:
+        warnings.simplefilter("ignore")
+        for name, data in [("a/", b""), ("x", b"old"), ("mimetype", b"m"), ("x", b"new")]:
+            z.writestr(name, data)
+    files = E.unzip(buffer.getvalue())
+    assert [(n, d) for n, d, _ in files] == [("x", b"old"), ("mimetype", b"m"), ("x", b"new")] and dict((n, d) for n, d, _ in files)["x"] == b"new"
+    assert [(n, d) for n, d, _ in E.unzip(E.encode([(n, d) for n, d, _ in files]))] == [("mimetype", b"m"), ("x", b"new")]
+
+
+def test_save_and_packages(spark, tmp_path):
+    found = spark.createDataFrame([("b0", book()), ("b1", b"junk"), ("b2", None)], "book_id string, content binary")
+    rows = {r.book_id: r for r in E.packages(found).collect()}
+    assert (rows["b0"].package, rows["b0"].chapters, rows["b0"].error) == ("O/p.opf", 2, None) and rows["b1"].error and rows["b2"].error
+    assert [(r.k, r.path, r.navigation) for r in E.documents(found).orderBy("k").collect()] == [(0, "O/a b.xhtml", False), (1, "O/c.xhtml", False), (2, "O/nav.xhtml", True)]
+    named = found.selectExpr("book_id", "book_id as name", "content")
+    saved = {r.book_id: r.path for r in E.save(named, str(tmp_path)).collect()}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["b0.epub", "b1.epub"] and (tmp_path / "b0.epub").read_bytes() == book() and set(saved) == {"b0", "b1"}
+
+
+def test_reading_order(spark):
+    refs = spark.createDataFrame([("b", 2, "a"), ("b", 1, "c"), ("b", 3, "s"), ("b", 4, "gone"), ("b", 5, "d")], "book string, ordinal int, idref string")
+    items = spark.createDataFrame([("b", 1, "a", "old", "text/html"), ("b", 2, "a", "a.x", "text/html"), ("b", 3, "c", "c.x", "application/xhtml+xml"), ("b", 4, "s", "s.css", "text/css"), ("b", 5, "d", "nofile", "text/html")], "book string, ordinal int, item_id string, path string, media_type string")
+    files = spark.createDataFrame([("b", p) for p in ("old", "a.x", "a.x", "c.x", "s.css")], "book string, path string")
+    assert [(r.path, r.k) for r in E.reading_order(refs, items, files).orderBy("k").collect()] == [("c.x", 0), ("a.x", 1)]

@@ -53,3 +53,18 @@ def test_prompt():
     assert '["a<b>", "é"]' in text and "Passage 2 of 5: One" in text and "Part 1 of 3" in text
     assert (P.last_runes("abc", 2), P.last_runes("abc", 0), P.last_runes("é", 4)) == ("…bc", "", "é")
     assert P.byte_excerpt("é" * 101) == "é" * 100 + "…" and P.byte_excerpt(" a \n b ") == "a b"
+
+
+def test_services_and_keys(spark):
+    """A service's endpoint unless the settings name one, its first key that is set, its place in the list."""
+    assert replace(S.Settings(), provider="mistral").endpoint == "https://api.mistral.ai/v1" and replace(S.Settings(), provider="mistral", base_url=" http://x ").endpoint == "http://x"
+    assert S.key_of("gemini", {"GOOGLE_API_KEY": " b "}) == "b" and S.key_of("gemini", {"GEMINI_API_KEY": "a", "GOOGLE_API_KEY": "b"}) == "a" and S.key_of("ollama", {}) == S.key_of("nobody", {}) == ""
+    rows = S.services(spark).collect()
+    tier = [0 if r.id == S.SERVICES[0][0] else 1 if r.free_tier else 2 if r.no_key else 3 for r in rows]
+    assert tier == sorted(tier) and [r.place for r in rows] == list(range(1, len(S.SERVICES) + 1))
+    assert replace(S.Settings(), provider="anthropic", model="m", effort="huge").problem() == "effort" and replace(S.Settings(), effort="huge").problem() is None
+
+
+def test_problems_of_rows(spark):
+    rows = spark.createDataFrame([(1, "offline", 4000), (2, "nobody", 0), (3, "offline", 0)], "id int, provider string, chunk_chars int")
+    assert {r.id: r.problem for r in S.problems(rows).collect()} == {1: None, 2: "provider", 3: "chunk_chars"}

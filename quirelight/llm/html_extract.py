@@ -77,6 +77,9 @@ _BOILER_NAME = re.compile(
     re.I,
 )
 
+#: Names that make a single paragraph, heading or list item boilerplate.
+_PARAGRAPH_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notice|newsletter|subscribe|subscription)(?:$|[\s_-])", re.I)
+
 #: A word, or a group of letters as long as one in scripts written without spaces (Han and kana; Thai, Lao, Burmese, Khmer, Tibetan).
 _HAN, _ABUGIDA = "\u3001-\u30ff\u3400-\u9fff\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff", "\u0e00-\u109f\u1780-\u17ff\u1950-\u19ff\ua9e0-\uaa7f"
 _UNSPACED = re.compile(f"[{_HAN}{_ABUGIDA}]")
@@ -94,10 +97,7 @@ SHORT, DENSE, SPARSE, LINKED = 10, 0.15, 0.05, 0.5
 WRAPS, WRAPPED = 0.75, 30
 
 
-def _is_boiler(tag: str, attributes: str, inside_main: bool) -> bool:
-    """Boilerplate whatever it holds: by its element, or as hidden."""
-    if tag in _BOILER or tag == "header" and not inside_main:
-        return True
+def _is_hidden(attributes: str) -> bool:
     for name, value in _ATTR.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -105,6 +105,16 @@ def _is_boiler(tag: str, attributes: str, inside_main: bool) -> bool:
     return False
 
 
+def _is_boiler(tag: str, attributes: str, inside_main: bool) -> bool:
+    """Boilerplate whatever it holds: by its element, or as hidden."""
+    return tag in _BOILER or tag == "header" and not inside_main or _is_hidden(attributes)
+
+
+def _is_boiler_block(attributes: str) -> bool:
+    """A hidden block that is no container, or one named as advert or notice."""
+    return _is_hidden(attributes) or any(name.lower() in ("class", "id", "role", "aria-label") and _PARAGRAPH_NAME.search(_BESIDE_NAME.sub("", value.strip("\"'"))) for name, value in _ATTR.findall(attributes))
+
+
 def _is_named(tag: str, attributes: str, inside_main: bool) -> bool:
     """Boilerplate by its name or as a form, unless it is a wrapper.  In an article a header's name says no more than the element."""
     if tag == "form":
@@ -262,6 +272,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, int, int, int]] = []  # open containers: tag, boilerplate, main container, node, list
     opened: Counter[str] = Counter()  # their tags
     parents, mains, own = [-1], [False], [0]  # of each node: its parent, whether it is a main container, words outside its nodes
+    alone = False  # the block itself is boilerplate
     anchor, anchored, heading, lists, at = 0, 0, "", 0, 0  # anchor 1: a link in the text, 2: a link around blocks that ends with ``anchored`` containers
 
     def flush() -> None:
@@ -272,6 +283,7 @@ def blocks(page: str) -> list[Block]:
                 links = _length(decoded(" ".join(linked)).split()) if linked else 0
                 n = _length(words)
                 _, boiler, main, node, listed = stack[-1] if stack else ("", False, -1, 0, -1)
+                boiler = boiler or alone
                 out.append((Block(" ".join(words), links, n, bool(heading), boiler, main, listed), node))
                 if not boiler and links <= LINKED * n:
                     own[node] += n
@@ -313,6 +325,7 @@ def blocks(page: str) -> list[Block]:
             if anchor == 1:  # around the block if nothing of the link came before it, else not closed
                 anchor = 0 if closing or any(p.strip() for p in linked[-1:]) else 2
             flush()
+            alone = not closing and tag not in _CONTAINER and bool(token.attributes) and _is_boiler_block(token.attributes)
             if tag in _HEADING:
                 heading = "" if closing else tag
             elif not closing:

@@ -243,6 +243,14 @@ def test_html_links_in_article():
     assert H.extract(f"<div><p><a href=x>See it<p>{BEST}<p>{BEST}</div>") == f"{BEST}\n{BEST}"  # a link that is not closed ends with its paragraph
 
 
+def test_html_blocks_of_their_own_name():
+    """Paragraphs, headings and items that are hidden or named as advert or notice go; the next block stands on its own."""
+    for attributes in ("class=ad", "class='cookie-notice big'", "id=newsletter", "hidden", "style='display: none'", "aria-hidden=true", 'class="sponsored"'):
+        for tag in ("p", "h2", "li"):
+            assert H.extract(f"<article><p>{BEST}</p><{tag} {attributes}>It is of the kind that is not to be kept.</{tag}>{'So it is.' if tag != 'p' else '<p>So it is.'}</article>") == f"{BEST}\nSo it is."
+    assert H.extract(f"<article><p class='lead has-ads no-notice'>{BEST}</p><p class=address>{BEST}</p></article>") == f"{BEST}\n{BEST}"
+
+
 def test_html_quotes_and_references():
     for page in (f'<article><p title="it>{BEST}</p></article>', f"<article><p class=a'b>{BEST}</p></article>", f"<!--><article><p title='a>b'>{BEST}</p></article>", f"<article><p>{BEST}</p><p"):
         assert H.extract(page) == BEST

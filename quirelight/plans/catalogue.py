@@ -22,8 +22,9 @@ from quirelight.operators import segments as G
 from quirelight.operators import settings as S
 from quirelight.operators import verdicts as V
 from quirelight.operators import views as W
+from quirelight.operators.provider import capitals
 from quirelight.sources import epub
-from quirelight.sources.tables import spread
+from quirelight.sources.tables import scratch, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -542,6 +543,63 @@ def _(docs, labels):
     return B.selected(all_of, only).select("book_id", "k")
 
 
+def _containers(docs: DataFrame) -> DataFrame:
+    """A container for each document: its lines are the paragraphs of one chapter."""
+    title = F.concat(F.lit("Book "), F.col("doc_id").cast("string"))
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<p>"), X.xml_escape(x), F.lit("</p>"))), "\n")
+    page = F.concat(F.lit('<html xmlns="http://www.w3.org/1999/xhtml" lang="en"><head><title>'), title, F.lit("</title></head><body><h1>"), title, F.lit("</h1>\n"), lines, F.lit("</body></html>"))
+    chapter = F.struct(F.lit("one 1.xhtml").alias("name"), F.concat(F.lit("Label "), "source").alias("title"), page.alias("data"))
+    return epub.bound(docs.select(F.col("doc_id").cast("string").alias("book_id"), title.alias("title"), F.col("lang").alias("language"), F.array(chapter).alias("chapters")))
+
+
+@query("container_tables", "documents", oracle="""
+SELECT CAST(doc_id AS VARCHAR) AS book_id, 'OEBPS/package.opf' AS package, 'Book ' || doc_id AS title, lang AS language, '3.0' AS version, 1 AS chapters FROM documents""")
+def _(docs):
+    return epub.packages(_containers(docs)).select("book_id", "package", "title", "language", "version", "chapters")
+
+
+@query("container_worklist", "documents", oracle="""
+SELECT CAST(doc_id AS VARCHAR) AS book_id, 'Book ' || doc_id AS book_title, k, CASE k WHEN 0 THEN 'OEBPS/one 1.xhtml' ELSE 'OEBPS/nav.xhtml' END AS path, CASE k WHEN 0 THEN 'Label ' || source ELSE 'Navigation' END AS title, k = 1 AS navigation
+FROM documents, (VALUES (0), (1)) AS v(k)""")
+def _(docs):
+    return epub.documents(_containers(docs)).select("book_id", "book_title", "k", "path", "title", "navigation")
+
+
+_ESCAPED = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_RUN_LINES = f"list_transform(string_split(translate(text, '{_SMALL}', '{_LARGE}'), chr(10)), lambda l: '<p>' || {_ESCAPED.format(x='l')} || '</p>')"
+
+
+@query("container_run", "documents", oracle=f"""
+SELECT CAST(doc_id AS VARCHAR) AS book_id, 'OEBPS/one 1.xhtml' AS path, 'done' AS status, CAST(2 + len(ls) AS INTEGER) AS total, CAST(2 + len(ls) AS INTEGER) AS done,
+  sha256('<html xmlns="http://www.w3.org/1999/xhtml" lang="fr"><head><title>BOOK ' || doc_id || '</title></head><body><h1>BOOK ' || doc_id || '</h1>' || chr(10) || array_to_string({_RUN_LINES}, chr(10)) || '</body></html>') AS digest
+FROM ({_LINES.replace('source AS src', 'text').replace("string_split(text, chr(10)), lambda l: ", "string_split(replace(text, '&', '&amp;'), chr(10)), lambda l: ")})
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'OEBPS/nav.xhtml', 'done', 1, 1, sha256('<html xmlns="http://www.w3.org/1999/xhtml"><body><nav><ol><li><a href="one%201.xhtml">LABEL ' || upper(source) || '</a></li></ol></nav></body></html>') FROM documents""")
+def _(docs):
+    """A whole run over containers, offline: from the container's bytes to the bytes of its new documents."""
+    run = B.translate(_containers(docs), lambda: capitals, scratch(docs.sparkSession, "run"), S.Settings(salvage_pass=False, context_chars=0))
+    return run.states.join(run.changed.select("book_id", "path", "data"), ["book_id", "path"], "left").select("book_id", "path", "status", "total", "done", F.sha2("data", 256).alias("digest"))
+
+
+def _leaves_out(needle: str):
+    """Makes a provider that has no answer to strings with ``needle``."""
+    return lambda: lambda sources: ["" if needle in s else a for s, a in zip(sources, capitals(sources), strict=True)]
+
+
+@query("container_resume", "documents", oracle=f"""
+SELECT CAST(doc_id AS VARCHAR) AS book_id, 'OEBPS/one 1.xhtml' AS path, CASE WHEN open = 0 THEN 'cached' ELSE 'done' END AS status, CAST(2 + n AS INTEGER) AS done, CAST(open AS BIGINT) AS asked
+FROM (SELECT doc_id, len(ls) AS n, len(list_filter(ls, lambda l: contains(l, 'é'))) AS open FROM ({_LINES.replace('source AS src', 'text').replace("string_split(text, chr(10)), lambda l: ", "string_split(replace(text, '&', '&amp;'), chr(10)), lambda l: ")}))
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'OEBPS/nav.xhtml', 'cached', 1, 0 FROM documents""")
+def _(docs):
+    """A run that leaves strings out, then another that asks again for those, and only for those, out of the store."""
+    spark, settings = docs.sparkSession, S.Settings(salvage_pass=False, context_chars=0)
+    found, store = _containers(docs), C.Store(spark, scratch(spark, "store"))
+    B.translate(found, _leaves_out("é"), scratch(spark, "run"), settings, store=store)
+    last = scratch(spark, "run")
+    run = B.translate(found, _leaves_out("\x00"), last, settings, store=store, retry=True)
+    asked = spark.read.parquet(f"{last}/attempts").groupBy("doc_id").agg(F.sum(F.size("segs")).cast("long").alias("asked"))
+    return run.states.join(asked, "doc_id", "left").select("book_id", "path", "status", "done", F.coalesce("asked", F.lit(0)).cast("long").alias("asked"))
+
+
 @query("model_list", "part", oracle="SELECT DISTINCT m AS model FROM (SELECT p_brand AS m FROM part UNION ALL SELECT CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'name of ' || p_brand END FROM part) WHERE m <> ''")
 def _(part):
     """Parts stand for entries of a service's list, some with an id, some with a name only, some blank."""

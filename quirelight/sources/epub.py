@@ -14,7 +14,8 @@ import tempfile
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote
+from html import escape
+from urllib.parse import quote, unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -196,6 +197,29 @@ def chapters(found: DataFrame) -> DataFrame:
     return found.mapInPandas(run, CHAPTERS)
 
 
+def bound(books: DataFrame) -> DataFrame:
+    """(book_id, content): containers made of ``books`` (book_id, title, language, chapters: array<struct<name,title,data>>), with a table of contents."""
+
+    @F.pandas_udf("binary")
+    def run(title: pd.Series, language: pd.Series, chapters: pd.Series) -> pd.Series:
+        return pd.Series([_bound(t or "", code or "", [(c["name"], c["title"], c["data"].encode()) for c in own]) for t, code, own in zip(title, language, chapters, strict=True)])
+
+    return books.select("book_id", run("title", "language", "chapters").alias("content"))
+
+
+def _bound(title: str, language: str, chapters: list[tuple[str, str, bytes]]) -> bytes:
+    kind = 'media-type="application/xhtml+xml"'
+    items = "".join(f'<item id="c{k}" href="{quote(name)}" {kind}/>' for k, (name, _, _) in enumerate(chapters))
+    spine = "".join(f'<itemref idref="c{k}"/>' for k in range(len(chapters)))
+    links = "".join(f'<li><a href="{quote(name)}">{escape(label)}</a></li>' for name, label, _ in chapters)
+    return encode([
+        ("META-INF/container.xml", b'<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/package.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'),
+        ("OEBPS/package.opf", f'<package version="3.0" xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>{escape(title)}</dc:title><dc:language>{escape(language)}</dc:language></metadata><manifest><item id="nav" href="nav.xhtml" {kind} properties="nav"/>{items}</manifest><spine>{spine}</spine></package>'.encode()),
+        ("OEBPS/nav.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml"><body><nav><ol>{links}</ol></nav></body></html>'.encode()),
+        *[(f"OEBPS/{name}", data) for name, _, data in chapters],
+    ])
+
+
 def packages(found: DataFrame) -> DataFrame:
     """A row a container: path of the package, title, language, version, number of chapters, or the reason of its refusal."""
 

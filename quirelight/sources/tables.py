@@ -1,8 +1,13 @@
-"""Tables as the engine reads them."""
+"""Tables as the engine reads them, and the folder for intermediate ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used only where the session names no checkpoint folder and all executors are threads of this process, as in tests.
+LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -11,3 +16,19 @@ def spread(df: DataFrame) -> DataFrame:
     if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (``spark.checkpoint.dir``); a local one only in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or LOCAL_FALLBACK
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/quirelight-{name}-{uuid.uuid4().hex}"
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(made)
+    return path

@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelight.sources.tables import scratch
 from quirelight.sources.tables import spread as spread  # for the operators of this subpackage
 
-#: Used only where the session names no checkpoint folder and all executors are threads of this process, as in tests.
-LOCAL_FALLBACK = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return named or LOCAL_FALLBACK
-
 
 def _path(spark: SparkSession, path: str):
     made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -33,12 +21,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     The table is deleted when the driver ends, or earlier by ``dropped``.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quirelight-{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    made, store = _path(spark, path)
-    store.deleteOnExit(made)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def dropped(table: DataFrame) -> None:

@@ -12,10 +12,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelight.functions import markup
+from quirelight.operators import ordered as O
 from quirelight.operators import reports as R
 from quirelight.operators import translate as T
 from quirelight.operators import verdicts as V
@@ -56,8 +57,7 @@ def selected(docs: DataFrame, only: DataFrame | None = None, spec: str = "") ->
         bound = only.select("book_id").distinct().withColumn("_bound", F.lit(True))
         wanted = only.select("book_id", "path").distinct().withColumn("_wanted", F.lit(True))
         docs = docs.join(bound, "book_id", "left").join(wanted, ["book_id", "path"], "left").where("_bound is null or _wanted").drop("_bound", "_wanted")
-    book = Window.partitionBy("book_id")
-    numbered = lambda d: d.withColumn("place", F.row_number().over(book.orderBy("k"))).withColumn("places", F.count("*").over(book).cast("int"))
+    numbered = lambda d: O.numbered(d, ("book_id",), ("k",), F.floor(F.col("k") / O.SPAN)).withColumns({c: F.col(c).cast("int") for c in ("place", "places")})
     docs = numbered(docs)
     if not spec.strip():
         return docs

@@ -40,6 +40,19 @@ def with_carry(rows: DataFrame, carried: DataFrame, by: tuple[str, ...]) -> Data
     return rows.alias("r").join(carried.alias("c"), same).select("r.*", *[f"c.{c}" for c in carried.columns if c not in keys])
 
 
+#: Rows of a dense number that share a block.
+SPAN = 1024
+
+
+def numbered(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], block: Column) -> DataFrame:
+    """``rows`` with ``place`` (from 1, in their key's order) and ``places`` (rows of the key)."""
+    held = rows.withColumn(BLOCK, block)
+    sums = held.groupBy(*by, BLOCK).agg(F.count("*").alias("_n"))
+    carry = sums.select(*by, BLOCK, F.coalesce(F.sum("_n").over(earlier(along(by))), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("_all"))
+    placed = with_carry(held.withColumn("_k", F.row_number().over(inside(by, *order))), carry, by)
+    return placed.withColumns({"place": F.col("_before") + F.col("_k"), "places": F.col("_all")}).drop(BLOCK, "_k", "_before", "_all")
+
+
 def last_before(rows: DataFrame, value: Column, by: tuple[str, ...], order: tuple[str, ...], block: Column, *, skip_nulls: bool = False) -> DataFrame:
     """``rows`` with ``before``: the value of the row before in its key, or with ``skip_nulls`` the latest that is not null."""
     held = rows.withColumns({BLOCK: block, "_value": value})

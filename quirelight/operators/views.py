@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelight.operators import ordered as O
+
 
 def clamp(value: Column, low: Column, high: Column) -> Column:
     """``value`` within [low, high]; where those cross, the lower bound."""
@@ -58,7 +60,8 @@ def _marked(lists: tuple[DataFrame, ...], *columns: str) -> DataFrame:
 def ordered_union(*lists: DataFrame) -> DataFrame:
     """(book, path, place) of the lists (book, path, ordinal) one after another, each path of a book where it stands first; place from 1."""
     first = _marked(lists).groupBy("book", "path").agg(F.min("at").alias("at"))
-    return first.select("book", "path", F.row_number().over(Window.partitionBy("book").orderBy("at", "path")).alias("place"))
+    block = F.struct("at.list", F.floor(F.col("at.ordinal") / O.SPAN).alias("run"))
+    return O.numbered(first, ("book",), ("at", "path"), block).select("book", "path", "place")
 
 
 def first_labels(*lists: DataFrame) -> DataFrame:
@@ -68,6 +71,6 @@ def first_labels(*lists: DataFrame) -> DataFrame:
 
 def chapter_titles(chapters: DataFrame, labels: DataFrame) -> DataFrame:
     """``chapters`` (book, path, k, own) with ``title``: the label of the table of contents, else the document's own, else "Section n"."""
-    numbered = chapters.withColumn("_n", F.row_number().over(Window.partitionBy("book").orderBy("k")))
+    numbered = O.numbered(chapters, ("book",), ("k",), F.floor(F.col("k") / O.SPAN))
     named = numbered.join(labels.select("book", "path", F.nullif("label", F.lit("")).alias("_label")), ["book", "path"], "left")
-    return named.withColumn("title", F.coalesce("_label", F.nullif("own", F.lit("")), F.concat(F.lit("Section "), F.col("_n").cast("string")))).drop("_n", "_label")
+    return named.withColumn("title", F.coalesce("_label", F.nullif("own", F.lit("")), F.concat(F.lit("Section "), F.col("place").cast("string")))).drop("place", "places", "_label")

@@ -264,7 +264,7 @@ def reading_order(refs: DataFrame, items: DataFrame, files: DataFrame) -> DataFr
     """
     last = items.groupBy("book", "item_id").agg(F.max_by(F.struct("path", "media_type"), "ordinal").alias("i")).select("book", F.col("item_id").alias("idref"), "i.*")
     joined = refs.join(last.where(F.col("media_type").isin(*_XHTML)), ["book", "idref"]).join(files.select("book", "path").distinct(), ["book", "path"], "left_semi")
-    return joined.select("book", "ordinal", "path", (F.row_number().over(Window.partitionBy("book").orderBy("ordinal")) - 1).alias("k"))
+    return O.numbered(joined, ("book",), ("ordinal",), F.floor(F.col("ordinal") / O.SPAN)).select("book", "ordinal", "path", (F.col("place") - 1).alias("k"))
 
 
 def book_text(chapters: DataFrame, titles: DataFrame, span: int = 1024) -> DataFrame:

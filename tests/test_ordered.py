@@ -68,3 +68,14 @@ def test_empty(spark):
     assert O.limiter_slots(none, 5, "key").count() == 0
     assert O.failure_runs(none, 2, "key", block=F.col("now")).count() == 0
     assert O.last_before(none, F.col("kind"), ("key",), ("now",), F.col("now")).count() == 0
+
+
+@pytest.mark.parametrize("span", [1, 3, 1000])
+def test_numbered(spark, span):
+    """Places in a key's order, whatever the blocks; a null key is a key."""
+    rows = [(b, k) for b, ks in {"a": [5, 1, 9, 2, 30, 31], "b": [7], None: [2, 0]}.items() for k in ks]
+    table = spark.createDataFrame(rows, "book string, k int").repartition(3)
+    got = {(r.book, r.k): (r.place, r.places) for r in O.numbered(table, ("book",), ("k",), F.floor(F.col("k") / span)).collect()}
+    for book in ("a", "b", None):
+        own = sorted(k for b, k in rows if b == book)
+        assert all(got[book, k] == (i + 1, len(own)) for i, k in enumerate(own))

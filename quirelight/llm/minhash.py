@@ -15,7 +15,8 @@ from seeded donors, so that short documents band as well as long ones.
 5. Bands that still hold several components give the pairs *between* those
    components, which are estimated and confirmed the same way; then 4 again.
    Bands of more than 64 members are compared block against block inside tasks
-   of bounded size: estimate, then exact intersections as products of incidence
+   of bounded size: estimates first, on codes alone; then, for the members that
+   have a partner by estimate, exact intersections as products of incidence
    matrices, each pair only in the first band it shares, and only links that
    join two components leave the task.
 
@@ -254,8 +255,8 @@ def _intersections(texts: pa.Array, left: np.ndarray, right: np.ndarray, width:
     return out.astype(np.int64)
 
 
-def _blocks(t):
-    """Links that join components, in one pair of blocks of a band; every pair in the first band it shares."""
+def _wanted(t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of the one block, rows of the other, pairs whose estimate comes near the threshold), between components; every pair in the first band it shares."""
     ids, comp, n, block, band = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles", "block", "band_no"))
     codes = np.frombuffer(tb.flat(t.column("codes"))[0], dtype=np.uint16).reshape(-1, REGISTERS)
     banded = codes[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
@@ -268,6 +269,22 @@ def _blocks(t):
         at = np.flatnonzero(can)
         at = at[(banded[right[at]] == banded[i]).all(axis=2).argmax(axis=1) == band[0]]
         wanted[k, at] = estimate(codes[right[at]], codes[i], n[right[at]], np.full(len(at), n[i])) >= PERCENT / 100 - MARGIN
+    return left, right, wanted
+
+
+def _partners(t):
+    """Members of a pair of blocks that have a wanted partner in it: only their texts are fetched."""
+    left, right, wanted = _wanted(t)
+    keep = np.zeros(t.num_rows, dtype=bool)
+    keep[left[wanted.any(axis=1)]] = True
+    keep[right[wanted.any(axis=0)]] = True
+    return t.filter(pa.array(keep))
+
+
+def _blocks(t):
+    """Links that join components, in one pair of blocks of a band."""
+    ids, comp, n = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
+    left, right, wanted = _wanted(t)
     links = []
     if wanted.any():
         both = _intersections(t.column("text"), left, right)
@@ -321,8 +338,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     many = members.where(F.col("members") > JOINED).withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("long"))
     many = many.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     many = many.select("band", "band_no", "node", "component", "n_shingles", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    whole = named.select("node", "codes").join(texts, F.col("node") == F.col("doc_id")).select("node", "codes", "text")
-    large = many.join(whole, "node").groupBy("band", "one", "two").applyInArrow(_blocks, "a long, b long")
+    coded = many.join(named.select("node", "codes"), "node").select("band", "band_no", "node", "component", "n_shingles", "block", "one", "two", "codes")
+    paired = written(coded.groupBy("band", "one", "two").applyInArrow(_partners, coded.schema), "partners")
+    large = paired.join(texts, F.col("node") == F.col("doc_id")).drop("doc_id").groupBy("band", "one", "two").applyInArrow(_blocks, "a long, b long")
     second = confirm(written(_with_codes(pairs, nodes), "pairs")).unionByName(large)
     final = components(first.unionByName(second), "components")
 

@@ -49,7 +49,7 @@ from .suffix_dedup import suffix_array
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-_LONG, _BATCH_BYTES = 64, 2 << 20
+_LONG, _BATCH_BYTES = 64, 1 << 20
 #: Text of the distinct units that are indexed at once; edges take several hundred bytes for each byte of it.
 _INDEX_BYTES = 128 << 10
 #: Bits of a piece's id in a sorted edge; with 6 bits of length they leave 37 for the place.

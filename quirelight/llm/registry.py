@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import ann as op9
 from . import chat_format as op2
+from . import collocations as op11
 from . import decontaminate as op5
+from . import filter_audit as op12
 from . import html_extract as op10
 from . import language_id as op8
 from . import license_scan as op1
@@ -63,6 +65,14 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.digest(op5.decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")).drop("text"))
 
 
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.digest(_table(spark, sf_dir, "documents"))
+
+
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan,
     "op2_chat_perspectives": chat_perspectives,
@@ -74,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_identification,
     "op9_nearest_neighbours": nearest_neighbours,
     "op10_html_extraction": html_extraction,
+    "op11_phrase_collocations": phrase_collocations,
+    "op12_filter_audit": filter_interactions,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -81,4 +93,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op5_benchmark_decontamination": oracles.DECONTAMINATION,
     "op7_suffix_array_dedup": oracles.REPEATED_BYTES,
+    "op11_phrase_collocations": op11.ORACLE,
+    "op12_filter_audit": op12.ORACLE,
 }

@@ -11,6 +11,7 @@ from . import chat_format as op2
 from . import collocations as op11
 from . import decontaminate as op5
 from . import filter_audit as op12
+from . import hnsw as op13
 from . import html_extract as op10
 from . import language_id as op8
 from . import license_scan as op1
@@ -73,6 +74,10 @@ def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan,
     "op2_chat_perspectives": chat_perspectives,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": html_extraction,
     "op11_phrase_collocations": phrase_collocations,
     "op12_filter_audit": filter_interactions,
+    "op13_hnsw_near_dedup": hnsw_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -95,4 +101,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_suffix_array_dedup": oracles.REPEATED_BYTES,
     "op11_phrase_collocations": op11.ORACLE,
     "op12_filter_audit": op12.ORACLE,
+    "op13_hnsw_near_dedup": oracles.NEAR_VECTORS,
 }

@@ -25,7 +25,7 @@ from quirelight.llm import suffix_dedup as S
 @pytest.mark.parametrize("name", sorted(R.ORACLE_SQL))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
-    for t in ("conversations", "embeddings", "documents", "benchmark"):
+    for t in ("conversations", "embeddings", "documents", "benchmark", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     got, want = R.QUERIES[name](spark, sf).toPandas(), con.sql(R.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

@@ -8,11 +8,12 @@ C  100 * capital letters A-Z > 2 * code points;
 D  holds one of ``# $ % & * |``;
 E  the same text as a document of smaller id, anywhere in the table.
 
-1. Documents are dealt once by (id, text hash).  Words are exploded, counted by (document, word), then by document for
-   totals and distincts: both sums keep the dealing, so words are never shuffled.
-2. The flags of C, D and E and the quality and toxicity labels are outer-joined to the totals; each document becomes a
-   mask of the five failures.
-3. Each part (source) sums 32 conditional counts, one a mask, for all, good and toxic documents.  All answers for the 120
+1. A narrow pass writes what characters alone decide (C, D, the text's digest and bytes), a short row a document.
+2. Texts are dealt once by (id, text hash), 8 MB to a task.  Words are exploded, counted by (document, word), then by
+   document for totals and distincts: both sums keep the dealing, so words are never shuffled.
+3. The flags, the smallest id of each repeated digest (E) and the quality and toxicity labels are outer-joined to the
+   totals; each document becomes a mask of the five failures.
+4. Each part (source) sums 32 conditional counts, one a mask, for all, good and toxic documents.  All answers for the 120
    orders follow from those counts: ``clean[S]``, the documents that fail none of the filters in S, gives what is kept
    after any prefix of an order, and the Shapley sums.
 
@@ -33,10 +34,14 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import written
+
 FILTERS = "ABCDE"
 MASKS = 1 << len(FILTERS)
 #: Fixed values of the filters: words, percentages, symbols.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SYMBOLS = 200, 50, 2, "#$%&*|"
+#: Bytes of text that one task explodes.
+DEALT_BYTES = 8 << 20
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: All of the orders, and for each step the filters before it and its own.
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
@@ -46,34 +51,35 @@ def _bit(letter: str) -> int:
     return 1 << FILTERS.index(letter)
 
 
-def dealt(docs: DataFrame) -> DataFrame:
-    """(id, known, part, text, h) dealt by document; ``known``: whether the row has an id, ``h`` tells texts of one id apart."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """(id, known, part, text, h): ``known`` says whether the row has an id, ``h`` tells texts of one id apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("source", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("known", F.col("id").isNotNull()).withColumn("id", F.coalesce("id", F.lit(0)))
-    return rows.withColumn("h", F.xxhash64("text", "known")).repartition("id", "h")
+    return rows.withColumn("h", F.xxhash64("text", "known"))
 
 
-def word_totals(rows: DataFrame) -> DataFrame:
+def word_totals(rows: DataFrame, tasks: int) -> DataFrame:
     """(id, h, words, distinct) of each document; a null stands for the row itself, so that repeated rows are known."""
-    words = rows.select("id", "h", F.explode(F.concat(F.split("text", "[\\x20\\x09-\\x0D]+"), F.array(F.lit(None).cast("string")))).alias("word")).where("word is null or word != ''")
+    words = rows.select("id", "h", "text").repartition(tasks, "id", "h").select("id", "h", F.explode(F.concat(F.split("text", "[\\x20\\x09-\\x0D]+"), F.array(F.lit(None).cast("string")))).alias("word")).where("word is null or word != ''")
     each = words.groupBy("id", "h", "word").agg(F.count("*").alias("n"))
     same = F.sum(F.when(F.col("word").isNull(), F.col("n")))
     return each.groupBy("id", "h").agg(F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)).alias("said"), same.alias("same"), F.count("word").alias("distinct")).select("id", "h", F.expr("said div same").alias("words"), "distinct")
 
 
 def flags(rows: DataFrame) -> DataFrame:
-    """(id, h, part, known, digest, c, d): the conditions that need characters only."""
+    """(id, h, part, known, bytes, digest, c, d): the conditions that need characters only."""
     capitals = F.length("text") - F.length(F.translate("text", CAPITALS, ""))
-    return rows.select("id", "h", "part", "known", F.sha2("text", 256).alias("digest"), (100 * capitals > MOST_CAPITALS * F.length("text")).alias("c"), F.col("text").rlike(f"[{SYMBOLS}]").alias("d"))
+    return rows.select("id", "h", "part", "known", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("digest"), (100 * capitals > MOST_CAPITALS * F.length("text")).alias("c"), F.col("text").rlike(f"[{SYMBOLS}]").alias("d"))
 
 
 def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(part, mask, good, toxic, n) of the documents."""
-    rows = dealt(docs)
-    marked = flags(rows)
+    """(part, mask, good, toxic) of the documents."""
+    rows = keyed(docs)
+    marked = written(flags(rows), "flags")
+    tasks = max(1, -(-(marked.agg(F.sum("bytes")).first()[0] or 0) // DEALT_BYTES))
     first = marked.where("known").groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     said = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.coalesce(F.max((F.col("quality") == 1).cast("int")), F.lit(0)).alias("good"), F.coalesce(F.max((F.col("toxic") == 1).cast("int")), F.lit(0)).alias("toxic")).withColumn("known", F.lit(True)).where("good + toxic > 0")
-    joined = marked.join(word_totals(rows), ["id", "h"], "left").join(said, ["id", "known"], "left").join(first.select("digest", "first"), "digest", "left")
+    joined = marked.join(word_totals(rows, tasks), ["id", "h"], "left").join(said, ["id", "known"], "left").join(first.select("digest", "first"), "digest", "left")
     failed = {
         "A": F.col("words") < LEAST_WORDS,
         "B": 100 * F.col("distinct") < LEAST_DISTINCT * F.col("words"),

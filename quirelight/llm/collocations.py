@@ -10,7 +10,7 @@ phrase is two to five words of one piece.  Everything is kept by language.
    threshold (a phrase is never more frequent than its parts).
 3. Counters at the threshold become bitmaps of fixed size (16 MB; a full one lets more through, never less).  A third pass
    gives the candidates, and the stretches of text around them: maximal runs of words that candidates of one shard cover,
-   equal ones folded with their number.  A shard holds the candidates of some first pairs of words, 50,000 or so.
+   equal ones folded with their number.  A shard holds the candidates of some first pairs of words, 10,000 or so.
 4. Each shard's candidates, guarded by delimiters on both sides, become an automaton that scans the shard's stretches in
    groups of bounded size, overlapping matches included; every occurrence lies in exactly one stretch.  Sums over the
    groups are the exact counts, and only then thresholds apply.
@@ -42,9 +42,9 @@ from .storage import dropped, spread, written
 
 LONGEST, LEAST, TOP = 5, 100, 2_000
 #: Text bytes a sketch block stands for, candidates of a shard, bytes of stretches that one group scans, bits of a bitmap.
-BLOCK_BYTES, SHARD_PHRASES, GROUP_BYTES, BITS = 16 << 20, 50_000, 8 << 20, 1 << 27
+BLOCK_BYTES, SHARD_PHRASES, GROUP_BYTES, BITS = 16 << 20, 10_000, 16 << 20, 1 << 27
 #: Counters that a task gathers before it sums and hands them on.
-GATHERED = 3 << 20
+GATHERED = 2 << 20
 
 _EDGE = np.zeros(256, dtype=bool)
 _EDGE[[10, 11, 12, 13, *b".,;:!?"]] = True

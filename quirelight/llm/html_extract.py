@@ -2,16 +2,19 @@
 
 Pass one classifies every text block on its own: by the element it stands in
 (navigation, header, footer, sidebar, advert, notice, form, comments; a name or a
-form counts for nothing on a wrapper of the page's or article's text), by link
-density, by stop-word density and by length.  Stop words decide only where they
-fit: not in a block of another script, nor on a page whose longer blocks are
+form counts for nothing on a wrapper of the page's or article's text, nor on boxes
+of one name that hold most of it together; a name counts as a whole token, so that
+``share-price`` is no ``share``), by link density, by stop-word density and by
+length.  Stop words decide only where they fit: not in a block of another script, nor on a page whose longer blocks are
 mostly without them; there length alone decides.  Length is counted in words,
 and in scripts without spaces in groups of letters.  Blocks that are too short or
-too plain to decide stay open.  Inside an article or main element a linked block
+too plain to decide stay open, long ones without stop words among them.  An article
+in a boilerplate element (but navigation) is judged as in a named box.  Where all
+would go, names that may mean something else count for nothing.  Inside an article or main element a linked block
 is part of the text, unless it belongs to a list of links.  Pass two keeps open
 blocks inside an article or main element and gives others the label of the
-nearest decided neighbours; where two at the same distance differ, or none is
-decided, they go (a heading follows what comes after it, but for one short linked
+nearest decided neighbours; where two at the same distance differ they go, and
+where none is decided they stay only if the page has no article (a heading follows what comes after it, but for one short linked
 line such as a byline).
 
 Defined results: null and empty html give an empty text; broken markup is read
@@ -54,7 +57,7 @@ che di e gli il nel non per più sono da do em não os ao uma das dos
 
 #: Elements whose content is no text of the page: read up to their end tags as plain characters, and others.
 _RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea")}
-_HIDDEN = frozenset("noscript template svg math iframe object canvas select button title video audio datalist".split())
+_HIDDEN = frozenset("noscript template svg math iframe object canvas select option optgroup button title video audio datalist".split())
 #: Of those, the ones that may close themselves.
 _FOREIGN = frozenset("svg math".split())
 #: A tag with quoted values, and one that ends at the first ">" whatever its quotes; neither pattern backtracks.
@@ -72,13 +75,24 @@ _BOILER = frozenset("nav footer aside menu dialog fieldset".split())
 _MAIN = frozenset("article main".split())
 _VOID = re.compile(r"/\s*\Z")
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_BOILER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|side-?bar|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|top-?bar|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|comments?|disqus|replies|respond|widget|toolbar|pagination|pager|skip|search|complementary|contentinfo|alertdialog)(?:$|[\s_-]|\d)",
-    re.I,
-)
-
-#: Names that make a single paragraph, heading or list item boilerplate.
-_PARAGRAPH_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notice|newsletter|subscribe|subscription)(?:$|[\s_-])", re.I)
+#: Names of boxes that are no part of a text, names that may be, and words that say nothing beside either.
+_STRONG = frozenset("""
+ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies cookiebar consent gdpr newsletter
+subscribe subscription signup login comment comments commentlist usercomments disqus replies respond sidebar nav navbar navigation menu breadcrumb
+breadcrumbs footer masthead topbar toolbar pagination pager modal popup overlay search complementary contentinfo alertdialog
+""".split())
+_WEAK = frozenset("banner notice notification alert share sharing social related recommended recommendations widget skip header".split())
+_NEUTRAL = frozenset("""
+site main page post posts entry blog top bottom left right upper lower side list box container wrapper wrap area section block bar row col column
+button buttons link links item items inner outer content body primary secondary global mobile desktop sticky fixed group holder region module
+component panel strip slot unit zone form icons icon tools copyright thread reader user google wp js id
+""".split())
+#: Of those, names that make a single paragraph, heading, list item or phrase boilerplate.
+_PARAGRAPH = frozenset("""
+ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies cookiebar consent gdpr notice newsletter
+subscribe subscription comment comments
+""".split())
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^\W_]+")
 
 #: A word, or a group of letters as long as one in scripts written without spaces (Han and kana; Thai, Lao, Burmese, Khmer, Tibetan).
 _HAN, _ABUGIDA = "\u3001-\u30ff\u3400-\u9fff\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff", "\u0e00-\u109f\u1780-\u17ff\u1950-\u19ff\ua9e0-\uaa7f"
@@ -88,13 +102,14 @@ _WORD = re.compile(rf"[{_HAN}]{{1,2}}|[{_ABUGIDA}]{{1,4}}|[^\s{_HAN}{_ABUGIDA}]+
 _OTHER_SCRIPT = re.compile("[\u0370-\u1dff\u1f00-\u1fff\u2c00-\u2c5f\u2c80-\u2dff\u3001-\ud7ff\uf900-\ufaff\ufb07-\ufdff\ufe70-\ufefe\uff66-\uffdc\U00010000-\U0001efff\U00020000-\U0003ffff]")
 #: Names that say what stands beside or is missing.
 _BESIDE_NAME = re.compile(r"(?<![^\s_-])(?:with|without|has|no)[_-][\w]+", re.I)
-_HEADER_NAME = re.compile("header", re.I)
+#: Phrases that are followed to their end tags, as one may be an advert or a notice.
+_INLINE = frozenset("span small ins label".split())
 
 GOOD, OPEN, BAD = 1, 0, -1
-#: Words under which a block is short; stop-word shares over and under which a longer one is decided; link share that ends it.
-SHORT, DENSE, SPARSE, LINKED = 10, 0.15, 0.05, 0.5
-#: Share of the words around it, and words, over which a named container is a wrapper.
-WRAPS, WRAPPED = 0.75, 30
+#: Words under which a block is short; stop-word share over which a longer one is decided; link share that ends it.
+SHORT, DENSE, LINKED = 10, 0.15, 0.5
+#: Share of the words around it, and words, over which a named container is a wrapper; the share where the name may mean something else.
+WRAPS, WRAPPED, DOUBTED = 0.75, 30, 0.5
 
 
 def _is_hidden(attributes: str) -> bool:
@@ -105,52 +120,79 @@ def _is_hidden(attributes: str) -> bool:
     return False
 
 
-def _is_boiler(tag: str, attributes: str, inside_main: bool) -> bool:
-    """Boilerplate whatever it holds: by its element, or as hidden."""
-    return tag in _BOILER or tag == "header" and not inside_main or _is_hidden(attributes)
+def _names(attributes: str) -> list[str]:
+    """Class, id, role and label tokens."""
+    return [token for name, value in _ATTR.findall(attributes) if name.lower() in ("class", "id", "role", "aria-label") for token in _BESIDE_NAME.sub("", value.strip("\"'")).split()]
+
+
+def _says(token: str, names: frozenset[str]) -> bool:
+    """Whether a token means one of ``names``: itself, or with words that say nothing; ``social-policy`` is no ``social``."""
+    if re.sub(r"[-_0-9]", "", token).lower() in names:
+        return True
+    parts = [part.lower() for part in _PARTS.findall(token)]
+    return any(part in names for part in parts) and all(part in _STRONG or part in _WEAK or part in _NEUTRAL or part.isdigit() for part in parts)
 
 
 def _is_boiler_block(attributes: str) -> bool:
-    """A hidden block that is no container, or one named as advert or notice."""
-    return _is_hidden(attributes) or any(name.lower() in ("class", "id", "role", "aria-label") and _PARAGRAPH_NAME.search(_BESIDE_NAME.sub("", value.strip("\"'"))) for name, value in _ATTR.findall(attributes))
+    """A hidden block or phrase, or one named as advert, notice or reader comment."""
+    return _is_hidden(attributes) or any(_says(token, _PARAGRAPH) for token in _names(attributes))
+
 
+#: Kinds of nodes: the page and its articles; named boxes; boxes whose name may mean something else; elements that are boilerplate but for an article in them.
+TEXT, NAMED, MAYBE, ELEMENT = range(4)
 
-def _is_named(tag: str, attributes: str, inside_main: bool) -> bool:
-    """Boilerplate by its name or as a form, unless it is a wrapper.  In an article a header's name says no more than the element."""
+
+def _kind(tag: str, attributes: str, inside_main: bool) -> int:
+    """What a container is by its element and names."""
+    if tag in _BOILER or tag == "header" and not inside_main:
+        return ELEMENT
     if tag == "form":
-        return True
-    if tag in _MAIN or tag in ("html", "body"):
-        return False
-    for name, value in _ATTR.findall(attributes):
-        if name.lower() in ("class", "id", "role", "aria-label"):
-            value = _BESIDE_NAME.sub("", value.strip("\"'"))
-            if _BOILER_NAME.search(_HEADER_NAME.sub("", value) if inside_main else value):
-                return True
-    return False
+        return NAMED
+    names = _names(attributes) if attributes and tag not in ("html", "body", "main") else []
+    if tag == "article":  # a reader's comment may be one
+        return NAMED if any(_says(token, frozenset(("comment", "comments"))) for token in names) else TEXT
+    if any(_says(token, _STRONG) for token in names):
+        return NAMED
+    return MAYBE if any(_says(token, _WEAK - {"header"} if inside_main else _WEAK) for token in names) else TEXT
 
 
-def _dropped(parents: list[int], mains: list[bool], own: list[int]) -> list[bool]:
-    """Which nodes (the page, its article and main elements and named containers, parents first) are boilerplate by name.
+class Node(NamedTuple):
+    parent: int
+    main: bool  # an article or main element
+    kind: int
+    name: str  # its tag and attributes
 
-    A named container is a wrapper if all articles with text around it are in it, or if it holds nearly all words around it
-    and no article stands beside it.
+
+def _dropped(nodes: list[Node], own: list[int]) -> list[bool]:
+    """Which nodes (the page, its article and main elements, named boxes and boilerplate elements, parents first) are boilerplate.
+
+    A box is a wrapper if all articles with text around it are in it, or if it holds nearly all words around it and no article
+    stands beside it; boxes of one name beside each other count together.
     """
-    n = len(parents)
+    n = len(nodes)
     total, inner, count = list(own), [0] * n, [0] * n  # words; words and number of articles inside
     for k in range(n - 1, 0, -1):
-        up = parents[k]
+        up = nodes[k].parent
         total[up] += total[k]
-        inner[up] += total[k] if mains[k] else inner[k]
-        count[up] += count[k] + mains[k]
+        inner[up] += total[k] if nodes[k].main else inner[k]
+        count[up] += count[k] + nodes[k].main
+    alike: Counter[tuple[int, str]] = Counter()
+    articles: Counter[tuple[int, str]] = Counter()
+    for k in range(1, n):
+        alike[nodes[k].parent, nodes[k].name] += total[k]
+        articles[nodes[k].parent, nodes[k].name] += count[k]
     out = [False] * n
     for k in range(1, n):
-        up = parents[k]
-        if out[up] or mains[k]:
+        node, up = nodes[k], nodes[k].parent
+        words, key = alike[up, node.name], (up, node.name)
+        if out[up] or node.main:
             out[k] = out[up]
-        elif 0 < inner[k] == inner[up] and not (mains[up] and own[up] >= SHORT):
+        elif 0 < inner[k] == inner[up] and not (nodes[up].main and own[up] >= SHORT):
             out[k] = False
+        elif node.kind == ELEMENT:
+            out[k] = True
         else:
-            out[k] = count[k] != count[up] or total[k] < WRAPPED or total[k] <= WRAPS * total[up]
+            out[k] = articles[key] != count[up] or words < WRAPPED or words <= (DOUBTED if node.kind == MAYBE else WRAPS) * total[up]
     return out
 
 
@@ -225,26 +267,27 @@ def _hidden(tokens: list[Token]) -> dict[int, tuple[int, bool]]:
     ends: dict[int, tuple[int, bool]] = {}
     opened: list[tuple[str, int]] = []
     depth: Counter[str] = Counter()
-    starts, edges = [], []
+    starts, edges, gone = [], [], set()
     for i, token in enumerate(tokens):
         tag = token.tag
         if tag in _BLOCK:
             edges.append(i)
-        if tag not in _HIDDEN and tag not in _CONTAINER:
+        if tag not in _HIDDEN and tag not in _CONTAINER and tag not in _INLINE:
             continue
         if token.closing:
             while depth[tag]:
                 last, start = opened.pop()
                 depth[last] -= 1
                 if last == tag:
-                    if tag in _HIDDEN:
+                    if start in gone:
                         ends[start] = i, True
                     break
         elif tag in _HIDDEN and tag not in _FOREIGN or not _VOID.search(token.attributes):
             opened.append((tag, i))
             depth[tag] += 1
-            if tag in _HIDDEN:
+            if tag in _HIDDEN or tag in _INLINE and token.attributes and _is_boiler_block(token.attributes):
                 starts.append(i)
+                gone.add(i)
     edge = len(edges)
     for i in reversed(starts):
         if i not in ends:
@@ -271,8 +314,8 @@ def blocks(page: str) -> list[Block]:
     linked: list[str] = []
     stack: list[tuple[str, bool, int, int, int]] = []  # open containers: tag, boilerplate, main container, node, list
     opened: Counter[str] = Counter()  # their tags
-    parents, mains, own = [-1], [False], [0]  # of each node: its parent, whether it is a main container, words outside its nodes
-    alone = False  # the block itself is boilerplate
+    nodes, own = [Node(-1, False, TEXT, "")], [0]  # own: words of a node outside those in it
+    alone, unseen = False, -1  # the block itself is boilerplate; the depth of an open hidden container
     anchor, anchored, heading, lists, at = 0, 0, "", 0, 0  # anchor 1: a link in the text, 2: a link around blocks that ends with ``anchored`` containers
 
     def flush() -> None:
@@ -290,12 +333,14 @@ def blocks(page: str) -> list[Block]:
             text, linked = [], []
 
     def closed(down_to: int) -> None:
-        nonlocal anchor
+        nonlocal anchor, unseen
         for tag, *_ in stack[down_to:]:
             opened[tag] -= 1
         del stack[down_to:]
         if anchor == 2 and len(stack) < anchored:
             anchor = 0
+        if len(stack) <= unseen:
+            unseen = -1
 
     tokens, stop = scan(page)
     hidden = _hidden(tokens)
@@ -341,21 +386,30 @@ def blocks(page: str) -> list[Block]:
                             keep -= 1
                         closed(keep)
                     _, boiler, main, node, listed = stack[-1] if stack else ("", False, -1, 0, -1)
-                    boiler = boiler or _is_boiler(tag, token.attributes, main >= 0)
-                    if not boiler and (tag in _MAIN or _is_named(tag, token.attributes, main >= 0)):
-                        parents.append(node)
-                        mains.append(tag in _MAIN)
+                    kind = _kind(tag, token.attributes, main >= 0)
+                    fresh = tag in _MAIN and kind == TEXT
+                    if _is_hidden(token.attributes):
+                        boiler, unseen = True, len(stack) if unseen < 0 else unseen
+                    elif unseen < 0 and (fresh or kind != TEXT and not boiler):  # an article starts anew in a boilerplate element
+                        nodes.append(Node(node, fresh, kind, f"{tag} {token.attributes}"))
                         own.append(0)
-                        node = len(parents) - 1
-                        main = node if tag in _MAIN else main
+                        node = len(nodes) - 1
+                        main = node if fresh else main
+                        boiler = kind == ELEMENT
                     if tag in _LIST:
                         listed, lists = lists, lists + 1
                     opened[tag] += 1
                     stack.append((tag, boiler, main, node, listed))
     text.append(page[at:stop])
     flush()
-    dropped = _dropped(parents, mains, own)
-    return [b._replace(boiler=b.boiler or dropped[node]) for b, node in out]
+    dropped = _dropped(nodes, own)
+    found = [b._replace(boiler=b.boiler or dropped[node]) for b, node in out]
+    if not any(label == GOOD for label in classify(found)):  # names in doubt count for nothing where they leave nothing
+        sure = [False] * len(nodes)
+        for k in range(1, len(nodes)):
+            sure[k] = sure[nodes[k].parent] or dropped[k] and nodes[k].kind != MAYBE and nodes[k].kind != TEXT
+        found = [b._replace(boiler=b.boiler or sure[node]) for b, node in out]
+    return found
 
 
 def _menus(found: list[Block]) -> set[int]:
@@ -387,10 +441,8 @@ def classify(found: list[Block]) -> list[int]:
     for i, share in shares.items():
         if share is None or not fits or share >= DENSE:
             labels[i] = GOOD
-        elif share < SPARSE and found[i].main < 0:
-            labels[i] = BAD
     final = list(labels)
-    n = len(found)
+    n, apart = len(found), any(b.main >= 0 for b in found)
     before, after = [-1] * n, [-1] * n  # nearest decided neighbours outside article and main elements
     last = -1
     for i in range(n):
@@ -410,7 +462,7 @@ def classify(found: list[Block]) -> list[int]:
             if found[i].main >= 0:
                 final[i] = GOOD
             elif a < 0 and b < 0:
-                final[i] = BAD
+                final[i] = BAD if apart else GOOD
             elif a < 0 or b < 0:
                 final[i] = labels[max(a, b)]
             elif labels[a] == labels[b]:

@@ -14,7 +14,8 @@ would go, names that may mean something else count for nothing.  Inside an artic
 is part of the text, unless it belongs to a list of links.  Pass two keeps open
 blocks inside an article or main element and gives others the label of the
 nearest decided neighbours; where two at the same distance differ they go, and
-where none is decided they stay only if the page has no article (a heading follows what comes after it, but for one short linked
+where none is decided they stay only if the page has no article and they are no
+shorter together than a block that can be decided (a heading follows what comes after it, but for one short linked
 line such as a byline).
 
 Defined results: null and empty html give an empty text; broken markup is read
@@ -442,7 +443,8 @@ def classify(found: list[Block]) -> list[int]:
         if share is None or not fits or share >= DENSE:
             labels[i] = GOOD
     final = list(labels)
-    n, apart = len(found), any(b.main >= 0 for b in found)
+    n = len(found)
+    apart = any(b.main >= 0 for b in found) or sum(b.words for b, label in zip(found, labels, strict=True) if label == OPEN) < SHORT
     before, after = [-1] * n, [-1] * n  # nearest decided neighbours outside article and main elements
     last = -1
     for i in range(n):

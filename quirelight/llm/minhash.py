@@ -10,15 +10,17 @@ from seeded donors, so that short documents band as well as long ones.
 2. 25 bands of five registers are grouped; each member of a band is paired with
    the band's smallest id (linear in the band, whatever its size).
 3. Pairs whose collision-corrected estimate is far under the threshold are
-   dropped; the rest are confirmed on the full shingle sets of both texts.
+   dropped, unless one text has so few shingles that its registers are no
+   independent ones; the rest are confirmed on the full shingle sets of both texts.
 4. Links become components by large-star/small-star rounds.
 5. Bands that still hold several components give the pairs *between* those
    components, which are estimated and confirmed the same way; then 4 again.
-   Bands of more than 64 members are compared block against block inside tasks
-   of bounded size: estimates first, on codes alone; then, for the members that
-   have a partner by estimate, exact intersections as products of incidence
-   matrices, each pair only in the first band it shares, and only links that
-   join two components leave the task.
+   In bands of more than 64 members those outside the largest component are
+   compared with all, block against block inside tasks of bounded size (so a
+   component of any size is read once for each block of strays): estimates first,
+   on codes alone; then, for the members that have a partner by estimate, exact
+   intersections as products of incidence matrices, each pair only in the first
+   band it shares, and only links that join two components leave the task.
 
 A pair at Jaccard 0.85 shares no band with probability (1 - 0.85**5)**25 = 4e-7.
 No all-pairs expansion inside a component, no cap on bands or candidates.
@@ -46,10 +48,12 @@ from .storage import dropped, may_contain, spread, written
 
 SHINGLE, REGISTERS, BANDS, ROWS, MANTISSA = 5, 128, 25, 5, 10
 PERCENT = 85
-#: Estimates under the threshold by more than this are not confirmed: over six standard deviations of 128 registers.
+#: Estimates under the threshold by more than this are not confirmed: over six standard deviations of 128 registers ...
 MARGIN = 0.20
+#: ... where both texts have as many shingles as this; smaller sets fill few registers, and all their pairs are confirmed.
+FULL = 64
 #: Bands with more members than this are compared in blocks; members and shingles of a block.
-JOINED, BLOCK, BLOCK_SHINGLES = 64, 256, 1 << 19
+JOINED, BLOCK, BLOCK_SHINGLES = 64, 128, 1 << 18
 _VALUE_BITS = 48 - 7
 
 
@@ -147,6 +151,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return ((a == b).mean(axis=-1) - chance) / (1 - chance)
 
 
+def promising(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Which pairs of register rows are to be confirmed."""
+    least = np.minimum(n_a, n_b)
+    return (100 * least >= PERCENT * np.maximum(n_a, n_b)) & ((least < FULL) | (estimate(a, b, n_a, n_b) >= PERCENT / 100 - MARGIN))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = tb.flat(batch.column(1))
@@ -172,17 +182,13 @@ def _rows(parts: list[np.ndarray], width: int) -> list[bytes]:
     return [raw[k : k + width] for k in range(0, len(raw), width)]
 
 
-def _estimated(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            side = [np.frombuffer(tb.flat(batch.column(c))[0], dtype=np.uint16).reshape(-1, REGISTERS) for c in ("codes_a", "codes_b")]
-            n = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
-            keep = (estimate(*side, *n) >= threshold) & (100 * np.minimum(*n) >= PERCENT * np.maximum(*n))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
-
-    return run
+def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        side = [np.frombuffer(tb.flat(batch.column(c))[0], dtype=np.uint16).reshape(-1, REGISTERS) for c in ("codes_a", "codes_b")]
+        keep = promising(*side, *(batch.column(c).to_numpy() for c in ("n_a", "n_b")))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
 
 def _confirmed(percent: int):
@@ -256,24 +262,21 @@ def _intersections(texts: pa.Array, left: np.ndarray, right: np.ndarray, width:
 
 
 def _wanted(t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of the one block, rows of the other, pairs whose estimate comes near the threshold), between components; every pair in the first band it shares."""
-    ids, comp, n, block, band = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles", "block", "band_no"))
+    """(rows of strays, rows of the members they meet, pairs to be confirmed), between components; every pair in the first band it shares."""
+    ids, comp, n, asks, stray, band = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n_shingles", "asks", "stray", "band_no"))
     codes = np.frombuffer(tb.flat(t.column("codes"))[0], dtype=np.uint16).reshape(-1, REGISTERS)
     banded = codes[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
-    one, two = t.column("one")[0].as_py(), t.column("two")[0].as_py()
-    left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+    left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
     wanted = np.zeros((len(left), len(right)), dtype=bool)
     for k, i in enumerate(left.tolist()):
-        can = (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))
-        can &= (ids[right] > ids[i]) | (one != two)
-        at = np.flatnonzero(can)
+        at = np.flatnonzero((comp[right] != comp[i]) & (~stray[right] | (ids[right] > ids[i])))
         at = at[(banded[right[at]] == banded[i]).all(axis=2).argmax(axis=1) == band[0]]
-        wanted[k, at] = estimate(codes[right[at]], codes[i], n[right[at]], np.full(len(at), n[i])) >= PERCENT / 100 - MARGIN
+        wanted[k, at] = promising(codes[right[at]], codes[i], n[right[at]], np.full(len(at), n[i]))
     return left, right, wanted
 
 
 def _partners(t):
-    """Members of a pair of blocks that have a wanted partner in it: only their texts are fetched."""
+    """Members of a pair of blocks that have a partner to be confirmed in it: only their texts are fetched."""
     left, right, wanted = _wanted(t)
     keep = np.zeros(t.num_rows, dtype=bool)
     keep[left[wanted.any(axis=1)]] = True
@@ -330,15 +333,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = nodes.join(linked, "node", "left_semi").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = written(named, "named")
     placed = written(shared.select("band", "band_no", "node").join(named.select("node", "component", "n_shingles"), "node"), "placed")
-    open_bands = written(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum("n_shingles").alias("weight")).where("low != high").select("band", "members", "weight"), "open")
+    shares = placed.groupBy("band", "component").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("weight"))
+    open_bands = shares.groupBy("band").agg(F.count("*").alias("components"), F.sum("members").alias("members"), F.sum("weight").alias("weight"), F.max(F.struct("members", "component", "weight")).alias("main")).where("components > 1")
+    open_bands = written(open_bands.select("band", "members", "weight", F.col("main.component").alias("main"), (F.col("members") - F.col("main.members")).alias("strays"), (F.col("weight") - F.col("main.weight")).alias("stray_weight")), "open")
     members = placed.join(open_bands, "band")
     few = members.where(F.col("members") <= JOINED)
     one, two = (few.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n_shingles")]) for x in "ab")
     pairs = one.join(two, "band").where(f"node_a < node_b and component_a != component_b and 100 * least(n_shingles_a, n_shingles_b) >= {PERCENT} * greatest(n_shingles_a, n_shingles_b)").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    many = members.where(F.col("members") > JOINED).withColumn("blocks", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("long"))
-    many = many.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    many = many.select("band", "band_no", "node", "component", "n_shingles", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    coded = many.join(named.select("node", "codes"), "node").select("band", "band_no", "node", "component", "n_shingles", "block", "one", "two", "codes")
+    blocks = lambda members, weight: F.ceil(F.greatest(F.col(members) / BLOCK, F.col(weight) / BLOCK_SHINGLES)).cast("long")
+    many = members.where(F.col("members") > JOINED).withColumns({"stray": F.col("component") != F.col("main"), "all_blocks": blocks("members", "weight"), "stray_blocks": blocks("strays", "stray_weight")})
+    own = lambda n: F.pmod(F.xxhash64("node"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    sent = ("band", "band_no", "node", "component", "n_shingles", "stray")
+    asking = many.where("stray").select(*sent, F.lit(True).alias("asks"), own("stray_blocks").alias("one"), every("all_blocks").alias("two"))
+    asked = many.select(*sent, F.lit(False).alias("asks"), every("stray_blocks").alias("one"), own("all_blocks").alias("two"))
+    coded = asking.unionByName(asked).join(named.select("node", "codes"), "node").select(*sent, "asks", "one", "two", "codes")
     paired = written(coded.groupBy("band", "one", "two").applyInArrow(_partners, coded.schema), "partners")
     large = paired.join(texts, F.col("node") == F.col("doc_id")).drop("doc_id").groupBy("band", "one", "two").applyInArrow(_blocks, "a long, b long")
     second = confirm(written(_with_codes(pairs, nodes), "pairs")).unionByName(large)
@@ -352,7 +361,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _with_codes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose estimate comes near the threshold."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("codes").alias(f"codes_{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "codes_a", "codes_b").mapInArrow(tb.trimmed(_estimated(PERCENT / 100 - MARGIN)), "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "codes_a", "codes_b").mapInArrow(tb.trimmed(_estimated), "a long, b long")
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:

@@ -1,6 +1,8 @@
 """Near duplicates and repeated bytes against brute force."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from quirelight.llm import minhash as M
@@ -41,6 +43,29 @@ def test_large_bands_and_chains(spark):
     assert got == want
 
 
+def test_short_near_copies(spark, tmp_path):
+    """100,000 texts of 11 words and their first ten: six of seven shingles are common, registers are few, and no link is lost."""
+    n = 100_000
+    words = np.random.default_rng(8).integers(0, 1 << 24, (n, 11)).astype("U")
+    texts = [" ".join(w) for w in words.tolist()]
+    rows = pa.table({"doc_id": np.arange(2 * n), "text": [t for t in texts for t in (t, t[: t.rindex(" ")])]})
+    pq.write_table(rows, tmp_path / "short.parquet", row_group_size=20_000)
+    got = M.near_duplicates(spark.read.parquet(str(tmp_path / "short.parquet")))
+    wrong = got.where("component_id != doc_id - doc_id % 2 or n_shingles != 7 - doc_id % 2 or kept != (doc_id % 2 = 0)")
+    assert wrong.count() == 0 and got.count() == 2 * n
+
+
+def test_strays_beside_a_large_component(spark):
+    """A band of one large component, strays that join it or each other, and strays that join nothing."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*base[:-2], f"x{i % 150}", f"y{i}"])) for i in range(400)]
+    rows += [(1000 + i, " ".join([*base[: 92 - i % 7], *(f"z{i}_{k}" for k in range(8 + i % 7))])) for i in range(40)]
+    rows += [(2000 + i, " ".join([*base[:70], *(f"v{i // 8}_{k}" for k in range(28)), f"u{i}"])) for i in range(40)]
+    want = M.brute_force(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 10
+
+
 def test_estimates():
     """The corrected estimate is close to the true Jaccard similarity."""
     import quirelight.llm.textbytes as tb

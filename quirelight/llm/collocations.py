@@ -10,7 +10,7 @@ phrase is two to five words of one piece.  Everything is kept by language.
    threshold (a phrase is never more frequent than its parts).
 3. Counters at the threshold become bitmaps of fixed size (16 MB; a full one lets more through, never less).  A third pass
    gives the candidates, and the stretches of text around them: maximal runs of words that candidates of one shard cover,
-   equal ones folded with their number.  A shard holds the candidates of some first pairs of words, 10,000 or so.
+   equal ones of a run of texts folded with their number, a row a run and shard.  A shard holds the candidates of some first pairs of words, 10,000 or so.
 4. Each shard's candidates, guarded by delimiters on both sides, become an automaton that scans the shard's stretches in
    groups of bounded size, overlapping matches included; every occurrence lies in exactly one stretch.  Sums over the
    groups are the exact counts, and only then thresholds apply.
@@ -228,16 +228,24 @@ def _block_sums(least: int):
     return run
 
 
-_FOUND = "kind int, shard long, lang string, phrase string, n long"
+_FOUND = "kind int, shard long, lang string, phrases string, n binary"
+
+
+def _packed(kind: int, run: Run, shard: np.ndarray, lang: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Byte ranges of ``text`` as one row a shard and language: the strings, one a line, and their numbers."""
+    order = np.lexsort((lang, shard))
+    shard, lang, n = shard[order], lang[order], n[order].astype(np.uint32)
+    edge = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (lang[1:] != lang[:-1])))) if len(order) else order
+    off = np.append(edge, len(order)).astype(np.int32)
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(off), _strings(text, start[order], end[order])), "\n")
+    counts = pa.array([n[a:b].tobytes() for a, b in zip(off.tolist(), off[1:].tolist())], pa.binary())
+    langs = pa.array(run.names, pa.string()).take(pa.array(lang[edge]))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(edge), kind, dtype=np.int32)), pa.array(shard[edge].astype(np.int64)), langs, lines, counts], names=["kind", "shard", "lang", "phrases", "n"])
 
 
 def _third_pass(bits: int, shared, shards: int):
     """Candidates (kind 0) and stretches (kind 1) of each run."""
 
-    def rows(kind: int, run: Run, shard: np.ndarray, lang: np.ndarray, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        langs = pa.array(run.names, pa.string()).take(pa.array(lang))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(shard), kind, dtype=np.int32)), pa.array(shard.astype(np.int64)), langs, phrases, pa.array(n.astype(np.int64))], names=["kind", "shard", "lang", "phrase", "n"])
-
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, dtype=tb.U64)
         for batch in batches:
@@ -261,14 +269,14 @@ def _third_pass(bits: int, shared, shards: int):
                 seen = np.union1d(seen, own[new]) if len(seen) < GATHERED else own
                 at, n = at[first[new]], n[first[new]]
                 text, edge = run.joined()
-                yield rows(0, run, shard[at], run.lang[at], _strings(text, edge[at], edge[at + n] - 1), n)
+                yield _packed(0, run, shard[at], run.lang[at], text, edge[at], edge[at + n] - 1, n)
                 # maximal runs of words covered by the candidates of one shard, in one piece
                 pieces = int(run.piece[-1]) + 1
                 owner, a, b = tb.merge_intervals(shard[start] * pieces + run.piece[start], start, start + reach[start])
                 key = tb.splitmix(tb.span_hash(tb.prefix(text), edge[a], edge[b] - 1) + run.seed[run.lang[a]]) + (owner // pieces).astype(tb.U64)
                 _, first, count = np.unique(key, return_index=True, return_counts=True)
                 a, b = a[first], b[first]
-                yield rows(1, run, owner[first] // pieces, run.lang[a], _strings(text, edge[a], edge[b] - 1), count)
+                yield _packed(1, run, owner[first] // pieces, run.lang[a], text, edge[a], edge[b] - 1, count)
 
     return run_all
 
@@ -287,10 +295,10 @@ def _scanned(key, phrases, stretches):
         automaton.make_automaton()
         given = stretches.filter(pc.equal(stretches.column("lang"), name))
         counts = np.zeros(len(own), dtype=np.int64)
-        for batch in given.to_batches(max_chunksize=50_000):
-            texts, times = batch.column(batch.schema.get_field_index("phrase")), batch.column(batch.schema.get_field_index("n")).to_numpy()
-            ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 3)
-            hits = np.fromiter(chain.from_iterable(automaton.iter(" " + " \n ".join(texts.to_pylist()) + " ")), dtype=np.int64).reshape(-1, 2)
+        for lines, times in zip(given.column("phrases"), given.column("n"), strict=True):
+            text, times = lines.as_py(), np.frombuffer(times.as_py(), dtype=np.uint32)
+            ends = np.cumsum(np.fromiter(map(len, text.split("\n")), dtype=np.int64) + 3)  # with the delimiters around each
+            hits = np.fromiter(chain.from_iterable(automaton.iter(f" {text.replace('\n', ' \n ')} ")), dtype=np.int64).reshape(-1, 2)
             np.add.at(counts, hits[:, 1], times[np.searchsorted(ends, hits[:, 0], side="right")])
         out.append(pa.table({"lang": pa.array([name] * len(own), pa.string()), "phrase": pa.array(own, pa.string()), "a": counts}).filter(pa.array(counts > 0)))
     return pa.concat_tables(out) if out else pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "a": pa.array([], pa.int64())})
@@ -325,9 +333,10 @@ def phrase_counts(docs: DataFrame, *, least: int = LEAST, block_bytes: int = BLO
     longer = heavy(rows.mapInArrow(tb.trimmed(_second_pass(width, spark.sparkContext.broadcast(two))), _COUNTED), "longer")
     shards = max(1, -(-(pairs.count() + longer.count()) // shard_phrases))
     found = written(rows.mapInArrow(tb.trimmed(_third_pass(width, spark.sparkContext.broadcast((two, _bitmap(longer, bits))), shards)), _FOUND), "found")
-    groups = written(found.where("kind = 1").groupBy("shard").agg(F.ceil(F.sum(F.octet_length("phrase").cast("long") + 16) / group_bytes).cast("long").alias("groups")), "groups")
-    stretches = found.where("kind = 1").join(groups, "shard").select("shard", F.pmod(F.xxhash64("lang", "phrase"), "groups").alias("part"), "lang", "phrase", "n")
-    candidates = found.where("kind = 0").select("shard", "lang", "phrase").distinct().join(groups, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), "lang", "phrase")
+    stretches = found.where("kind = 1")
+    groups = written(stretches.groupBy("shard").agg(F.ceil(F.sum((F.octet_length("phrases") + F.octet_length("n")).cast("long")) / group_bytes).cast("long").alias("groups")), "groups")
+    stretches = stretches.join(groups, "shard").select("shard", F.pmod(F.xxhash64("phrases"), "groups").alias("part"), "lang", "phrases", "n")
+    candidates = found.where("kind = 0").select("shard", "lang", F.explode(F.split("phrases", "\n")).alias("phrase")).distinct().join(groups, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), "lang", "phrase")
     candidates = written(candidates, "candidates")
     scanned = candidates.groupBy("shard", "part").cogroup(stretches.groupBy("shard", "part")).applyInArrow(_scanned, "lang string, phrase string, a long")
     counts = written(scanned.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrases")

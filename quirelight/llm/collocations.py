@@ -304,6 +304,18 @@ def _scanned(key, phrases, stretches):
     return pa.concat_tables(out) if out else pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "a": pa.array([], pa.int64())})
 
 
+def _united(key, table):
+    """The different candidates of a group of packed rows."""
+    out = []
+    for name in pc.unique(table.column("lang").combine_chunks()).to_pylist():
+        rows = table.filter(pc.equal(table.column("lang"), name)).column("phrases")
+        own = set()
+        for lines in rows:
+            own.update(lines.as_py().split("\n"))
+        out.append(pa.table({"shard": pa.array([key[0].as_py()] * len(own), pa.int64()), "lang": pa.array([name] * len(own), pa.string()), "phrase": pa.array(sorted(own), pa.string())}))
+    return pa.concat_tables(out)
+
+
 def _bitmap(cells: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of fixed size with the slot of every cell."""
     slot = F.pmod(F.col("cell"), F.lit(bits)) + 1
@@ -333,10 +345,12 @@ def phrase_counts(docs: DataFrame, *, least: int = LEAST, block_bytes: int = BLO
     longer = heavy(rows.mapInArrow(tb.trimmed(_second_pass(width, spark.sparkContext.broadcast(two))), _COUNTED), "longer")
     shards = max(1, -(-(pairs.count() + longer.count()) // shard_phrases))
     found = written(rows.mapInArrow(tb.trimmed(_third_pass(width, spark.sparkContext.broadcast((two, _bitmap(longer, bits))), shards)), _FOUND), "found")
-    stretches = found.where("kind = 1")
-    groups = written(stretches.groupBy("shard").agg(F.ceil(F.sum((F.octet_length("phrases") + F.octet_length("n")).cast("long")) / group_bytes).cast("long").alias("groups")), "groups")
-    stretches = stretches.join(groups, "shard").select("shard", F.pmod(F.xxhash64("phrases"), "groups").alias("part"), "lang", "phrases", "n")
-    candidates = found.where("kind = 0").select("shard", "lang", F.explode(F.split("phrases", "\n")).alias("phrase")).distinct().join(groups, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), "lang", "phrase")
+    bytes_of = (F.octet_length("phrases") + F.octet_length("n")).cast("long")
+    groups = written(found.groupBy("kind", "shard").agg(F.ceil(F.sum(bytes_of) / group_bytes).cast("long").alias("groups")), "groups")
+    dealt = found.join(groups, ["kind", "shard"]).select("kind", "shard", F.pmod(F.xxhash64("phrases"), "groups").alias("part"), "lang", "phrases", "n")
+    stretches = dealt.where("kind = 1").drop("kind")
+    united = dealt.where("kind = 0").select("shard", "part", "lang", "phrases").groupBy("shard", "part").applyInArrow(_united, "shard long, lang string, phrase string").distinct()
+    candidates = united.join(groups.where("kind = 1").drop("kind"), "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), "lang", "phrase")
     candidates = written(candidates, "candidates")
     scanned = candidates.groupBy("shard", "part").cogroup(stretches.groupBy("shard", "part")).applyInArrow(_scanned, "lang string, phrase string, a long")
     counts = written(scanned.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrases")

@@ -53,7 +53,7 @@ MARGIN = 0.20
 #: ... where both texts have as many shingles as this; smaller sets fill few registers, and all their pairs are confirmed.
 FULL = 64
 #: Bands with more members than this are compared in blocks; members and shingles of a block.
-JOINED, BLOCK, BLOCK_SHINGLES = 64, 128, 1 << 18
+JOINED, BLOCK, BLOCK_SHINGLES = 64, 256, 1 << 18
 _VALUE_BITS = 48 - 7
 
 
@@ -263,13 +263,13 @@ def _intersections(texts: pa.Array, left: np.ndarray, right: np.ndarray, width:
 
 def _wanted(t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows of strays, rows of the members they meet, pairs to be confirmed), between components; every pair in the first band it shares."""
-    ids, comp, n, asks, stray, band = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n_shingles", "asks", "stray", "band_no"))
+    ids, comp, n, asks, band = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n_shingles", "asks", "band_no"))
     codes = np.frombuffer(tb.flat(t.column("codes"))[0], dtype=np.uint16).reshape(-1, REGISTERS)
     banded = codes[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
-    left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+    left, right, apart = np.flatnonzero(asks), np.flatnonzero(~asks), t.column("one")[0].as_py() != t.column("two")[0].as_py()
     wanted = np.zeros((len(left), len(right)), dtype=bool)
     for k, i in enumerate(left.tolist()):
-        at = np.flatnonzero((comp[right] != comp[i]) & (~stray[right] | (ids[right] > ids[i])))
+        at = np.flatnonzero((comp[right] != comp[i]) & (apart | (ids[right] > ids[i])))
         at = at[(banded[right[at]] == banded[i]).all(axis=2).argmax(axis=1) == band[0]]
         wanted[k, at] = promising(codes[right[at]], codes[i], n[right[at]], np.full(len(at), n[i]))
     return left, right, wanted
@@ -335,18 +335,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = written(shared.select("band", "band_no", "node").join(named.select("node", "component", "n_shingles"), "node"), "placed")
     shares = placed.groupBy("band", "component").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("weight"))
     open_bands = shares.groupBy("band").agg(F.count("*").alias("components"), F.sum("members").alias("members"), F.sum("weight").alias("weight"), F.max(F.struct("members", "component", "weight")).alias("main")).where("components > 1")
-    open_bands = written(open_bands.select("band", "members", "weight", F.col("main.component").alias("main"), (F.col("members") - F.col("main.members")).alias("strays"), (F.col("weight") - F.col("main.weight")).alias("stray_weight")), "open")
+    open_bands = written(open_bands.select("band", "members", "weight", F.col("main.component").alias("main"), F.col("main.members").alias("main_members"), F.col("main.weight").alias("main_weight")), "open")
     members = placed.join(open_bands, "band")
     few = members.where(F.col("members") <= JOINED)
     one, two = (few.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n_shingles")]) for x in "ab")
     pairs = one.join(two, "band").where(f"node_a < node_b and component_a != component_b and 100 * least(n_shingles_a, n_shingles_b) >= {PERCENT} * greatest(n_shingles_a, n_shingles_b)").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    blocks = lambda members, weight: F.ceil(F.greatest(F.col(members) / BLOCK, F.col(weight) / BLOCK_SHINGLES)).cast("long")
-    many = members.where(F.col("members") > JOINED).withColumns({"stray": F.col("component") != F.col("main"), "all_blocks": blocks("members", "weight"), "stray_blocks": blocks("strays", "stray_weight")})
-    own = lambda n: F.pmod(F.xxhash64("node"), n)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    sent = ("band", "band_no", "node", "component", "n_shingles", "stray")
-    asking = many.where("stray").select(*sent, F.lit(True).alias("asks"), own("stray_blocks").alias("one"), every("all_blocks").alias("two"))
-    asked = many.select(*sent, F.lit(False).alias("asks"), every("stray_blocks").alias("one"), own("all_blocks").alias("two"))
+    blocks = lambda members, weight: F.ceil(F.greatest(members / BLOCK, weight / BLOCK_SHINGLES)).cast("long")
+    many = members.where(F.col("members") > JOINED).withColumns({"stray": F.col("component") != F.col("main"), "mains": blocks(F.col("main_members"), F.col("main_weight")), "strays": blocks(F.col("members") - F.col("main_members"), F.col("weight") - F.col("main_weight"))})
+    many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("mains"))))
+    # a block of strays meets itself, the blocks of strays after it, and all blocks of the largest component
+    several = lambda first, last: F.explode(F.sequence(first, last))
+    sent = ("band", "band_no", "node", "component", "n_shingles")
+    asking = many.where("stray").select(*sent, F.lit(True).alias("asks"), F.col("own").alias("one"), several(F.col("own"), F.col("strays") + F.col("mains") - 1).alias("two"))
+    asked = many.where("stray").select(*sent, F.lit(False).alias("asks"), several(F.lit(0).cast("long"), F.col("own")).alias("one"), F.col("own").alias("two"))
+    asked = asked.unionByName(many.where("not stray").select(*sent, F.lit(False).alias("asks"), several(F.lit(0).cast("long"), F.col("strays") - 1).alias("one"), (F.col("strays") + F.col("own")).alias("two")))
     coded = asking.unionByName(asked).join(named.select("node", "codes"), "node").select(*sent, "asks", "one", "two", "codes")
     paired = written(coded.groupBy("band", "one", "two").applyInArrow(_partners, coded.schema), "partners")
     large = paired.join(texts, F.col("node") == F.col("doc_id")).drop("doc_id").groupBy("band", "one", "two").applyInArrow(_blocks, "a long, b long")

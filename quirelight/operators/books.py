@@ -135,7 +135,18 @@ def translate(found: DataFrame, make: Callable[[], Provider], path: str, setting
     if store is not None and settings.resume:
         cache = store.judgements(recipes)
     again = salvage or make
-    verdicts = T.run(wanted.drop("error", "navigation", "is_title"), make, path, options=T.Options.of(settings), salvage=again if settings.salvage_pass else None, cache=cache, retry=retry, progress=progress)
+    finished = None
+    if store is not None and settings.resume:
+        titles = table(E.packages(found).select("book_id", "title"), "titles")
+        places = table(chosen.select(document(F.col("book_id"), F.col("path")).alias("doc_id"), "book_id", "path"), "places")
+
+        def finished(judgements: DataFrame) -> None:
+            """Documents are stored as waves finish them."""
+            judgements = table(judgements, "finished")
+            if judgements.first() is not None:
+                store.put(recipes, judgements, places, settings, titles)
+
+    verdicts = T.run(wanted.drop("error", "navigation", "is_title"), make, path, options=T.Options.of(settings), salvage=again if settings.salvage_pass else None, cache=cache, retry=retry, progress=progress, resume=settings.resume, finished=finished)
     attempts = spark.read.parquet(f"{path}/attempts")
     if settings.salvage_pass:
         attempts = attempts.withColumn("second", F.lit(False)).unionByName(spark.read.parquet(f"{path}/salvage").withColumn("second", F.lit(True)))
@@ -148,7 +159,7 @@ def translate(found: DataFrame, make: Callable[[], Provider], path: str, setting
     changed = new.select("book_id", "k", "path", "title", _spliced(mode, settings.target_code)("data", F.col("a.seg"), F.col("a.answer")).alias("x")).select("book_id", "k", "path", "title", "x.data", "x.error")
     changed = table(changed, "changed")
     if store is not None and settings.resume:
-        store.put(recipes, verdicts.join(done, "doc_id", "left_semi"), states, settings, E.packages(found).select("book_id", "title"))
+        store.put(recipes, verdicts.join(done, "doc_id", "left_semi"), states, settings, titles)
     return Run(states, table(R.notes(verdicts, attempts, PROBLEMS), "notes"), changed, E.replaced(found, changed, settings.target_code), R.totals(states, attempts))
 
 

@@ -9,6 +9,7 @@ Three kinds of provider are known by what they can do:
 
 from __future__ import annotations
 
+import math
 import random
 import time
 from collections.abc import Callable, Sequence
@@ -129,17 +130,25 @@ def interval(requests_per_minute: int, partitions: int = 1) -> float:
 
 @dataclass
 class Limiter:
-    """Slots at least ``gap`` seconds apart; idle time is not banked.  A run over p partitions gives each a p-th of the rate."""
+    """Slots at least ``gap`` seconds apart; idle time is not banked.
+
+    Of p tasks that share a schedule each starts one slot after the other and takes every p-th; ``fixed`` slots are never taken
+    late, so that no task runs into the slots of the others.
+    """
 
     gap: float = 0.0
     now: Callable[[], float] = time.monotonic
     sleep: Callable[[float], None] = time.sleep
     next: float = 0.0
+    last: float = 0.0
+    fixed: bool = False
 
     def wait(self) -> float:
         now = self.now()
         at = max(now, self.next)
-        self.next = at + self.gap
+        if self.fixed and self.gap > 0 and now > self.next:
+            at = self.next + math.ceil((now - self.next) / self.gap) * self.gap
+        self.next, self.last = at + self.gap, at
         if at > now:
             self.sleep(at - now)
         return at

@@ -20,6 +20,7 @@ from quirelight.operators import ordered as O
 from quirelight.operators import reports as R
 from quirelight.operators import segments as G
 from quirelight.operators import settings as S
+from quirelight.operators import translate as T
 from quirelight.operators import verdicts as V
 from quirelight.operators import views as W
 from quirelight.operators.provider import capitals
@@ -600,6 +601,36 @@ def _(docs):
     return run.states.join(asked, "doc_id", "left").select("book_id", "path", "status", "done", F.coalesce("asked", F.lit(0)).cast("long").alias("asked"))
 
 
+@query("container_interrupted", "documents", oracle=f"""
+SELECT CAST(doc_id AS VARCHAR) AS book_id, 'OEBPS/one 1.xhtml' AS path, 'done' AS status, CAST(2 + len(ls) AS INTEGER) AS done, CAST(0 AS BIGINT) AS asked_again, true AS resumed
+FROM ({_LINES.replace('source AS src', 'text').replace("string_split(text, chr(10)), lambda l: ", "string_split(replace(text, '&', '&amp;'), chr(10)), lambda l: ")})
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'OEBPS/nav.xhtml', 'done', 1, 0, true FROM documents""")
+def _(docs):
+    """A run whose provider dies at one book, and the next start on its path: what was committed before is not asked again."""
+    spark, settings, path = docs.sparkSession, S.Settings(salvage_pass=False, context_chars=0), scratch(docs.sparkSession, "run")
+    found, last = _containers(docs), f"Book {docs.agg(F.max('doc_id')).first()[0]}"
+
+    def deadly():
+        def provider(sources):
+            if last in sources:
+                raise SystemExit("killed")
+            return capitals(sources)
+
+        return provider
+
+    try:
+        B.translate(found, deadly, path, settings)
+    except Exception:  # the job has failed
+        pass
+    before = T.committed(spark, path, T.Options.of(settings)).select("doc_id", "chunk", "slot")
+    before.write.parquet(f"{path}/before")
+    before = spark.read.parquet(f"{path}/before")
+    run = B.translate(found, lambda: capitals, path, settings)
+    again = spark.read.parquet(f"{path}/attempts").select("doc_id", "chunk", F.col("slot").alias("now")).join(before, ["doc_id", "chunk"]).where("now != slot").groupBy("doc_id").count()
+    resumed = F.lit(before.first() is not None)
+    return run.states.join(again, "doc_id", "left").select("book_id", "path", "status", "done", F.coalesce("count", F.lit(0)).cast("long").alias("asked_again"), resumed.alias("resumed"))
+
+
 @query("model_list", "part", oracle="SELECT DISTINCT m AS model FROM (SELECT p_brand AS m FROM part UNION ALL SELECT CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'name of ' || p_brand END FROM part) WHERE m <> ''")
 def _(part):
     """Parts stand for entries of a service's list, some with an id, some with a name only, some blank."""

@@ -2,6 +2,8 @@
 
 import io
 import json
+import os
+import time
 import zipfile
 
 import pytest
@@ -10,6 +12,7 @@ from quirelight import cli
 from quirelight.functions.text import plain_strip
 from quirelight.operators import books as B
 from quirelight.operators import reports as R
+from quirelight.operators import segments as G
 from quirelight.operators import translate as T
 from quirelight.operators.cache import Store
 from quirelight.operators.provider import Completion, ProviderError, Usage, capitals
@@ -196,6 +199,139 @@ def test_fatal_stops_the_run(spark, tmp_path):
     assert files_of(run)["b0"]["O/c0.xhtml"] == {n: d for n, d, _ in E.unzip(container())}["O/c0.xhtml"]
 
 
+def logged(log, dies=None, lives=None):
+    """Makes a provider that writes down what it is asked, and dies at one string for as long as a file is not there."""
+
+    def made():
+        def provider(sources):
+            if dies and any(dies in s for s in sources) and not os.path.exists(lives):
+                os._exit(1)
+            with open(log, "a") as f:
+                f.writelines(s + "\n" for s in sources)
+            return capitals(sources)
+
+        return provider
+
+    return made
+
+
+@pytest.mark.parametrize("context", [0, 40])
+def test_killed_run_goes_on(spark, tmp_path, context):
+    """The worker dies at one chapter; the next start asks for what was not committed, and for nothing else."""
+    found, log, lives = table(spark, *[container(f"Tale {i}", chapters=4, extra=[("O/c2.xhtml", PAGE.format(t="Chapter 2", b=f"<p>Deadly {i}</p>" if i == 5 else f"<p>Mild {i}</p>").encode())]) for i in range(6)]), str(tmp_path / "log"), str(tmp_path / "lives")
+    settings, store = Settings(context_chars=context, salvage_pass=False), Store(spark, str(tmp_path / "store"))
+    make = logged(log, "Deadly", lives)
+    run = lambda: B.translate(found, make, str(tmp_path / "run"), settings, store=store)
+    with pytest.MonkeyPatch.context() as m, pytest.raises(Exception, match="(?i)crashed|EOF|exited"):
+        if not context:
+            m.setattr(T.Options, "of", classmethod(lambda cls, s: T.Options(settings=s, wave=2)))
+        run()
+    paid = open(log).read().split("\n")
+    stored = {r.path for r in store._documents().collect()}
+    assert len(paid) > 20 and stored  # documents that had ended are in the store
+    committed = spark.read.parquet(*[str(p) for p in (tmp_path / "run").glob("attempts-log/*/*") if (p / "_SUCCESS").exists()])
+    known = sorted(s for r in committed.collect() for s in r.sources)
+    open(log, "w").close()
+    open(lives, "w").close()
+    again = run()
+    asked = [s for s in open(log).read().split("\n") if s]
+    every = sorted(s for i in range(6) for s in [*(f"Part {k}" for k in range(4)), *(x for k in range(4) for x in ([f"Chapter {k}", f"Chapter {k}"] + ([f"{'Deadly' if i == 5 else 'Mild'} {i}"] if k == 2 else [f"Paragraph {n} of chapter {k} &amp; <em>more</em>." for n in range(4)])))])
+    assert sorted(known + asked) == every and not any("Deadly" in s for s in known) and len(known) > 20
+    assert again.totals.agg({"pending": "sum"}).first()[0] == 0 and all(b"DEADLY 5" in f["O/c2.xhtml"] for b, f in files_of(again).items() if b == "b5")
+    assert not (tmp_path / "run" / "attempts-log").exists()  # a run that has ended begins anew
+
+
+def test_one_fatal_answer_stops_the_run(spark, tmp_path):
+    """A refused key costs one call; a fatal answer in the middle one call a running task; the rest stays pending and the store intact."""
+    log = str(tmp_path / "log")
+
+    def make(after):
+        def made():
+            def provider(sources):
+                with open(log, "a") as f:
+                    f.write("x\n")
+                if len(open(log).read()) // 2 > after:
+                    raise ProviderError("key", 401)
+                return capitals(sources)
+
+            return provider
+
+        return made
+
+    found, store = table(spark, *[container(f"Tale {i}") for i in range(8)]), Store(spark, str(tmp_path / "store"))
+    run = B.translate(found, make(0), str(tmp_path / "a"), Settings(context_chars=0), store=store)
+    assert open(log).read() == "x\n" and {r.status for r in run.states.collect()} == {"failed", "pending"} and store._documents().count() == 0
+    open(log, "w").close()
+    run = B.translate(found, make(10), str(tmp_path / "b"), Settings(context_chars=0, max_segments=3), store=store)
+    calls, states = len(open(log).read()) // 2, run.states.collect()
+    assert 11 <= calls <= 10 + spark.sparkContext.defaultParallelism and sum(r.status == "pending" for r in states) >= 8
+    open(log, "w").close()
+    last = B.translate(found, make(1000), str(tmp_path / "b"), Settings(context_chars=0, max_segments=3), store=store)
+    assert {r.status for r in last.states.collect()} <= {"done", "cached"} and last.totals.agg({"pending": "sum"}).first()[0] == 0
+
+
+def test_rate_is_of_the_run(spark, tmp_path):
+    """Slots of all tasks, waves and passes are one schedule: no two calls are nearer than the gap, and none waits without need."""
+    times = str(tmp_path / "times")
+
+    def make():
+        def provider(sources):
+            with open(times, "a") as f:
+                f.write(f"{time.time()}\n")
+            return ["" if "Paragraph 3" in s else a for s, a in zip(sources, capitals(sources), strict=True)]
+
+        return provider
+
+    docs = spark.createDataFrame([(i, "\n".join(f"Paragraph {k} of {i}" for k in range(4))) for i in range(8)], "doc_id long, text string")
+    T.translate(docs, make, str(tmp_path / "r"), options=T.Options(most=1, requests_per_minute=600, answer_attempts=1), salvage=make)
+    at = sorted(float(x) for x in open(times))
+    gaps = [b - a for a, b in zip(at, at[1:])]
+    assert len(at) >= 40 and all(g > 0.1 - 0.06 for g in gaps) and at[-1] - at[0] >= (len(at) - 1) * 0.1 - 0.06
+    assert sum(g < 0.16 for g in gaps) >= 0.6 * len(gaps)  # within a wave the rate is the one that was set, whatever the number of tasks
+
+
+def test_failures_run_on_over_waves(spark, tmp_path):
+    """With continuity a wave holds one batch a book; the guard counts over the waves."""
+    log = str(tmp_path / "log")
+
+    def make():
+        def provider(sources):
+            with open(log, "a") as f:
+                f.write("x\n")
+            raise ProviderError("busy", 400)
+
+        return provider
+
+    run = B.translate(table(spark, container(chapters=9)), make, str(tmp_path / "r"), Settings(context_chars=20, salvage_pass=False, max_segments=40))
+    states = run.states.collect()
+    assert sum(r.status == "pending" for r in states) >= 3 and len(open(log).read()) // 2 < 80
+
+
+def test_progress_counts_once(spark, tmp_path):
+    """A task that fails once and is repeated counts once."""
+    failed, progress = str(tmp_path / "failed"), T.Progress(spark)
+
+    def make():
+        def provider(sources):
+            if any("3 of" in s for s in sources) and not os.path.exists(failed):
+                open(failed, "w").close()
+                raise SystemExit
+            return capitals(sources)
+
+        return provider
+
+    docs = spark.createDataFrame([(i, "\n".join(f"Paragraph {k} of {i}" for k in range(4))) for i in range(8)], "doc_id long, text string")
+    segs = G.line_segments(docs)
+    spark.sparkContext.setLogLevel("OFF")
+    try:
+        T.run(segs, make, str(tmp_path / "r"), progress=progress)
+    except Exception:  # a local session does not repeat tasks: the run is started again
+        T.run(segs, make, str(tmp_path / "r"), progress=progress)
+    finally:
+        spark.sparkContext.setLogLevel("ERROR")
+    assert progress.now()["segments"] == progress.now()["accepted"] == 32 and progress.now()["batches"] == 8
+
+
 def test_second_pass_by_another_provider(spark, tmp_path):
     def first():
         return lambda sources: ["" if "Paragraph 1" in s else a for s, a in zip(sources, capitals(sources), strict=True)]

@@ -213,8 +213,9 @@ def components(links: DataFrame, name: str) -> DataFrame:
     adaptive execution splits the edges of a node that holds a large part of all.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), name)
-    mark = None
-    while True:
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first())
+    mark = state(edges)
+    while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         nearest = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name)
         large = both.join(nearest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -224,8 +225,8 @@ def components(links: DataFrame, name: str) -> DataFrame:
         dropped(edges)
         dropped(nearest)
         edges = after
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == mark or not now[0]:
+        now = state(edges)
+        if now == mark:
             break
         mark = now
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -336,7 +337,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shares = placed.groupBy("band", "component").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("weight"))
     open_bands = shares.groupBy("band").agg(F.count("*").alias("components"), F.sum("members").alias("members"), F.sum("weight").alias("weight"), F.max(F.struct("members", "component", "weight")).alias("main")).where("components > 1")
     open_bands = written(open_bands.select("band", "members", "weight", F.col("main.component").alias("main"), F.col("main.members").alias("main_members"), F.col("main.weight").alias("main_weight")), "open")
-    members = placed.join(open_bands, "band")
+    members = written(placed.join(open_bands, "band"), "open-members")
     few = members.where(F.col("members") <= JOINED)
     one, two = (few.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n_shingles")]) for x in "ab")
     pairs = one.join(two, "band").where(f"node_a < node_b and component_a != component_b and 100 * least(n_shingles_a, n_shingles_b) >= {PERCENT} * greatest(n_shingles_a, n_shingles_b)").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()

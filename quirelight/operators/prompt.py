@@ -24,6 +24,8 @@ REPLY = {"type": "object", "properties": {"translations": {"type": "array", "ite
 
 def system_text(settings: Settings, *, second: bool = False) -> str:
     parts = ["\n".join(_RULES).format(language=settings.target_language)]
+    if settings.source_language.strip():
+        parts[0] += f"\nThe book is written in {settings.source_language.strip()}."
     for title, text in (("About the book", settings.about), ("Glossary", settings.glossary), ("Style", settings.style_notes)):
         if text.strip():
             parts.append(f"{title}:\n{text.strip()}")

@@ -12,10 +12,11 @@ from pathlib import Path
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelight.functions.text import FOLD_FROM, FOLD_MANY, FOLD_TO, LANGUAGE_TAG
+from quirelight.operators import ordered as O
 
 # Known services (id, name, protocol, endpoint, variables that may hold the key, free tier, no key needed).
 SERVICES = [
@@ -43,8 +44,18 @@ def services(spark: SparkSession) -> DataFrame:
     """The catalogue, best first: the first service, free tiers, services without a key, the rest."""
     rows = [(k, *s) for k, s in enumerate(SERVICES)]
     known = spark.createDataFrame(rows, "ordinal int, id string, name string, protocol string, endpoint string, key_env array<string>, free_tier boolean, no_key boolean")
-    tier = F.when(F.col("id") == SERVICES[0][0], 0).when(F.col("free_tier"), 1).when(F.col("no_key"), 2).otherwise(3)
-    return known.withColumn("place", F.row_number().over(Window.orderBy(tier, "ordinal"))).orderBy("place")
+    return ranked(known, SERVICES[0][0]).orderBy("place")
+
+
+def ranked(known: DataFrame, first: str) -> DataFrame:
+    """``known`` (ordinal, id, free_tier, no_key) with ``place``: the service ``first``, free tiers, those without a key, the rest, each in their order.
+
+    Numbers are dense over four tiers of ordinals, in blocks, so the list may have any length.
+    """
+    tier = F.when(F.col("id") == first, 0).when(F.col("free_tier"), 1).when(F.col("no_key"), 2).otherwise(3)
+    rows = known.withColumns({"_all": F.lit(0), "_tier": tier})
+    block = F.col("_tier") * F.lit(1 << 40) + F.floor(F.col("ordinal") / O.SPAN)
+    return O.numbered(rows, ("_all",), ("ordinal",), block).drop("_all", "_tier", "places")
 
 
 def key_of(service: str, environment: dict[str, str] | None = None) -> str:

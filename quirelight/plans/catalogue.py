@@ -638,10 +638,17 @@ def _(part):
     return W.model_names(part.select(F.array("p_brand", F.lit("")).alias("data"), F.array(own).alias("models")))
 
 
-_SERVICE_ROWS = ", ".join(f"({k}, '{s[0]}', {str(s[5]).lower()}, {str(s[6]).lower()})" for k, s in enumerate(S.SERVICES))
 
-QUERIES["preset_rank"] = lambda spark, sf_dir: S.services(spark).select("id", F.col("place").cast("long").alias("place"))
-ORACLE_SQL["preset_rank"] = f"SELECT id, row_number() OVER (ORDER BY (k > 0), (NOT (free AND k > 0)), (NOT none), k) AS place FROM (VALUES {_SERVICE_ROWS}) AS t(k, id, free, none)"
+
+
+@query("preset_rank", "supplier", oracle="""
+SELECT s_suppkey, CAST(row_number() OVER (ORDER BY CASE WHEN s_suppkey = (SELECT min(s_suppkey) FROM supplier) THEN 0 WHEN s_acctbal < 0 THEN 1 WHEN s_nationkey % 2 = 0 THEN 2 ELSE 3 END, s_suppkey) AS BIGINT) AS place FROM supplier""")
+def _(supplier):
+    """Suppliers stand for services: those in the red are free, those of even nations want no key; the first of all stays first."""
+    rows = supplier.select(F.col("s_suppkey").alias("ordinal"), F.col("s_suppkey").cast("string").alias("id"), (F.col("s_acctbal") < 0).alias("free_tier"), (F.col("s_nationkey") % 2 == 0).alias("no_key"))
+    first = supplier.agg(F.min("s_suppkey")).first()[0]
+    return S.ranked(rows, str(first)).select(F.col("ordinal").alias("s_suppkey"), F.col("place").cast("long").alias("place"))
+
 
 _WRONG = [("provider", "nobody"), ("target_language", " "), ("base_url", "ftp://x"), ("chunk_chars", "0"), ("format", "pdf")]
 
@@ -706,9 +713,9 @@ def _(customer):
     return customer.select("c_custkey", start.cast("int").alias("first"), end.cast("int").alias("last"))
 
 
-@query("name_filter", "part", oracle="SELECT p_partkey FROM part WHERE p_type ILIKE '%bRass%'")
+@query("name_filter", "part", oracle="SELECT p_partkey FROM part WHERE p_type ILIKE '%aNdar%'")
 def _(part):
-    return W.named_like(part, "p_type", "bRass").select("p_partkey")
+    return W.named_like(part, "p_type", "aNdar").select("p_partkey")
 
 
 # --- markup: byte-exact work in Arrow batches; tests hold the answers -----------

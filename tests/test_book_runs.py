@@ -11,6 +11,7 @@ import pytest
 from quirelight import cli
 from quirelight.functions.text import plain_strip
 from quirelight.operators import books as B
+from quirelight.operators import prompt as P
 from quirelight.operators import reports as R
 from quirelight.operators import segments as G
 from quirelight.operators import translate as T
@@ -131,6 +132,7 @@ def test_prompts_continuity_remarks_usage(spark, tmp_path):
     progress = T.Progress(spark)
     run = B.translate(table(spark, container(chapters=2)), chat(log), str(tmp_path / "r"), settings, progress=progress)
     asked = [json.loads(x) for x in open(log)]
+    assert "written in" not in asked[0][0] and "The book is written in Old Norse." in P.system_text(Settings(source_language=" Old Norse "))
     assert len({s for s, _ in asked}) == 1 and "Dutch" in asked[0][0] and "em: stress" in asked[0][0] and "a test" in asked[0][0]
     users = [u for _, u in asked]
     assert all(u.startswith("Book: A tale\n") for u in users) and "Passage 1 of 3: Part 0\nPart 1 of 3" in users[0] and "so far" not in users[0]

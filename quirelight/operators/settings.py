@@ -53,9 +53,9 @@ def ranked(known: DataFrame, first: str) -> DataFrame:
     Numbers are dense over four tiers of ordinals, in blocks, so the list may have any length.
     """
     tier = F.when(F.col("id") == first, 0).when(F.col("free_tier"), 1).when(F.col("no_key"), 2).otherwise(3)
-    rows = known.withColumns({"_all": F.lit(0), "_tier": tier})
+    rows = known.withColumns({"_list": F.lit(0), "_tier": tier})
     block = F.col("_tier") * F.lit(1 << 40) + F.floor(F.col("ordinal") / O.SPAN)
-    return O.numbered(rows, ("_all",), ("ordinal",), block).drop("_all", "_tier", "places")
+    return O.numbered(rows, ("_list",), ("ordinal",), block).drop("_list", "_tier", "places")
 
 
 def key_of(service: str, environment: dict[str, str] | None = None) -> str:

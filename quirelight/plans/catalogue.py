@@ -24,7 +24,7 @@ from quirelight.operators import translate as T
 from quirelight.operators import verdicts as V
 from quirelight.operators import views as W
 from quirelight.operators.provider import capitals
-from quirelight.sources import epub
+from quirelight.sources import containers, epub
 from quirelight.sources.tables import scratch, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -559,6 +559,19 @@ def _(docs):
     return epub.packages(_containers(docs)).select("book_id", "package", "title", "language", "version", "chapters")
 
 
+@query("container_files", "documents", oracle="""
+SELECT 'b' || doc_id || '.epub' AS file, 'OEBPS/package.opf' AS package, 'Book ' || doc_id AS title, 1 AS chapters, 'OEBPS/one 1.xhtml' AS name, CAST(1 AS BIGINT) AS found FROM documents WHERE doc_id IS NOT NULL""")
+def _(docs):
+    """Containers written as files by the sink, read back by the source: packages by seek, one entry of each by its name."""
+    folder = scratch(docs.sparkSession, "books")
+    docs = docs.where("doc_id is not null")
+    books = _containers(docs).join(docs.select(F.col("doc_id").cast("string").alias("book_id")), "book_id")
+    containers.save(books.select(F.concat(F.lit("b"), "book_id").alias("name"), "content"), folder)
+    read = lambda table: containers.read(docs.sparkSession, folder, table)
+    page = read("entries").where("name = 'OEBPS/one 1.xhtml'").groupBy("book_id").agg(F.first("name").alias("name"), F.count_if(F.length("data") > 0).alias("found"))
+    return read("packages").join(page, "book_id").select(F.element_at(F.split("book_id", "/"), -1).alias("file"), "package", "title", "chapters", "name", "found")
+
+
 @query("container_worklist", "documents", oracle="""
 SELECT CAST(doc_id AS VARCHAR) AS book_id, 'Book ' || doc_id AS book_title, k, CASE k WHEN 0 THEN 'OEBPS/one 1.xhtml' ELSE 'OEBPS/nav.xhtml' END AS path, CASE k WHEN 0 THEN 'Label ' || source ELSE 'Navigation' END AS title, k = 1 AS navigation
 FROM documents, (VALUES (0), (1)) AS v(k)""")

@@ -8,11 +8,10 @@ ordinals, as row order means nothing in a DataFrame.
 from __future__ import annotations
 
 import io
-import os
 import posixpath
-import tempfile
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from html import escape
 from urllib.parse import quote, unquote
@@ -55,6 +54,39 @@ def unzip(raw: bytes, most: int = MOST_BYTES) -> list[tuple[str, bytes, int]]:
     return out
 
 
+class Files(Mapping):
+    """The files of a container by name (of equal names the last), inflated as they are asked for.  ``file``: bytes, or a file that can seek."""
+
+    def __init__(self, file, most: int = MOST_BYTES) -> None:
+        try:
+            self.archive = zipfile.ZipFile(io.BytesIO(file) if isinstance(file, bytes) else file)
+        except (zipfile.BadZipFile, OSError, ValueError) as e:
+            raise BookError("not a zip container") from e
+        self.infos = [i for i in self.archive.infolist() if not i.is_dir()]
+        if sum(i.file_size for i in self.infos) > most:
+            raise BookError(f"more than {most} bytes")
+        self.last = {i.filename: i for i in self.infos}
+
+    def sizes(self) -> list[tuple[str, int]]:
+        """(name, size) of all, in order."""
+        return [(i.filename, i.file_size) for i in self.infos]
+
+    def __getitem__(self, name: str) -> bytes:
+        try:
+            return self.archive.read(self.last[name])
+        except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError) as e:
+            raise BookError(f"{name}: {e}") from e
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.last)
+
+    def __len__(self) -> int:
+        return len(self.last)
+
+    def __contains__(self, name) -> bool:
+        return name in self.last
+
+
 def encode(files: list[tuple[str, bytes]]) -> bytes:
     """A container: mimetype first and stored, the rest deflated; of equal names the last counts."""
     last = dict(files)
@@ -100,7 +132,7 @@ class Package:
 NAVIGATION = "Navigation"
 
 
-def package(files: dict[str, bytes]) -> Package:
+def package(files: Mapping[str, bytes]) -> Package:
     """The package document of a container: the first root file, the first title and language, items by id (of equal ones the last)."""
     try:
         roots = [n.get("full-path") for n in ElementTree.fromstring(files["META-INF/container.xml"]).iter() if _local(n) == "rootfile" and n.get("full-path")]
@@ -132,7 +164,7 @@ def package(files: dict[str, bytes]) -> Package:
     return Package(roots[0], said["title"], said["language"], root.get("version", ""), chapters, *held)
 
 
-def structure(files: dict[str, bytes]) -> tuple[str, list[tuple[str, str]]]:
+def structure(files: Mapping[str, bytes]) -> tuple[str, list[tuple[str, str]]]:
     """(package path, [(path, title)] of the chapters in reading order)."""
     found = package(files)
     return found.path, found.chapters
@@ -188,7 +220,7 @@ def chapters(found: DataFrame) -> DataFrame:
         for batch in batches:
             for book, raw in zip(batch["book_id"], batch["content"], strict=True):
                 try:
-                    files = {name: data for name, data, _ in unzip(bytes(raw or b""))}
+                    files = Files(bytes(raw or b""))
                     rows = [(book, k, path, title, len(files[path])) for k, (path, title) in enumerate(structure(files)[1])]
                 except BookError:
                     rows = []
@@ -228,7 +260,7 @@ def packages(found: DataFrame) -> DataFrame:
             rows = []
             for book, raw in zip(batch["book_id"], batch["content"], strict=True):
                 try:
-                    p = package({name: data for name, data, _ in unzip(bytes(raw or b""))})
+                    p = package(Files(bytes(raw or b"")))
                     rows.append((book, p.path, p.title, p.language, p.version, len(p.chapters), None))
                 except BookError as e:
                     rows.append((book, None, None, None, None, 0, str(e)))
@@ -247,7 +279,7 @@ def documents(found: DataFrame) -> DataFrame:
         for batch in batches:
             for book, raw in zip(batch["book_id"], batch["content"], strict=True):
                 try:
-                    files = {name: data for name, data, _ in unzip(bytes(raw or b""))}
+                    files = Files(bytes(raw or b""))
                     p = package(files)
                     rows = [(book, p.title, k, path, title, navigation, files[path]) for k, (path, title, navigation) in enumerate(p.worklist())]
                 except BookError:
@@ -329,21 +361,8 @@ def replaced(found: DataFrame, changed: DataFrame, target_code: str) -> DataFram
 
 
 def save(contents: DataFrame, folder: str, suffix: str = ".epub") -> DataFrame:
-    """Write each (book_id, name, content) under ``folder`` beside and renamed; (book_id, path) of what was written."""
+    """Write each (book_id, name, content) under ``folder`` by the container sink; (book_id, path) of the files, where their names were free."""
+    from quirelight.sources import containers
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for book, name, content in zip(batch["book_id"], batch["name"], batch["content"], strict=True):
-                if content is None:
-                    continue
-                path = os.path.join(folder, name + suffix)
-                handle, part = tempfile.mkstemp(dir=folder)
-                with os.fdopen(handle, "wb") as f:
-                    f.write(content.encode() if isinstance(content, str) else bytes(content))
-                os.chmod(part, 0o644)
-                os.replace(part, path)
-                rows.append((book, path))
-            yield pd.DataFrame(rows, columns=["book_id", "path"])
-
-    return contents.select("book_id", "name", "content").mapInPandas(run, "book_id string, path string")
+    containers.save(contents, folder, suffix)
+    return contents.where("content is not null").select("book_id", F.concat(F.lit(f"{folder}/"), "name", F.lit(suffix)).alias("path"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelight.functions import markup, messages
+from quirelight.functions import markup, messages, tables
 from quirelight.functions import text as X
 from quirelight.operators import books as B
 from quirelight.operators import cache as C
@@ -234,6 +234,13 @@ def _(docs):
     return G.chunk_plan(docs, budget=400, most=4)
 
 
+@query("batches_table", "documents", oracle=_chunk_sql(400, 4))
+def _(docs):
+    """The same batches by the table function of SQL."""
+    tables.register(docs.sparkSession)
+    return docs.sparkSession.sql("SELECT doc_id, chunk, n_chunks, lo, hi, n_bytes FROM batches(TABLE(SELECT doc_id, seg, source FROM {lines}), 400, 4)", lines=G.line_segments(docs))
+
+
 @query("bisect_plan", "documents", oracle=f"""
 WITH RECURSIVE c AS (SELECT doc_id, CAST(k AS INTEGER) AS chunk, CAST(k * 8 AS INTEGER) AS lo, CAST(least(len(ls), k * 8 + 8) AS INTEGER) AS hi FROM (SELECT doc_id, ls, unnest(range((len(ls) + 7) // 8)) AS k FROM ({_LINES}))),
  b AS (SELECT doc_id, chunk, 0 AS depth, lo, hi FROM c
@@ -777,6 +784,13 @@ def _(pages):
     return markup.page_segments(pages)
 
 
+@query("segments_table", "pages", oracle=_SEGMENTS)
+def _(pages):
+    """The same segments by the table function of SQL."""
+    tables.register(pages.sparkSession)
+    return pages.sparkSession.sql("SELECT page_id, s.seg, s.start, s.end, s.kind, s.elem, s.is_title, s.source FROM {pages}, LATERAL segments(encode(html, 'utf-8'), 'html') AS s", pages=pages)
+
+
 _BREAKS = "p|div|h1|h2|h3|h4|h5|h6|li|blockquote|tr|dt|dd|figcaption|caption|section|article|header|footer|hr|table|ul|ol|dl|pre"
 _PLAIN = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
 for _tag in ("script", "style", "head"):

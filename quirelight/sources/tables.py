@@ -11,9 +11,12 @@ LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt anew where a scan gives fewer partitions than there are cores (a small file of one row group)."""
+    """``df``, dealt anew where a scan gives so few partitions that most cores would have none (a small file of one row group).
+
+    A large table that fills half of the cores or more is left as it is: shuffling it would cost more than it gains.
+    """
     cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
-    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
+    if "Exchange" in plan.executedPlan().toString() or 2 * plan.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 

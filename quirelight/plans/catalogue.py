@@ -7,6 +7,7 @@ none: what a row stands for is said beside each query.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,7 @@ from quirelight.operators import settings as S
 from quirelight.operators import translate as T
 from quirelight.operators import verdicts as V
 from quirelight.operators import views as W
-from quirelight.operators.provider import capitals
+from quirelight.operators.provider import Completion, capitals
 from quirelight.sources import containers, epub
 from quirelight.sources.tables import scratch, spread
 
@@ -651,6 +652,34 @@ def _(docs):
     return run.states.join(again, "doc_id", "left").select("book_id", "path", "status", "done", F.coalesce("count", F.lit(0)).cast("long").alias("asked_again"), resumed.alias("resumed"))
 
 
+_ESCAPED_LINES = _LINES.replace("source AS src", "source, text").replace("string_split(text, chr(10)), lambda l: ", "string_split(replace(text, '&', '&amp;'), chr(10)), lambda l: ")
+_SAID = f"replace(replace(replace(translate(l, '{_SMALL}', '{_LARGE}'), '&AMP;', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query("container_continuity", "documents", oracle=f"""
+WITH d AS (SELECT doc_id, list_concat(['BOOK ' || doc_id, 'BOOK ' || doc_id], list_transform(ls, lambda l: {_collapse(_SAID)})) AS segs FROM ({_ESCAPED_LINES})),
+ c AS (SELECT doc_id, CAST(j AS INTEGER) AS chunk, array_to_string(segs[40 * j + 1 : 40 * j + 40], ' ') AS said FROM (SELECT doc_id, segs, unnest(range((len(segs) + 39) // 40)) AS j FROM d)),
+ t AS (SELECT doc_id, chunk, CASE WHEN length(said) <= 60 THEN said ELSE '…' || right(said, 60) END AS tail FROM c)
+SELECT CAST(doc_id AS VARCHAR) AS book_id, 'OEBPS/one 1.xhtml' AS path, chunk, lag(tail) OVER (PARTITION BY doc_id ORDER BY chunk) AS tail FROM t
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'OEBPS/nav.xhtml', 0, max_by(tail, chunk) FROM t GROUP BY doc_id""")
+def _(docs):
+    """What each batch is shown of the translation so far, wave by wave: the service repeats it as a remark."""
+
+    def repeats():
+        class Service:
+            def complete(self, request):
+                sources = json.loads(request.user.rsplit("\n", 1)[1])
+                said = request.user.split("so far ends:\n")
+                return Completion(json.dumps({"translations": capitals(sources), "notes": [said[1].rsplit("\n", 2)[0]] if len(said) > 1 else []}))
+
+        return Service()
+
+    path = scratch(docs.sparkSession, "run")
+    B.translate(_containers(docs), repeats, path, S.Settings(salvage_pass=False, context_chars=60, max_segments=40, chunk_chars=1 << 40))
+    asked = docs.sparkSession.read.parquet(f"{path}/attempts")
+    return asked.select("book_id", F.element_at(F.split("doc_id", "!/"), 2).alias("path"), "chunk", F.get("remarks", F.lit(0)).alias("tail"))
+
+
 @query("model_list", "part", oracle="SELECT DISTINCT m AS model FROM (SELECT p_brand AS m FROM part UNION ALL SELECT CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'name of ' || p_brand END FROM part) WHERE m <> ''")
 def _(part):
     """Parts stand for entries of a service's list, some with an id, some with a name only, some blank."""

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelight.functions import markup, text
+from quirelight.functions.batches import ddl, mapped
 from quirelight.operators import ordered as O
 
 #: Uncompressed bytes of one container that are read at most; a larger one is refused as a whole.
@@ -201,42 +202,35 @@ def books(spark: SparkSession, path: str) -> DataFrame:
 def entries(found: DataFrame) -> DataFrame:
     """Files of the containers; a refused container is one row with its error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for book, raw in zip(batch["book_id"], batch["content"], strict=True):
-                try:
-                    rows = [(book, k, name, data, method, None) for k, (name, data, method) in enumerate(unzip(bytes(raw or b"")))]
-                except BookError as e:
-                    rows = [(book, -1, None, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["book_id", "ordinal", "name", "data", "method", "error"])
+    def rows(book: str, raw: bytes | None) -> list[tuple]:
+        try:
+            return [(book, k, name, data, method, None) for k, (name, data, method) in enumerate(unzip(raw or b""))]
+        except BookError as e:
+            return [(book, -1, None, None, None, str(e))]
 
-    return found.mapInPandas(run, ENTRIES)
+    return mapped(found.select("book_id", "content"), rows, ENTRIES)
 
 
 def chapters(found: DataFrame) -> DataFrame:
     """Chapters of the containers in reading order; books without a package have none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for book, raw in zip(batch["book_id"], batch["content"], strict=True):
-                try:
-                    files = Files(bytes(raw or b""))
-                    rows = [(book, k, path, title, len(files[path])) for k, (path, title) in enumerate(structure(files)[1])]
-                except BookError:
-                    rows = []
-                yield pd.DataFrame(rows, columns=["book_id", "k", "path", "title", "n_bytes"])
+    def rows(book: str, raw: bytes | None) -> list[tuple]:
+        try:
+            files = Files(raw or b"")
+            return [(book, k, path, title, len(files[path])) for k, (path, title) in enumerate(structure(files)[1])]
+        except BookError:
+            return []
 
-    return found.mapInPandas(run, CHAPTERS)
+    return mapped(found.select("book_id", "content"), rows, CHAPTERS)
 
 
 def bound(books: DataFrame) -> DataFrame:
     """(book_id, content): containers made of ``books`` (book_id, title, language, chapters: array<struct<name,title,data>>), with a table of contents."""
 
-    @F.pandas_udf("binary")
-    def run(title: pd.Series, language: pd.Series, chapters: pd.Series) -> pd.Series:
-        return pd.Series([_bound(t or "", code or "", [(c["name"], c["title"], c["data"].encode()) for c in own]) for t, code, own in zip(title, language, chapters, strict=True)])
+    def rows(book, title: str | None, language: str | None, chapters: list[dict]) -> list[tuple]:
+        return [(book, _bound(title or "", language or "", [(c["name"], c["title"], c["data"].encode()) for c in chapters]))]
 
-    return books.select("book_id", run("title", "language", "chapters").alias("content"))
+    return mapped(books.select("book_id", "title", "language", "chapters"), rows, f"{ddl(books, 'book_id')}, content binary")
 
 
 def _bound(title: str, language: str, chapters: list[tuple[str, str, bytes]]) -> bytes:
@@ -255,18 +249,14 @@ def _bound(title: str, language: str, chapters: list[tuple[str, str, bytes]]) ->
 def packages(found: DataFrame) -> DataFrame:
     """A row a container: path of the package, title, language, version, number of chapters, or the reason of its refusal."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for book, raw in zip(batch["book_id"], batch["content"], strict=True):
-                try:
-                    p = package(Files(bytes(raw or b"")))
-                    rows.append((book, p.path, p.title, p.language, p.version, len(p.chapters), None))
-                except BookError as e:
-                    rows.append((book, None, None, None, None, 0, str(e)))
-            yield pd.DataFrame(rows, columns=["book_id", "package", "title", "language", "version", "chapters", "error"])
+    def rows(book: str, raw: bytes | None) -> list[tuple]:
+        try:
+            p = package(Files(raw or b""))
+            return [(book, p.path, p.title, p.language, p.version, len(p.chapters), None)]
+        except BookError as e:
+            return [(book, None, None, None, None, 0, str(e))]
 
-    return found.mapInPandas(run, "book_id string, package string, title string, language string, version string, chapters int, error string")
+    return mapped(found.select("book_id", "content"), rows, "book_id string, package string, title string, language string, version string, chapters int, error string")
 
 
 DOCUMENTS = "book_id string, book_title string, k int, path string, title string, navigation boolean, data binary"
@@ -275,18 +265,15 @@ DOCUMENTS = "book_id string, book_title string, k int, path string, title string
 def documents(found: DataFrame) -> DataFrame:
     """The documents of each book to work on, numbered in that order; refused containers have none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for book, raw in zip(batch["book_id"], batch["content"], strict=True):
-                try:
-                    files = Files(bytes(raw or b""))
-                    p = package(files)
-                    rows = [(book, p.title, k, path, title, navigation, files[path]) for k, (path, title, navigation) in enumerate(p.worklist())]
-                except BookError:
-                    rows = []
-                yield pd.DataFrame(rows, columns=["book_id", "book_title", "k", "path", "title", "navigation", "data"])
-
-    return found.mapInPandas(run, DOCUMENTS)
+    def rows(book: str, raw: bytes | None) -> list[tuple]:
+        try:
+            files = Files(raw or b"")
+            p = package(files)
+            return [(book, p.title, k, path, title, navigation, files[path]) for k, (path, title, navigation) in enumerate(p.worklist())]
+        except BookError:
+            return []
+
+    return mapped(found.select("book_id", "content"), rows, DOCUMENTS)
 
 
 def reading_order(refs: DataFrame, items: DataFrame, files: DataFrame) -> DataFrame:

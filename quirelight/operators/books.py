@@ -8,7 +8,7 @@ bytes, and one unreadable document does not stop the others.  States, notes and
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelight.functions import markup
+from quirelight.functions.batches import ddl, mapped
 from quirelight.operators import ordered as O
 from quirelight.operators import reports as R
 from quirelight.operators import translate as T
@@ -70,27 +71,22 @@ def selected(docs: DataFrame, only: DataFrame | None = None, spec: str = "") ->
     return numbered(docs.join(taken, ["book_id", "place"], "left_semi").drop("place", "places"))
 
 
-def _segmented(mode: str):
-    """bytes -> (segments, reason of a refusal)."""
-
-    @F.pandas_udf(f"struct<found:{markup.SEGMENTS},error:string>")
-    def run(docs: pd.Series) -> pd.DataFrame:
-        rows = []
-        for doc in docs:
-            try:
-                rows.append(([vars(s) for s in markup.extract(bytes(doc or b""), mode)], None))
-            except markup.MarkupError as e:
-                rows.append((None, str(e) or type(e).__name__))
-        return pd.DataFrame(rows, columns=["found", "error"])
+def segments(docs: DataFrame, mode: str = "strict") -> DataFrame:
+    """Segments of the documents with what a batch is told about them; those of a refused document are one row with its error, and so is a document without any."""
+    about = [c for c in docs.columns if c != "data"]
 
-    return run
+    def rows(data: bytes | None, doc_id: str, *given) -> Iterator[tuple]:
+        try:
+            found, error = markup.extract(data or b"", mode), None
+        except markup.MarkupError as e:
+            found, error = [], str(e) or type(e).__name__
+        for k, s in enumerate(found):
+            yield *given, doc_id, error, k, s.source, s.kind == "block", s.is_title
+        if not found:
+            yield *given, doc_id, error, None, None, None, None
 
-
-def segments(docs: DataFrame, mode: str = "strict") -> DataFrame:
-    """Segments of the documents with what a batch is told about them; those of a refused document are one row with its error."""
-    read = docs.withColumn("x", _segmented(mode)("data")).withColumn("doc_id", document(F.col("book_id"), F.col("path")))
-    rows = read.select(*[c for c in read.columns if c not in ("data", "x")], F.col("x.error").alias("error"), F.posexplode_outer("x.found").alias("seg", "s"))
-    return rows.select(*[c for c in rows.columns if c != "s"], "s.source", (F.col("s.kind") == "block").alias("block"), "s.is_title")
+    named = docs.select("data", document(F.col("book_id"), F.col("path")).alias("doc_id"), *about)
+    return mapped(named, rows, f"{ddl(docs, *about)}, doc_id string, error string, seg int, source string, block boolean, is_title boolean")
 
 
 def translatable(segs: DataFrame, titles: bool) -> DataFrame:
@@ -99,23 +95,20 @@ def translatable(segs: DataFrame, titles: bool) -> DataFrame:
     return segs if titles else segs.where("not (is_title or navigation)")
 
 
-def _spliced(mode: str, code: str):
-    @F.pandas_udf("struct<data:binary,error:string>")
-    def run(docs: pd.Series, segs: pd.Series, answers: pd.Series) -> pd.DataFrame:
-        rows = []
-        for doc, own, said in zip(docs, segs, answers, strict=True):
-            raw = bytes(doc)
-            try:
-                found = markup.extract(raw, mode)
-                given: list[str | None] = [None] * len(found)
-                for i, a in zip(own, said, strict=True):
-                    given[i] = a
-                rows.append((markup.set_language(markup.apply(raw, found, given, mode), code), None))
-            except (markup.MarkupError, IndexError) as e:
-                rows.append((raw, str(e)))
-        return pd.DataFrame(rows, columns=["data", "error"])
+def spliced(docs: DataFrame, mode: str, code: str) -> DataFrame:
+    """The documents (book_id, k, path, title, data, a: array<struct<seg,answer>>) with their answers in place: data, and why not if they could not be."""
+
+    def rows(book, k, path, title, raw: bytes, own: list[dict]) -> list[tuple]:
+        try:
+            found = markup.extract(raw, mode)
+            given: list[str | None] = [None] * len(found)
+            for a in own:
+                given[a["seg"]] = a["answer"]
+            return [(book, k, path, title, markup.set_language(markup.apply(raw, found, given, mode), code), None)]
+        except (markup.MarkupError, IndexError) as e:
+            return [(book, k, path, title, raw, str(e))]
 
-    return run
+    return mapped(docs.select("book_id", "k", "path", "title", "data", "a"), rows, f"{ddl(docs, 'book_id', 'k', 'path', 'title')}, data binary, error string")
 
 
 def translate(found: DataFrame, make: Callable[[], Provider], path: str, settings: Settings, *, store: Store | None = None, retry: bool = False, only: DataFrame | None = None, spec: str = "", salvage: Callable[[], Provider] | None = None, mode: str = "strict", progress: T.Progress | None = None) -> Run:
@@ -156,8 +149,7 @@ def translate(found: DataFrame, make: Callable[[], Provider], path: str, setting
     good = verdicts.where(V.accepted(F.col("verdict"))).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seg", "answer"))).alias("a"))
     done = states.where("status in ('done', 'cached')").select("doc_id")
     new = docs.withColumn("doc_id", document(F.col("book_id"), F.col("path"))).join(good, "doc_id").join(done, "doc_id", "left_semi")
-    changed = new.select("book_id", "k", "path", "title", _spliced(mode, settings.target_code)("data", F.col("a.seg"), F.col("a.answer")).alias("x")).select("book_id", "k", "path", "title", "x.data", "x.error")
-    changed = table(changed, "changed")
+    changed = table(spliced(new, mode, settings.target_code), "changed")
     if store is not None and settings.resume:
         store.put(recipes, verdicts.join(done, "doc_id", "left_semi"), states, settings, titles)
     return Run(states, table(R.notes(verdicts, attempts, PROBLEMS), "notes"), changed, E.replaced(found, changed, settings.target_code), R.totals(states, attempts))

@@ -3,6 +3,8 @@
 import pyarrow as pa
 import pytest
 
+from quirelight.functions import markup as M
+from quirelight.operators import books as B
 from quirelight.sources import epub as E
 
 
@@ -30,3 +32,17 @@ def test_containers_leave_a_few_at_a_time(spark, workers):
     content = out.column(1)[0].as_py()
     out = first(read, [(str(i), content) for i in range(2000)], "book_id", "content")
     assert 2 <= out.num_rows < 20 and out.column("data")[0].as_py() == body.encode()
+
+
+def test_segments_leave_a_few_at_a_time(spark, workers):
+    M.page_segments(spark.createDataFrame([], "page_id long, html string"))
+    B.segments(spark.createDataFrame([], "book_id string, path string, data binary"))
+    page = b"".join(b"<p>some words of paragraph %d</p>" % i for i in range(500))
+    assert first(workers[0], [(i, page) for i in range(2000)], "page_id", "html").num_rows < 10_000
+    assert first(workers[1], [(page, f"b{i}!/p", f"b{i}", "p") for i in range(2000)], "data", "doc_id", "book_id", "path").num_rows < 10_000
+
+
+def test_refused_and_empty_documents_stay_one_row(spark):
+    docs = spark.createDataFrame([("b", "x", b"<p>a</b></p>"), ("b", "y", b"<p>1</p>"), ("b", "z", None), ("b", "w", b"<p>word</p>")], "book_id string, path string, data binary")
+    rows = {r.path: r for r in B.segments(docs).collect()}
+    assert len(rows) == 4 and rows["x"].error and rows["x"].seg is None and (rows["y"].error, rows["y"].seg, rows["z"].seg) == (None, None, None) and (rows["w"].seg, rows["w"].source, rows["w"].block) == (0, "word", True)

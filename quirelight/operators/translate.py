@@ -6,7 +6,8 @@ run that is interrupted has lost one wave at most: started again on its path, it
 * The first wave is one batch: a service that refuses the key is asked once.
 * With continuity (``context_chars``) wave k holds the k-th open batch of every book, and is shown the end of the
   translation so far, which travels from wave to wave with the replies; a lost executor repeats its part of one wave.
-* Without it waves hold whole documents, as many as keep all cores busy for a while.
+* Without it waves hold whole documents, as many as keep all cores busy for a while: ``wave`` batches a core at least, and
+  where those are done sooner than in ``SECONDS``, up to four times as many as in the wave before.
 
 Rate and failure guard are of the run, not of its tasks: a wave's tasks take the slots of one schedule in turn, and where
 one wave's slots and its run of failures end the next wave's begin, over both passes and over restarts.  A provider that
@@ -43,6 +44,8 @@ _LOGGED = "sources array<string>, mark long, turn long, tail string, slot double
 _LOG_COLUMNS = [c.split()[0] for c in _LOGGED.split(", ")]
 _GIVEN = "doc_id book_id book_title title k place places chunk parts segs sources blocks mark turn tail".split()
 _REPLY_COLUMNS = "book_id chunk parts segs answers verdicts remarks messages calls usable usage asked error".split()
+#: How long a wave should take at least, as each costs some jobs beside its calls, and parts of the plan that waves are made of at most.
+SECONDS, PARTS = 60.0, 256
 #: What a batch is told about the book, with the values for documents that are no part of one.
 CONTEXT = {"book_title": "", "title": "", "k": 0, "place": 1, "places": 1}
 
@@ -134,7 +137,8 @@ def planned(segs: DataFrame, options: Options, log: Log, path: str) -> DataFrame
     else:
         slots = max(1, spark.sparkContext.defaultParallelism) * options.wave
         size = keys.where("not known").count()
-        keys = keys.where("not known").select("doc_id", "chunk", F.lit(0).cast("long").alias("turn"), (F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-size // slots)))) + 1).alias("wave"), F.lit(None).cast("long").alias("known_turn"), F.lit(None).cast("string").alias("known_tail"))
+        shares = max(1, min(PARTS, -(-size // slots)))
+        keys = keys.where("not known").select("doc_id", "chunk", F.lit(0).cast("long").alias("turn"), (F.pmod(F.xxhash64("doc_id"), F.lit(shares)) + 1).alias("wave"), F.lit(None).cast("long").alias("known_turn"), F.lit(None).cast("string").alias("known_tail"))
     rows = plan.join(keys, ["doc_id", "chunk"])
     first = rows.where("wave = 1").orderBy("book_id", "k", "doc_id", "chunk").select("book_id", "doc_id", "chunk").first()
     if first is None:
@@ -142,6 +146,8 @@ def planned(segs: DataFrame, options: Options, log: Log, path: str) -> DataFrame
     # one batch goes ahead, and the book that follows it with it
     ahead = F.col("book_id") == F.lit(first.book_id) if options.context_chars > 0 else (F.col("doc_id") == F.lit(first.doc_id)) & (F.col("chunk") == first.chunk)
     rows = rows.withColumn("wave", F.when(ahead, F.col("wave") - 1 if options.context_chars > 0 else 0).otherwise(F.col("wave")))
+    if options.context_chars <= 0:
+        rows = rows.repartition("wave")  # a file for each, not for each task and each
     rows.write.mode("overwrite").partitionBy("wave").parquet(f"{path}-plan")
     return spark.read.parquet(f"{path}-plan")
 
@@ -157,12 +163,14 @@ def attempts(segs: DataFrame, make: Callable[[], Provider], options: Options, pa
     pace.free = max(pace.free, log.last_slot() + pace.gap)
     plan, stop = planned(segs, options, log, path), ""
     sizes = {} if plan is None else {r["wave"]: r["count"] for r in plan.groupBy("wave").count().collect()}  # two numbers a wave
-    for w in sorted(sizes):
-        stop = _wave(plan.where(F.col("wave") == w), sizes[w], make, options, log, pace, progress)
+    left, most = sorted(sizes), 1
+    while left and not stop:
+        now, left, began = left[:most], left[most:], time.monotonic()
+        stop = _wave(plan.where(F.col("wave").isin(now)), sum(sizes[w] for w in now), make, options, log, pace, progress)
         if after is not None:
-            after(log.finished())
-        if stop:
-            break
+            after(log.finished(options.context_chars <= 0))
+        if options.context_chars <= 0 and now != [0]:
+            most = larger(len(now), time.monotonic() - began)
     given = spark.read.parquet(f"{path}-batches")
     columns = ["doc_id", *_REPLY_COLUMNS, "slot"]
     replies = log.rows().join(given.select("doc_id", "chunk", "mark"), ["doc_id", "chunk", "mark"], "left_semi")
@@ -173,6 +181,11 @@ def attempts(segs: DataFrame, make: Callable[[], Provider], options: Options, pa
     return spark.read.parquet(path)
 
 
+def larger(parts: int, took: float) -> int:
+    """Parts of the plan for the wave after one of ``parts`` that took so many seconds."""
+    return max(1, min(4 * parts, int(parts * SECONDS / max(took, 1e-3))))
+
+
 def _log_schema(doc_type: str) -> str:
     return f"doc_id {doc_type}, {_REPLIES}, {_LOGGED}"
 

@@ -5,6 +5,10 @@ import pytest
 
 from quirelight.functions import markup as M
 from quirelight.operators import books as B
+from quirelight.operators import segments as G
+from quirelight.operators import translate as T
+from quirelight.operators.log import Log
+from quirelight.operators.provider import capitals
 from quirelight.sources import epub as E
 
 
@@ -46,3 +50,14 @@ def test_refused_and_empty_documents_stay_one_row(spark):
     docs = spark.createDataFrame([("b", "x", b"<p>a</b></p>"), ("b", "y", b"<p>1</p>"), ("b", "z", None), ("b", "w", b"<p>word</p>")], "book_id string, path string, data binary")
     rows = {r.path: r for r in B.segments(docs).collect()}
     assert len(rows) == 4 and rows["x"].error and rows["x"].seg is None and (rows["y"].error, rows["y"].seg, rows["z"].seg) == (None, None, None) and (rows["w"].seg, rows["w"].source, rows["w"].block) == (0, "word", True)
+
+
+def test_waves_do_not_grow_in_number_with_the_run(spark, tmp_path, monkeypatch):
+    """Batches that are answered at once go in few waves; slow ones in waves that are no larger than they have to be."""
+    made = []
+    own = Log.add
+    monkeypatch.setattr(Log, "add", lambda self, rows: (made.append(1), own(self, rows))[1])
+    docs = spark.createDataFrame([(i, f"Paragraph {i}") for i in range(400)], "doc_id long, text string")
+    out = T.run(G.line_segments(docs), lambda: capitals, str(tmp_path / "r"), options=T.Options(wave=2))  # 50 parts
+    assert out.where("verdict = 'ok' and answer = upper(source)").count() == 400 and len(made) <= 8
+    assert T.larger(4, 1.0) == 16 and T.larger(4, 30.0) == 8 and T.larger(4, 600.0) == 1

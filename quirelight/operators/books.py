@@ -118,10 +118,14 @@ def translate(found: DataFrame, make: Callable[[], Provider], path: str, setting
     provider of the second pass over what the first left (without it the same provider, if the settings ask for a pass).
     """
     spark = found.sparkSession
-    table = lambda df, name: (df.write.mode("overwrite").parquet(f"{path}/{name}"), spark.read.parquet(f"{path}/{name}"))[1]
-    docs = table(E.documents(found), "documents")
-    chosen = selected(docs.drop("data"), only, spec)
-    segs = table(segments(chosen.join(docs.select("book_id", "path", "data"), ["book_id", "path"]), mode), "segments")
+    table = lambda df, name: (df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}"), spark.read.parquet(f"{path}/{name}"))[1]
+    docs = table(E.documents(found, True), "documents")
+    if only is None and not spec.strip():  # all of them, in the places that their containers give them
+        chosen, taken = docs.drop("data"), docs
+    else:
+        chosen = selected(docs.drop("data", "place", "places"), only, spec)
+        taken = chosen.join(docs.select("book_id", "path", "data"), ["book_id", "path"])
+    segs = table(segments(taken, mode), "segments")
     wanted = translatable(segs, settings.translate_titles)
     recipes = found.select("book_id", R.recipe(F.sha2("content", 256), settings).alias("recipe"))
     cache = None

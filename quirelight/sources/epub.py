@@ -262,18 +262,19 @@ def packages(found: DataFrame) -> DataFrame:
 DOCUMENTS = "book_id string, book_title string, k int, path string, title string, navigation boolean, data binary"
 
 
-def documents(found: DataFrame) -> DataFrame:
-    """The documents of each book to work on, numbered in that order; refused containers have none."""
+def documents(found: DataFrame, places: bool = False) -> DataFrame:
+    """The documents of each book to work on, numbered in that order; refused containers have none.  ``places``: with place (from 1) and places beside."""
 
     def rows(book: str, raw: bytes | None) -> list[tuple]:
         try:
             files = Files(raw or b"")
             p = package(files)
-            return [(book, p.title, k, path, title, navigation, files[path]) for k, (path, title, navigation) in enumerate(p.worklist())]
+            own = p.worklist()
+            return [(book, p.title, k, path, title, navigation, files[path], *((k + 1, len(own)) if places else ())) for k, (path, title, navigation) in enumerate(own)]
         except BookError:
             return []
 
-    return mapped(found.select("book_id", "content"), rows, DOCUMENTS)
+    return mapped(found.select("book_id", "content"), rows, f"{DOCUMENTS}, place int, places int" if places else DOCUMENTS)
 
 
 def reading_order(refs: DataFrame, items: DataFrame, files: DataFrame) -> DataFrame:

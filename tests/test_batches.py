@@ -61,3 +61,14 @@ def test_waves_do_not_grow_in_number_with_the_run(spark, tmp_path, monkeypatch):
     out = T.run(G.line_segments(docs), lambda: capitals, str(tmp_path / "r"), options=T.Options(wave=2))  # 50 parts
     assert out.where("verdict = 'ok' and answer = upper(source)").count() == 400 and len(made) <= 8
     assert T.larger(4, 1.0) == 16 and T.larger(4, 30.0) == 8 and T.larger(4, 600.0) == 1
+
+
+def test_a_fresh_start_moves_no_replies(spark, tmp_path):
+    """Only replies of several starts have to meet; those of one are read as they were written, without their sources."""
+    schema = T._log_schema("long")
+    fresh = Log(spark, str(tmp_path / "log"), "o", schema)
+    fresh.add(spark.createDataFrame([], schema))
+    plan = fresh.rows()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "sources" not in fresh.rows().columns
+    again = Log(spark, str(tmp_path / "log"), "o", schema)
+    assert again.before and "Exchange" in again.rows()._jdf.queryExecution().executedPlan().toString()

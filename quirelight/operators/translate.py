@@ -135,16 +135,17 @@ def planned(segs: DataFrame, options: Options, log: Log, path: str) -> DataFrame
         keys = O.numbered(keys, ("book_id",), ("k", "doc_id", "chunk"), block).withColumnRenamed("place", "turn").drop("places")
         last = O.last_before(keys, F.when(F.col("known"), F.struct("turn", "known_tail")), ("book_id",), ("turn",), F.floor(F.col("turn") / O.SPAN), skip_nulls=True)
         open_ = O.numbered(last.where("not known"), ("book_id",), ("turn",), F.floor(F.col("turn") / O.SPAN))
-        keys = open_.select("doc_id", "chunk", "turn", F.col("place").alias("wave"), F.col("before.turn").alias("known_turn"), F.col("before.known_tail").alias("known_tail"))
+        keys = open_.select("book_id", "k", "doc_id", "chunk", "turn", F.col("place").alias("wave"), F.col("before.turn").alias("known_turn"), F.col("before.known_tail").alias("known_tail"))
     else:
         slots = max(1, spark.sparkContext.defaultParallelism) * options.wave
         size = keys.where("not known").count()
         shares = max(1, min(PARTS, -(-size // slots)))
-        keys = keys.where("not known").select("doc_id", "chunk", F.lit(0).cast("long").alias("turn"), (F.pmod(F.xxhash64("doc_id"), F.lit(shares)) + 1).alias("wave"), F.lit(None).cast("long").alias("known_turn"), F.lit(None).cast("string").alias("known_tail"))
-    rows = plan.join(keys, ["doc_id", "chunk"])
-    first = rows.where("wave = 1").orderBy("book_id", "k", "doc_id", "chunk").select("book_id", "doc_id", "chunk").first()
+        keys = keys.where("not known").select("book_id", "k", "doc_id", "chunk", F.lit(0).cast("long").alias("turn"), (F.pmod(F.xxhash64("doc_id"), F.lit(shares)) + 1).alias("wave"), F.lit(None).cast("long").alias("known_turn"), F.lit(None).cast("string").alias("known_tail"))
+    # the lowest wave need not be the first one: documents of a share are few, or all of them in the log
+    first = keys.orderBy("wave", "book_id", "k", "doc_id", "chunk").select("book_id", "doc_id", "chunk").first()
     if first is None:
         return None
+    rows = plan.join(keys.drop("book_id", "k"), ["doc_id", "chunk"])
     # one batch goes ahead, and the book that follows it with it
     ahead = F.col("book_id") == F.lit(first.book_id) if options.context_chars > 0 else (F.col("doc_id") == F.lit(first.doc_id)) & (F.col("chunk") == first.chunk)
     rows = rows.withColumn("wave", F.when(ahead, F.col("wave") - 1 if options.context_chars > 0 else 0).otherwise(F.col("wave")))

@@ -1,7 +1,10 @@
 """Few rows are Python values at a time, however many Spark hands over at once."""
 
+import os
+
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quirelight.functions import markup as M
 from quirelight.operators import books as B
@@ -72,3 +75,31 @@ def test_a_fresh_start_moves_no_replies(spark, tmp_path):
     assert "Exchange" not in plan and "sources" not in fresh.rows().columns
     again = Log(spark, str(tmp_path / "log"), "o", schema)
     assert again.before and "Exchange" in again.rows()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_waves_start_at_the_lowest_share_that_is_open(spark, tmp_path, monkeypatch):
+    """Nothing stays unasked where the first share of the waves is empty: one long document, or a start after the first share is in the log."""
+    long = spark.range(50).where("pmod(xxhash64(id), 10) > 0").first().id
+    docs = spark.createDataFrame([(long, "\n".join(f"Line {i}" for i in range(40)))], "doc_id long, text string")
+    out = T.run(G.line_segments(docs), lambda: capitals, str(tmp_path / "long"), options=T.Options(wave=1, most=1))  # 10 shares
+    assert out.where("verdict = 'ok' and answer = upper(source)").count() == 40
+    monkeypatch.setattr(T, "PARTS", 2)
+    last, alive = spark.range(400).where("pmod(xxhash64(id), 2) = 1").orderBy(F.col("id").desc()).first().id, tmp_path / "alive"
+    docs = spark.createDataFrame([(i, f"Paragraph {i}") for i in range(400)], "doc_id long, text string")
+
+    def make(needle=f"Paragraph {last}", alive=str(alive)):
+        def provider(sources):
+            if needle in sources and not os.path.exists(alive):
+                raise SystemExit("killed")
+            return capitals(sources)
+
+        return provider
+
+    start = lambda: T.run(G.line_segments(docs), make, str(tmp_path / "r"), options=T.Options(wave=1))
+    spark.sparkContext.setLogLevel("OFF")
+    with pytest.raises(Exception):  # noqa: B017
+        start()
+    spark.sparkContext.setLogLevel("ERROR")
+    assert 1 < T.committed(spark, str(tmp_path / "r"), T.Options(wave=1), "long").count() < 400
+    alive.write_text("")
+    assert start().where("verdict = 'ok' and answer = upper(source)").count() == 400

@@ -11,13 +11,20 @@
 temporary folder of the job, the commit moves the files to their names, and a name that is taken gets ``.2``, ``.3`` before
 its ending: nothing is overwritten.  A failed job takes its temporary folder with it.
 
+The driver never holds a list of all files: a listing goes into packed parts as it comes, and the commit reads the names that each
+task has left beside its files.
+
 Files are reached through Arrow's file systems (local paths, and HDFS, S3 or GCS where their libraries are), on the executors.
 """
 
 from __future__ import annotations
 
+import io
+import json
+import os
 import posixpath
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +54,43 @@ def file_system(path: str):
 
 @dataclass
 class Part(InputPartition):
-    paths: list[str]
+    """Paths of the containers that one task reads, packed, as the driver has the parts of all tasks."""
+
+    packed: bytes
+
+    @classmethod
+    def of(cls, paths: list[str]) -> Part:
+        return cls(zlib.compress(json.dumps(sorted(paths)).encode()))
+
+    @property
+    def paths(self) -> list[str]:
+        return json.loads(zlib.decompress(self.packed))
+
+
+def listed(store, root: str, suffix: str) -> Iterator[tuple[str, int]]:
+    """(path, size) of the files under ``root`` with this ending, without those of writes under way; of a local folder an entry at a time, else a folder at a time."""
+    from pyarrow import fs
+
+    def folder(at: str) -> Iterator[tuple[str, int]]:
+        if isinstance(store, fs.LocalFileSystem):
+            with os.scandir(at) as held:
+                for f in held:
+                    if f.is_dir():
+                        yield from folder(f.path)
+                    elif f.name.endswith(suffix) and f.is_file():
+                        yield f.path, f.stat().st_size
+        else:
+            for f in store.get_file_info(fs.FileSelector(at)):
+                if f.type == fs.FileType.Directory:
+                    yield from folder(f.path)
+                elif f.is_file and f.base_name.endswith(suffix):
+                    yield f.path, f.size
+
+    info = store.get_file_info(root)
+    if info.is_file:
+        yield info.path, info.size
+    else:
+        yield from (f for f in folder(root.rstrip("/") or "/") if "/_temporary-" not in f[0])
 
 
 def entries(file, wanted: frozenset[str] | None, with_data: bool) -> Iterator[tuple[int, str, int, bytes | None]]:
@@ -79,20 +122,17 @@ class Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Part]:
-        from pyarrow import fs
-
         store, root = file_system(self.path)
-        info = store.get_file_info(root)
-        found = [info] if info.is_file else [f for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and f.base_name.endswith(self.suffix) and "/_temporary-" not in f.path]
-        parts, size = [Part([])], 0
-        for f in sorted(found, key=lambda f: f.path):
-            if self.books is not None and f.path not in self.books:
+        parts, paths, total = [], [], 0
+        for path, size in listed(store, root, self.suffix):
+            if self.books is not None and path not in self.books:
                 continue
-            if parts[-1].paths and (size + f.size > TASK_BYTES or len(parts[-1].paths) >= TASK_FILES):
-                parts, size = [*parts, Part([])], 0
-            parts[-1].paths.append(f.path)
-            size += f.size
-        return parts
+            if paths and (total + size > TASK_BYTES or len(paths) >= TASK_FILES):
+                parts.append(Part.of(paths))
+                paths, total = [], 0
+            paths.append(path)
+            total += size
+        return [*parts, Part.of(paths)]
 
     def read(self, part: Part) -> Iterator[tuple]:
         store, _ = file_system(self.path)
@@ -124,7 +164,12 @@ class Reader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]  # (temporary path, name)
+    """The folder of a task that has written files: 0, 1, ..., and their names, a line each in JSON, in NAMES; None without any."""
+
+    folder: str | None
+
+
+NAMES = "names"
 
 
 class Writer(DataSourceWriter):
@@ -136,25 +181,34 @@ class Writer(DataSourceWriter):
 
     def write(self, rows: Iterator) -> Written:
         store, root = file_system(self.job)
-        files = []
-        own = f"{root}/{uuid.uuid4().hex}"  # an attempt that is repeated writes anew; only the one that counts is moved
-        for k, row in enumerate(rows):
-            name, content = row[self.place[0]], row[self.place[1]]
-            if content is None:
-                continue
-            if not files:
-                store.create_dir(own, recursive=True)
-            with store.open_output_stream(f"{own}/{k}") as out:
-                out.write(content.encode() if isinstance(content, str) else bytes(content))
-            files.append((f"{own}/{k}", name))
-        return Written(files)
+        own, k = f"{root}/{uuid.uuid4().hex}", 0  # an attempt that is repeated writes anew; only the one that counts is moved
+        names = None
+        try:
+            for row in rows:
+                name, content = row[self.place[0]], row[self.place[1]]
+                if content is None:
+                    continue
+                if names is None:
+                    store.create_dir(own, recursive=True)
+                    names = store.open_output_stream(f"{own}/{NAMES}")
+                with store.open_output_stream(f"{own}/{k}") as out:
+                    out.write(content.encode() if isinstance(content, str) else bytes(content))
+                names.write(f"{json.dumps(name)}\n".encode())
+                k += 1
+        finally:
+            if names is not None:
+                names.close()
+        return Written(own if k else None)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root = file_system(self.path)
         store.create_dir(root, recursive=True)
         for message in messages:
-            for part, name in message.files if message else ():
-                store.move(part, free(store, root, name))
+            if message is None or message.folder is None:
+                continue
+            with store.open_input_stream(f"{message.folder}/{NAMES}") as names:
+                for k, line in enumerate(io.BufferedReader(names)):
+                    store.move(f"{message.folder}/{k}", free(store, root, json.loads(line)))
         self._clean()
 
     def abort(self, messages: list[Written | None]) -> None:

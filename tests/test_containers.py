@@ -2,6 +2,7 @@
 
 import io
 import os
+import pickle
 import zipfile
 
 import pytest
@@ -107,3 +108,19 @@ def test_writes_are_committed_or_leave_nothing(spark, tmp_path):
         rows.write.format("containers").mode("overwrite").save(out)
     back = D.read(spark, f"file://{out}", "packages")
     assert back.count() == 7 and back.where("error is null").count() == 0
+
+
+def test_the_driver_holds_no_list_of_files(tmp_path):
+    """What tasks report to the driver does not grow with their files, and the parts of a scan hold a few bytes a file."""
+    out = str(tmp_path / "a folder whose name is by far longer than what a part may hold for each of its files" / "out")
+    schema = type("S", (), {"names": ["name", "content"]})
+    writer = D.Writer(schema, {"path": out})
+    said = [writer.write(iter([(f"b{t}-{k}\n.epub" if k == 5 else f"b{t}-{k}.epub", b"%d" % k) for k in range(1500)] + [("same.epub", b"%d" % t)])) for t in range(2)]
+    assert len(pickle.dumps(said)) < 1000 and len(pickle.dumps(writer.write(iter([("none", None)])))) < 1000
+    reader = D.Reader(schema, {"path": out})
+    writer.commit([*said, None])
+    assert len(os.listdir(out)) == 3002 and open(f"{out}/b1-7.epub").read() == "7" and open(f"{out}/b1-5\n.epub").read() == "5"
+    assert [open(f"{out}/same{n}.epub").read() for n in ("", ".2")] == ["0", "1"]
+    parts = reader.partitions()
+    assert len(pickle.dumps(parts)) < 10 * 3002 and [len(p.paths) for p in parts] == [1000, 1000, 1000, 2]
+    assert sorted(p for part in parts for p in part.paths) == sorted(os.path.join(out, f) for f in os.listdir(out))

@@ -614,7 +614,9 @@ UNION ALL SELECT CAST(doc_id AS VARCHAR), 'OEBPS/nav.xhtml', 'cached', 1, 0 FROM
 def _(docs):
     """A run that leaves strings out, then another that asks again for those, and only for those, out of the store."""
     spark, settings = docs.sparkSession, S.Settings(salvage_pass=False, context_chars=0)
-    found, store = _containers(docs), C.Store(spark, scratch(spark, "store"))
+    path, store = scratch(spark, "found"), C.Store(spark, scratch(spark, "store"))
+    _containers(docs).write.parquet(path)  # made once, as both runs read them several times
+    found = spark.read.parquet(path)
     B.translate(found, _leaves_out("é"), scratch(spark, "run"), settings, store=store)
     last = scratch(spark, "run")
     run = B.translate(found, _leaves_out("\x00"), last, settings, store=store, retry=True)
